@@ -17,7 +17,21 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op1_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.media import media_features
+
+    return media_features(_documents(spark, sf_dir))
+
+
+def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.warc import archived_pages
+
+    return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_archive": op1_media_archive,
+    "op10_warc_roundtrip": op10_warc_roundtrip,
     "op3_repetition_rules": op3_repetition_rules,
 }
 
