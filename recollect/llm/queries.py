@@ -29,10 +29,17 @@ def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.packing import packed
+
+    return packed(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_archive": op1_media_archive,
     "op10_warc_roundtrip": op10_warc_roundtrip,
     "op3_repetition_rules": op3_repetition_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
