@@ -11,6 +11,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.gam import quality_scores
+
+    scores = quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.repetition import quality_rules
 
@@ -38,6 +45,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_archive": op1_media_archive,
     "op10_warc_roundtrip": op10_warc_roundtrip,
+    "op2_additive_quality": op2_additive_quality,
     "op3_repetition_rules": op3_repetition_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
