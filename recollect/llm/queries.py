@@ -36,6 +36,12 @@ def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.jaccard import linked
+
+    return linked(_documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.packing import packed
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_roundtrip": op10_warc_roundtrip,
     "op2_additive_quality": op2_additive_quality,
     "op3_repetition_rules": op3_repetition_rules,
+    "op5_parity_jaccard": op5_parity_jaccard,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
