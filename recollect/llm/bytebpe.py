@@ -1,25 +1,19 @@
-"""Byte-level BPE ids of whole texts, by way of a bounded cache of chunks.
+"""Byte-level BPE ids of whole texts.
 
-A text is cut before every space that a visible character follows. The pre-tokenizer always
-begins a token there and never looks back over it, so the chunks' ids, joined, are the ids of
-the text. Most chunks recur, hence few of them reach the tokenizer.
+The vocabulary is that of a tokenizers JSON file, whose merges stand in the order of their ids.
+The same vocabulary drives tiktoken's core here, which gives the same ids as the tokenizers
+library (tests hold both against each other) in a fraction of its time, and in time n log n on
+texts without any break. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
-_CUT = re.compile(r" (?=\S)")
-_UNEVEN = re.compile(r" (?:\s|$)")
-#: Chunks kept, and characters in one that is kept.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
-#: Chunks encoded as one text.
-_TOGETHER = 20_000
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -27,6 +21,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_of() -> dict[str, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -34,56 +35,19 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.spaced: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for piece, i in vocabulary.items():
-            self.n_bytes[i] = len(piece)  # byte-level pieces have a character for each byte
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of " " + chunk for each chunk, all of which begin with a visible character.
-
-        Many are encoded as one text, for the cuts are safe there too; the ids are then dealt out
-        by the bytes that each stands for.
-        """
-        out = {}
-        for k in range(0, len(chunks), _TOGETHER):
-            some = chunks[k : k + _TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(c.encode()) + 1 for c in some])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            flat, at = ids.tobytes(), 0
-            for c, end in zip(some, (4 * cuts).tolist(), strict=True):
-                out[c] = flat[at:end]
-                at = end
-        return out
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"] for t in model.get("added_tokens", [])}
+        byte = _byte_of()
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
+        self.core = tiktoken.Encoding("bytebpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.core.encode_to_numpy(text, disallowed_special=())
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
-        split = [(t.split(" ") if not _UNEVEN.search(t) else _CUT.split(t)) for t in (t or "" for t in texts)]
-        cache = self.spaced
-        missing = set()
-        for chunks in split:
-            missing.update(chunks[1:])
-        missing.difference_update(cache)
-        found = self._spaced(list(missing))
-        if len(cache) + len(found) > CACHE_CHUNKS:
-            cache.clear()  # what this block needs is looked up anew
-            again = {c for chunks in split for c in chunks[1:]} - found.keys()
-            found |= self._spaced(list(again))
-        cache.update(found)
-        heads = self._ids([chunks[0] for chunks in split])
-        out = [h + b"".join(map(cache.__getitem__, chunks[1:])) for h, chunks in zip(heads, split, strict=True)]
-        for c in found:
-            if len(c) > CACHE_CHARS:
-                del cache[c]
-        return out
+        return [self.ids(t).astype("<u4", copy=False).tobytes() if t else b"" for t in texts]
