@@ -42,6 +42,12 @@ def op5_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(_documents(spark, sf_dir))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.substring import without_repeats
+
+    return without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.packing import packed
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_additive_quality": op2_additive_quality,
     "op3_repetition_rules": op3_repetition_rules,
     "op5_parity_jaccard": op5_parity_jaccard,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
