@@ -33,7 +33,7 @@ from recollect.llm.words import BYTE_HASH, Words, mixed, words_of
 #: Words on both sides among which a cut's gear value is the least; bytes that value depends on.
 REACH, GEAR_BYTES = 2, 16
 #: Words of a run of marked chunks from which on it is removed; most words of a chunk.
-MIN_WORDS, MAX_WORDS = 25, 64
+MIN_WORDS, MAX_WORDS = 25, 16
 BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
 _GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
 _LAST = np.iinfo(np.int64).max
