@@ -48,6 +48,12 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.lattice import likelihoods
+
+    return likelihoods(_documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.packing import packed
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
     "op5_parity_jaccard": op5_parity_jaccard,
     "op6_chunk_dedup": op6_chunk_dedup,
+    "op8_lattice_likelihood": op8_lattice_likelihood,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
