@@ -204,8 +204,9 @@ def packed_signatures(docs: DataFrame, seed: int, frequent, percent: int, bucket
             rows = []
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 ids, which = np.unique(key[a:z], return_index=True)
-                local = np.searchsorted(ids, key[a:z]).astype(np.uint32)
-                rows.append(np.int64(len(ids)).tobytes() + ids.tobytes() + n[a:z][which].astype(np.int32).tobytes() + sig[a:z].tobytes() + local.tobytes())
+                local = np.searchsorted(ids, key[a:z]).astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
+                short = (sig[a:z] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append(np.int64(len(ids)).tobytes() + ids.tobytes() + n[a:z][which].astype(np.int32).tobytes() + short.tobytes() + local.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(rows, pa.binary())], names=["bucket", "data"])
 
         for b in blocks(batches, "text"):
@@ -224,13 +225,15 @@ def packed_signatures(docs: DataFrame, seed: int, frequent, percent: int, bucket
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures (their upper 48 bits), keys and set sizes of one packed row."""
     m = int(np.frombuffer(data, np.int64, 1)[0])
-    ids = np.frombuffer(data, np.int64, m, 8)
-    n = np.frombuffer(data, np.int32, m, 8 + 8 * m)
-    at = 8 + 12 * m
-    count = (len(data) - at) // 12
-    local = np.frombuffer(data, np.uint32, count, at + 8 * count)
-    return np.frombuffer(data[at : at + 8 * count], np.uint64), ids[local], n[local]
+    ids, n, at = np.frombuffer(data, np.int64, m, 8), np.frombuffer(data, np.int32, m, 8 + 8 * m), 8 + 12 * m
+    kind = np.uint16 if m < 1 << 16 else np.uint32
+    count = (len(data) - at) // (6 + np.dtype(kind).itemsize)
+    wide = np.zeros((count, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8, 6 * count, at).reshape(-1, 6)
+    local = np.frombuffer(data, kind, count, at + 6 * count)
+    return wide.view("<u8").ravel(), ids[local], n[local]
 
 
 def matches(packed: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +267,7 @@ def matches(packed: DataFrame, percent: int) -> DataFrame:
         none = pa.nulls(len(pairs), pa.int64()), pa.nulls(int(many.sum()), pa.int64())
         return pa.concat_tables([
             pa.Table.from_arrays([none[0], pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())], schema=schema),
-            pa.Table.from_arrays([pa.array(sig[many].view(np.int64)), none[1], pa.array(key[many]), pa.array(n[many].astype(np.int32))], schema=schema),
+            pa.Table.from_arrays([pa.array(sig[many].astype(np.int64)), none[1], pa.array(key[many]), pa.array(n[many].astype(np.int32))], schema=schema),
         ])
 
     return packed.groupBy("bucket").applyInArrow(run, "sig long, leader long, key long, n int")
@@ -288,23 +291,37 @@ def bloom(ids: DataFrame) -> bytes:
 
 
 def needed_sets(docs: DataFrame, seed: int, ids: DataFrame) -> DataFrame:
-    """(key, n, sketch, members) of the texts that pairs need, and of a few more that the filter lets by."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bloom(ids))
+    """(key, n, sketch, members) of the texts that pairs need, once per task, and of a few more that the filter lets by."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = np.frombuffer(bits.value, np.uint64), set()
+        seen: set = set()
         for b in blocks(batches, "text"):
             s = Sets(b.column(0), seed)
-            spot = mixed(s.key.view(np.uint64)) % np.uint64(BLOOM_BITS)
-            hit = (words[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)
-            rows = np.flatnonzero(_unseen(s.key, (hit > 0) & (s.size > 0), seen))
+            rows = np.flatnonzero(_unseen(s.key, _in_bloom(bits.value, s.key) & (s.size > 0), seen))
             members = [np.sort(s.hash[s.first[r] : s.first[r + 1]]) for r in rows]
             yield pa.RecordBatch.from_arrays([
-                pa.array(s.key[rows]), pa.array(s.size[rows].astype(np.int32)), pa.array([parity(m).tobytes() for m in members], pa.binary()), pa.array([m.tobytes() for m in members], pa.binary()),
+                pa.array(s.key[rows]), pa.array(s.size[rows].astype(np.int32)), pa.array([parity(m).tobytes() for m in members], pa.binary()),
+                pa.array([m.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for m in members], pa.binary()),
             ], names=["key", "n", "sketch", "members"])
 
-    return docs.select("text").mapInArrow(run, "key long, n int, sketch binary, members binary").dropDuplicates(["key"])
+    return docs.select("text").mapInArrow(run, "key long, n int, sketch binary, members binary")
+
+
+def _in_bloom(bits: bytes, key: np.ndarray) -> np.ndarray:
+    words, spot = np.frombuffer(bits, np.uint64), mixed(key.view(np.uint64)) % np.uint64(BLOOM_BITS)
+    return (words[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of the given keys (and of a few others), each once; the others don't reach the shuffle."""
+    bits = sets.sparkSession.sparkContext.broadcast(bloom(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_in_bloom(bits.value, b.column(0).to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema).dropDuplicates(["key"])
 
 
 def parity(members: np.ndarray) -> np.ndarray:
@@ -329,7 +346,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c, na, nb, x, y = b.columns
-            good = [test(m, n, np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)) for m, n, u, v in zip(na.to_pylist(), nb.to_pylist(), x, y, strict=True)]
+            good = [test(m, n, u.as_py(), v.as_py()) for m, n, u, v in zip(na.to_pylist(), nb.to_pylist(), x, y, strict=True)]
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
 
@@ -337,6 +354,92 @@ def _compared(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
 
 
+def sure(percent: int):
+    """The exact test, on sets of hashes (48 bits of each)."""
+
+    def test(m: int, n: int, x: bytes, y: bytes) -> bool:
+        u, v = (np.zeros((len(z) // 6, 8), np.uint8) for z in (x, y))
+        u[:, 2:], v[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6), np.frombuffer(y, np.uint8).reshape(-1, 6)
+        both = len(np.intersect1d(u.view("<u8").ravel(), v.view("<u8").ravel(), assume_unique=True))
+        return 100 * both >= percent * (m + n - both)
+
+    return test
+
+
+def likely(percent: int):
+    """The test by parity sketches: it passes all links and few others."""
+
+    def test(m: int, n: int, x: bytes, y: bytes) -> bool:
+        return 100 * min(m, n) >= percent * max(m, n) and hamming(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= (m + n) * (100 - percent) // (100 + percent)
+
+    return test
+
+
+#: Members of a run that are compared in one group; longer runs are dealt out in pairs of parts.
+PART = 1024
+
+
+def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one run, but different labels, that pass the size and sketch tests.
+
+    runs: sig, key, n, label. A run's members are compared in numpy, a part with a part, and only
+    what passes is given out; parts of long runs go to different groups, so no task gets it all.
+    """
+    sized = runs.join(runs.groupBy("sig").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sig")
+    own = sized.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "n", "label")
+    rows = dealt.join(sketches, "key").select("sig", "lo", "hi", "part", "key", "n", "label", "sketch")
+
+    def compared(key, n, label, part, sketch, hi, lo) -> Iterator[tuple[int, int]]:
+        # sketches of all sizes are folded to the length of the shortest that may match
+        order = np.argsort(n, kind="stable")
+        key, n, label, part = key[order], n[order], label[order], part[order]
+        sketch = [np.frombuffer(sketch[i], np.uint64) for i in order]
+        upto = np.searchsorted(n, n * 100 // percent, "right")
+        for i in range(len(key)):
+            j = np.arange(i + 1, upto[i])
+            j = j[label[j] != label[i]]
+            if lo != hi:
+                j = j[part[j] != part[i]]
+            for width in {len(sketch[k]) for k in j}:
+                some = np.array([k for k in j if len(sketch[k]) == width])
+                x, y = sketch[i], np.vstack([sketch[k] for k in some])
+                while y.shape[1] > len(x):
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                while len(x) > y.shape[1]:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most_differing(n[i] + n[some], percent)
+                yield from ((min(key[i], key[k]), max(key[i], key[k])) for k in some[near])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found = [], set()
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            """Work on the groups that are complete: all but the last one, whose rows may go on."""
+            table = pa.Table.from_batches(held)
+            sig, lo, hi, part, key, n, label = (table.column(k).to_numpy() for k in range(7))
+            edge = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+            sketch = table.column(7).to_pylist()
+            stop = len(edge) - 1 if last else len(edge) - 2
+            for a, z in zip(edge[:stop], edge[1 : stop + 1], strict=True):
+                found.update(compared(key[a:z], n[a:z].astype(np.int64), label[a:z], part[a:z], sketch[a:z], hi[a], lo[a]))
+            rest = table.slice(edge[stop]).to_batches() if not last else []
+            held[:] = rest
+            if found and (last or len(found) > 100_000):
+                pairs = np.array(sorted(found), np.int64)
+                found.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                yield from done(False)
+        if held:
+            yield from done(True)
+
+    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles and component_id (the smallest id it is linked with)."""
     spark = docs.sparkSession
@@ -354,39 +457,27 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
     volume = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(volume * 0.5 / BUCKET_ROWS))
 
-    def linked_by(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        def sure(m: int, n: int, x: np.ndarray, y: np.ndarray) -> bool:
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (m + n - both)
-
-        return _compared(pairs, sets, "members", sure)
-
-    def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        def likely(m: int, n: int, x: np.ndarray, y: np.ndarray) -> bool:
-            return 100 * min(m, n) >= percent * max(m, n) and hamming(x, y) <= (m + n) * (100 - percent) // (100 + percent)
-
-        return _compared(pairs, sets, "sketch", likely)
-
     entries = stored(matches(packed_signatures(source, seed, frequent, percent, buckets), percent), "matches")
     first = entries.filter("sig is null").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
     members = entries.filter("sig is not null").select("sig", "key", "n")
     sets = stored(needed_sets(source, seed, first.select("a").union(first.select("b"))), "sets")
-    likely = stored(near(first, sets), "likely")
+    sketches = sets.select("key", "n", "sketch").dropDuplicates(["key"])
+    passed = stored(_compared(first, sketches, "sketch", likely(percent)), "passed")
     # a forest is enough to begin with: each node is verified against one other
-    chosen = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    sure = stored(linked_by(chosen, sets), "links")
-    labels = components(sure)
+    chosen = passed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    verified = lambda pairs: stored(_compared(pairs, only(sets, pairs.select("a").union(pairs.select("b"))), "members", sure(percent)), "links")
+    links = verified(chosen)
+    labels = components(links)
     # then all pairs that share a signature, or passed the sketches, but lie in different components
     tag = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
-    tagged = tag(members, "key")
-    open_runs = tagged.groupBy("sig").agg((F.min("lkey") != F.max("lkey")).alias("open")).filter("open").select("sig")
-    left = tagged.join(open_runs, "sig", "left_semi")
-    x, y = (left.select("sig", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("lkey").alias(f"l{k}")) for k in "ab")
-    across = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    rest = tag(tag(likely, "a"), "b").filter("la <> lb").select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    more = stored(linked_by(near(across.join(likely, ["a", "b"], "left_anti").distinct(), sets).union(rest), sets), "links")
-    if more.limit(1).count():
-        labels = components(sure.union(more))
+    tagged = tag(members, "key").withColumnRenamed("lkey", "label")
+    open_runs = tagged.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("sig")
+    more = across(stored(tagged.join(open_runs, "sig", "left_semi"), "open"), sketches.drop("n"), percent)
+    rest = tag(tag(passed, "a"), "b").filter("la <> lb").select("a", "b")
+    more = stored(more.union(rest).distinct().join(chosen, ["a", "b"], "left_anti"), "more")
+    extra = verified(more)
+    if extra.limit(1).count():
+        labels = components(links.union(extra))
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(smallest, "label", "left")
