@@ -33,6 +33,8 @@ from recollect.llm.words import mixed, per_row, words_of
 #: Labelled rows used for fitting, at most.
 MAX_TRAIN = 20_000
 HOLDOUT_FOLDS, THRESHOLD = 5, 0.3
+#: Columns of the result; kept columns of these names get the suffix _in.
+RESULT = ("score", "held_out", "predicted")
 
 #: Byte classes whose share of a text's bytes is a feature (fixed values).
 CLASSES = {
@@ -200,12 +202,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", tex
 
 def scored(docs: DataFrame, model: Model, ident: list[str], text: str = "text") -> DataFrame:
     """The columns `ident` and the score of each text."""
-    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(ident)], docs[text].alias("t"))
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in ident] + [T.StructField("score", T.DoubleType())])
+    columns = [docs[c].alias(f"k{i}") for i, c in enumerate(ident)]
+    at = ident.index(text) if text in ident else len(ident)  # the text travels once
+    source = docs.select(*columns, *([docs[text].alias(f"k{at}")] if at == len(ident) else []))
+    schema = T.StructType([T.StructField(c if c not in RESULT else f"{c}_in", docs.schema[c].dataType) for c in ident] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "t"):
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(features(b.column(len(ident)))))], names=schema.names)
+        for b in blocks(batches, f"k{at}"):
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ident)], pa.array(model.score(features(b.column(at))))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

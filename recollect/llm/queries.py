@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.pieces import round_trips
+
+    return round_trips(_documents(spark, sf_dir))
+
+
 def op5_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.jaccard import linked
 
@@ -48,6 +55,16 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: a word put in at a third, ten characters cut at the half, the end changed."""
+    from recollect.llm.tokentree import edited_counts
+
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda start, end, new: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(new).alias("replacement"))
+    edits = F.array(edit(F.floor(n / 3), F.floor(n / 3), " revised"), edit(F.floor(n / 2), F.floor(n / 2) + 10, ""), edit(n - 5, n, "the end."))
+    return edited_counts(_documents(spark, sf_dir).select("doc_id", "text", edits.alias("edits")))
+
+
 def op8_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.lattice import likelihoods
 
@@ -60,13 +77,22 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
     "op1_media_archive": op1_media_archive,
     "op10_warc_roundtrip": op10_warc_roundtrip,
     "op2_additive_quality": op2_additive_quality,
     "op3_repetition_rules": op3_repetition_rules,
+    "op4_streaming_pieces": op4_streaming_pieces,
     "op5_parity_jaccard": op5_parity_jaccard,
     "op6_chunk_dedup": op6_chunk_dedup,
+    "op7_edit_aware_counts": op7_edit_aware_counts,
     "op8_lattice_likelihood": op8_lattice_likelihood,
     "op9_best_fit_packing": op9_best_fit_packing,
 }

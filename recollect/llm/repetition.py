@@ -117,12 +117,14 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     keep = ["doc_id"] if keep is None else keep
     measures = T._parse_datatype_string(RESULT)
     names = [k if k not in measures.names else f"{k}_in" for k in keep]
-    source = docs.select(*[docs[k].alias(f"k{i}") for i, k in enumerate(keep)], docs[text].alias("t"))
+    columns = [docs[k].alias(f"k{i}") for i, k in enumerate(keep)]
+    at = keep.index(text) if text in keep else len(keep)  # the text travels once
+    source = docs.select(*columns, *([docs[text].alias(f"k{at}")] if at == len(keep) else []))
     schema = T.StructType([T.StructField(n, docs.schema[k].dataType) for n, k in zip(names, keep, strict=True)] + measures.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "t"):
-            got = measured(b.column(len(names)))
+        for b in blocks(batches, f"k{at}"):
+            got = measured(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(got[f]) for f in measures.names)], names=[*names, *measures.names])
 
     return source.mapInArrow(run, schema)
