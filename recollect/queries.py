@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = None
+from recollect.plans import search, stores
+from recollect.plans.registry import QUERIES, SQL
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "search", "stores"]
+
+FLAGSHIP = QUERIES["search_ilike_tags"]
