@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.plans import search, stores
+from recollect.plans import search, sessions, stores
 from recollect.plans.registry import QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "search", "stores"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "search", "sessions", "stores"]
 
 FLAGSHIP = QUERIES["search_ilike_tags"]
