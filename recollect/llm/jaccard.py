@@ -10,7 +10,7 @@ signature: a pigeonhole join on (band, block, signature) loses no pair. Bands ar
 
 Any global order is right; frequent shingles are put last, which keeps passages that thousands of
 documents share out of the join. Signatures travel packed: a task sends each bucket one binary row
-per 2 M signatures, and the count of buckets grows with the corpus, so a bucket stays small.
+per million signatures, and the count of buckets grows with the corpus, so a bucket stays small.
 
 Candidates are then compared by parity bit sketches of about two bits per shingle (their Hamming
 distance bounds the symmetric difference from below), and what passes is verified on the sets.
@@ -45,7 +45,7 @@ SHINGLE, PERCENT = 5, 75
 #: A shingle in so many texts of the corpus (as far as tasks notice) comes late in the order of blocks.
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Signatures in a bucket, about; signatures a task holds before it sends them.
-BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 21
+BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
 #: Sums of set sizes below 2**FINE use a block for each shingle.
 FINE = 8
 #: Bits of the filter by which tasks skip texts that no pair needs.
@@ -246,16 +246,17 @@ def matches(packed: DataFrame, percent: int) -> DataFrame:
         twice = ordered[1:][ordered[1:] == ordered[:-1]]
         some = np.isin(sig, twice, kind="sort") if len(twice) else np.zeros(len(sig), bool)
         sig, key, n = sig[some], key[some], n[some]
-        order = np.lexsort((key, n, sig))
-        sig, key, n = sig[order], key[order], n[order]
+        # a run's leader in a size class is its smallest key: the same few texts lead most runs of a
+        # group of copies, so pairs recur; leaders of neighbouring classes are paired too
+        band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+        order = np.lexsort((key, band, sig))
+        sig, key, n, band = sig[order], key[order], n[order], band[order]
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, key, n = sig[fresh], key[fresh], n[fresh]
+        sig, key, n, band = sig[fresh], key[fresh], n[fresh], band[fresh]
         begin = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
         run_no = np.cumsum(begin) - 1
         length = np.bincount(run_no)[run_no] if len(sig) else np.zeros(0, np.int64)
-        # a leader for each size class of a run; leaders of neighbouring classes are paired too
-        band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
         head = begin.copy()
         head[1:] |= band[1:] != band[:-1]
         at = np.arange(len(sig))
@@ -341,27 +342,29 @@ def hamming(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
-    """The pairs (a, b) for which test(n_a, n_b, value_a, value_b) holds, value being a column of sets."""
+    """The pairs (a, b) for which test(n_a, n_b, value_a, value_b) is a number, as `far`; value: a column of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c, na, nb, x, y = b.columns
-            good = [test(m, n, u.as_py(), v.as_py()) for m, n, u, v in zip(na.to_pylist(), nb.to_pylist(), x, y, strict=True)]
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                a, c, na, nb, x, y = b.columns
+                far = pa.array([test(m, n, u.as_py(), v.as_py()) for m, n, u, v in zip(na.to_pylist(), nb.to_pylist(), x, y, strict=True)], pa.float64())
+                mask = far.is_valid()
+                yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask), far.filter(mask)], names=["a", "b", "far"])
 
     side = lambda k: sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(what).alias(f"v{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long, far double")
 
 
 def sure(percent: int):
     """The exact test, on sets of hashes (48 bits of each)."""
 
-    def test(m: int, n: int, x: bytes, y: bytes) -> bool:
+    def test(m: int, n: int, x: bytes, y: bytes) -> float | None:
         u, v = (np.zeros((len(z) // 6, 8), np.uint8) for z in (x, y))
         u[:, 2:], v[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6), np.frombuffer(y, np.uint8).reshape(-1, 6)
         both = len(np.intersect1d(u.view("<u8").ravel(), v.view("<u8").ravel(), assume_unique=True))
-        return 100 * both >= percent * (m + n - both)
+        return 1.0 if 100 * both >= percent * (m + n - both) else None
 
     return test
 
@@ -369,8 +372,11 @@ def sure(percent: int):
 def likely(percent: int):
     """The test by parity sketches: it passes all links and few others."""
 
-    def test(m: int, n: int, x: bytes, y: bytes) -> bool:
-        return 100 * min(m, n) >= percent * max(m, n) and hamming(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= (m + n) * (100 - percent) // (100 + percent)
+    def test(m: int, n: int, x: bytes, y: bytes) -> float | None:
+        if 100 * min(m, n) < percent * max(m, n):
+            return None
+        far = hamming(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+        return far / (m + n) if far <= (m + n) * (100 - percent) // (100 + percent) else None
 
     return test
 
@@ -390,45 +396,56 @@ def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "n", "label")
     rows = dealt.join(sketches, "key").select("sig", "lo", "hi", "part", "key", "n", "label", "sketch")
 
-    def compared(key, n, label, part, sketch, hi, lo) -> Iterator[tuple[int, int]]:
-        # sketches of all sizes are folded to the length of the shortest that may match
+    def compared(key, n, label, part, sketch, apart: bool) -> np.ndarray:
         order = np.argsort(n, kind="stable")
         key, n, label, part = key[order], n[order], label[order], part[order]
         sketch = [np.frombuffer(sketch[i], np.uint64) for i in order]
-        upto = np.searchsorted(n, n * 100 // percent, "right")
+        width = np.array([len(x) for x in sketch])  # grows with n, so equal widths stand together
+        edge = np.flatnonzero(np.concatenate([[True], width[1:] != width[:-1], [True]]))
+        tables = [(a, z, np.vstack(sketch[a:z])) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+        upto, out = np.searchsorted(n, n * 100 // percent, "right"), []
         for i in range(len(key)):
-            j = np.arange(i + 1, upto[i])
-            j = j[label[j] != label[i]]
-            if lo != hi:
-                j = j[part[j] != part[i]]
-            for width in {len(sketch[k]) for k in j}:
-                some = np.array([k for k in j if len(sketch[k]) == width])
-                x, y = sketch[i], np.vstack([sketch[k] for k in some])
-                while y.shape[1] > len(x):
+            for a, z, table in tables:
+                a, z, begin = max(a, i + 1), min(z, upto[i]), a
+                if a >= z:
+                    continue
+                use = label[a:z] != label[i]
+                if apart:
+                    use &= part[a:z] != part[i]
+                at = a + np.flatnonzero(use)
+                if not len(at):
+                    continue
+                x, y = sketch[i], table[at - begin]
+                while y.shape[1] > len(x):  # fold the longer sketches onto the shorter
                     y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-                while len(x) > y.shape[1]:
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most_differing(n[i] + n[some], percent)
-                yield from ((min(key[i], key[k]), max(key[i], key[k])) for k in some[near])
+                near = at[np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most_differing(n[i] + n[at], percent)]
+                if len(near):
+                    out.append(np.column_stack([np.minimum(key[i], key[near]), np.maximum(key[i], key[near])]))
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found = [], set()
+        held, found = [], []
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
             """Work on the groups that are complete: all but the last one, whose rows may go on."""
             table = pa.Table.from_batches(held)
             sig, lo, hi, part, key, n, label = (table.column(k).to_numpy() for k in range(7))
             edge = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
-            sketch = table.column(7).to_pylist()
             stop = len(edge) - 1 if last else len(edge) - 2
             for a, z in zip(edge[:stop], edge[1 : stop + 1], strict=True):
-                found.update(compared(key[a:z], n[a:z].astype(np.int64), label[a:z], part[a:z], sketch[a:z], hi[a], lo[a]))
-            rest = table.slice(edge[stop]).to_batches() if not last else []
-            held[:] = rest
-            if found and (last or len(found) > 100_000):
-                pairs = np.array(sorted(found), np.int64)
-                found.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found.append(compared(key[a:z], n[a:z].astype(np.int64), label[a:z], part[a:z], table.column(7).slice(a, z - a).to_pylist(), bool(hi[a] != lo[a])))
+                if sum(map(len, found)) > 200_000:
+                    found[:] = [np.unique(np.concatenate(found), axis=0)]
+                    if len(found[0]) > 100_000:
+                        yield given()
+            held[:] = [] if last else table.slice(edge[stop]).to_batches()
+            if last and found:
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+                yield given()
+
+        def given() -> pa.RecordBatch:
+            pairs = found.pop()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for b in batches:
             if b.num_rows:
@@ -463,21 +480,24 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
     sets = stored(needed_sets(source, seed, first.select("a").union(first.select("b"))), "sets")
     sketches = sets.select("key", "n", "sketch").dropDuplicates(["key"])
     passed = stored(_compared(first, sketches, "sketch", likely(percent)), "passed")
-    # a forest is enough to begin with: each node is verified against one other
-    chosen = passed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    verified = lambda pairs: stored(_compared(pairs, only(sets, pairs.select("a").union(pairs.select("b"))), "members", sure(percent)), "links")
+    verified = lambda pairs: stored(_compared(pairs, only(sets, pairs.select("a").union(pairs.select("b"))), "members", sure(percent)).select("a", "b"), "links")
+    tag = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
+    # a forest is enough to begin with: each node is verified against the nearest of its leaders
+    chosen = stored(passed.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("best.a", "b"), "chosen")
     links = verified(chosen)
     labels = components(links)
-    # then all pairs that share a signature, or passed the sketches, but lie in different components
-    tag = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
+    # then the other leaders, where components still differ
+    rest = stored(tag(tag(passed, "a"), "b").filter("la <> lb").select("a", "b").join(chosen, ["a", "b"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        links = links.union(verified(rest))
+        labels = components(links)
+    # then all pairs that share a signature, but lie in different components
     tagged = tag(members, "key").withColumnRenamed("lkey", "label")
     open_runs = tagged.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("sig")
     more = across(stored(tagged.join(open_runs, "sig", "left_semi"), "open"), sketches.drop("n"), percent)
-    rest = tag(tag(passed, "a"), "b").filter("la <> lb").select("a", "b")
-    more = stored(more.union(rest).distinct().join(chosen, ["a", "b"], "left_anti"), "more")
-    extra = verified(more)
-    if extra.limit(1).count():
-        labels = components(links.union(extra))
+    more = stored(more.join(passed, ["a", "b"], "left_anti"), "more")
+    if more.limit(1).count():
+        labels = components(links.union(verified(more)))
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(smallest, "label", "left")
