@@ -76,5 +76,7 @@ def signature_similarity(x: Column, y: Column) -> Column:
 
 def leading_gram(text: Column) -> Column:
     """What the literal MinHash of the model comes to: the smallest 3-gram of the padded text."""
-    t = F.concat(F.lit("  "), F.lower(text), F.lit("  "))
-    return F.when(F.trim(text) == "", "").otherwise(F.array_min(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))))
+    c = F.split(F.concat(F.lit("  "), F.lower(text), F.lit("  ")), "")
+    part = lambda k: F.slice(c, k, F.length(text) + 2)
+    grams = F.zip_with(F.zip_with(part(1), part(2), lambda x, y: F.concat(x, y)), part(3), lambda x, y: F.concat(x, y))
+    return F.when(F.trim(text) == "", "").otherwise(F.array_min(grams))
