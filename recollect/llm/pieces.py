@@ -19,6 +19,7 @@ byte sequences, and null ids give null.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ from recollect.llm.common import blocks
 SPACE = "▁"
 _UNEVEN = re.compile("^ |  | $")
 #: Words remembered, and positions between looks for a common boundary.
-CACHE_WORDS, STRIDE = 400_000, 64
+CACHE_WORDS, STRIDE = 250_000, 64
 
 
 def default_model() -> str:
@@ -61,16 +62,23 @@ class Codec:
         for p in [p for p in self.rank if len(p) > 1 and self.merge(p) != [p]]:
             del self.id[p]
         self.longest = max(map(len, self.id))
-        #: Longest piece that ends in a given character.
-        self.reach: dict[str, int] = {}
-        for p in self.id:
-            self.reach[p[-1]] = max(len(p), self.reach.get(p[-1], 1))
+        #: Ends of pieces: the id of a whole piece, -1 for what is only a part.
+        self.ends: dict[str, int] = {}
+        #: Neighbouring characters inside pieces; between others there is always a boundary.
+        self.inside: set[str] = set()
+        for p, i in self.id.items():
+            self.inside.update(p[k : k + 2] for k in range(len(p) - 1))
+            for k in range(1, len(p)):
+                self.ends.setdefault(p[k:], -1)
+            self.ends[p] = i
+        self.piece = {i: p for p, i in self.id.items()}
         crossing = [p for p in self.rank if SPACE in p.lstrip(SPACE)]
         if crossing:
             raise ValueError(f"pieces go on beyond a space: {crossing[:3]}")
         self.out = [b"" if special[i] else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merges in order of rank, leftmost first."""
@@ -82,82 +90,97 @@ class Codec:
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def admissible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > 1 << 20:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merge(a + b) == [a, b]
+    def admissible(self, a: int, b: int) -> bool:
+        """Whether the second piece may follow the first; remembered."""
+        if len(self.pairs) > 1 << 20:
+            self.pairs.clear()
+        x, y = self.piece[a], self.piece[b]
+        got = self.pairs[a << 20 | b] = self.merge(x + y) == [x, y]
         return got
 
-    def stream(self, text: str) -> Iterator[str]:
+    def _step(self, text: str, i: int, begin: int, last) -> int:
+        """The piece that ends at i on an admissible path: its id, or -1 for a character without one.
+
+        A character outside the vocabulary takes part in no merge, so anything may stand beside it.
+        """
+        ends, pairs = self.ends, self.pairs
+        for k in range(i - 1, begin - 1, -1):
+            piece = ends.get(text[k:i])
+            if piece is None:
+                break
+            if piece >= 0:
+                before = last[k]
+                if before < 0:
+                    return piece
+                fits = pairs.get(before << 20 | piece)
+                if fits or fits is None and self.admissible(before, piece):
+                    return piece
+        return -1
+
+    def stream(self, text: str) -> Iterator[int | str]:
         """Pieces of a text whose spaces are marked, committed as soon as they are final."""
-        last: dict[int, str] = {}  # the piece that ends at each position of the window
-        begin, ids, reach, pairs = 0, self.id, self.reach, self.pairs
+        last: dict[int, int] = {0: -1}  # the piece that ends at each position of the window
+        begin = 0
         for i in range(1, len(text) + 1):
-            found = None
-            for k in range(min(i - begin, reach.get(text[i - 1], 1)), 0, -1):
-                piece = text[i - k : i]
-                if piece in ids:
-                    before = last.get(i - k)
-                    if before is None:
-                        found = piece
-                        break
-                    fits = pairs.get((before, piece))
-                    if fits or fits is None and self.admissible(before, piece):
-                        found = piece
-                        break
-            last[i] = found or text[i - 1]
+            last[i] = self._step(text, i, begin, last)
             if not i % STRIDE:
                 ends = {p for p in range(max(begin, i - self.longest + 1), i + 1)}
                 while len(ends) > 1:  # follow the paths back until they meet
                     p = max(ends)
                     ends.remove(p)
-                    ends.add(p - len(last[p]))
+                    ends.add(p - self._length(last[p]))
                 meet = ends.pop()
                 if meet > begin:
-                    yield from self._path(last, begin, meet)
-                    for p in range(begin + 1, meet):
+                    yield from self._path(text, last, begin, meet)
+                    for p in range(begin, meet):
                         last.pop(p, None)
                     begin = meet
-        yield from self._path(last, begin, len(text))
+        yield from self._path(text, last, begin, len(text))
 
-    def _whole(self, text: str) -> list[str]:
+    def _length(self, piece: int) -> int:
+        return len(self.piece[piece]) if piece >= 0 else 1
+
+    def _whole(self, text: str) -> list[int | str]:
         """stream() of a text that fits into one stride: the window is all of it."""
-        ids, reach, pairs, last = self.id, self.reach, self.pairs, [""]
+        last = [-1]
         for i in range(1, len(text) + 1):
-            end = text[i - 1]
-            for k in range(min(i, reach.get(end, 1)), 0, -1):
-                piece = text[i - k : i]
-                if piece in ids:
-                    before = last[i - k]
-                    fits = not before or pairs.get((before, piece))
-                    if fits or fits is None and self.admissible(before, piece):
-                        end = piece
-                        break
-            last.append(end)
-        return self._path(last, 0, len(text))
-
-    @staticmethod
-    def _path(last, begin: int, end: int) -> list[str]:
-        out = []
+            last.append(self._step(text, i, 0, last))
+        return self._path(text, last, 0, len(text))
+
+    def _path(self, text: str, last, begin: int, end: int) -> list[int | str]:
+        """Ids of the path back from end to begin; a character without one stands for itself."""
+        out: list[int | str] = []
         while end > begin:
-            out.append(last[end])
-            end -= len(last[end])
+            piece = last[end]
+            out.append(piece if piece >= 0 else text[end - 1])
+            end -= self._length(piece)
         return out[::-1]
 
-    def word(self, text: str) -> bytes:
-        """Ids of one word with the spaces before it."""
+    def _part(self, text: str) -> bytes:
         ids: list[int] = []
-        text = text.replace(" ", SPACE)
         for piece in self.stream(text) if len(text) > STRIDE else self._whole(text):
-            i = self.id.get(piece)
-            if i is None:
+            if isinstance(piece, str):
                 ids += [self.bytes[b] for b in piece.encode()]
             else:
-                ids.append(i)
-        return np.array(ids, "<i4").tobytes()
+                ids.append(piece)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def word(self, text: str) -> bytes:
+        """Ids of one word with the spaces before it: of its parts between certain boundaries."""
+        text, inside, known, out, at = text.replace(" ", SPACE), self.inside, self.parts, [], 0
+        for k in range(1, len(text) + 1):
+            if k == len(text) or text[k - 1 : k + 1] not in inside:
+                part = text[at:k]
+                got = known.get(part)
+                if got is None:
+                    got = self._part(part)
+                    if len(part) <= STRIDE:
+                        known[part] = got
+                out.append(got)
+                at = k
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, little-endian 32-bit."""
