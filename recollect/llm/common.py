@@ -46,7 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of stored() frames that no later plan reads."""
+    """Delete the files of stored() frames (and their unions) that no later plan reads."""
     for df in frames:
         jvm = df.sparkSession._jvm
         conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()

@@ -12,11 +12,13 @@ Any global order is right; frequent shingles are put last, which keeps passages
 documents share out of the join. Signatures travel packed: a task sends each bucket one binary row
 per million signatures, and the count of buckets grows with the corpus, so a bucket stays small.
 
-Candidates are then compared by parity bit sketches of about two bits per shingle (their Hamming
-distance bounds the symmetric difference from below), and what passes is verified on the sets.
-Round one links each member of a matching bucket entry with a leader of its size; round two takes
-all pairs that share a signature but not yet a component. So groups of copies cost their size,
-not its square, and the components are those of all links.
+Candidates are then compared by parity bit sketches of four bits or more per shingle (their
+Hamming distance bounds the symmetric difference from below), and what passes is verified on the
+sets. First each member of a run (texts with a common signature) is compared with a leader of its
+size; then, in runs that still hold several components, with the run's hub, the text that shares
+most signatures with others (of a group of near copies, its original); and last with all members
+of other components. So groups of copies cost their size, not its square, and the components are
+those of all links.
 
 Texts that are equal word for word are one node. A node's id is a 64-bit hash; should two texts
 ever share it, a second hash shows that and everything is redone under another seed.
@@ -326,8 +328,8 @@ def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def parity(members: np.ndarray) -> np.ndarray:
-    """Parity bit sketch: each member flips one bit; a power of two of bits, at least two a member."""
-    bits = max(64, 1 << int(2 * len(members) - 1).bit_length())
+    """Parity bit sketch: each member flips one bit; a power of two of bits, at least four a member."""
+    bits = max(64, 1 << int(4 * len(members) - 1).bit_length())
     flips = np.bincount((mixed(members) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
@@ -385,6 +387,21 @@ def likely(percent: int):
 PART = 1024
 
 
+#: Rounds of comparing with hubs before all pairs across components are.
+HUB_ROUNDS = 2
+
+
+def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member and its run's hub, where sizes allow a link and labels differ.
+
+    rows: sig, key, n, label and the size of the run. The hub has the most company in all its runs.
+    """
+    company = rows.groupBy("key").agg(F.sum("size").alias("company"))
+    hubs = rows.join(company, "key").groupBy("sig").agg(F.max(F.struct("company", "key", "n", "label")).alias("hub"))
+    met = rows.join(hubs, "sig").filter((F.col("label") != F.col("hub.label")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    return met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+
+
 def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one run, but different labels, that pass the size and sketch tests.
 
@@ -491,13 +508,23 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
     if rest.limit(1).count():
         links = links.union(verified(rest))
         labels = components(links)
-    # then all pairs that share a signature, but lie in different components
-    tagged = tag(members, "key").withColumnRenamed("lkey", "label")
-    open_runs = tagged.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("sig")
-    more = across(stored(tagged.join(open_runs, "sig", "left_semi"), "open"), sketches.drop("n"), percent)
-    more = stored(more.join(passed, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        labels = components(links.union(verified(more)))
+    # then hubs of the runs that hold several components, and last all pairs across components
+    tried = passed.select("a", "b")
+    for last in [False] * HUB_ROUNDS + [True]:
+        tagged = tag(members, "key").withColumnRenamed("lkey", "label")
+        open_runs = tagged.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open"), F.count("*").alias("size")).filter("open").select("sig", "size")
+        open_rows = stored(tagged.join(open_runs, "sig"), "open")
+        if last:
+            more = across(open_rows.drop("size"), sketches.drop("n"), percent)
+        else:
+            more = _compared(hub_pairs(open_rows, percent), sketches, "sketch", likely(percent)).select("a", "b")
+        more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
+        discard(open_rows)
+        if more.limit(1).count():
+            tried = tried.union(more)
+            links = links.union(verified(more))
+            labels = components(links)
+    discard(entries, sets, passed, chosen, rest, tried, links)
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(smallest, "label", "left")
