@@ -1,0 +1,33 @@
+"""Streaming queries, each run over all events at hand."""
+
+from __future__ import annotations
+
+from recollect.plans.registry import query
+from recollect.sources import model as M
+from recollect.streaming import capture as S
+
+_NUMBERED = "o AS (SELECT event_id AS id, user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+
+
+@query("stream_coactivation", f"""WITH {_NUMBERED}, p AS (SELECT a.project_id, a.id AS x, b.id AS y FROM o a JOIN o b ON a.project_id = b.project_id AND b.k BETWEEN a.k + 1 AND a.k + 4)
+ SELECT project_id, x AS source, y AS target, CAST(1 AS BIGINT) AS weight FROM p UNION ALL SELECT project_id, y, x, CAST(1 AS BIGINT) FROM p""")
+def stream_coactivation(spark, d):
+    return S.drained(S.coactivation_stream(S.event_stream(spark, d)), "coactivation")
+
+
+@query("stream_window_counts", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS type, count(*) AS n, round(sum(value), 4) AS total FROM events
+ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
+def stream_window_counts(spark, d):
+    return S.drained(S.windowed_counts(S.event_stream(spark, d)), "windows")
+
+
+@query("stream_capture", "SELECT event_id AS id, 'used ' || event_type || ' on ' || user_id AS summary FROM events WHERE event_type <> 'error'")
+def stream_capture(spark, d):
+    return S.drained(S.captured(S.event_stream(spark, d)).select("id", "summary"), "captured")
+
+
+@query("activity_sessions", """WITH e AS (SELECT user_id AS project_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY ts, event_id) AS k FROM e)
+ SELECT project_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY project_id, k""")
+def activity_sessions(spark, d):
+    return S.sessions(M.observations(spark, d))

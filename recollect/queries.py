@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.plans import merges, search, sessions, stores
+from recollect.plans import merges, search, sessions, stores, streams
 from recollect.plans.registry import QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "merges", "search", "sessions", "stores"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "merges", "search", "sessions", "stores", "streams"]
 
-FLAGSHIP = QUERIES["search_ilike_tags"]
+FLAGSHIP = QUERIES["detect_duplicates"]

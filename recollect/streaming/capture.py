@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recollect.functions.text import has_private_tags, has_secret
+from recollect.sources.storage import fresh
 
 
 def captured(observations: DataFrame) -> DataFrame:
@@ -54,22 +55,30 @@ def windowed_counts(observations: DataFrame, delay: str = "1 hour", width: str =
     if observations.isStreaming:
         timed = timed.withWatermark("at", delay)
     counts = timed.groupBy(F.window("at", width).alias("w"), "type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return counts.select(F.unix_timestamp("w.start").alias("start"), "type", "n", F.round("total", 4).alias("total"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").cast("string").alias("start"), "type", "n", F.round("total", 4).alias("total"))
 
 
 def sessions(observations: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """Sessions of a project: activity without a longer gap."""
     timed = observations.withColumn("at", F.col("created_at").cast("timestamp"))
     s = timed.groupBy("project_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"))
-    return s.select("project_id", F.unix_timestamp("w.start").alias("start"), "n")
+    return s.select("project_id", F.date_trunc("second", F.col("w.start").cast("timestamp_ntz")).cast("timestamp_ntz").cast("string").alias("start"), "n")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream has to say about the data at hand, in the shared folder or a memory table.
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives out about the data at hand, as rows of a Parquet folder all executors share.
 
-    For tests and bounded replays: the stream runs until its input is used up.
+    The stream runs until its input is used up; its checkpoint stays beside its output.
     """
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path = fresh(spark, name)
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of observations."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, for it may be a file or a folder
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("project_id"), F.col("event_type").alias("type"), "value", F.col("props").alias("details"), F.col("ts").cast("timestamp_ntz").alias("created_at"))

@@ -1,0 +1,173 @@
+"""Golden cases, invariants and brute-force comparisons of the operators."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from recollect.functions import hashing as H
+from recollect.functions import scoring as C
+from recollect.functions import text as X
+from recollect.operators import detect as D
+from recollect.operators import facts as V
+from recollect.operators import merging as G
+from recollect.operators import sessions as S
+from recollect.operators.filters import Criteria, asserted, clamped, ensured, matching
+from recollect.operators.search import budgeted
+from recollect.sources import model as M
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_token_estimates(spark):
+    got = one(spark, X.tokens_by_length(F.lit("hello")), X.tokens_by_length(F.lit("")), X.tokens_by_length(F.lit("x" * 400)), X.tokens_by_words(F.lit("a b c")), X.text_length(F.lit("a😀")))
+    assert list(got) == [2, 0, 100, 4, 3]
+
+
+def test_privacy_strip(spark):
+    x = F.lit("a <private>x</private> <secret>y</secret>")
+    assert list(one(spark, X.strip_private_tags(x), X.has_private_tags(x))) == ["a [PRIVATE] [SECRET]", True]
+
+
+def test_deny_list(spark):
+    paths = ["a/.env", "secrets/k", "x/secrets/k", "A\\SECRETS\\k", "src/main", "other"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.filter(X.denied(F.col("p"), ["*.env", "secrets/*", "main"])).collect()] == paths[:5]
+
+
+def test_tags(spark):
+    df = spark.createDataFrame([('["a"," b ",""]',), ("a, b,,",)], "t string")
+    assert [r[0] for r in df.select(X.tags_from_text(F.col("t"))).collect()] == [["a", "b"], ["a", "b"]]
+
+
+def test_tiers(spark):
+    got = one(spark, *[C.tier(F.lit(d), F.lit(c), F.lit(r)) for d, c, r in ((7, 10, 70), (30, 5, 50), (31, 20, 90))])
+    assert list(got) == ["hot", "warm", "cold"]
+
+
+def test_decays(spark):
+    assert list(one(spark, C.confidence_decayed(F.lit(80), F.lit(10)), C.age_decayed(F.lit(1.0), F.lit(30)))) == [72, 0.5]
+
+
+def test_confidence_levels(spark):
+    level = lambda s, same, o: C.confidence_level(F.lit(s), F.lit(same), F.lit(o))
+    assert list(one(spark, level(0.95, True, 0.0), level(0.95, False, 0.0), level(0.85, True, 1.0), level(0.79, True, 1.0))) == ["high", "medium", "medium", "low"]
+
+
+def test_cosine(spark):
+    v = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, C.cosine(v(0.0, 0.0), v(1.0, 0.0)), C.cosine(v(2.0, 0.0), v(1.0, 0.0)))[:] == (0.0, 1.0)
+    with pytest.raises(Exception, match="differ in length"):
+        one(spark, C.cosine(v(1.0), v(1.0, 2.0)))
+
+
+def test_tokens_text(spark):
+    assert list(one(spark, C.tokens_text(F.lit(999)), C.tokens_text(F.lit(12400)))) == ["999 tokens (0.780% of context)", "12.4k tokens (38.8% of typical recall window)"]
+
+
+def test_line_diff(spark):
+    diff = lambda a, b: S.line_diff(F.lit(a), F.lit(b)).alias("d")
+    assert one(spark, diff("A\nB\nC", "C\nB\nA"))["d"] == (None, None)
+    assert one(spark, diff("", "a\nb\na"))["d"] == (["a", "b", "a"], [""])
+
+
+def test_chunks_and_rolling(spark):
+    m = spark.createDataFrame([(1, t) for t in range(10)], "conv_id long, turn long")
+    assert [r["n"] for r in S.chunked(m, 3).groupBy("chunk").agg(F.count("*").alias("n")).orderBy("chunk").collect()] == [3, 3, 3, 1]
+    assert sorted(r["turn"] for r in S.last_messages(m, 5).collect()) == [5, 6, 7, 8, 9] and S.last_messages(m, 0).count() == 0
+
+
+def test_summary_text(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, 0, "user", "first text", None, t), (1, 1, "assistant", "x", "search", t), (1, 2, "user", "last text", None, t), (1, 3, "assistant", "y", "read_file", t)]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, content string, tool string, created_at timestamp_ntz")
+    assert S.final(m).first()["summary"] == "User prompts: 2. Assistant responses: 2. Tools used: search, read_file. Topics: first text; last text. Last activity: 2024-01-01 00:00:00"
+
+
+def test_valid_interval_is_closed(spark):
+    df = spark.sql("select 1 id, timestamp_ntz'2024-01-10' valid_from, timestamp_ntz'2024-01-20' valid_to, 90 confidence")
+    assert [V.facts_at(df, M.at(f"{d} 00:00:00")).count() for d in ("2024-01-10", "2024-01-20", "2024-01-09", "2024-01-21")] == [1, 1, 0, 0]
+
+
+def test_chains_of_fifty(spark):
+    df = spark.range(50).select("id", F.when(F.col("id") < 49, F.col("id") + 1).alias("superseded_by"))
+    assert {(r.id, r.head, r.version) for r in V.chains(df).collect()} == {(i, 0, i + 1) for i in range(50)}
+
+
+def test_criteria_and_assertions(spark, sf):
+    m, now = M.memories(spark, sf), M.at(M.NOW)
+    assert matching(m, Criteria(), now).count() == m.count()
+    asserted(m, "facts", Criteria(type="fact"), 1, now)
+    with pytest.raises(AssertionError):
+        asserted(m, "no facts", Criteria(type="fact"), 0, now)
+    assert [clamped(v, 10, 1, 100) for v in (None, 0, 500, 7)] == [10, 1, 100, 7]
+
+
+def test_ensured(spark):
+    known = spark.createDataFrame([("/a/b",)], "path string")
+    wanted = spark.createDataFrame([("/a/b",), ("/a/c",), ("/a/c",), (None,)], "path string")
+    assert [tuple(r) for r in ensured(known, wanted).collect()] == [("/a/c", "c")]
+
+
+def test_budget_passes_over(spark):
+    df = spark.createDataFrame([("p", r, r, t) for r, t in enumerate([50, 100, 30, 30], 1)], "project_id string, rank int, id long, tokens long")
+    assert [r.id for r in budgeted(df, 3, 115).orderBy("position").collect()] == [1, 3, 4]
+
+
+def test_banded_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    base = [r.getrandbits(63) for _ in range(30)]
+    values = base + [b ^ sum(1 << k for k in r.sample(range(63), r.randint(1, 6))) for b in base for _ in range(5)] + [-1, -3, 0]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, simhash long")
+    got = {(x.id_a, x.id_b, x.distance) for x in D.hamming_pairs(df).collect()}
+    u = [v & (1 << 64) - 1 for v in values]
+    first = {v: min(i for i, w in enumerate(u) if w == v) for v in u if v}
+    ids = sorted(first.values())
+    want = {(a, b, (u[a] ^ u[b]).bit_count()) for a in ids for b in ids if a < b and (u[a] ^ u[b]).bit_count() <= 4}
+    assert got == want and want
+
+
+def test_minhash_estimates(spark):
+    a, b = "the quick brown fox jumps over the lazy dog again and again", "the quick brown fox jumps over the lazy cat again and again"
+    df = spark.createDataFrame([(1, a), (2, b), (3, "  "), (4, None)], "id long, content string").select("id", H.minhash(F.col("content")).alias("m"))
+    x, y, z, n = (r.m for r in df.orderBy("id").collect())
+    grams = lambda t: {f"  {t}  "[i : i + 3] for i in range(len(t) + 2)}
+    exact = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    assert abs(sum(p == q for p, q in zip(x, y, strict=True)) / 128 - exact) < 0.15 and not any(z) and z == n
+
+
+def test_merge_golden(spark):
+    rows = [(1, 1, "A is. B is. ", ["x"], "fact"), (1, 2, "B is. C is. ", ["y", "x"], "fact"), (2, 3, "only", [], "fact"), (3, 4, "a", [], "fact"), (3, 5, "b", [], "decision")]
+    df = spark.createDataFrame([(m, i, c, t, k, 50, dt.datetime(2024, 1, i)) for m, i, c, t, k in rows], "merge_id long, id long, content string, tags array<string>, type string, confidence int, created_at timestamp_ntz")
+    got = G.merged(G.grouped(df)).collect()
+    assert [(r.merge_id, r.content, r.tags) for r in got] == [(1, "A is. B is. C is.", ["x", "y"])]
+
+
+def test_clusters(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [("p", 1, words), ("p", 2, words + " lambda"), ("p", 3, "none of these"), ("q", 4, words), ("p", 5, words), ("p", 6, "")]
+    df = spark.createDataFrame(rows, "project_id string, id long, content string")
+    assert {(r.seed, r.id) for r in D.seed_clusters(df).collect()} == {(1, 1), (1, 2), (1, 5), (3, 3), (4, 4), (6, 6)}
+
+
+def test_greedy_respects_ends(spark):
+    df = spark.createDataFrame([(1, k, 1.0 - k / 100) for k in range(2, 20)] + [(30, 31, 0.1)], "id_a long, id_b long, similarity double")
+    got = D.greedy_pairs(df, 3, 50).collect()
+    assert {(r.id_a, r.id_b) for r in got} == {(1, 2), (1, 3), (1, 4), (30, 31)}
+
+
+def test_approve_then_reverse_restores_flags(spark, sf):
+    from recollect.plans.merges import _approval
+
+    m, p, merges = _approval(spark, sf)
+    after, _, history = G.approved(m, p, merges, M.at(M.NOW))
+    back = {r.id: (r.is_merged, r.is_active) for r in G.reversed_merges(after, history)[0].filter("id >= 0").collect()}
+    touched = {i for r in history.collect() for i in r.sources}
+    assert touched and all(back[i] == (False, True) for i in touched)
+    assert all(back[r.id] == (r.is_merged, r.is_active) for r in m.collect() if r.id not in touched)
