@@ -45,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, least: int) -> DataFrame:
+    """df in no more partitions than give each task `least` rows; small tables don't need hundreds of tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-rows // least)))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of stored() frames (and their unions) that no later plan reads."""
     for df in frames:

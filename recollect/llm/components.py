@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import discard, stored
+from recollect.llm.common import discard, sized, stored
+
+#: Edges that a task works on, at least.
+ROWS_A_TASK = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,13 +18,15 @@ def components(edges: DataFrame) -> DataFrame:
     before the shuffle, and then follows the label's own label, which halves long chains. Rounds
     are written to the shared folder, so that a lost executor costs one round at most.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    rows = 2 * edges.count()
+    small = lambda df: sized(df, rows, ROWS_A_TASK)
+    both = stored(small(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()), "edges")
+    labels = stored(small(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))), "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        heard = small(both.join(labels.withColumnRenamed("node", "b"), "b")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("mid"))
         step = lower.join(labels.select(F.col("node").alias("mid"), F.col("label").alias("far")), "mid", "left")
-        after = stored(step.select("node", F.least("mid", "far").alias("label"), "old"), "labels")
+        after = stored(small(step.select("node", F.least("mid", "far").alias("label"), "old")), "labels")
         changed = after.filter("label <> old").limit(1).count()
         discard(labels)
         labels = after.drop("old")

@@ -12,7 +12,7 @@ Any global order is right; frequent shingles are put last, which keeps passages
 documents share out of the join. Signatures travel packed: a task sends each bucket one binary row
 per million signatures, and the count of buckets grows with the corpus, so a bucket stays small.
 
-Candidates are then compared by parity bit sketches of four bits or more per shingle (their
+Candidates are then compared by parity bit sketches of two bits or more per shingle (their
 Hamming distance bounds the symmetric difference from below), and what passes is verified on the
 sets. First each member of a run (texts with a common signature) is compared with a leader of its
 size; then, in runs that still hold several components, with the run's hub, the text that shares
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import blocks, discard, stored, utf8
+from recollect.llm.common import blocks, discard, sized, stored, utf8
 from recollect.llm.components import components
 from recollect.llm.words import Words, mixed, rolled, windows, words_of
 
@@ -48,6 +48,8 @@ SHINGLE, PERCENT = 5, 75
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Signatures in a bucket, about; signatures a task holds before it sends them.
 BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
+#: Pairs that a task compares, at least.
+PAIRS_A_TASK = 4000
 #: Sums of set sizes below 2**FINE use a block for each shingle.
 FINE = 8
 #: Bits of the filter by which tasks skip texts that no pair needs.
@@ -265,7 +267,8 @@ def matches(packed: DataFrame, percent: int) -> DataFrame:
         lead = np.maximum.accumulate(np.where(head, at, 0)) if len(sig) else at
         prior = np.where(head & ~begin, lead[np.maximum(at - 1, 0)], at)
         a = np.where(head, prior, lead)
-        pairs = np.unique(np.column_stack([key[a[a != at]], key[at[a != at]]]), axis=0) if (a != at).any() else np.zeros((0, 2), np.int64)
+        fits = (a != at) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+        pairs = np.unique(np.column_stack([key[a[fits]], key[fits]]), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
         many = length > 2
         none = pa.nulls(len(pairs), pa.int64()), pa.nulls(int(many.sum()), pa.int64())
         return pa.concat_tables([
@@ -328,8 +331,8 @@ def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def parity(members: np.ndarray) -> np.ndarray:
-    """Parity bit sketch: each member flips one bit; a power of two of bits, at least four a member."""
-    bits = max(64, 1 << int(4 * len(members) - 1).bit_length())
+    """Parity bit sketch: each member flips one bit; a power of two of bits, at least two a member."""
+    bits = max(64, 1 << int(2 * len(members) - 1).bit_length())
     flips = np.bincount((mixed(members) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
@@ -356,7 +359,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask), far.filter(mask)], names=["a", "b", "far"])
 
     side = lambda k: sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(what).alias(f"v{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long, far double")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb")
+    return sized(joined, pairs.count(), PAIRS_A_TASK).mapInArrow(run, "a long, b long, far double")
 
 
 def sure(percent: int):
@@ -388,7 +392,7 @@ PART = 1024
 
 
 #: Rounds of comparing with hubs before all pairs across components are.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 
 def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -408,8 +412,8 @@ def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     runs: sig, key, n, label. A run's members are compared in numpy, a part with a part, and only
     what passes is given out; parts of long runs go to different groups, so no task gets it all.
     """
-    sized = runs.join(runs.groupBy("sig").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sig")
-    own = sized.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    counted = runs.join(runs.groupBy("sig").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sig")
+    own = counted.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "n", "label")
     rows = dealt.join(sketches, "key").select("sig", "lo", "hi", "part", "key", "n", "label", "sketch")
 
@@ -471,7 +475,8 @@ def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from done(True)
 
-    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    dealt_out = sized(rows.repartition("sig", "lo", "hi"), runs.count(), 8 * PAIRS_A_TASK)
+    return dealt_out.sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -492,9 +497,9 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
     buckets = max(1, int(volume * 0.5 / BUCKET_ROWS))
 
     entries = stored(matches(packed_signatures(source, seed, frequent, percent, buckets), percent), "matches")
-    first = entries.filter("sig is null").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+    first = stored(entries.filter("sig is null").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct(), "first")
     members = entries.filter("sig is not null").select("sig", "key", "n")
-    sets = stored(needed_sets(source, seed, first.select("a").union(first.select("b"))), "sets")
+    sets = stored(needed_sets(source, seed, first.select("a").union(first.select("b")).union(members.select("key"))), "sets")
     sketches = sets.select("key", "n", "sketch").dropDuplicates(["key"])
     passed = stored(_compared(first, sketches, "sketch", likely(percent)), "passed")
     verified = lambda pairs: stored(_compared(pairs, only(sets, pairs.select("a").union(pairs.select("b"))), "members", sure(percent)).select("a", "b"), "links")
@@ -503,28 +508,26 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
     chosen = stored(passed.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("best.a", "b"), "chosen")
     links = verified(chosen)
     labels = components(links)
-    # then the other leaders, where components still differ
-    rest = stored(tag(tag(passed, "a"), "b").filter("la <> lb").select("a", "b").join(chosen, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = links.union(verified(rest))
-        labels = components(links)
-    # then hubs of the runs that hold several components, and last all pairs across components
-    tried = passed.select("a", "b")
+    # then the other leaders where components still differ, with hubs of the runs that hold several
+    # of them, and last all pairs across components
+    more = tag(tag(passed, "a"), "b").filter("la <> lb").select("a", "b")
+    tried = chosen
     for last in [False] * HUB_ROUNDS + [True]:
         tagged = tag(members, "key").withColumnRenamed("lkey", "label")
         open_runs = tagged.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open"), F.count("*").alias("size")).filter("open").select("sig", "size")
         open_rows = stored(tagged.join(open_runs, "sig"), "open")
         if last:
-            more = across(open_rows.drop("size"), sketches.drop("n"), percent)
+            more = across(open_rows.drop("size"), sketches.drop("n"), percent).join(passed, ["a", "b"], "left_anti")
         else:
-            more = _compared(hub_pairs(open_rows, percent), sketches, "sketch", likely(percent)).select("a", "b")
+            hubs = stored(hub_pairs(open_rows, percent), "hubs")
+            more = more.union(_compared(hubs, sketches, "sketch", likely(percent)).select("a", "b")).distinct()
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
         discard(open_rows)
         if more.limit(1).count():
             tried = tried.union(more)
             links = links.union(verified(more))
             labels = components(links)
-    discard(entries, sets, passed, chosen, rest, tried, links)
+    discard(entries, first, sets, passed, chosen, tried, links)
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(smallest, "label", "left")
