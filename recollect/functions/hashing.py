@@ -35,6 +35,28 @@ def simhash(docs: DataFrame, ident: str = "id", text: str = "content") -> DataFr
     return docs.select(ident).join(summed.select(ident, value.alias("simhash")), ident, "left").select(ident, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
 
 
+def literal_term_hash(term: Column) -> Column:
+    """32-bit FNV-1a as double-precision arithmetic gives it, then spread by 65599."""
+    signed = lambda x: F.shiftright(F.shiftleft(x, 32), 32)
+    step = lambda h, c: signed((signed(h.bitwiseXOR(F.ascii(c).cast("long"))).cast("double") * 16777619.0).cast("long"))
+    h = F.aggregate(F.filter(F.split(term, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
+    low, high = h.bitwiseAND(F.lit(0xFFFF)), F.shiftright(h, 16).bitwiseAND(F.lit(0xFFFF))
+    return (high * 65599 + low).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def literal_simhash(docs: DataFrame, ident: str = "id", text: str = "content") -> DataFrame:
+    """(id, simhash): the 32 bits that the surveyed arithmetic keeps, unsigned; blank texts give 0."""
+    found = docs.select(ident, F.explode(F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"), lambda t: t != "")).alias("term"))
+    counted = found.groupBy(ident, "term").agg(F.count("*").alias("tf"))
+    hashed = counted.select("term").distinct().select("term", literal_term_hash(F.col("term")).alias("h"))
+    bits = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << b)) != 0, F.col("tf")).otherwise(-F.col("tf"))).alias(f"b{b}") for b in range(32)]
+    summed = counted.join(hashed, "term").groupBy(ident).agg(*bits)
+    value = F.lit(0).cast("long")
+    for b in range(32):
+        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long"))
+    return docs.select(ident).join(summed.select(ident, value.alias("simhash")), ident, "left").select(ident, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+
+
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1)
     return rng.integers(1, 1 << 31, HASHES).astype(np.uint64), rng.integers(0, 1 << 31, HASHES).astype(np.uint64)

@@ -29,6 +29,11 @@ def simhash(spark, d):
     return H.simhash(_content(spark, d))
 
 
+@query("simhash_literal")
+def simhash_literal(spark, d):
+    return H.literal_simhash(_content(spark, d))
+
+
 @query("simhash_pairs", f"""WITH {_SIMHASH}, v AS (SELECT simhash, min(id) AS id FROM sim WHERE simhash <> 0 GROUP BY 1)
  SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INT) AS distance FROM v a JOIN v b ON a.id < b.id WHERE bit_count(xor(a.simhash, b.simhash)) <= 4""")
 def simhash_pairs(spark, d):

@@ -10,9 +10,11 @@ from recollect.operators import facts as X
 from recollect.operators import graph as G
 from recollect.operators import lifecycle as L
 from recollect.operators import stats as A
-from recollect.operators.search import top
+from recollect.operators import store as B
+from recollect.operators.search import top, top_per
 from recollect.plans.registry import query
 from recollect.sources import model as M
+from recollect.sources.context import context_document
 
 NOW = M.at
 AGE = f"(date_diff('second', created_at, TIMESTAMP '{M.NOW}') / 86400.0)"
@@ -86,6 +88,34 @@ def lifecycle_stats(spark, d):
     return m.agg(F.count_if("decayed").alias("decayed"), *[F.count_if(F.col("tier") == t).alias(t) for t in M.TIERS], F.count_if("evicted").alias("evicted"))
 
 
+@query("pinned", f"WITH {M.MEMORIES_SQL} SELECT id FROM mem WHERE is_pinned ORDER BY created_at DESC, id DESC LIMIT 50")
+def pinned(spark, d):
+    return top(M.memories(spark, d).filter("is_pinned"), 50, F.desc("created_at"), F.desc("id")).select("id")
+
+
+@query("get_by_id", f"WITH {M.MEMORIES_SQL} SELECT id, content, type FROM mem WHERE id = 42")
+def get_by_id(spark, d):
+    return B.by_id(M.memories(spark, d), 42).select("id", "content", "type")
+
+
+@query("insert_memories", f"""WITH {M.MEMORIES_SQL} SELECT id, type, relevance, confidence, array_to_string(tags, '|') AS tags FROM mem UNION ALL SELECT 1000000 + event_id, CASE WHEN event_type = 'error' THEN 'fact' ELSE 'observation' END, 50, 100, event_type FROM events""")
+def insert_memories(spark, d):
+    e = M.table(spark, d, "events")
+    new = e.select((1000000 + F.col("event_id")).alias("id"), F.col("props").alias("content"), F.when(F.col("event_type") == "error", "fact").alias("type"), F.array(F.concat(F.lit(" "), "event_type"), F.lit(" ")).alias("tags"))
+    return B.appended(M.memories(spark, d), B.normalised(new, NOW(M.NOW))).select("id", "type", "relevance", "confidence", F.array_join("tags", "|").alias("tags"))
+
+
+@query("context_documents", f"""WITH {M.MEMORIES_SQL}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS k FROM mem) WHERE k <= 5),
+ a AS (SELECT project_id, string_agg('- [' || strftime(created_at, '%m/%d/%Y') || '] ' || replace(substr(content, 1, 80), chr(10), ' ') || '...', chr(10) ORDER BY k) AS lines FROM r GROUP BY 1)
+ SELECT project_id, md5(concat_ws(chr(10), '# Context of ' || project_id, '', '<recollect-context>', '', '**Project**: /work/' || project_id, '**Last Updated**: {M.NOW}', '', '## Recent Activity' || chr(10) || lines || chr(10), '</recollect-context>' || chr(10) || 'own notes')) AS digest FROM a""")
+def context_documents(spark, d):
+    recent = top_per(M.memories(spark, d).select("project_id", "id", "content", "created_at"), "project_id", 5, F.desc("created_at"), F.desc("id"))
+    listed = recent.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("created_at").alias("at"), F.col("content").alias("text")))).alias("rows"))
+    none = F.array().cast("array<struct<text:string,type:string>>")
+    document = context_document(F.col("project_id"), F.concat(F.lit("/work/"), "project_id"), F.lit(M.NOW), F.col("rows"), none, F.lit("\nown notes"))
+    return listed.select("project_id", F.md5(document).alias("digest"))
+
+
 @query("retention_prune", f"""WITH {M.MEMORIES_SQL} SELECT id FROM mem WHERE {AGE} <= 30""")
 def retention_prune(spark, d):
     return L.retained(M.memories(spark, d), NOW(M.NOW), 30).select("id")

@@ -171,3 +171,42 @@ def test_approve_then_reverse_restores_flags(spark, sf):
     touched = {i for r in history.collect() for i in r.sources}
     assert touched and all(back[i] == (False, True) for i in touched)
     assert all(back[r.id] == (r.is_merged, r.is_active) for r in m.collect() if r.id not in touched)
+
+
+def test_literal_simhash(spark):
+    texts = ["The user prefers dark mode for better readability", "The user prefers dark mode for improved visibility", "The user loves Python for backend development"]
+
+    def spread(term):
+        h = 2166136261
+        for c in term:
+            h = ((h ^ ord(c)) + 2**31) % 2**32 - 2**31
+            h = (int(float(h) * 16777619.0) + 2**31) % 2**32 - 2**31
+        return (((h >> 16) & 0xFFFF) * 65599 + (h & 0xFFFF)) & 0xFFFFFFFF
+
+    df = spark.createDataFrame([*enumerate(texts), (9, "  ")], "id long, content string")
+    got = {r.id: r.simhash for r in H.literal_simhash(df).collect()}
+    for i, t in enumerate(texts):
+        sums = [sum(1 if spread(w) >> b & 1 else -1 for w in t.lower().split()) for b in range(32)]
+        assert got[i] == sum(1 << b for b in range(32) if sums[b] > 0)
+    assert got == {0: 338871394, 1: -1515763648 % 2**32, 2: -1341120943 % 2**32, 9: 0}
+
+
+def test_context_documents_keep_notes(spark, tmp_path):
+    from recollect.sources import context as K
+
+    rows = spark.sql("select 'p' name, array(struct(timestamp'2024-02-03' at, 'did\nthis' text)) a, array(struct('saw' text, 'fact' type)) o")
+    doc = K.context_document(F.col("name"), F.lit("/w/p"), F.lit("now"), F.col("a"), F.col("o"), F.lit("\nmy notes\nmore"))
+    K.write_documents(rows.select("name", doc.alias("content")), f"{tmp_path}/c")
+    c = F.col("content")
+    got = K.read_documents(spark, f"{tmp_path}/c").select("name", K.field(c, "Project").alias("path"), K.notes(c).alias("notes"), c.contains("- [02/03/2024] did this...").alias("line"), c.contains("- saw (fact)").alias("seen")).first()
+    assert tuple(got) == ("p", "/w/p", "\nmy notes\nmore", True, True)
+
+
+def test_store(spark, sf):
+    from recollect.operators import store as B
+
+    with pytest.raises(Exception, match="unknown value: odd"):
+        B.normalised(spark.sql("select 1 id, 'odd' type"), M.at(M.NOW)).collect()
+    m = M.memories(spark, sf)
+    assert B.healthy(m) and not B.healthy(m.filter(F.raise_error(F.lit("x")).isNull()))
+    assert B.immutable_changes(m, m).count() == 0 and B.immutable_changes(m, m.filter("not is_protected")).count() == m.filter("is_protected").count()
