@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recollect.functions.scoring import age_days, age_decayed, read_scope
@@ -11,14 +12,17 @@ from recollect.operators.filters import Criteria, assertion, ensured, matching,
 from recollect.plans.registry import query
 from recollect.sources import model as M
 
-NEWEST = (F.desc("created_at"), F.desc("id"))
+
+
+def newest() -> tuple[Column, Column]:
+    return F.desc("created_at"), F.desc("id")
 
 
 @query("search_ilike_tags", f"""WITH {M.MEMORIES_SQL} SELECT id, type, relevance, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM mem
  WHERE content ILIKE '%tion%' AND list_has_any(tags, ['en','src3']) AND is_active ORDER BY created_at DESC, id DESC LIMIT 10""")
 def search_ilike_tags(spark, d):
     found = S.keyword(M.memories(spark, d).filter("is_active"), "tion", ["en", "src3"])
-    return S.top(found, 10, *NEWEST).select("id", "type", "relevance", M.shown("created_at").alias("created"))
+    return S.top(found, 10, *newest()).select("id", "type", "relevance", M.shown("created_at").alias("created"))
 
 
 @query("search_tokens_and", f"""WITH {M.MEMORIES_SQL}, t AS (SELECT *, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM mem)
@@ -50,12 +54,12 @@ def vector_topk_cosine(spark, d):
 
 @query("recent_by_project", f"""WITH {M.MEMORIES_SQL} SELECT project_id, id, rank FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM mem) WHERE rank <= 3""")
 def recent_by_project(spark, d):
-    return S.top_per(M.memories(spark, d).select("project_id", "id", "created_at"), "project_id", 3, *NEWEST).select("project_id", "id", F.col("rank").cast("long").alias("rank"))
+    return S.top_per(M.memories(spark, d).select("project_id", "id", "created_at"), "project_id", 3, *newest()).select("project_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("recent_observations", """SELECT event_id AS id, user_id AS project_id, event_type AS type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20""")
 def recent_observations(spark, d):
-    return S.top(M.observations(spark, d), 20, *NEWEST).select("id", "project_id", "type")
+    return S.top(M.observations(spark, d), 20, *newest()).select("id", "project_id", "type")
 
 
 @query("recent_entities", """SELECT p_partkey AS id, p_name AS name, p_type AS kind FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10""")
@@ -89,8 +93,8 @@ def time_range(spark, d):
 def context_bundle(spark, d):
     ranked = lambda df, *order: S.top_per(df.withColumn("all", F.lit(1)), "all", 10, *order).select("id", F.col("rank").cast("long").alias("rank"))
     return S.bundle({
-        "memories": ranked(M.memories(spark, d).filter("project_id = 'src1'").select("id", "created_at"), *NEWEST),
-        "observations": ranked(M.observations(spark, d).filter("project_id = 1").select("id", "created_at"), *NEWEST),
+        "memories": ranked(M.memories(spark, d).filter("project_id = 'src1'").select("id", "created_at"), *newest()),
+        "observations": ranked(M.observations(spark, d).filter("project_id = 1").select("id", "created_at"), *newest()),
         "entities": ranked(M.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice"), F.desc("p_retailprice"), F.asc("id")),
     })
 
@@ -128,8 +132,8 @@ def hybrid_fusion(spark, d):
     vectors = M.embeddings(spark, d)
     q = vectors.filter("id = 0").select("v").first()
     near = S.nearest(vectors, q[0], 50).withColumn("all", F.lit(1))
-    words = S.top(S.keyword(M.memories(spark, d), "tion").select("id", "created_at"), 50, *NEWEST).withColumn("all", F.lit(1))
-    return S.fused([S.top_per(words, "all", 50, *NEWEST), S.top_per(near, "all", 50, F.asc("score"), F.asc("id"))], 10).select("id", F.round("score", 6).alias("score"))
+    words = S.top(S.keyword(M.memories(spark, d), "tion").select("id", "created_at"), 50, *newest()).withColumn("all", F.lit(1))
+    return S.fused([S.top_per(words, "all", 50, *newest()), S.top_per(near, "all", 50, F.asc("score"), F.asc("id"))], 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query("read_scope", f"""WITH {M.MEMORIES_SQL} SELECT id, CASE visibility WHEN 'private' THEN 'agent:' || agent_id WHEN 'project' THEN 'agent:' || agent_id || ',project:' || project_id
@@ -153,4 +157,4 @@ def ensure_projects(spark, d):
 @query("context_budget")
 def context_budget(spark, d):
     m = M.memories(spark, d).filter("is_active").select("project_id", "id", tokens_by_words(F.col("content")).cast("long").alias("tokens"), "created_at")
-    return S.budgeted(S.top_per(m, "project_id", 10, *NEWEST), 5, 3000)
+    return S.budgeted(S.top_per(m, "project_id", 10, *newest()), 5, 3000)
