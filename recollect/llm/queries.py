@@ -97,4 +97,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FOUR = " || ".join(f"substr('{_DIGITS}', CAST((v >> {shift}) & 31 AS INT) + 1, 1)" for shift in (15, 10, 5, 0))
+
+
+
+def _repetition_sql() -> str:
+    from recollect.llm import repetition as R
+
+    word, steps, joins, shares = "[^\\x20\\x09-\\x0D]+", [], [], []
+    for n in R.NGRAM_LIMITS:
+        steps.append(f"""g{n} AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n})),
+ d{n} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g{n}) WHERE c > 1), c{n} AS (SELECT DISTINCT doc_id, i + unnest(range(0, {n})) AS i FROM d{n}),
+ s{n} AS (SELECT doc_id, count(*) AS words{n}, sum(length(x)) AS chars{n} FROM c{n} JOIN p USING (doc_id, i) GROUP BY 1)""")
+        joins.append(f"LEFT JOIN s{n} USING (doc_id)")
+        shares.append(f"coalesce(chars{n}, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS dup_{n}gram_chars")
+    limits = " AND ".join(f"dup_{n}gram_chars <= {v}" for n, v in R.NGRAM_LIMITS.items())
+    return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), {', '.join(steps)},
+ n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),
+ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS k FROM w), f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS r, length(array_to_string(regexp_extract_all(line, '{word}'), '')) AS chars FROM l WHERE regexp_matches(line, '{word}')),
+ q AS (SELECT doc_id, count(*) FILTER (WHERE r > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE r > 1), 0) AS line_chars, count(*) AS lines FROM f GROUP BY 1),
+ m AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(words5, 0) AS BIGINT) AS n_repeat_words, n_words < {R.MIN_WORDS} OR 100 * coalesce(words5, 0) > 20 * n_words AS base_failed, {', '.join(shares)},
+ coalesce(line_chars, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS dup_line_chars, coalesce(n_dup_lines, 0) / CAST(greatest(coalesce(lines, 0), 1) AS DOUBLE) AS dup_lines FROM n {' '.join(joins)} LEFT JOIN q USING (doc_id))
+ SELECT * EXCLUDE (dup_lines), NOT base_failed AND {limits} AND dup_line_chars <= {R.LINE_CHAR_LIMIT} AND dup_lines <= {R.LINE_LIMIT} AND n_symbols <= {R.SYMBOL_LIMIT} * n_words AS kept FROM m"""
+
+
+SQL: dict[str, str] = {
+    "op3_repetition_rules": _repetition_sql(),
+    "op10_warc_roundtrip": f"""WITH d AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+ f AS (SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY x) AS first_id, array_to_string(list_transform(list_transform(range(0, 8), lambda k: CAST('0x' || substr(x, CAST(1 + 5 * k AS INT), 5) AS BIGINT)), lambda v: {_FOUR}), '') AS payload_digest FROM d)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f""",
+    "op5_parity_jaccard": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM w)),
+ n AS (SELECT d.doc_id, count(s.g) AS n FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1),
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ r AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, e.y FROM r JOIN e ON e.x = r.j)
+ SELECT n.doc_id, n.n AS n_shingles, min(r.j) AS component_id FROM n JOIN r ON r.i = n.doc_id GROUP BY 1, 2""",
+}
