@@ -22,6 +22,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from recollect.llm.common import blocks
 
 SPACE = "▁"
 _UNEVEN = re.compile("^ |  | $")
-#: Words remembered, and positions between looks for a common boundary.
-CACHE_WORDS, STRIDE = 250_000, 64
+#: Words and parts of words remembered (twice as many, old ones included), and positions between looks for a common boundary.
+CACHE_WORDS, CACHE_PARTS, STRIDE = 300_000, 200_000, 64
 
 
 def default_model() -> str:
@@ -77,8 +78,11 @@ class Codec:
             raise ValueError(f"pieces go on beyond a space: {crossing[:3]}")
         self.out = [b"" if special[i] else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         self.pairs: dict[int, bool] = {}
+        # what was met lately, and before that: a full cache gets old, and what recurs moves up again
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merges in order of rank, leftmost first."""
@@ -141,10 +145,24 @@ class Codec:
         return len(self.piece[piece]) if piece >= 0 else 1
 
     def _whole(self, text: str) -> list[int | str]:
-        """stream() of a text that fits into one stride: the window is all of it."""
-        last = [-1]
+        """stream() of a text that fits into one stride: the window is all of it; _step() in place."""
+        ends, pairs, last = self.ends, self.pairs, [-1]
         for i in range(1, len(text) + 1):
-            last.append(self._step(text, i, 0, last))
+            found = -1
+            for k in range(i - 1, -1, -1):
+                piece = ends.get(text[k:i])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    before = last[k]
+                    if before < 0:
+                        found = piece
+                        break
+                    fits = pairs.get(before << 20 | piece)
+                    if fits or fits is None and self.admissible(before, piece):
+                        found = piece
+                        break
+            last.append(found)
         return self._path(text, last, 0, len(text))
 
     def _path(self, text: str, last, begin: int, end: int) -> list[int | str]:
@@ -168,18 +186,18 @@ class Codec:
     def word(self, text: str) -> bytes:
         """Ids of one word with the spaces before it: of its parts between certain boundaries."""
         text, inside, known, out, at = text.replace(" ", SPACE), self.inside, self.parts, [], 0
-        for k in range(1, len(text) + 1):
-            if k == len(text) or text[k - 1 : k + 1] not in inside:
-                part = text[at:k]
-                got = known.get(part)
-                if got is None:
-                    got = self._part(part)
-                    if len(part) <= STRIDE:
-                        known[part] = got
-                out.append(got)
-                at = k
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        cuts = [k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inside]
+        for k in (*cuts, len(text)):
+            part = text[at:k]
+            got = known.get(part)
+            if got is None:
+                got = self.old_parts.get(part) or self._part(part)
+                if len(part) <= STRIDE:
+                    known[part] = got
+            out.append(got)
+            at = k
+        if len(known) > CACHE_PARTS:
+            self.parts, self.old_parts = {}, known
         return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -190,12 +208,14 @@ class Codec:
             text = text.replace(SPACE, " ")
         # a word's key lacks the one space that every word has before it
         split = [w[1:] for w in re.findall(" *[^ ]+| +", f" {text}")] if _UNEVEN.search(text) else text.split(" ")
-        known = self.words
+        known, old = self.words, self.old_words
         for w in set(split).difference(known):
-            known[w] = self.word(f" {w}")
+            known[w] = old.get(w) or self.word(f" {w}")
         out = b"".join(map(known.__getitem__, split))
-        if len(known) > CACHE_WORDS or len(text) > 1 << 20:
-            known.clear()
+        if len(text) > 1 << 20:  # not worth keeping
+            self.words = {}
+        elif len(known) > CACHE_WORDS:
+            self.words, self.old_words = {}, known
         return out
 
     def decode(self, ids: bytes) -> str:
