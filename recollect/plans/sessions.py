@@ -61,15 +61,15 @@ def summary_stats(spark, d):
     return stats(S.with_savings(S.final(m), m).withColumn("summary_type", M.pick(TYPES, F.col("conv_id"))), TYPES)
 
 
-_SNAP = "snap AS (SELECT doc_id AS id, text AS content, ['before','after','periodic'][CAST(doc_id % 3 AS INT) + 1] AS snapshot_type, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents)"
+_SNAP = "snap AS (SELECT d.doc_id AS id, d.text AS content, ['before','after','periodic'][CAST(d.doc_id % 3 AS INT) + 1] AS snapshot_type, TIMESTAMP '2024-01-01' + to_hours(d.doc_id) AS created_at, n.text AS next FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1)"
 
 
 def _snapshots(spark, d):
-    from pyspark.sql import Window as W
-
-    docs = M.table(spark, d, "documents")
-    nxt = F.lead("text").over(W.partitionBy("source").orderBy("doc_id"))
-    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), M.pick(["before", "after", "periodic"], F.col("doc_id")).alias("snapshot_type"), M.shifted(M.EPOCH, "HOUR", "doc_id").alias("created_at"), nxt.alias("next"))
+    """Snapshots, each with the one that follows it."""
+    docs = M.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    after = docs.select((F.col("id") - 1).alias("id"), F.col("content").alias("next"))
+    kinds = M.pick(["before", "after", "periodic"], F.col("id"))
+    return docs.join(after, "id", "left").select("id", "content", kinds.alias("snapshot_type"), M.shifted(M.EPOCH, "HOUR", "id").alias("created_at"), "next")
 
 
 @query("snapshot_diff", f"""WITH {_SNAP}, s AS (SELECT id, string_split(content, chr(10)) AS o, string_split(next, chr(10)) AS n FROM snap WHERE next IS NOT NULL)
