@@ -30,10 +30,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked documents; of repeated rows one."""
+    """One document, that of the smallest id, of each group of linked documents; of repeated rows one.
+
+    The ids to drop are written first: few of them are broadcast, by the size of their files, so the
+    texts stay where they are; many are joined by sort and merge. Rows without an id stay.
+    """
     links = stored(jaccard.linked(docs), "linked")
-    first = links.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("first_id"))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+    dropped = stored(links.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = links.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
