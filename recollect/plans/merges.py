@@ -58,6 +58,11 @@ def minhash_lsh_pairs(spark, d):
     return D.minhash_pairs(_content(spark, d).select("id", H.minhash(F.col("content")).alias("minhash")))
 
 
+@query("minhash_groups")
+def minhash_groups(spark, d):
+    return D.print_groups(_content(spark, d).select("id", H.minhash(F.col("content")).alias("minhash")), "minhash")
+
+
 @query("hash_cache", "SELECT doc_id AS id, md5(text) AS content_hash, length(text) AS n FROM documents")
 def hash_cache(spark, d):
     return _content(spark, d).select("id", F.md5("content").alias("content_hash"), text_length(F.col("content")).alias("n"))

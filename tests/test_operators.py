@@ -142,6 +142,30 @@ def test_minhash_estimates(spark):
     assert abs(sum(p == q for p, q in zip(x, y, strict=True)) / 128 - exact) < 0.15 and not any(z) and z == n
 
 
+def test_minhash_pairs_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(D, "PART", 3)  # buckets of several parts
+    r = random.Random(2)
+    base = [r.getrandbits(32) for _ in range(128)]
+    other = lambda: [r.getrandbits(32) for _ in range(128)]
+    x = base[:4] + other()[4:]  # the lead shares one band with x and y only
+    rows = [base, x, *([v if r.random() < 0.85 else r.getrandbits(32) for v in x[4:]] for _ in range(12))]
+    rows = [*rows[:2], *(x[:4] + v for v in rows[2:]), *(other() for _ in range(20)), base, x]
+    for k in range(6):  # a chain: each like the next one, the ends are not
+        rows.append([r.getrandbits(32) if k * 18 <= i < k * 18 + 18 else v for i, v in enumerate(rows[-1])])
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, minhash array<long>")
+    got = sorted((p.id_a, p.id_b, p.similarity) for p in D.minhash_pairs(df).collect())
+    first = {}
+    for i, v in enumerate(rows):
+        first.setdefault(tuple(v), i)
+    ids = sorted(first.values())
+    alike = lambda a, b: sum(p == q for p, q in zip(rows[a], rows[b], strict=True)) / 128
+    want = [(a, b, alike(a, b)) for a in ids for b in ids if a < b and alike(a, b) >= 0.7]
+    assert got == want and any(a > 0 for a, _, _ in want)
+    assert {(g.id, g.first_id) for g in D.print_groups(df, "minhash").collect()} == {(i, first[tuple(v)]) for i, v in enumerate(rows)}
+
+
 def test_merge_golden(spark):
     rows = [(1, 1, "A is. B is. ", ["x"], "fact"), (1, 2, "B is. C is. ", ["y", "x"], "fact"), (2, 3, "only", [], "fact"), (3, 4, "a", [], "fact"), (3, 5, "b", [], "decision")]
     df = spark.createDataFrame([(m, i, c, t, k, 50, dt.datetime(2024, 1, i)) for m, i, c, t, k in rows], "merge_id long, id long, content string, tags array<string>, type string, confidence int, created_at timestamp_ntz")
