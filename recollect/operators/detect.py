@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring as X
-from recollect.functions.hashing import HASHES, hamming, signature_similarity
+from recollect.functions.hashing import HASHES, hamming, minhash, simhash
+from recollect.sources.storage import fresh
 
 #: Widths of the five slices of a 64-bit fingerprint: within 4 bits, two agree on one slice.
 SLICES = (13, 13, 13, 13, 12)
@@ -126,6 +127,44 @@ def print_groups(prints: DataFrame, column: str) -> DataFrame:
     return prints.join(prints.groupBy(column).agg(F.min("id").alias("first_id")), column).select("id", "first_id")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def every_pair(pairs: DataFrame, prints: DataFrame, column: str) -> DataFrame:
+    """(id_a, id_b): pairs of fingerprints, by their smallest ids, as pairs of all ids that have them."""
+    groups = print_groups(prints, column)
+    a, b = (groups.select(F.col("first_id").alias(f"first_{k}"), F.col("id").alias(f"x_{k}")) for k in "ab")
+    across = pairs.select(F.col("id_a").alias("first_a"), F.col("id_b").alias("first_b")).join(a, "first_a").join(b, "first_b")
+    within = a.join(b.withColumnRenamed("first_b", "first_a"), "first_a").filter("x_a < x_b")
+    both = across.select("x_a", "x_b").unionByName(within.select("x_a", "x_b"))
+    return both.select(F.least("x_a", "x_b").alias("id_a"), F.greatest("x_a", "x_b").alias("id_b"))
+
+
+def text_classes(memories: DataFrame) -> DataFrame:
+    """(id, class_id): each memory with the smallest id that has its text, letter for letter."""
+    return print_groups(memories.select("id", F.coalesce("content", F.lit("")).alias("content")), "content").withColumnRenamed("first_id", "class_id")
+
+
+def candidates(memories: DataFrame, most: int = 4, least: float = 0.7) -> DataFrame:
+    """(id_a, id_b, matched) of distinct texts within so many bits or of so much MinHash similarity.
+
+    matched is both, simhash or minhash. Texts that differ pair even if their fingerprints are
+    equal; copies of a text are one class (see text_classes), here by its smallest id.
+    """
+    heads = memories.join(text_classes(memories).filter("id = class_id").select("id"), "id", "left_semi")
+    both = simhash(heads.select("id", "content")).join(heads.select("id", minhash(F.col("content")).alias("minhash")), "id")
+    found = stored(both, "prints")  # read by many branches, each of which would plan it anew
+    prints, signatures = found.select("id", "simhash").filter("simhash <> 0"), found.select("id", "minhash")
+    near = every_pair(hamming_pairs(prints, most), prints, "simhash").withColumn("kind", F.lit("simhash"))
+    alike = every_pair(minhash_pairs(signatures, least), signatures, "minhash").withColumn("kind", F.lit("minhash"))
+    kinds = near.unionByName(alike).groupBy("id_a", "id_b").agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
+    return kinds.select("id_a", "id_b", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("both").alias("matched"))
+
+
 def described(pairs: DataFrame, memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs with cosine, confidence level and reason; those without both vectors drop out."""
     info = memories.select("id", "type", "tags", F.length("content").alias("len")).join(vectors.select("id", "v"), "id")

@@ -280,11 +280,32 @@ def merges_by_type(spark, d):
     return p.filter("status = 'pending'").select(F.explode("sources").alias("id")).join(m.select("id", "type"), "id").groupBy("type").agg(F.count("*").alias("n"))
 
 
+def _mergeable(spark, d):
+    """Memories that detection looks at: mergeable ones that have a vector."""
+    m = M.memories(spark, d).filter("is_mergeable and not is_merged and is_active")
+    return m.join(M.embeddings(spark, d).select("id"), "id", "left_semi")
+
+
+@query("duplicate_candidates")
+def duplicate_candidates(spark, d):
+    return D.candidates(D.stored(_mergeable(spark, d), "mergeable"))
+
+
+@query("duplicate_classes")
+def duplicate_classes(spark, d):
+    return D.text_classes(_mergeable(spark, d))
+
+
 @query("detect_duplicates", None)
 def detect_duplicates(spark, d):
-    """The flagship: mergeable memories, near-duplicate fingerprints, cosine, level and reason."""
-    m = M.memories(spark, d).filter("is_mergeable and not is_merged and is_active")
-    pairs = D.hamming_pairs(H.simhash(m.select("id", "content")))
+    """The flagship: mergeable memories, near-duplicate fingerprints, cosine, level and reason.
+
+    Each class of copies is listed as pairs of its smallest id with its other members; pairs of
+    different texts are those of the classes' smallest ids (duplicate_candidates).
+    """
+    m = D.stored(_mergeable(spark, d), "mergeable")
+    copies = D.text_classes(m).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+    pairs = D.candidates(m).select("id_a", "id_b").unionByName(copies)
     return D.described(pairs, m, M.embeddings(spark, d)).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "level", "reason")
 
 

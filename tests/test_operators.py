@@ -166,6 +166,40 @@ def test_minhash_pairs_equal_all_pairs(spark, monkeypatch):
     assert {(g.id, g.first_id) for g in D.print_groups(df, "minhash").collect()} == {(i, first[tuple(v)]) for i, v in enumerate(rows)}
 
 
+def test_candidates_equal_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(300)]
+    texts = [" ".join(r.sample(words, 30)) for _ in range(6)]
+    texts += [" ".join(w if r.random() < 0.93 else r.choice(words) for w in t.split()) for t in texts for _ in range(4)]
+    texts += [texts[0], texts[0], texts[3], " ".join(reversed(texts[1].split())), texts[2].upper()]  # copies, and equal fingerprints
+    texts += ["a b c d e f g h i j k l m n o p", "p b o d a f k h m j g l i n c e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    sim = {x.id: x.simhash & (1 << 64) - 1 for x in H.simhash(df).collect()}
+    sig = {x.id: x.m for x in df.select("id", H.minhash(F.col("content")).alias("m")).collect()}
+    heads = [i for i, t in enumerate(texts) if texts.index(t) == i]
+    want = {}
+    for a in heads:
+        for b in heads:
+            kinds = [(sim[a] ^ sim[b]).bit_count() <= 4, sum(p == q for p, q in zip(sig[a], sig[b], strict=True)) / 128 >= 0.7]
+            if a < b and any(kinds):
+                want[a, b] = "both" if all(kinds) else "simhash" if kinds[0] else "minhash"
+    got = {(x.id_a, x.id_b): x.matched for x in D.candidates(df).collect()}
+    assert got == want and set(want.values()) == {"both", "simhash", "minhash"}
+    assert {(x.id, x.class_id) for x in D.text_classes(df).collect()} == {(i, texts.index(t)) for i, t in enumerate(texts)}
+
+
+def test_copies_alone_are_detected(spark, sf, monkeypatch):
+    from recollect.plans import merges
+
+    m = merges._mergeable(spark, sf).limit(5).withColumn("content", F.lit("one text, five times"))
+    rows = spark.createDataFrame(m.collect(), m.schema)
+    monkeypatch.setattr(merges, "_mergeable", lambda *_: rows)
+    ids = sorted(x.id for x in rows.collect())
+    assert sorted((x.id_a, x.id_b) for x in merges.detect_duplicates(spark, sf).collect()) == [(ids[0], i) for i in ids[1:]]
+
+
 def test_merge_golden(spark):
     rows = [(1, 1, "A is. B is. ", ["x"], "fact"), (1, 2, "B is. C is. ", ["y", "x"], "fact"), (2, 3, "only", [], "fact"), (3, 4, "a", [], "fact"), (3, 5, "b", [], "decision")]
     df = spark.createDataFrame([(m, i, c, t, k, 50, dt.datetime(2024, 1, i)) for m, i, c, t, k in rows], "merge_id long, id long, content string, tags array<string>, type string, confidence int, created_at timestamp_ntz")
