@@ -5,12 +5,15 @@ value is the least among its neighbours. Cuts thus depend on nearby content alon
 moves the chunks behind it, but does not change them. Chunks have at least three words, five on
 average, and are cut after MAX_WORDS at the latest.
 
-Chunks are compared by digest. A task keeps one occurrence per digest, so a passage that a third
-of all documents share reaches the shuffle once per task, and sends them packed, one binary row
-for each bucket; the count of buckets grows with the corpus. The first occurrence (by id, then
-place) of a digest stays; the others are marked. Runs of marked chunks with MIN_WORDS or more are
-cut out of the texts. Up to about ten words at the edges of a passage may stay, where its
-surroundings shape the chunks.
+What is compared are windows, by digest: the fewest chunks from each chunk on, and up to each
+chunk, that hold MIN_WORDS. Where a window ends follows from its own words, so a run of chunks
+that another text holds has the same windows there, and they cover it if it has MIN_WORDS. Chunks
+that recur one by one, in different places, make no window. A task keeps one occurrence per
+digest, so a passage that a third of all documents share reaches the shuffle once per task, and
+sends them packed, one binary row for each bucket; the count of buckets grows with the corpus. The
+first occurrence (by id, then place) of a window stays; the others are marked and cut out of the
+texts. Single chunks travel too, as they name a span's owner. Up to about ten words at the edges of a passage may stay, where its surroundings shape the
+chunks.
 
 Defined results: null texts stay null and have no words; null ids come last in the order of
 occurrences; rows that share id and text count as one document and are cut alike; all columns
@@ -32,11 +35,16 @@ from recollect.llm.words import BYTE_HASH, Words, mixed, words_of
 
 #: Words on both sides among which a cut's gear value is the least; bytes that value depends on.
 REACH, GEAR_BYTES = 2, 16
-#: Words of a run of marked chunks from which on it is removed; most words of a chunk.
+#: Words of a passage from which on it is removed; most words of a chunk.
 MIN_WORDS, MAX_WORDS = 25, 16
+#: Numbers of single chunks, beside those of windows, begin here.
+SINGLE = 1 << 30
 BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
 _GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
 _LAST = np.iinfo(np.int64).max
+#: An odd factor and its inverse modulo 2**64.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -81,6 +89,36 @@ def digests(w: Words, at: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(w.hash * (mixed(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), at) + size.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
 
 
+def windows(row: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks [from, to) of each window, and its number within its row.
+
+    The window from chunk i on has number 2i, the one up to chunk i has 2i + 1 (left out if it is
+    also the window from its first chunk on). No window crosses rows.
+    """
+    n = len(sizes)
+    total, at = np.concatenate([[0], np.cumsum(sizes)]), np.arange(n)
+    begin, end = np.searchsorted(row, row), np.searchsorted(row, row, "right")
+    to = np.searchsorted(total, total[:-1] + least)
+    on = to <= end
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    up = start >= begin
+    up &= to[np.maximum(start, 0)] != at + 1
+    place = at - begin
+    return np.concatenate([at[on], start[up]]), np.concatenate([to[on], at[up] + 1]), np.concatenate([2 * place[on], 2 * place[up] + 1]).astype(np.int32)
+
+
+def window_digests(digest: np.ndarray, sizes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the digests of the chunks [begin, end): a polynomial in place, by differences."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    n = len(digest)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _STEP, np.uint64)]))
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BACK, np.uint64)]))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(digest) * power[:-1])])
+        return mixed((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+
+
 def _packed(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, kind: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
@@ -89,7 +127,7 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, kind: i
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows, pa.binary())], names=["bucket", "kind", "data"])
 
 
-#: digest, document's key, its id, chunk number: 28 bytes an entry.
+#: digest, document's key, its id, window number: 28 bytes an entry.
 _KINDS = (np.uint64, np.int64, np.int64, np.int32)
 
 
@@ -113,8 +151,11 @@ def _firsts(digest: np.ndarray, key: np.ndarray, ident: np.ndarray, chunk: np.nd
     return order, np.maximum.accumulate(np.where(begin, np.arange(len(d)), 0)) if len(d) else run
 
 
-def marks(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, chunk, owner): chunks that occur earlier, with the id of the document that holds the first."""
+def marks(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, chunk, owner): numbers of windows that occur earlier, with the id of the document that holds the first.
+
+    Chunk k by itself has number SINGLE + k.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, set()
@@ -137,15 +178,18 @@ def marks(docs: DataFrame, buckets: int) -> DataFrame:
             at = chunk_starts(data, offsets, w)
             key = b.column(0).to_numpy(zero_copy_only=False)
             ident = b.column(1).fill_null(_LAST).to_numpy(zero_copy_only=False)
-            row = w.row[at]
-            number = np.arange(len(at)) - np.searchsorted(row, row)
+            sizes = np.diff(np.append(at, len(w.start)))
+            begin, end, number = windows(w.row[at], sizes, min_words)
+            row, each = w.row[at], digests(w, at)
+            number = np.concatenate([number, (SINGLE + np.arange(len(at)) - np.searchsorted(row, row)).astype(np.int32)])
+            digest, row = np.concatenate([window_digests(each, sizes, begin, end), each]), np.concatenate([row[begin], row])
             new = np.zeros(len(key), bool)
             for i, k in enumerate(key.tolist()):
                 if k not in seen:
                     seen.add(k)
                     new[i] = True
             use = new[row]
-            held.append((digests(w, at)[use], key[row[use]], ident[row[use]], number[use].astype(np.int32)))
+            held.append((digest[use], key[row[use]], ident[row[use]], number[use]))
             count += int(use.sum())
             if count >= SEND_ROWS:
                 yield from send()
@@ -190,7 +234,7 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, int(total / 30 / BUCKET_ROWS))
     key = F.xxhash64(docs[ident].cast("string"), docs[text])
-    found = marks(docs.select(key.alias("key"), docs[ident].cast("long").alias("ident"), docs[text].alias("text")), buckets)
+    found = marks(docs.select(key.alias("key"), docs[ident].cast("long").alias("ident"), docs[text].alias("text")), buckets, min_words)
     listed = found.groupBy("key").agg(F.collect_set(F.struct("chunk", "owner")).alias("marks"))
     old = docs.schema.fields
     extra = [T.StructField(f.name if f.name not in docs.columns else f"{f.name}_dedup", f.dataType) for f in T._parse_datatype_string(RESULT).fields]
@@ -207,15 +251,23 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
             at = chunk_starts(data, offsets, w)
             first = np.searchsorted(at, w.first)  # chunks never cross rows
             size = np.diff(np.append(at, len(w.start)))
+            begins, ends, number = windows(w.row[at], size, min_words)
             texts, removed, found = b.column(position).to_pylist(), np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
+            order = np.lexsort((number, w.row[at][begins]))
+            begins, ends, number = begins[order], ends[order], number[order]
+            lead = np.searchsorted(w.row[at][begins], np.arange(b.num_rows + 1))
             for r, m in enumerate(b.column(len(old)).to_pylist()):
                 if not m:
                     continue
                 a, z = int(first[r]), int(first[r + 1])
                 marked, owner = np.zeros(z - a, bool), {}
+                of = number[lead[r] : lead[r + 1]]
                 for x in m:
-                    marked[x["chunk"]] = True
-                    owner[x["chunk"]] = x["owner"]
+                    if x["chunk"] >= SINGLE:
+                        owner[x["chunk"] - SINGLE] = x["owner"]
+                    else:
+                        k = lead[r] + np.searchsorted(of, x["chunk"])
+                        marked[begins[k] - a : ends[k] - a] = True
                 raw, parts, done = data[offsets[r] : offsets[r + 1]].tobytes(), [], 0
                 for i, j in spans(marked, size[a:z], min_words):
                     begin = int(w.start[at[a + i]] - offsets[r])

@@ -73,6 +73,38 @@ def test_brute_force(spark, sf):
     assert seen > 10
 
 
+def test_chunks_from_many_texts_are_no_passage(spark):
+    source = [prose(200 + i, 80) for i in range(40)]
+    inner = [chunks(t)[5:7] for t in source]  # two whole chunks of each, in a row nowhere
+    mixed = " ".join(" ".join(w) for c in inner for w in c)
+    passage = " ".join(source[3].split()[10:70])
+    rows = [(i, t, "en", "s") for i, t in enumerate(source)] + [(90, mixed, "en", "s"), (91, f"{prose(300, 40)} {passage} {prose(301, 40)}", "en", "s")]
+    known = {tuple(c) for t in source for c in chunks(t)}
+    assert sum(len(c) for c in chunks(mixed) if tuple(c) in known) > 3 * S.MIN_WORDS
+    got = {r.doc_id: r for r in S.without_repeats(table(spark, rows)).collect()}
+    assert got[90].text == mixed and not got[90].spans
+    assert got[91].removed_words >= 30 and [s.owner for s in got[91].spans] == [3]
+
+
+def test_windows_cover_runs():
+    r = random.Random(3)
+    sizes = np.array([r.randint(1, 16) for _ in range(300)])
+    row = np.sort(np.array([r.randint(0, 20) for _ in range(300)]))
+    begin, end, number = S.windows(row, sizes, 25)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    want = set()
+    for i in range(300):
+        want |= {(i, j) for j in range(i + 1, 301) if row[i] == row[j - 1] and total[j] - total[i] >= 25 and (total[j - 1] - total[i] < 25 or total[j] - total[i + 1] < 25)}
+    assert set(zip(begin.tolist(), end.tolist(), strict=True)) == want and len(begin) == len(want)
+    assert len(set(zip(row[begin].tolist(), number.tolist(), strict=True))) == len(want)
+    digest = np.arange(300, dtype=np.uint64) % 7
+    got = S.window_digests(digest, sizes, begin, end)
+    seen = {}
+    for h, i, j in zip(got.tolist(), begin.tolist(), end.tolist(), strict=True):
+        assert seen.setdefault(h, tuple(digest[i:j])) == tuple(digest[i:j])
+    assert len(seen) == len({tuple(digest[i:j]) for i, j in zip(begin.tolist(), end.tolist(), strict=True)})
+
+
 def test_edges(spark):
     docs = clashing(spark)
     got = S.without_repeats(docs).collect()
