@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 from recollect.functions.scoring import cosine, l2
 from recollect.functions.text import contains_terms
 
+#: Vectors, and queries, that one group of a scan with many queries compares (about).
+VECTORS, QUERIES = 8192, 4096
+
 
 def keyword(df: DataFrame, pattern: str | None = None, tags: Sequence[str] = (), words: Sequence[str] = (), prefixes: Sequence[str] = ()) -> DataFrame:
     """Rows whose content has the pattern (case aside), any of the tags, all words and prefixes."""
@@ -40,6 +46,50 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "l
     return top(vectors.withColumn("score", score), k, F.asc("score") if metric == "l2" else F.desc("score"), F.asc("id"))
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(query_id, id, score, rank): the k rows of vectors (id, v) nearest to each of queries (id, v); exact.
+
+    Blocks of queries meet blocks of vectors; each pair of blocks keeps k rows a query. Products
+    choose the candidates with a margin, then their scores are taken one by one, so equal vectors
+    score alike and go by id. Null vectors are left out.
+    """
+    vectors, queries = (df.select("id", "v").filter("v is not null") for df in (vectors, queries))
+    n, m = -(-vectors.count() // VECTORS) or 1, -(-queries.count() // QUERIES) or 1
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = vectors.withColumn("block", own(n)).withColumn("deal", every(m)).groupBy("block", "deal")
+    right = queries.withColumn("deal", own(m)).withColumn("block", every(n)).groupBy("block", "deal")
+    sign = 1 if metric == "l2" else -1
+
+    def scan(one: pa.Table, two: pa.Table) -> pa.Table:
+        out = []
+        if one.num_rows and two.num_rows:
+            (ids, v), (names, q) = ((t.column("id").combine_chunks().to_numpy(), pc.list_flatten(t.column("v")).to_numpy().reshape(t.num_rows, -1)) for t in (one, two))
+            size, length = (np.einsum("ij,ij->i", x, x) for x in (v, q))
+            for i in range(0, len(q), 256):
+                product = q[i : i + 256] @ v.T
+                if metric == "l2":
+                    rough, margin = size - 2 * product, 1e-9 * (1 + size.max() + length.max())
+                else:
+                    rough, margin = -product / np.maximum(np.sqrt(size) * np.sqrt(length[i : i + 256])[:, None], 1e-300), 1e-9
+                least = np.partition(rough, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+                for r, limit in enumerate(least.tolist()):
+                    at = np.flatnonzero(rough[r] <= limit + margin)
+                    w, x = v[at], q[i + r]
+                    if metric == "l2":
+                        score = np.sqrt(((w - x) ** 2).sum(axis=1))
+                    else:
+                        norms = np.sqrt((w * w).sum(axis=1)) * np.sqrt((x * x).sum())
+                        score = np.divide((w * x).sum(axis=1), norms, out=np.zeros(len(at)), where=norms > 0)
+                    best = np.lexsort((ids[at], sign * score))[:k]
+                    out.append((np.full(len(best), names[i + r]), ids[at][best], score[best]))
+        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": a, "id": b, "score": c})
+
+    found = left.cogroup(right).applyInArrow(scan, "query_id long, id long, score double")
+    return top_per(found, "query_id", k, F.asc("score") if metric == "l2" else F.desc("score"), F.asc("id"))
+
+
 def conversations_with(conversations: DataFrame, messages: DataFrame, pattern: str, role: str | None = None) -> DataFrame:
     """Conversations that hold a matching message: a semi-join, never a row twice."""
     found = messages.filter(F.col("content").ilike(f"%{pattern}%"))

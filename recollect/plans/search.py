@@ -52,6 +52,26 @@ def vector_topk_cosine(spark, d):
     return _nearest(spark, d, "cosine")
 
 
+def _each_sql(expression: str, order: str) -> str:
+    return f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM e WHERE id % 50 = 0)
+ SELECT query_id, id, round(score, 6) AS score FROM (SELECT query_id, id, {expression} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {expression} {order}, id) AS rank FROM e, q) WHERE rank <= 10"""
+
+
+def _nearest_each(spark, d, k, metric="l2"):
+    vectors = M.embeddings(spark, d)
+    return S.nearest_each(vectors, vectors.filter("id % 50 = 0"), k, metric)
+
+
+@query("vector_each_l2", _each_sql("list_distance(v, q)", "ASC"))
+def vector_each_l2(spark, d):
+    return _nearest_each(spark, d, 10).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("vector_each_cosine", _each_sql("list_cosine_similarity(v, q)", "DESC"))
+def vector_each_cosine(spark, d):
+    return _nearest_each(spark, d, 10, "cosine").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("recent_by_project", f"""WITH {M.MEMORIES_SQL} SELECT project_id, id, rank FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM mem) WHERE rank <= 3""")
 def recent_by_project(spark, d):
     return S.top_per(M.memories(spark, d).select("project_id", "id", "created_at"), "project_id", 3, *newest()).select("project_id", "id", F.col("rank").cast("long").alias("rank"))
@@ -136,6 +156,21 @@ def hybrid_fusion(spark, d):
     return S.fused([S.top_per(words, "all", 50, *newest()), S.top_per(near, "all", 50, F.asc("score"), F.asc("id"))], 10).select("id", F.round("score", 6).alias("score"))
 
 
+@query("hybrid_each", f"""WITH {M.MEMORIES_SQL}, e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM e WHERE id % 50 = 0),
+ a AS (SELECT query_id, id, rank FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rank FROM mem WHERE content ILIKE '%tion%'), q WHERE rank <= 50),
+ b AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(v, q), id) AS rank FROM e, q) WHERE rank <= 50),
+ f AS (SELECT query_id, id, sum(1.0 / (rank + 60)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
+ SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM f) WHERE r <= 10""")
+def hybrid_each(spark, d):
+    near = _nearest_each(spark, d, 50).select("query_id", "id", "rank")
+    words = S.top(S.keyword(M.memories(spark, d), "tion").select("id", "created_at"), 50, *newest()).withColumn("all", F.lit(1))
+    words = S.top_per(words, "all", 50, *newest()).select("id", "rank")
+    queries = M.embeddings(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"))
+    parts = near.unionByName(queries.crossJoin(F.broadcast(words)).select("query_id", "id", "rank"))
+    total = parts.groupBy("query_id", "id").agg(F.sum(F.lit(1.0) / (F.col("rank") + 60)).alias("score"))
+    return S.top_per(total, "query_id", 10, F.desc(F.round("score", 9)), F.asc("id")).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("read_scope", f"""WITH {M.MEMORIES_SQL} SELECT id, CASE visibility WHEN 'private' THEN 'agent:' || agent_id WHEN 'project' THEN 'agent:' || agent_id || ',project:' || project_id
  WHEN 'team' THEN 'agent:' || agent_id || ',project:' || project_id || ',team:*' ELSE '*' END AS scope FROM mem""")
 def read_scope_query(spark, d):

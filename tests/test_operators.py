@@ -200,6 +200,21 @@ def test_copies_alone_are_detected(spark, sf, monkeypatch):
     assert sorted((x.id_a, x.id_b) for x in merges.detect_duplicates(spark, sf).collect()) == [(ids[0], i) for i in ids[1:]]
 
 
+def test_nearest_each_equals_brute_force(spark, monkeypatch):
+    import random
+
+    from recollect.operators import search as S
+
+    monkeypatch.setattr(S, "VECTORS", 20)
+    monkeypatch.setattr(S, "QUERIES", 4)
+    r = random.Random(6)
+    rows = [[r.uniform(-1, 1) for _ in range(8)] for _ in range(90)] + [[0.5] * 8] * 12
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, v array<double>")
+    got = sorted((x.query_id, x.rank, x.id) for x in S.nearest_each(df, df.filter("id % 10 = 0"), 5).collect())
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(rows[a], rows[b], strict=True))
+    assert got == [(q, k + 1, i) for q in range(0, 102, 10) for k, i in enumerate(sorted(range(102), key=lambda i: (far(q, i), i))[:5])]
+
+
 def test_merge_golden(spark):
     rows = [(1, 1, "A is. B is. ", ["x"], "fact"), (1, 2, "B is. C is. ", ["y", "x"], "fact"), (2, 3, "only", [], "fact"), (3, 4, "a", [], "fact"), (3, 5, "b", [], "decision")]
     df = spark.createDataFrame([(m, i, c, t, k, 50, dt.datetime(2024, 1, i)) for m, i, c, t, k in rows], "merge_id long, id long, content string, tags array<string>, type string, confidence int, created_at timestamp_ntz")
