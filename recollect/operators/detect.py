@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring as X
@@ -179,10 +180,17 @@ def described(pairs: DataFrame, memories: DataFrame, vectors: DataFrame) -> Data
 def greedy_pairs(pairs: DataFrame, per_node: int = 10, most: int = 50) -> DataFrame:
     """Best pairs first (similarity, ids), each node in at most per_node of them, at most `most` in all.
 
-    The choice is sequential, but no more than most * per_node * 2 of the best pairs can matter to
-    it: a pair is passed over only because an end already has per_node pairs.
+    pairs has each pair once. The choice is sequential, but of a node only its first
+    per_node + 2 * most / per_node pairs can be chosen: one is passed over only because the node
+    itself is full, or the other end, and no more than 2 * most / per_node nodes ever fill up. Each
+    pair passed over has a full end, which bounds how many of the best of these pairs matter.
     """
-    best = pairs.orderBy(F.desc("similarity"), "id_a", "id_b").limit(most * (2 * per_node + 1) * 2)
+    full = 2 * most // per_node
+    nodes = W.partitionBy("node").orderBy(F.desc("similarity"), "id_a", "id_b")
+    ends = pairs.select("id_a", "id_b", "similarity", F.explode(F.array("id_a", "id_b")).alias("node"))
+    first = ends.withColumn("rank", F.row_number().over(nodes)).filter(F.col("rank") <= per_node + full)
+    both = first.groupBy("id_a", "id_b").agg(F.first("similarity").alias("similarity"), F.count("*").alias("ends")).filter("ends = 2")
+    best = both.orderBy(F.desc("similarity"), "id_a", "id_b").limit(most + full * (per_node + full))
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = {}

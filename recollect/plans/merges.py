@@ -123,7 +123,8 @@ def merge_reason(spark, d):
 
 @query("greedy_topk")
 def greedy_topk(spark, d):
-    pairs = _described(spark, d).select("id_a", "id_b", "similarity")
+    """The detected pairs (copies by their class's smallest id) of a cosine of 0.85 or more, ranked."""
+    pairs = D.stored(_detected(spark, d).select("id_a", "id_b", "similarity").filter("similarity >= 0.85"), "ranked")
     return D.greedy_pairs(pairs, 10, 50).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -296,9 +297,8 @@ def duplicate_classes(spark, d):
     return D.text_classes(_mergeable(spark, d))
 
 
-@query("detect_duplicates", None)
-def detect_duplicates(spark, d):
-    """The flagship: mergeable memories, near-duplicate fingerprints, cosine, level and reason.
+def _detected(spark, d):
+    """Mergeable memories, near-duplicate fingerprints, cosine, level and reason.
 
     Each class of copies is listed as pairs of its smallest id with its other members; pairs of
     different texts are those of the classes' smallest ids (duplicate_candidates).
@@ -306,7 +306,13 @@ def detect_duplicates(spark, d):
     m = D.stored(_mergeable(spark, d), "mergeable")
     copies = D.text_classes(m).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
     pairs = D.candidates(m).select("id_a", "id_b").unionByName(copies)
-    return D.described(pairs, m, M.embeddings(spark, d)).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "level", "reason")
+    return D.described(pairs, m, M.embeddings(spark, d))
+
+
+@query("detect_duplicates", None)
+def detect_duplicates(spark, d):
+    """The flagship, see _detected."""
+    return _detected(spark, d).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "level", "reason")
 
 
 @query("word_sets", "SELECT doc_id AS id, CAST(len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\x{00a0}\\x{feff}\\p{Z}]+'), lambda x: length(x) > 2))) AS INT) AS n FROM documents")

@@ -235,6 +235,21 @@ def test_greedy_respects_ends(spark):
     assert {(r.id_a, r.id_b) for r in got} == {(1, 2), (1, 3), (1, 4), (30, 31)}
 
 
+def test_greedy_passes_hubs(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(0, k, 0.99) for k in range(1, 3001)] + [(k, k + 5000, 0.5 + r.random() / 4) for k in range(5000, 5100)]
+    for most, per_node, pairs in [(50, 10, rows), (12, 3, list({(a, b): (a, b, round(r.random(), 2)) for a in range(12) for b in range(a + 1, 40)}.values()))]:
+        used, want = {}, []
+        for a, b, s in sorted(pairs, key=lambda x: (-x[2], x[0], x[1])):
+            if len(want) < most and used.get(a, 0) < per_node and used.get(b, 0) < per_node:
+                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+                want.append((a, b))
+        got = D.greedy_pairs(spark.createDataFrame(pairs, "id_a long, id_b long, similarity double"), per_node, most).collect()
+        assert [(x.id_a, x.id_b) for x in got] == want and len(want) == most
+
+
 def test_approve_then_reverse_restores_flags(spark, sf):
     from recollect.plans.merges import _approval
 
