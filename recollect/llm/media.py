@@ -4,14 +4,18 @@ A payload is stored losslessly as an 8-bit grey PNG, 576 samples a row, as one s
 (uncompressed) member of a ZIP archive. Two data source halves serve it:
 
 * the writer streams Arrow batches into archives of bounded size, a task attempt into files of
-  its own, and lists them in a manifest on commit;
+  its own, and lists them in a manifest on commit (appends add up, overwrites replace);
 * the reader plans byte ranges over the archives: a partition is (archive, from, to) and owns the
   members whose local header begins there. It finds them in the archive's own central directory,
-  so that the driver never holds member lists. Each member is fetched by offset, checked against
-  its CRC and, if that fails, fetched again by itself, without disturbing its neighbours.
+  so that the driver never holds member lists. An archive that the writer made is one partition,
+  so its directory is read once; a larger foreign one is cut into SPANS partitions at most, which
+  bounds how often its directory is read. Each member is fetched by offset, checked against its
+  CRC and, if that fails or is cut short, fetched again by itself, without disturbing its
+  neighbours; the directory likewise.
 
 Defined results: a null or empty text is a payload of 576 bytes of 255; equal texts give equal
-media; repeated ids give repeated members; a null id is kept as null.
+media; repeated ids give repeated members; ids of any type that casts to text and back are kept,
+a null id as null.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
@@ -37,6 +41,8 @@ from recollect.llm.files import ROLL_BYTES, Ranged, Rolled, Written, abort, batc
 
 #: Samples a row; payloads are padded to a multiple of it (fixed values).
 ROW, PAD = 576, 255
+#: Most partitions of one archive.
+SPANS = 32
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -90,8 +96,8 @@ def feature(payload: bytes) -> str:
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.uri, self.roll = options["path"], int(options.get("roll_bytes", ROLL_BYTES))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.uri, self.roll, self.overwrite = options["path"], int(options.get("roll_bytes", ROLL_BYTES)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         out, archive = Rolled(self.uri, ".zip", self.roll), None
@@ -111,7 +117,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(out.files)
 
     def commit(self, messages: list) -> None:
-        commit(self.uri, messages)
+        commit(self.uri, messages, self.overwrite)
 
     def abort(self, messages: list) -> None:
         abort(self.uri, messages)
@@ -173,11 +179,15 @@ class ArchiveReader(DataSourceReader):
     SCHEMA = pa.schema([("archive", pa.string()), ("member", pa.string()), ("header_offset", pa.int64()), ("media", pa.binary())])
 
     def __init__(self, options: dict):
-        self.uri, self.span = options["path"], int(options.get("partition_bytes", 16 << 20))
+        self.uri, self.span = options["path"], int(options.get("partition_bytes", 2 * ROLL_BYTES))
         self.tries = int(options.get("tries", 4))
 
     def partitions(self) -> list[Span]:
-        return [Span(name, at, at + self.span) for name, size, *_ in listed(self.uri, ".zip") for at in range(0, size, self.span)] or [Span("", 0, 0)]
+        spans = []
+        for name, size, *_ in listed(self.uri, ".zip"):
+            step = max(self.span, -(-size // SPANS))
+            spans += [Span(name, at, at + step) for at in range(0, size, step)]
+        return spans or [Span("", 0, 0)]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         return batched(self.members(partition), self.SCHEMA)
@@ -187,12 +197,16 @@ class ArchiveReader(DataSourceReader):
             return
         store, path = located(self.uri)
         f = Ranged(store, f"{path}/{span.name}", tries=self.tries)
-        with zipfile.ZipFile(_Source(f)) as z:
-            own = [x for x in z.infolist() if span.start <= x.header_offset < span.end]
-        for info in sorted(own, key=lambda x: x.header_offset):
+        for info in f.again(lambda: self.directory(f, span)):
             media = f.again(lambda info=info: self.member(f, info))
             yield len(media), (span.name, info.filename, info.header_offset, media)
 
+    @staticmethod
+    def directory(f: Ranged, span: Span) -> list[zipfile.ZipInfo]:
+        """The span's members by offset, from the central directory."""
+        with zipfile.ZipFile(_Source(f)) as z:
+            return sorted((x for x in z.infolist() if span.start <= x.header_offset < span.end), key=lambda x: x.header_offset)
+
     @staticmethod
     def member(f: Ranged, info: zipfile.ZipInfo) -> bytes:
         """One stored member, from its local header on; raises ValueError if it is damaged."""
@@ -218,11 +232,11 @@ class MediaArchive(DataSource):
         return ArchiveReader(dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
 
-def write_media(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> None:
-    """Store each text as a PNG named by its id in archives under path."""
+def write_media(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", mode: str = "append") -> None:
+    """Store each text as a PNG named by its id in archives under path: beside what is there, or instead of it."""
     docs.sparkSession.dataSource.register(MediaArchive)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +244,17 @@ def write_media(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "
             media = [to_png(padded((t or "").encode())) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], names=["member", "media"])
 
-    source = docs.select(F.concat(F.coalesce(docs[ident].cast("string"), F.lit("null")), F.lit(".png")).alias("member"), docs[text].alias("t"))
-    source.mapInArrow(encode, "member string, media binary").write.format("media_archive").mode("append").save(path)
+    source = docs.select(_member(docs[ident]).alias("member"), docs[text].alias("t"))
+    source.mapInArrow(encode, "member string, media binary").write.format("media_archive").mode(mode).save(path)
+
+
+def _member(ident: Column) -> Column:
+    """A member's name; ids are percent-encoded, and a null id has a name that no id has."""
+    return F.coalesce(F.concat(F.lit("id-"), F.url_encode(ident.cast("string")), F.lit(".png")), F.lit("null.png"))
+
+
+def _ident(member: Column) -> Column:
+    return F.when(member != "null.png", F.url_decode(F.regexp_extract(member, r"^id-(.*)\.png$", 1)))
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -266,4 +289,4 @@ def media_features(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
     path = scratch(docs.sparkSession, "media")
     write_media(docs, path, ident, text)
     back = described(read_media(docs.sparkSession, path))
-    return back.select(F.regexp_replace("member", r"\.png$", "").try_cast(docs.schema[ident].dataType).alias(ident), *T._parse_datatype_string(RESULT).names)
+    return back.select(_ident(F.col("member")).try_cast(docs.schema[ident].dataType).alias(ident), *T._parse_datatype_string(RESULT).names)

@@ -3,14 +3,23 @@
 Format: one gzip member per record, each with an extra field `sl` that holds the member's
 compressed and plain length. A reader inflates a member only as far as the record's headers end,
 tests them against the pushed predicates, and seeks past a payload that nobody wants. Members
-without that field (foreign archives) are inflated to their end to find the next one.
+without that field (foreign archives) are inflated to their end, which is where the next begins;
+they may hold any number of records, but a record lies in one member.
+
+A partition is a byte range of a file and owns the members that begin there. Within a file they
+are found by their magic number and by what they inflate to, so that large files are split without
+an index. What is read is checked: a member inflated to its end against its CRC and length, and a
+record against its Content-Length. Members with `sl` are read again by themselves if a check
+fails; of others each ranged read is, and the member up to its first record.
 
 Writing is a Python data source too: each task attempt writes files of its own, and the commit
-lists those of successful attempts in a manifest, so lost executors leave no half-read files.
+lists those of successful attempts in a manifest, so lost executors leave no half-read files;
+appends add up, overwrites replace.
 
 Rows: record_id, record_type, target_uri, warc_date, payload_digest, refers_to, payload_bytes
-(all from headers), headers (all of them), payload (binary; null when read with payload=false or
-for records without one).
+(all from headers), headers (all of them, as they are written; repeated ones joined by a comma),
+payload (binary; null when read with payload=false or for records without one). Header names are
+matched whatever their case.
 Defined results: null texts become empty payloads; a null id is written as `null` and read back
 as null; rows that share the smallest id of a payload are all responses; control characters in
 header values are percent-encoded, so no value can end a header early.
@@ -22,6 +31,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +49,9 @@ _ARROW = pa.schema([*((n, pa.string()) for n in ("record_id", "record_type", "ta
 #: Column -> header it stands for (fixed values of the format).
 HEADER = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 LENGTH_HEADER = "X-Payload-Length"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+#: Types of records whose payload is the whole block (fixed values).
+WHOLE = {"resource", "conversion"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _SL = struct.Struct("<2sHII")
@@ -69,15 +82,15 @@ def record(row: dict) -> bytes:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.uri, self.level = options["path"], int(options.get("level", 4))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.uri, self.level, self.overwrite = options["path"], int(options.get("level", 4)), overwrite
         self.roll = int(options.get("roll_bytes", ROLL_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         out = Rolled(self.uri, ".warc.gz", self.roll)
         for batch in iterator:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for values in zip(*batch.columns, strict=True):
+                row = {name: v.as_py() for name, v in zip(batch.schema.names, values, strict=True)}
                 out.stream().write(member(record(row), self.level))
                 if out.full():
                     out.close()
@@ -85,15 +98,17 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(out.files)
 
     def commit(self, messages: list) -> None:
-        commit(self.uri, messages)
+        commit(self.uri, messages, self.overwrite)
 
     def abort(self, messages: list) -> None:
         abort(self.uri, messages)
 
 
 @dataclass
-class Files(InputPartition):
-    names: list[str]
+class Spans(InputPartition):
+    """Ranges (file, from, to); each owns the members that begin in it."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 def _test(f: Filter):
@@ -130,70 +145,184 @@ class WarcReader(DataSourceReader):
             else:
                 self.filters.append(f)
 
-    def partitions(self) -> list[Files]:
-        """Whole files, the small ones packed together up to partition_bytes."""
+    def partitions(self) -> list[Spans]:
+        """Ranges of at most partition_bytes; those of small files are packed together up to that."""
         parts, size = [], self.pack
         for name, n, *_ in listed(self.uri, ".warc.gz"):
-            if size + n > self.pack:
-                parts.append(Files([]))
-                size = 0
-            parts[-1].names.append(name)
-            size += n
-        return parts or [Files([])]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+            for at in range(0, n, self.pack):
+                span = (name, at, min(at + self.pack, n))
+                if size + span[2] - at > self.pack:
+                    parts.append(Spans([]))
+                    size = 0
+                parts[-1].ranges.append(span)
+                size += span[2] - at
+        return parts or [Spans([])]
+
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         store, path = located(self.uri)
         tests = [_test(f) for f in self.filters]
-        return batched((row for name in partition.names for row in self.records(Ranged(store, f"{path}/{name}"), tests)), _ARROW)
-
-    def records(self, f: Ranged, tests: list) -> Iterator[tuple[int, tuple]]:
-        at = 0
-        while at < f.size:
-            head = f.get(at, 12)
-            if head[:3] != b"\x1f\x8b\x08" or head[3] not in (0, 4):
-                raise ValueError(f"{f.path}: no gzip member at {at}")
-            size, skip = None, 10
-            if head[3] == 4:
-                n = struct.unpack_from("<H", head, 10)[0]
-                extra, skip = f.get(at + 12, n), 12 + n
-                if n >= _SL.size and extra[:2] == b"sl":
-                    size = _SL.unpack_from(extra)[2]
-            inflate = zlib.decompressobj(-15)
-            plain, pos = bytearray(), at + skip
-            tail = b""
-            while b"\r\n\r\n" not in plain and not inflate.eof:  # headers first
-                tail = tail or self._more(f, pos, at, size)
-                pos += 0 if inflate.unconsumed_tail else len(tail)
-                plain += inflate.decompress(tail, 4096)
-                tail = inflate.unconsumed_tail
-            lines, _, block = bytes(plain).partition(b"\r\n\r\n")
-            headers = dict(x.partition(": ")[::2] for x in lines.decode("utf-8", "replace").split("\r\n")[1:])
-            row = {c: headers.get(h) for c, h in HEADER.items()}
-            wanted = all(t(row) for t in tests)
-            want_payload = wanted and self.payload and headers.get("Content-Type", "").startswith("application/http")
-            if want_payload or size is None:
-                rest = bytearray(block)
-                while not inflate.eof:
-                    if not tail:
-                        tail = self._more(f, pos, at, size)
-                        pos += len(tail)
-                    rest += inflate.decompress(tail)
-                    tail = inflate.unconsumed_tail
-                block = bytes(rest)
-                if size is None:
-                    size = pos - len(inflate.unused_data) + 8 - at
+        return batched((row for name, start, end in partition.ranges for row in self.records(Ranged(store, f"{path}/{name}"), tests, start, end)), _ARROW)
+
+    def records(self, f: Ranged, tests: list, start: int = 0, end: int | None = None) -> Iterator[tuple[int, tuple]]:
+        """(bytes, row) of the records whose member begins in [start, end) and that pass all tests."""
+        end = f.size if end is None else end
+        at = begins(f, start, end) if start else start
+        while at is not None and at < end:
+            m, rows, rest = f.again(lambda at=at: self.begun(f, at, tests))
+            yield from rows
+            yield from rest
+            at = m.finished() if m.head.size is None else at + m.head.size
+
+    def begun(self, f: Ranged, at: int, tests: list) -> tuple[Member, list, Iterator]:
+        """The member at `at`, its rows (of one without `sl`, which may be long, the first), and what is left of them."""
+        head = gzip_head(f, at)
+        m = Member(f, head, f.size if head.size is None else at + head.size)
+        rows = self.of(m, tests)
+        return m, list(rows if head.size is not None else islice(rows, 1)), rows
+
+    def of(self, m: Member, tests: list) -> Iterator[tuple[int, tuple]]:
+        """The wanted records of one member."""
+        while (lines := m.headers()) is not None:
+            headers: dict[str, str] = {}
+            for line in lines[1:]:
+                name, _, value = line.partition(":")
+                name, value = name.strip(), value.strip(" \t")
+                headers[name] = f"{headers[name]}, {value}" if name in headers else value
+            folded = {k.lower(): v for k, v in headers.items()}
+            if not lines[0].startswith("WARC/") or not folded.get("content-length", "").isdigit():
+                raise ValueError(f"{m.f.path}: no WARC record in the member at {m.head.at}")
+            row, length = {c: folded.get(h.lower()) for c, h in HEADER.items()}, int(folded["content-length"])
+            wanted, http = all(t(row) for t in tests), folded.get("content-type", "").lower().startswith("application/http")
+            block = None
+            if wanted and self.payload and (http or row["record_type"] in WHOLE):
+                block = m.read(length)
+            elif m.head.plain is not None and m.at + length + 4 >= m.head.plain:
+                m.skipped = True  # the member's last record; nobody wants the rest
+            else:
+                m.skip(length)
             if wanted:
-                payload = block[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2] if want_payload else None
-                n = headers.get(LENGTH_HEADER)
+                payload = block if block is None or not http else block.partition(b"\r\n\r\n")[2]
+                n = folded.get(LENGTH_HEADER.lower())
                 yield len(payload or b"") + 500, (*row.values(), int(n) if n is not None else None, list(headers.items()), payload)
-            at += size
+            if m.skipped:
+                return
+        m.finished()
 
-    @staticmethod
-    def _more(f: Ranged, pos: int, at: int, size: int | None) -> bytes:
-        n = min(64 << 10, (at + size if size else f.size) - pos)
-        if n <= 0:
-            raise ValueError(f"{f.path}: the record at {at} is cut off")
-        return f.get(pos, n)
+
+@dataclass
+class Head:
+    """A gzip member: where it and its deflated data begin; its packed and plain length if it tells."""
+
+    at: int
+    body: int
+    size: int | None = None
+    plain: int | None = None
+
+
+def gzip_head(f: Ranged, at: int) -> Head:
+    magic, flags = f.get(at, 3), f.get(at + 3, 1)[0]
+    if magic != b"\x1f\x8b\x08" or flags & 0xE0:
+        raise ValueError(f"{f.path}: no gzip member at {at}")
+    head = Head(at, at + 10)
+    if flags & 4:
+        n = struct.unpack("<H", f.get(at + 10, 2))[0]
+        extra, k = f.get(at + 12, n), 0
+        while k + 4 <= n:  # subfields: name, length, data
+            if extra[k : k + 2] == b"sl" and k + _SL.size <= n:
+                head.size, head.plain = _SL.unpack_from(extra, k)[2:]
+            k += 4 + struct.unpack_from("<H", extra, k + 2)[0]
+        head.body += 2 + n
+    for flag in (8, 16):  # a name, a comment
+        if flags & flag:
+            while f.get(head.body, 1) != b"\0":
+                head.body += 1
+            head.body += 1
+    head.body += 2 * bool(flags & 2)
+    return head
+
+
+def begins(f: Ranged, start: int, end: int) -> int | None:
+    """Where the first member at or behind start begins, or None if none does before end."""
+    at, step = start, 1 << 20
+    while at < end:
+        window = f.get(at, min(step + 2, f.size - at))
+        k = window.find(b"\x1f\x8b\x08")
+        while 0 <= k < step and at + k < end:
+            try:
+                head = gzip_head(f, at + k)
+                if zlib.decompressobj(-15).decompress(f.get(head.body, min(4096, f.size - head.body)), 16).lstrip().startswith(b"WARC/"):
+                    return at + k
+            except (ValueError, EOFError, zlib.error):
+                pass  # these three bytes just happen to stand there
+            k = window.find(b"\x1f\x8b\x08", k + 1)
+        at += step
+    return None
+
+
+class Member:
+    """The plain bytes of one gzip member, in order."""
+
+    STEP = 64 << 10
+
+    def __init__(self, f: Ranged, head: Head, limit: int):
+        self.f, self.head, self.limit, self.pos = f, head, limit, head.body
+        self.inflate, self.held, self.packed = zlib.decompressobj(-15), bytearray(), b""
+        self.at, self.length, self.crc, self.skipped = 0, 0, 0, False
+
+    def more(self, most: int) -> bool:
+        """Hold more plain bytes; False at the end of the member."""
+        while not self.inflate.eof:
+            if not self.packed:
+                n = min(self.STEP, self.limit - self.pos)
+                if n <= 0:
+                    raise EOFError(f"{self.f.path}: the member at {self.head.at} is cut off")
+                self.packed = self.f.get(self.pos, n)
+                self.pos += n
+            plain = self.inflate.decompress(self.packed, most)
+            self.packed = self.inflate.unconsumed_tail
+            if plain:
+                self.crc, self.length = zlib.crc32(plain, self.crc), self.length + len(plain)
+                self.held += plain
+                return True
+        return False
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.more(max(4096, n - len(self.held))):
+                raise EOFError(f"{self.f.path}: a record of the member at {self.head.at} is cut off")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += n
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            n -= len(self.read(min(n, self.STEP)))
+
+    def headers(self) -> list[str] | None:
+        """Lines of the next record up to the empty one; None if there is no more record."""
+        while True:
+            blank = len(self.held) - len(self.held.lstrip(b"\r\n"))
+            if blank:
+                self.read(blank)
+            if self.held:
+                break
+            if not self.more(4096):
+                return None
+        while (end := self.held.find(b"\r\n\r\n")) < 0:
+            if not self.more(4096):
+                raise EOFError(f"{self.f.path}: headers in the member at {self.head.at} are cut off")
+        lines = self.read(end + 4)[:-4].decode("utf-8", "replace")
+        return lines.replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+
+    def finished(self) -> int:
+        """Check the member against its CRC and length; where the next one begins."""
+        while self.more(self.STEP):
+            self.held.clear()
+        end = self.pos - len(self.inflate.unused_data)
+        if struct.unpack("<II", self.f.get(end, 8)) != (self.crc, self.length & 0xFFFFFFFF):
+            raise ValueError(f"{self.f.path}: the member at {self.head.at} is damaged")
+        return end + 8
 
 
 class WarcDataSource(DataSource):
@@ -208,7 +337,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -230,7 +359,7 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return joined.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0) -> None:
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0, mode: str = "append") -> None:
     """Write pages (id, url, payload) as WARC records, repeated payloads as revisits."""
     pages.sparkSession.dataSource.register(WarcDataSource)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -240,12 +369,16 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         urn(F.col("id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"),
         F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"), F.when(revisit, urn(F.col("refers_to"))).alias("refers_to"), "payload_bytes",
         F.lit(None).cast("map<string,string>").alias("headers"), F.when(~revisit, F.col("payload")).alias("payload"),
-    ).write.format("warc").mode("append").save(path)
+    ).write.format("warc").mode(mode).save(path)
 
 
 def read_warc(spark, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives in a folder; filters on header columns are pushed into the reader."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Records of the archives in a folder; filters on header columns are pushed into the reader.
+
+    Spark looks at its switch for that when a query is planned, which is later, so it stays on.
+    """
+    if spark.conf.get(PUSHDOWN, "false").lower() != "true":
+        spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 

@@ -59,26 +59,93 @@ def test_filters_reach_the_reader(spark, archive):
     assert X.read_warc(spark, archive, payload=False).filter("payload is not null").count() == 0
 
 
+def _at(uri, name):
+    store, path = X.located(uri)
+    return store, f"{path}/{name}"
+
+
+def _all(uri, tests=(), **options):
+    r = X.WarcReader({"path": uri, **options})
+    return [row for p in r.partitions() for name, a, z in p.ranges for _, row in r.records(X.Ranged(*_at(uri, name), wait=0), list(tests), a, z)]
+
+
 def test_unwanted_payloads_are_not_decoded(archive, monkeypatch):
-    r = X.WarcReader({"path": archive})
     seen = []
-    more = X.WarcReader._more
-    monkeypatch.setattr(X.WarcReader, "_more", staticmethod(lambda f, pos, at, size: seen.append(1) or more(f, pos, at, size)))
-    rows = [row for p in r.partitions() for name in p.names for row in r.records(X.Ranged(*_at(archive, name)), [lambda row: False])]
-    assert not rows and len(seen) == len(ROWS)
+    more = X.Member.more
+    monkeypatch.setattr(X.Member, "more", lambda self, most: seen.append(most) or more(self, most))
+    assert not _all(archive, [lambda row: False]) and seen == [4096] * len(ROWS)
 
 
-def _at(uri, name):
-    store, path = X.located(uri)
-    return store, f"{path}/{name}"
+def _record(k, kind="response"):
+    return X.record({"record_id": f"<urn:page:{k}>", "record_type": kind, "payload": b"x" * k, "payload_bytes": k})
 
 
 def test_foreign_members_without_lengths(tmp_path):
-    rec = [X.record({"record_id": f"<urn:page:{k}>", "record_type": "response", "payload": b"x" * k, "payload_bytes": k}) for k in (5, 70_000, 0)]
-    (tmp_path / "f.warc.gz").write_bytes(b"".join(gzip.compress(r, mtime=0) for r in rec))
-    r = X.WarcReader({"path": f"file://{tmp_path}"})
-    got = [row for _, row in r.records(X.Ranged(*_at(f"file://{tmp_path}", "f.warc.gz")), [])]
-    assert [len(x[-1]) for x in got] == [5, 70_000, 0]
+    (tmp_path / "f.warc.gz").write_bytes(b"".join(gzip.compress(_record(k), mtime=0) for k in (5, 70_000, 0)))
+    assert [len(x[-1]) for x in _all(f"file://{tmp_path}")] == [5, 70_000, 0]
+
+
+def test_foreign_members_of_many_records(tmp_path):
+    import io
+
+    named = io.BytesIO()
+    with gzip.GzipFile("name.warc", "wb", fileobj=named) as g:
+        g.write(_record(3) + _record(4))
+    lower = _record(9).replace(b"WARC-Type: ", b"warc-type:").replace(b"Content-Length: ", b"CONTENT-LENGTH:  ", 1)
+    plain = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Type: text/plain\r\nX-A: 1\r\nX-A: 2\r\n folded\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    two = X.member(_record(6) + _record(7), 4)
+    (tmp_path / "f.warc.gz").write_bytes(named.getvalue() + two + gzip.compress(lower + plain + _record(100_000)) + X.member(_record(2), 4))
+    rows = _all(f"file://{tmp_path}")
+    assert [(r[1], len(r[-1])) for r in rows] == [("response", n) for n in (3, 4, 6, 7, 9)] + [("resource", 3), ("response", 100_000), ("response", 2)]
+    assert dict(rows[5][-2])["X-A"] == "1, 2 folded"
+    kept = _all(f"file://{tmp_path}", [lambda row: row["record_id"] in ("<urn:page:7>", "<urn:page:2>")], payload="false")
+    assert [r[0] for r in kept] == ["<urn:page:7>", "<urn:page:2>"]
+
+
+def test_ranges_own_each_member_once(tmp_path):
+    import random
+
+    r = random.Random(1)
+    sizes = [r.randrange(4000) for _ in range(60)]
+    blob = lambda n: bytes(r.getrandbits(8) for _ in range(n)) + b"\x1f\x8b\x08\0" * 3
+    rec = [X.record({"record_id": f"{k}", "record_type": "response", "payload": blob(n), "payload_bytes": n}) for k, n in enumerate(sizes)]
+    (tmp_path / "f.warc.gz").write_bytes(b"".join(gzip.compress(x) if k % 2 else X.member(x, 4) for k, x in enumerate(rec)))
+    assert [row[0] for row in _all(f"file://{tmp_path}", partition_bytes="1000")] == [str(k) for k in range(60)]
+
+
+def test_damage_is_noticed_and_read_again(tmp_path, monkeypatch):
+    for k, raw in enumerate((X.member(_record(50), 4), gzip.compress(_record(50)))):
+        bad = bytearray(raw)
+        bad[-6] ^= 1
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "f.warc.gz").write_bytes(bytes(bad))
+        with pytest.raises(ValueError, match="damaged"):
+            _all(f"file://{tmp_path}/{k}")
+        (tmp_path / f"{k}" / "f.warc.gz").write_bytes(raw[:-20])
+        with pytest.raises((EOFError, ValueError)):
+            _all(f"file://{tmp_path}/{k}")
+    (tmp_path / "ok").mkdir()
+    (tmp_path / "ok" / "f.warc.gz").write_bytes(X.member(_record(50), 4) + X.member(_record(60), 4))
+    fetch, failed = X.Ranged._fetch, []
+
+    def flaky(self, at, n):
+        data = fetch(self, at, n)
+        failed.append(at)
+        return data if len(failed) > 2 else data[:5] + b"\0" * (len(data) - 5) if len(failed) > 1 else bytes(len(data))
+
+    monkeypatch.setattr(X.Ranged, "_fetch", flaky)
+    assert [len(r[-1]) for r in _all(f"file://{tmp_path}/ok")] == [50, 60] and len(failed) > 2
+
+
+def test_appends_add_up_and_overwrites_replace(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    rows = lambda a, z: spark.range(a, z).selectExpr("id", "'u' as url", "cast(cast(id as string) as binary) as payload")
+    X.write_warc(rows(0, 2), path)
+    X.write_warc(rows(2, 3), path)
+    assert sorted(r.record_id for r in X.read_warc(spark, path).collect()) == [f"<urn:page:{k}>" for k in range(3)]
+    X.write_warc(rows(7, 9), path, mode="overwrite")
+    assert sorted(r.record_id for r in X.read_warc(spark, path).collect()) == ["<urn:page:7>", "<urn:page:8>"]
+    assert len([n for n in os.listdir(tmp_path / "w") if n.endswith(".gz")]) <= 2
 
 
 def test_empty_and_threshold(spark, pages):
