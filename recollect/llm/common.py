@@ -19,10 +19,12 @@ _own_base: list[str] = []
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where unset, as in tests) a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_base:
         path = tempfile.mkdtemp(prefix="recollect-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -61,6 +63,16 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unclashed(names: list[str], taken: list[str], suffix: str = "_in") -> list[str]:
+    """names, with the suffix as often as it takes to be unlike those taken and one another."""
+    out: list[str] = []
+    for n in names:
+        while n in taken or n in out or (n.endswith(suffix) and n in names and names.index(n) != len(out)):
+            n += suffix
+        out.append(n)
+    return out
+
+
 def as_text(column: pa.Array) -> pa.Array:
     """Null texts become empty ones."""
     return column.fill_null("") if column.null_count else column

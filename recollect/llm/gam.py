@@ -11,7 +11,8 @@ never among them. The model is fitted on the driver from at most MAX_TRAIN label
 only bounded sample here; scoring reads every text and shuffles nothing.
 
 Defined results: null and empty texts have all-zero features and get that score; several labels
-of an id are averaged (0.5 counts as 1), null labels are ignored; without both classes in the
+of an id are averaged (0.5 counts as 1), null labels are ignored; of several texts of an id the
+one whose features come first in order is learnt from, whatever the layout of the table; without both classes in the
 training rows every score is the training mean, or 0.5 without any.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import blocks, utf8
+from recollect.llm.common import blocks, unclashed, utf8
 from recollect.llm.repetition import covered_words
 from recollect.llm.words import mixed, per_row, words_of
 
@@ -34,7 +35,7 @@ from recollect.llm.words import mixed, per_row, words_of
 MAX_TRAIN = 20_000
 HOLDOUT_FOLDS, THRESHOLD = 5, 0.3
 #: Columns of the result; kept columns of these names get the suffix _in.
-RESULT = ("score", "held_out", "predicted")
+RESULT = ["score", "held_out", "predicted"]
 
 #: Byte classes whose share of a text's bytes is a feature (fixed values).
 CLASSES = {
@@ -196,7 +197,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(features(b.column(1))), pa.list_(pa.float64()))], names=["k", "x"])
 
     texts = docs.select(docs[ident].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen.select("k")), "k", "left_semi")  # at most `most` ids
-    rows = texts.mapInArrow(run, schema).join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", "y", "x").toPandas().sort_values("k")
+    rows = texts.mapInArrow(run, schema).groupBy("k").agg(F.min("x").alias("x")).join(F.broadcast(chosen), "k").select("k", "y", "x").toPandas().sort_values("k")
     return np.array(rows["x"].tolist(), np.float64).reshape(-1, len(FEATURES)), rows["y"].to_numpy(np.float64)
 
 
@@ -205,7 +206,7 @@ def scored(docs: DataFrame, model: Model, ident: list[str], text: str = "text")
     columns = [docs[c].alias(f"k{i}") for i, c in enumerate(ident)]
     at = ident.index(text) if text in ident else len(ident)  # the text travels once
     source = docs.select(*columns, *([docs[text].alias(f"k{at}")] if at == len(ident) else []))
-    schema = T.StructType([T.StructField(c if c not in RESULT else f"{c}_in", docs.schema[c].dataType) for c in ident] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(unclashed(ident, RESULT), ident, strict=True)] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, f"k{at}"):

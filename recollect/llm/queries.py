@@ -101,7 +101,6 @@ _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _FOUR = " || ".join(f"substr('{_DIGITS}', CAST((v >> {shift}) & 31 AS INT) + 1, 1)" for shift in (15, 10, 5, 0))
 
 
-
 def _repetition_sql() -> str:
     from recollect.llm import repetition as R
 
@@ -112,14 +111,17 @@ def _repetition_sql() -> str:
  s{n} AS (SELECT doc_id, count(*) AS words{n}, sum(length(x)) AS chars{n} FROM c{n} JOIN p USING (doc_id, i) GROUP BY 1)""")
         joins.append(f"LEFT JOIN s{n} USING (doc_id)")
         shares.append(f"coalesce(chars{n}, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS dup_{n}gram_chars")
+    mark = f"[!-/:-@\\[-`{{-~]{{{R.MARK_NGRAM}}}"
     limits = " AND ".join(f"dup_{n}gram_chars <= {v}" for n, v in R.NGRAM_LIMITS.items())
     return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), {', '.join(steps)},
+ mg AS (SELECT doc_id, i, substr(t, i, {R.MARK_NGRAM}) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - {R.MARK_NGRAM - 2})) AS i FROM w WHERE regexp_matches(t, '{mark}')) WHERE regexp_full_match(substr(t, i, {R.MARK_NGRAM}), '{mark}')),
+ mc AS (SELECT doc_id, count(DISTINCT j) AS marks FROM (SELECT doc_id, i + unnest(range(0, {R.MARK_NGRAM})) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM mg) WHERE c > 1) GROUP BY 1),
  n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),
  l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS k FROM w), f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS r, length(array_to_string(regexp_extract_all(line, '{word}'), '')) AS chars FROM l WHERE regexp_matches(line, '{word}')),
  q AS (SELECT doc_id, count(*) FILTER (WHERE r > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE r > 1), 0) AS line_chars, count(*) AS lines FROM f GROUP BY 1),
- m AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(words5, 0) AS BIGINT) AS n_repeat_words, n_words < {R.MIN_WORDS} OR 100 * coalesce(words5, 0) > 20 * n_words AS base_failed, {', '.join(shares)},
- coalesce(line_chars, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS dup_line_chars, coalesce(n_dup_lines, 0) / CAST(greatest(coalesce(lines, 0), 1) AS DOUBLE) AS dup_lines FROM n {' '.join(joins)} LEFT JOIN q USING (doc_id))
- SELECT * EXCLUDE (dup_lines), NOT base_failed AND {limits} AND dup_line_chars <= {R.LINE_CHAR_LIMIT} AND dup_lines <= {R.LINE_LIMIT} AND n_symbols <= {R.SYMBOL_LIMIT} * n_words AS kept FROM m"""
+ m AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(words5, 0) AS BIGINT) AS n_repeat_words, n_words < {R.MIN_WORDS} OR 100 * coalesce(words5, 0) > 20 * n_words AS base_failed, {', '.join(shares)}, coalesce(marks, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS dup_mark_chars,
+ coalesce(line_chars, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS dup_line_chars, coalesce(n_dup_lines, 0) / CAST(greatest(coalesce(lines, 0), 1) AS DOUBLE) AS dup_lines FROM n {' '.join(joins)} LEFT JOIN mc USING (doc_id) LEFT JOIN q USING (doc_id))
+ SELECT * EXCLUDE (dup_lines), NOT base_failed AND {limits} AND dup_mark_chars <= {R.MARK_LIMIT} AND dup_line_chars <= {R.LINE_CHAR_LIMIT} AND dup_lines <= {R.LINE_LIMIT} AS kept FROM m"""
 
 
 SQL: dict[str, str] = {

@@ -1,8 +1,8 @@
 """Quality rules by repetition coverage.
 
 For every document the operator measures how many characters lie inside n-grams (of several
-lengths) that the same document holds more than once, and inside lines that repeat an earlier
-line. n-grams are found with rolling hashes over all words of an Arrow block at once; a row's
+lengths, in words, and one in marks) that the same document holds more than once, and inside lines
+that repeat an earlier line. n-grams are found with rolling hashes over all words of an Arrow block at once; a row's
 number is mixed into each hash, so that one sort finds the repeats of thousands of documents.
 The plan is a narrow map: no shuffle, no state across rows.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recollect.llm.common import blocks, utf8
+from recollect.llm.common import blocks, unclashed, utf8
 from recollect.llm.words import SEPARATOR, Words, mixed, per_row, windows, words_of
 
 #: Characters counted as symbols (fixed value).
@@ -29,10 +29,13 @@ _SYMBOL[list(SYMBOLS)] = True
 
 #: n-gram length -> the largest share of word characters inside repeated n-grams of that length.
 NGRAM_LIMITS = {3: 0.50, 5: 0.25, 8: 0.22, 10: 0.20}
+#: Characters of the n-grams of marks (ASCII punctuation), and the largest share of word characters inside
+#: repeated ones: a string of marks glued to every word is a repeat that no n-gram of whole words shows.
+MARK_NGRAM, MARK_LIMIT = 3, 0.10
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: Largest share of word characters inside lines equal to an earlier line, and of such lines.
 LINE_CHAR_LIMIT, LINE_LIMIT = 0.30, 0.30
-#: Most symbols a word on average: a symbol glued to every word is a repeat that no whole n-gram shows.
-SYMBOL_LIMIT = 0.10
 MIN_WORDS = 10
 
 
@@ -53,6 +56,30 @@ def covered_words(w: Words, n: int) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
+def covered_marks(data: np.ndarray, offsets: np.ndarray, n: int = MARK_NGRAM) -> np.ndarray:
+    """True for each byte inside n marks in a row that its row of text holds twice or more."""
+    cover = np.zeros(len(data) + 1, np.int32)
+    if len(data) >= n:
+        mark = _MARK[data]
+        all_of = mark[: len(data) - n + 1].copy()
+        for k in range(1, n):
+            all_of &= mark[k : len(data) - n + 1 + k]
+        at = np.flatnonzero(all_of)
+        row = np.searchsorted(offsets, at, "right") - 1
+        inside = at + n <= offsets[row + 1]
+        at, gram = at[inside], row[inside].astype(np.uint64)
+        for k in range(n):
+            gram = (gram << np.uint64(8)) | data[at + k]
+        order = np.argsort(gram)
+        same = gram[order[1:]] == gram[order[:-1]]
+        again = np.zeros(len(at), bool)
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        np.add.at(cover, at[again], 1)
+        np.add.at(cover, at[again] + n, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def repeated_lines(text: bytes) -> tuple[int, int, int]:
     """Lines with a word that equal an earlier line, their word characters, and all lines with a word."""
     lines = text.split(b"\n")
@@ -94,29 +121,30 @@ def measured(column: pa.Array) -> dict[str, np.ndarray]:
         share = per_row(np.where(cover, chars, 0), first) / total
         out[f"dup_{n}gram_chars"] = share
         ok &= share <= limit
+    marks = per_row(covered_marks(data, offsets), offsets) / total
+    ok &= marks <= MARK_LIMIT
     line_chars, line_share = lines[:, 1] / total, lines[:, 0] / np.maximum(lines[:, 2], 1)
     ok &= (line_chars <= LINE_CHAR_LIMIT) & (line_share <= LINE_LIMIT)
     n_symbols = per_row(_SYMBOL[data], offsets)
-    ok &= n_symbols <= SYMBOL_LIMIT * n_words
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > 20 * n_words)
     base = {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols,
         "n_dup_lines": lines[:, 0], "n_repeat_words": n_repeat, "base_failed": failed, "kept": ok & ~failed,
     }
-    return base | out | {"dup_line_chars": line_chars}
+    return base | out | {"dup_mark_chars": marks, "dup_line_chars": line_chars}
 
 
-RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, " + ", ".join(f"dup_{n}gram_chars double" for n in NGRAM_LIMITS) + ", dup_line_chars double"
+RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, " + ", ".join(f"dup_{n}gram_chars double" for n in NGRAM_LIMITS) + ", dup_mark_chars double, dup_line_chars double"
 
 
 def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per input row: the columns `keep` (default doc_id) and what RESULT lists.
 
-    A kept column whose name clashes with a result's is given the suffix _in.
+    A kept column whose name clashes with a result's, or another's, is given the suffix _in.
     """
     keep = ["doc_id"] if keep is None else keep
     measures = T._parse_datatype_string(RESULT)
-    names = [k if k not in measures.names else f"{k}_in" for k in keep]
+    names = unclashed(keep, measures.names)
     columns = [docs[k].alias(f"k{i}") for i, k in enumerate(keep)]
     at = keep.index(text) if text in keep else len(keep)  # the text travels once
     source = docs.select(*columns, *([docs[text].alias(f"k{at}")] if at == len(keep) else []))

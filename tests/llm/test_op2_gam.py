@@ -1,8 +1,12 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 
 from recollect.llm import gam
 from recollect.llm.queries import QUERIES
-from tests.llm.helpers import clashing, table
+from tests.llm.helpers import clashing, table, words
+from tests.llm.test_op3_repetition import covered
 
 
 def area(score, y):
@@ -51,3 +55,35 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     other = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - quality else quality end quality")
     score = lambda x: {r.doc_id: r.score for r in gam.quality_scores(docs, x).collect()}
     assert score(labels) == score(other)
+
+
+def by_hand(text):
+    """The features, one character at a time."""
+    raw, w = (text or "").encode(), [x.encode() for x in words(text)]
+    n, size, sizes = max(1, len(w)), max(1, len(raw)), [len(x) for x in w]
+    mean = sum(sizes) / n
+    letter = set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | set(range(128, 256))
+    shares = {k: sum(b in v for b in raw) for k, v in gam.CLASSES.items()}
+    return [
+        math.log(1 + len(raw)), math.log(1 + len(w)), mean, math.sqrt(max(0, sum(x * x for x in sizes) / n - mean * mean)), len(set(w)) / n, sum(covered(w, 5)) / n,
+        math.log(1 + len(w) / (shares["newline"] + 1)), sum(x[-1] not in letter for x in w) / n, *(v / size for v in shares.values()),
+    ]
+
+
+def test_features_by_hand(spark, sf):
+    rows = [r.text for r in table(spark).collect()] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = gam.features(pa.array(rows, pa.string()))
+    assert got.shape == (len(rows), len(gam.FEATURES)) and np.allclose(got, [by_hand(t) for t in rows], atol=1e-7)
+
+
+def test_repeated_ids_train_alike_whatever_the_layout(spark):
+    docs = table(spark, [(i % 40, f"text {i} " * (i % 7 + 1), "en", "s") for i in range(120)])
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) quality")
+    one, two = (gam.training_rows(d, labels) for d in (docs.repartition(1), docs.orderBy("text").repartition(7)))
+    assert len(one[1]) > 20 and all((a == b).all() for a, b in zip(one, two, strict=True))
+
+
+def test_double_clashes(spark):
+    docs = table(spark).selectExpr("doc_id", "text", "1 as score", "2 as score_in", "3 as predicted")
+    out = gam.quality_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), keep=docs.columns)
+    assert len(set(out.columns)) == len(out.columns) and out.select("score").dtypes == [("score", "double")] and out.count() == 13
