@@ -12,13 +12,11 @@ from tests.llm.helpers import ROWS, clashing, table
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_tokenizer())
 
 
 def test_same_ids_as_tokenizers(spark, sf, library):
-    texts = [t or "" for _, t, *_ in ROWS] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|><|endoftext|>\n\n<|endoftext", "x  <|endoftext|>  y"] + [t or "" for _, t, *_ in ROWS] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     for t, got in zip(texts, encoder(default_tokenizer()).encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
@@ -45,6 +43,22 @@ def test_every_id_once(spark, sf, library, which):
         assert len(sequences) * 2048 < 1.05 * sum(r.length for r in got) + 8 * 2048
 
 
+def test_added_tokens_have_their_own_id(spark):
+    got = P.packed(table(spark, [(1, "a <|endoftext|> b", "en", "s")]), with_ids=True).collect()
+    ids = np.frombuffer(got[0].ids, "<u4").tolist()
+    assert (got[0].doc_tokens, ids[2], ids[-1]) == (5, 50256, 1)
+
+
+def test_other_vocabularies_go_to_the_library(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x, *_ in ROWS if i not in (7, 8)}
+    got = P.packed(table(spark).filter("doc_id not in (7, 8) or doc_id is null"), tokenizer=path, with_ids=True).collect()
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id] for r in got)
+
+
 def brute(lengths, window):
     open_, where = [], []
     for n in lengths:
