@@ -2,15 +2,16 @@
 
 The lattice of a word holds every way to write it as pieces of an existing vocabulary. Pieces are
 weighted by their probability, and the forward recursion in log space sums over all ways, so a
-word's probability is marginal. A text is its words in turn and one end mark.
+word's probability is marginal. A text is its words in turn and one end mark; the sum of their
+logarithms is `score`.
 
-The vocabulary's own scores (for the file used here, minus the rank of a piece) give the first
-weights, as a Zipf law of the ranks; expectation maximisation over the training texts then adapts
-the weights, not the pieces. A word of the training texts is one more arc, from its start to its
-end: with c occurrences among N tokens of V kinds a word has the probability
-(c + V * lattice) / (N + V), so that frequent words cost what they should and new ones fall back
-on the lattice alone (lattice_score is the score without these arcs). As pieces never cross a word's start, both need each distinct word
-once, with its count. So the plan is:
+The weights are the vocabulary's scores (those of a unigram file as they are; the file used here
+scores a piece by minus its rank, which stands for a Zipf law of the ranks), adapted to the
+training texts by expectation maximisation with the vocabulary's weights as prior. Two more
+columns follow: `vocabulary_score` is the marginal under the vocabulary's weights alone, and in
+`mixed_score` a word of the training texts is one more arc, from its start to its end: with c
+occurrences among N tokens of V kinds it has the probability (c + V * lattice) / (N + V). As pieces
+never cross a word's start, all need each distinct word once, with its count. So the plan is:
 
 1. every block of texts lists its distinct words and their training counts, packed in one binary
    row for each bucket of words, and its texts as positions in that list;
@@ -20,8 +21,9 @@ once, with its count. So the plan is:
 4. each bucket answers every block with counts and log probabilities of its words, and blocks add
    them up (one shuffle).
 
-All counts cover the whole corpus; nothing but vocabulary-sized vectors and three totals reaches
-the driver.
+Words are grouped by a 64-bit hash, and compared letter by letter within a group; should two ever
+share a hash, the block or bucket is grouped by the words themselves. All counts cover the whole
+corpus; nothing but vocabulary-sized vectors and three totals reaches the driver.
 
 Defined results: A-Z are lower-cased; a null or empty text is one end token; a null id is not held
 out; repeated rows count and score each; without training texts all counts are 0.
@@ -74,6 +76,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def weights(score: np.ndarray) -> np.ndarray:
+    """Unnormalised probabilities: exp of scores, if they can be logarithms of probabilities, else a Zipf law of their ranks."""
+    if (score != np.round(score)).any() and 0.5 < np.exp(score).sum() < 2:  # ranks are whole numbers
+        return np.exp(score)
+    rank = np.zeros(len(score))
+    rank[np.argsort(-score, kind="stable")] = np.arange(len(score))
+    return 1 / (rank + 10)
+
+
 class Vocabulary:
     """Pieces as bytes (a word's start is a space), found by the hash of their prefixes."""
 
@@ -91,10 +102,10 @@ class Vocabulary:
         self.size = sp.get_piece_size() + 1  # the last is the end of a text
         score = np.array([sp.get_score(i) for i in range(self.size - 1)])
         used = np.array(sorted(pieces.values()))
-        rank = np.zeros(len(used))
-        rank[np.argsort(-score[used], kind="stable")] = np.arange(len(used))
+        plain = [i for i in used if not sp.is_byte(int(i))]
+        score[[i for i in used if sp.is_byte(int(i))]] = score[plain].min() - 1  # bytes have no score of their own: they come last
         weight = np.zeros(self.size)
-        weight[used] = 1 / (rank + 10)
+        weight[used] = weights(score[used])
         weight[-1] = weight.sum() / 1000
         self.first = weight / weight.sum()
         prefixes: dict[int, int] = {}
@@ -140,6 +151,15 @@ def forward(v: Vocabulary, word: np.ndarray, logs: np.ndarray, keep: list | None
     return alpha
 
 
+def along(edges: list, word: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """forward() over edges that are known already."""
+    alpha = np.full((word.shape[1] + 1, word.shape[0]), -np.inf)
+    alpha[0] = 0
+    for i, j, rows, piece in edges:
+        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logs[piece])
+    return alpha
+
+
 def expected(v: Vocabulary, word: np.ndarray, count: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece in words that occur so often."""
     found: list = []
@@ -182,6 +202,31 @@ def _pack_words(data: np.ndarray, start: np.ndarray, length: np.ndarray, count:
     return _press(np.array([len(start)], np.int64), count.astype(np.int64), length.astype(np.uint32), data[at])
 
 
+def alike(data: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.ndarray) -> bool:
+    """Whether the words from start on equal those of the same length from other on."""
+    step = 1 << 17
+    for k in range(0, len(start), step):
+        n = length[k : k + step]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(start[k : k + step], n) + place] != data[np.repeat(other[k : k + step], n) + place]).any():
+            return False
+    return True
+
+
+def distinct(data: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct word occurs first, in order of hash, and the number of each word among them."""
+    _, spot, local = np.unique(h, return_index=True, return_inverse=True)
+    if (length[spot][local] == length).all() and alike(data, start, length, start[spot][local]):
+        return spot, local
+    texts = [data[a : a + n].tobytes() for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+    first: dict[bytes, int] = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    order = sorted(first.values(), key=lambda i: (int(h[i]), texts[i]))
+    number = {texts[i]: k for k, i in enumerate(order)}
+    return np.array(order, np.int64), np.array([number[t] for t in texts], np.int64)
+
+
 def listed(docs: DataFrame, buckets: int) -> DataFrame:
     """Columns id, train, text -> for each block a row of its texts (bucket -1) and rows of its words."""
     kind = docs.schema["id"].dataType
@@ -193,7 +238,8 @@ def listed(docs: DataFrame, buckets: int) -> DataFrame:
             raw, offsets = utf8(b.column(2))
             data = _LOWER[raw]
             w = words_of(data, offsets)
-            word, spot, local = np.unique(w.hash, return_index=True, return_inverse=True)
+            spot, local = distinct(data, w.start, w.length, w.hash)
+            word = w.hash[spot]
             train = b.column(1).to_numpy(zero_copy_only=False)[w.row]
             count = np.bincount(local[train], minlength=len(word))
             texts = _press(np.diff(w.first).astype(np.uint32), local.astype(np.uint32))
@@ -219,8 +265,8 @@ def merged(lists: DataFrame) -> DataFrame:
         data = np.concatenate([p[0] for p in parts])
         start = np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=False)])
         length, count = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        word, spot, at = np.unique(word_hashes(data, start, length, False), return_index=True, return_inverse=True)
-        total = np.zeros(len(word), np.int64)
+        spot, at = distinct(data, start, length, word_hashes(data, start, length, False))
+        total = np.zeros(len(spot), np.int64)
         np.add.at(total, at, count)
         ends = np.cumsum([len(p[1]) for p in parts])
         asked = [{"block": k.as_py(), "at": _press(at[e - len(p[1]) : e].astype(np.uint32))} for k, p, e in zip(table.column("block"), parts, ends.tolist(), strict=True)]
@@ -255,22 +301,27 @@ def adapted(buckets: DataFrame, path: str, weights: np.ndarray, ends: int) -> np
 
 
 def answers(buckets: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
-    """(block, bucket, data): counts and natural log probabilities of the words that a block asked for."""
+    """(block, bucket, data): counts and two natural log probabilities of the words that a block asked for.
+
+    The first is under these weights, the second under the vocabulary's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        logs = np.log(np.maximum(weights, 1e-300))
+        logs, own = (np.log(np.maximum(x, 1e-300)) for x in (weights, v.first))
         for b in batches:
             for bucket, packed, asked in zip(*b.columns, strict=True):
                 data, start, length, count = _words(packed.as_py())
-                p = np.zeros(len(start), np.float32)
+                p, q = np.zeros(len(start)), np.zeros(len(start))
                 for rows, word in by_length(data, start, length):
-                    p[rows] = forward(v, word, logs)[-1]
+                    edges: list = []
+                    p[rows] = forward(v, word, logs, edges)[-1]
+                    q[rows] = along(edges, word, own)[-1]
                 blocks_, out = [], []
                 for who in asked.as_py():
                     at = np.frombuffer(_take(who["at"]), np.uint32)
                     blocks_.append(who["block"])
-                    out.append(_press(count[at], p[at]))
+                    out.append(_press(count[at], p[at], q[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([bucket.as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "data"])
 
     return buckets.select("bucket", "words", "asked").mapInArrow(run, "block long, bucket int, data binary")
@@ -289,21 +340,21 @@ def in_training(ident: Column) -> Column:
 
 
 def likelihoods(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10) of every row."""
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score and mixed_score (log10) of every row."""
     path = path or default_vocabulary()
     source = docs.select(docs[ident].alias("id"), in_training(docs[ident]).alias("train"), docs[text].alias("text"))
     size, ends = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     lists = stored(listed(source, max(1, int(size / 32 / BUCKET_ROWS))), "lists")
     buckets = stored(merged(lists), "words")
     known, seen = buckets.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
-    total, distinct = seen + ends, known + (ends > 0)
-    weights = vocabulary(path).first
+    total, distinct_tokens = seen + ends, known + (ends > 0)
+    own = now = vocabulary(path).first
     for _ in range(rounds):
-        weights = adapted(buckets, path, weights, ends)
-    floor, stop = float(np.log10(total + distinct + 1)), float(np.log(weights[-1]))
-    kinds = max(1, distinct)
+        now = adapted(buckets, path, now, ends)
+    floor, stop, own_stop = float(np.log10(total + distinct_tokens + 1)), float(np.log(now[-1])), float(np.log(own[-1]))
+    kinds = max(1, distinct_tokens)
     kind = docs.schema[ident].dataType
-    schema = T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double, lattice_score double").fields])
+    schema = T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double, vocabulary_score double, mixed_score double").fields])
 
     def add(texts: pa.Table, replies: pa.Table) -> pa.Table:
         raw = _take(texts.column("data")[0].as_py())
@@ -311,15 +362,14 @@ def likelihoods(docs: DataFrame, ident: str = "doc_id", text: str = "text", path
         n = np.frombuffer(raw, np.uint32, len(ids)).astype(np.int64)
         local, first = np.frombuffer(raw, np.uint32, offset=4 * len(ids)), np.concatenate([[0], np.cumsum(n)])
         parts = [_take(x) for _, x in sorted(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True))]
-        m = [len(x) // 12 for x in parts]
-        count = np.concatenate([np.frombuffer(x, np.int64, k) for x, k in zip(parts, m, strict=True)] or [np.zeros(0, np.int64)])
-        p = np.concatenate([np.frombuffer(x, np.float32, k, 8 * k) for x, k in zip(parts, m, strict=True)] or [np.zeros(0, np.float32)]).astype(np.float64)
+        m = [len(x) // 24 for x in parts]
+        count, p, q = (np.concatenate([np.frombuffer(x, t, k, j * 8 * k) for x, k in zip(parts, m, strict=True)] or [np.zeros(0, t)]) for j, t in enumerate((np.int64, np.float64, np.float64)))
         base = _sums(np.log10(count + 1)[local], first) + np.log10(ends + 1) - (n + 1) * floor
-        lattice = (_sums(p[local], first) + stop) / np.log(10)
-        arc = lambda c, q: np.log10(c + kinds * np.exp(q)) - np.log10(total + kinds)
-        score = _sums(np.where(count > 0, arc(count, p), p / np.log(10) + np.log10(kinds / (total + kinds)))[local], first) + arc(ends, stop)
-        return pa.table({"id": ids, "n_tokens": n + 1, "n_known": _sums((count > 0).astype(np.int64)[local], first) + (ends > 0), "base_score": base, "score": score, "lattice_score": lattice})
+        score, plain = (_sums(x[local], first) / np.log(10) + y / np.log(10) for x, y in ((p, stop), (q, own_stop)))
+        arc = lambda c, x: np.log10(c + kinds * np.exp(x)) - np.log10(total + kinds)
+        mixed = _sums(np.where(count > 0, arc(count, p), p / np.log(10) + np.log10(kinds / (total + kinds)))[local], first) + arc(ends, stop)
+        return pa.table({"id": ids, "n_tokens": n + 1, "n_known": _sums((count > 0).astype(np.int64)[local], first) + (ends > 0), "base_score": base, "score": score, "vocabulary_score": plain, "mixed_score": mixed})
 
     texts = lists.filter("bucket = -1").select("block", "ids", "data")
-    out = texts.groupBy("block").cogroup(answers(buckets, path, weights).groupBy("block")).applyInArrow(add, schema)
-    return out.select(F.col("id").alias(ident), (~in_training(F.col("id"))).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
+    out = texts.groupBy("block").cogroup(answers(buckets, path, now).groupBy("block")).applyInArrow(add, schema)
+    return out.select(F.col("id").alias(ident), (~in_training(F.col("id"))).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "vocabulary_score", "mixed_score")
