@@ -8,16 +8,21 @@ average, and are cut after MAX_WORDS at the latest.
 What is compared are windows, by digest: the fewest chunks from each chunk on, and up to each
 chunk, that hold MIN_WORDS. Where a window ends follows from its own words, so a run of chunks
 that another text holds has the same windows there, and they cover it if it has MIN_WORDS. Chunks
-that recur one by one, in different places, make no window. A task keeps one occurrence per
-digest, so a passage that a third of all documents share reaches the shuffle once per task, and
-sends them packed, one binary row for each bucket; the count of buckets grows with the corpus. The
-first occurrence (by id, then place) of a window stays; the others are marked and cut out of the
-texts. Single chunks travel too, as they name a span's owner. Up to about ten words at the edges of a passage may stay, where its surroundings shape the
-chunks.
+that recur one by one, in different places, make no window.
+
+A task sends one occurrence per digest, its first, to the digest's bucket, packed as one binary
+row for each bucket; the count of buckets grows with the corpus. It knows already that its other
+occurrences are repeats, and spreads these over all buckets, which just pass them on. So a passage
+that a third of all documents share reaches its bucket once per task. The first occurrence (by id,
+then place) of a window stays; the others are marked and cut out of the texts. Texts without a
+mark are told by a Bloom filter over the marked ones (sized by their count, FILTER_BYTES at most;
+where that can't hold them, all texts are joined) and don't take part in the join with the marks.
+Up to about ten words at the edges of a passage may stay, where its surroundings shape the chunks.
 
 Defined results: null texts stay null and have no words; null ids come last in the order of
-occurrences; rows that share id and text count as one document and are cut alike; all columns
-pass through, whatever their names (results' names get the suffix _dedup if taken).
+occurrences; ids of a type other than integers are ordered by a 64-bit hash; rows that share id
+and text count as one document and are cut alike; all columns pass through, whatever their names
+(results' names get the suffix _dedup as often as it takes).
 """
 
 from __future__ import annotations
@@ -25,21 +30,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import blocks, utf8
+from recollect.llm.common import blocks, stored, unclashed, utf8
 from recollect.llm.words import BYTE_HASH, Words, mixed, words_of
 
 #: Words on both sides among which a cut's gear value is the least; bytes that value depends on.
 REACH, GEAR_BYTES = 2, 16
 #: Words of a passage from which on it is removed; most words of a chunk.
 MIN_WORDS, MAX_WORDS = 25, 16
-#: Numbers of single chunks, beside those of windows, begin here.
-SINGLE = 1 << 30
 BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
+#: Most bytes of the filter of marked texts, which is broadcast; bits for each of them.
+FILTER_BYTES, FILTER_BITS = 64 << 20, 16
 _GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
 _LAST = np.iinfo(np.int64).max
 #: An odd factor and its inverse modulo 2**64.
@@ -127,8 +133,8 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, kind: i
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows, pa.binary())], names=["bucket", "kind", "data"])
 
 
-#: digest, document's key, its id, window number: 28 bytes an entry.
-_KINDS = (np.uint64, np.int64, np.int64, np.int32)
+#: First occurrences: digest, document's key, its id, window number. Later ones: key, the first one's id, number.
+_KINDS, _LATER = (np.uint64, np.int64, np.int64, np.int32), (np.int64, np.int64, np.int32)
 
 
 def _unpacked(data: bytes, kinds=_KINDS) -> list[np.ndarray]:
@@ -152,9 +158,9 @@ def _firsts(digest: np.ndarray, key: np.ndarray, ident: np.ndarray, chunk: np.nd
 
 
 def marks(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, chunk, owner): numbers of windows that occur earlier, with the id of the document that holds the first.
+    """(key, chunk, owner): numbers of windows that occur earlier, and the id of a document that holds them earlier.
 
-    Chunk k by itself has number SINGLE + k.
+    That is the first of all documents, or the first of those that the same task has read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +175,8 @@ def marks(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS) -> DataFram
             place = lambda x: (x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             yield _packed(place(digest[first]), [digest[first], key[first], ident[first], chunk[first]], buckets, 0)
             later = ~first & ((key != key[lead]) | (chunk != chunk[lead]))
-            if later.any():  # known to be repeats already; the digest tells the owner
-                yield _packed(place(digest[later]), [digest[later], key[later], chunk[later]], buckets, 1)
+            if later.any():  # known to be repeats already: any bucket will do
+                yield _packed(place(mixed(key[later].view(np.uint64))), [key[later], ident[lead][later], chunk[later]], buckets, 1)
 
         for b in blocks(batches, "text"):
             data, offsets = utf8(b.column(2))
@@ -180,9 +186,7 @@ def marks(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS) -> DataFram
             ident = b.column(1).fill_null(_LAST).to_numpy(zero_copy_only=False)
             sizes = np.diff(np.append(at, len(w.start)))
             begin, end, number = windows(w.row[at], sizes, min_words)
-            row, each = w.row[at], digests(w, at)
-            number = np.concatenate([number, (SINGLE + np.arange(len(at)) - np.searchsorted(row, row)).astype(np.int32)])
-            digest, row = np.concatenate([window_digests(each, sizes, begin, end), each]), np.concatenate([row[begin], row])
+            row, digest = w.row[at][begin], window_digests(digests(w, at), sizes, begin, end)
             new = np.zeros(len(key), bool)
             for i, k in enumerate(key.tolist()):
                 if k not in seen:
@@ -198,23 +202,47 @@ def marks(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS) -> DataFram
             yield from send()
 
     def judge(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_pylist()
+        kind = table.column("kind").to_numpy()
         data = [x.as_py() for x in table.column("data")]
-        digest, key, ident, chunk = (np.concatenate(c) for c in zip(*(_unpacked(x) for x, k in zip(data, kind, strict=True) if k == 0), strict=True))
-        order, lead = _firsts(digest, key, ident, chunk)
-        digest, key, ident, chunk = digest[order], key[order], ident[order], chunk[order]
-        later = (key != key[lead]) | (chunk != chunk[lead])
-        out = [(key[later], chunk[later], ident[lead][later])]
-        more = [_unpacked(x, (np.uint64, np.int64, np.int32)) for x, k in zip(data, kind, strict=True) if k == 1]
-        for d, k, c in more:
-            at = np.searchsorted(digest, d)
-            out.append((k, c, ident[lead][at]))
-        k, c, o = (np.concatenate(x) for x in zip(*out, strict=True))
+        out = [_unpacked(x, _LATER) for x, k in zip(data, kind, strict=True) if k == 1]
+        sent = [_unpacked(x) for x, k in zip(data, kind, strict=True) if k == 0]
+        if sent:
+            digest, key, ident, chunk = (np.concatenate(c) for c in zip(*sent, strict=True))
+            order, lead = _firsts(digest, key, ident, chunk)
+            key, ident, chunk = key[order], ident[order], chunk[order]
+            later = (key != key[lead]) | (chunk != chunk[lead])
+            out.append([key[later], ident[lead][later], chunk[later]])
+        k, o, c = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"key": k, "chunk": c.astype(np.int32), "owner": o})
 
     return docs.mapInArrow(run, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(judge, "key long, chunk int, owner long")
 
 
+def key_filter(keys: DataFrame, count: int) -> np.ndarray | None:
+    """A Bloom filter (one bit a key, FILTER_BITS places for each) as 64-bit words; None if it would be too large."""
+    bits = 1 << max(12, (FILTER_BITS * count - 1).bit_length())
+    if bits > 8 * FILTER_BYTES:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spot = mixed(b.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)
+            at, local = np.unique(spot >> np.uint64(6), return_inverse=True)
+            words = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(words, local, np.uint64(1) << (spot & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(words.view(np.int64))], names=["at", "word"])
+
+    got = keys.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # FILTER_BYTES at most
+    words = np.zeros(bits // 64, np.uint64)
+    words[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+    return words
+
+
+def within(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = mixed(key.view(np.uint64)) & np.uint64(64 * len(words) - 1)
+    return (words[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) > 0
+
+
 def spans(marked: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Runs [from, to) of marked chunks that hold at least so many words."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
@@ -228,18 +256,22 @@ RESULT = "n_words long, removed_words long, spans array<struct<start:long,end:lo
 def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of docs, the text without its repeated passages, and what RESULT lists.
 
-    Spans are byte offsets into the UTF-8 of the old text; owner is the id of the document that
-    holds the first occurrence of the span's first chunk (null if that id is null).
+    Spans are byte offsets into the UTF-8 of the old text. owner is the id of an earlier document
+    that holds the span's first window (see marks; null if that id is null, and the xxhash64 of an
+    id that is no integer).
     """
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, int(total / 30 / BUCKET_ROWS))
     key = F.xxhash64(docs[ident].cast("string"), docs[text])
-    found = marks(docs.select(key.alias("key"), docs[ident].cast("long").alias("ident"), docs[text].alias("text")), buckets, min_words)
-    listed = found.groupBy("key").agg(F.collect_set(F.struct("chunk", "owner")).alias("marks"))
+    whole = isinstance(docs.schema[ident].dataType, T.IntegralType)
+    order = docs[ident].cast("long") if whole else F.when(docs[ident].isNotNull(), F.xxhash64(docs[ident].cast("string")))
+    found = marks(docs.select(key.alias("key"), order.alias("ident"), docs[text].alias("text")), buckets, min_words)
+    listed = stored(found.groupBy("key").agg(F.collect_set(F.struct("chunk", "owner")).alias("marks")), "marks")
     old = docs.schema.fields
-    extra = [T.StructField(f.name if f.name not in docs.columns else f"{f.name}_dedup", f.dataType) for f in T._parse_datatype_string(RESULT).fields]
+    results = T._parse_datatype_string(RESULT).fields
+    extra = [T.StructField(n, f.dataType) for n, f in zip(unclashed([f.name for f in results], docs.columns, "_dedup"), results, strict=True)]
     source = docs.select(key.alias("key"), *[docs[f.name].alias(f"k{i}") for i, f in enumerate(old)])
-    joined = source.join(listed, "key", "left").drop("key")
     position = docs.columns.index(text)
     names = [f.name for f in old] + [f.name for f in extra]
     kept_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("owner", pa.int64())]))
@@ -248,38 +280,55 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         for b in blocks(batches, f"k{position}"):
             data, offsets = utf8(b.column(position))
             w = words_of(data, offsets)
-            at = chunk_starts(data, offsets, w)
-            first = np.searchsorted(at, w.first)  # chunks never cross rows
-            size = np.diff(np.append(at, len(w.start)))
-            begins, ends, number = windows(w.row[at], size, min_words)
-            texts, removed, found = b.column(position).to_pylist(), np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
-            order = np.lexsort((number, w.row[at][begins]))
-            begins, ends, number = begins[order], ends[order], number[order]
-            lead = np.searchsorted(w.row[at][begins], np.arange(b.num_rows + 1))
-            for r, m in enumerate(b.column(len(old)).to_pylist()):
-                if not m:
-                    continue
-                a, z = int(first[r]), int(first[r + 1])
-                marked, owner = np.zeros(z - a, bool), {}
-                of = number[lead[r] : lead[r + 1]]
-                for x in m:
-                    if x["chunk"] >= SINGLE:
-                        owner[x["chunk"] - SINGLE] = x["owner"]
-                    else:
-                        k = lead[r] + np.searchsorted(of, x["chunk"])
-                        marked[begins[k] - a : ends[k] - a] = True
-                raw, parts, done = data[offsets[r] : offsets[r + 1]].tobytes(), [], 0
-                for i, j in spans(marked, size[a:z], min_words):
-                    begin = int(w.start[at[a + i]] - offsets[r])
-                    end = int(w.start[at[a + j]] - offsets[r]) if a + j < z else len(raw)
-                    parts.append(raw[done:begin])
-                    done = end
-                    removed[r] += size[a + i : a + j].sum()
-                    found[r].append({"start": begin, "end": end, "owner": None if owner[i] == _LAST else owner[i]})
-                if found[r]:
-                    texts[r] = b"".join([*parts, raw[done:]]).decode()
-            columns = list(b.columns[: len(old)])
-            columns[position] = pa.array(texts, b.column(position).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(w.first)), pa.array(removed), pa.array(found, kept_type)], names=names)
-
-    return joined.mapInArrow(cut, T.StructType(old + extra))
+            removed, listed_spans, columns = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], list(b.columns[: len(old)])
+            marked = b.column(len(old)) if b.num_columns > len(old) else None
+            if marked is not None and marked.null_count < b.num_rows:
+                columns[position] = pa.array(_shortened(b.column(position).to_pylist(), marked.to_pylist(), data, offsets, w, min_words, removed, listed_spans), b.column(position).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(w.first)), pa.array(removed), pa.array(listed_spans, kept_type)], names=names)
+
+    schema = T.StructType(old + extra)
+    words = key_filter(listed.select("key"), listed.count())
+    if words is None:
+        return source.join(listed, "key", "left").drop("key").mapInArrow(cut, schema)
+    sent = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def perhaps(key: pd.Series) -> pd.Series:
+        return pd.Series(within(sent.value, key.to_numpy(np.int64)))
+
+    flagged = source.withColumn("perhaps", perhaps("key"))
+    clean = flagged.filter(~F.col("perhaps")).drop("key", "perhaps").mapInArrow(cut, schema)
+    return clean.unionAll(flagged.filter("perhaps").drop("perhaps").join(listed, "key", "left").drop("key").mapInArrow(cut, schema))
+
+
+def _shortened(texts: list, marked: list, data: np.ndarray, offsets: np.ndarray, w: Words, min_words: int, removed: np.ndarray, found: list[list]) -> list:
+    """The texts of a block without their marked passages; removed and found get the words and spans taken out."""
+    at = chunk_starts(data, offsets, w)
+    first = np.searchsorted(at, w.first)  # chunks never cross rows
+    size = np.diff(np.append(at, len(w.start)))
+    begins, ends, number = windows(w.row[at], size, min_words)
+    order = np.lexsort((number, w.row[at][begins]))
+    begins, ends, number = begins[order], ends[order], number[order]
+    lead = np.searchsorted(w.row[at][begins], np.arange(len(texts) + 1))
+    for r, m in enumerate(marked):
+        if not m:
+            continue
+        a, z = int(first[r]), int(first[r + 1])
+        hit, owner = np.zeros(z - a, bool), {}
+        of = number[lead[r] : lead[r + 1]]
+        for x in m:
+            k = lead[r] + np.searchsorted(of, x["chunk"])
+            i = int(begins[k] - a)
+            hit[i : ends[k] - a] = True
+            owner[i] = min(owner.get(i, _LAST), x["owner"])
+        raw, parts, done = data[offsets[r] : offsets[r + 1]].tobytes(), [], 0
+        for i, j in spans(hit, size[a:z], min_words):
+            begin = int(w.start[at[a + i]] - offsets[r])
+            end = int(w.start[at[a + j]] - offsets[r]) if a + j < z else len(raw)
+            parts.append(raw[done:begin])
+            done = end
+            removed[r] += size[a + i : a + j].sum()
+            found[r].append({"start": begin, "end": end, "owner": None if owner[i] == _LAST else owner[i]})
+        if found[r]:
+            texts[r] = b"".join([*parts, raw[done:]]).decode()
+    return texts

@@ -1,7 +1,10 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import substring as S
 from recollect.llm.common import utf8
@@ -52,25 +55,89 @@ def test_shared_passages_go_and_the_rest_stays(spark):
         assert rows[i][1].encode()[s.start : s.end].decode().strip() in passage
 
 
-def test_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    old = {r.doc_id: r.text for r in docs.collect()}
-    parts = {i: [tuple(c) for c in chunks(t)] if t.split() else [] for i, t in old.items()}
-    first = {}
-    for i in sorted(parts):
-        for k, c in enumerate(parts[i]):
-            first.setdefault(c, (i, k))
-    seen = 0
-    for r in S.without_repeats(docs).collect():
-        own = parts[r.doc_id]
-        marked = np.array([first[c] != (r.doc_id, k) for k, c in enumerate(own)], bool)
-        runs = S.spans(marked, np.array([len(c) for c in own]), S.MIN_WORDS) if own else []
-        words = [w for c in own for w in c]
-        assert r.removed_words == sum(len(c) for a, z in runs for c in own[a:z]) and r.n_words == len(words)
-        assert [s.owner for s in r.spans] == [first[own[a]][0] for a, _ in runs]
-        assert r.text.split() == [w for k, c in enumerate(own) if not any(a <= k < z for a, z in runs) for w in c]
-        seen += len(runs)
-    assert seen > 10
+def plain_chunks(text):
+    """Chunks by the rule, a word at a time: tuples of words."""
+    raw, found = text.encode(), [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", text.encode())]
+    gear = lambda at: sum(int(S._GEAR[raw[at - k]]) << k for k in range(16)) & 0xFFFFFFFF if at >= 16 else None
+    value = [gear(end - 1) for _, end in found]
+    out, now = [], []
+    for i, (a, z) in enumerate(found):
+        now.append(raw[a:z])
+        before, after = value[max(0, i - 2) : i], value[i + 1 : i + 3]
+        if value[i] is not None and all(x is None or value[i] < x for x in before) and all(x is None or value[i] <= x for x in after):
+            out.append(now)
+            now = []
+    return [tuple(c[k : k + 16]) for c in [*out, now] if c for k in range(0, len(c), 16)]
+
+
+def plain_windows(own):
+    """(number, from, to) of the fewest chunks from each chunk on, and up to each, that hold 25 words."""
+    size = [len(c) for c in own]
+    out = {}
+    for i in range(len(own)):
+        to = next((j for j in range(i + 1, len(own) + 1) if sum(size[i:j]) >= 25), None)
+        if to is not None:
+            out[i, to] = 2 * i
+    for j in range(1, len(own) + 1):
+        start = next((i for i in range(j - 1, -1, -1) if sum(size[i:j]) >= 25), None)
+        if start is not None:
+            out.setdefault((start, j), 2 * (j - 1) + 1)
+    return [(n, i, j) for (i, j), n in out.items()]
+
+
+def brute(rows):
+    """id -> (words left, words removed, [earlier holders of each span's first windows])."""
+    own = {i: plain_chunks(t or "") for i, t in rows}
+    holders = {}
+    for i, parts in own.items():
+        for n, a, z in plain_windows(parts):
+            holders.setdefault(tuple(parts[a:z]), []).append((i, n, a, z))
+    hit = {i: [set() for _ in parts] for i, parts in own.items()}
+    inside = {i: [False] * len(parts) for i, parts in own.items()}
+    for found in holders.values():
+        found.sort()
+        for k, (i, _, a, z) in enumerate(found[1:], 1):
+            inside[i][a:z] = [True] * (z - a)
+            hit[i][a] |= {x[0] for x in found[:k]}
+    out = {}
+    for i, parts in own.items():
+        edges = [k for k in range(len(parts)) if inside[i][k] and (k == 0 or not inside[i][k - 1])]
+        out[i] = ([w for k, c in enumerate(parts) if not inside[i][k] for w in c], sum(len(c) for k, c in enumerate(parts) if inside[i][k]), [hit[i][k] for k in edges])
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_brute_force(spark, sf, monkeypatch, parts):
+    monkeypatch.setattr(S, "SEND_ROWS", 1 << 20 if parts == 1 else 5000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(parts)
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    got = S.without_repeats(docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        words, removed, holders = want[r.doc_id]
+        assert re.findall(rb"[^\x20\x09-\x0d]+", r.text.encode()) == words and (r.n_words, r.removed_words) == (len(words) + removed, removed)
+        assert len(r.spans) == len(holders) and all(s.owner in h for s, h in zip(r.spans, holders, strict=True))
+    assert sum(len(h) for *_, h in want.values()) > 10
+
+
+@pytest.mark.parametrize("room", [64 << 20, 0])
+def test_text_ids(spark, monkeypatch, room):
+    monkeypatch.setattr(S, "FILTER_BYTES", room)  # with the filter, and where it would be too large
+    passage = prose(3, 60)
+    rows = [(f"doc {i}" if i else None, f"{prose(10 + i, 80)} {passage} {prose(50 + i, 80)}") for i in range(9)] + [("doc 50", prose(99, 200)), ("", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r for r in S.without_repeats(docs.repartition(3)).collect()}
+    hashes = {r.h for r in docs.selectExpr("xxhash64(doc_id) h").collect()}
+    assert len(got) == 11 and sum(r.removed_words == 0 for r in got.values()) == 3 and got[None].removed_words >= 30
+    assert all(30 <= r.removed_words <= 60 and r.spans[0].owner in hashes for r in got.values() if r.removed_words)
+
+
+def test_a_passage_of_all_texts_is_marked_in_all_but_one(spark):
+    passage = prose(3, 60)
+    rows = [(i, f"{prose(10 + i, 40)} {passage} {prose(900 + i, 40)}", "en", "s") for i in range(300)]
+    docs = table(spark, rows).select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").alias("ident"), "text").repartition(4)
+    found = S.marks(docs, 16).collect()
+    assert len({r.key for r in found}) == 299 and len(found) == len({(r.key, r.chunk) for r in found}) > 1500
 
 
 def test_chunks_from_many_texts_are_no_passage(spark):
@@ -86,6 +153,11 @@ def test_chunks_from_many_texts_are_no_passage(spark):
     assert got[91].removed_words >= 30 and [s.owner for s in got[91].spans] == [3]
 
 
+def test_chunks_by_the_rule():
+    for text in (prose(5, 300), "x " * 100, "one", "é " * 40 + prose(6, 20) + "\n\t" + "y" * 500):
+        assert [tuple(x.encode() for x in c) for c in chunks(text)] == plain_chunks(text)
+
+
 def test_windows_cover_runs():
     r = random.Random(3)
     sizes = np.array([r.randint(1, 16) for _ in range(300)])
