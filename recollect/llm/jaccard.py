@@ -10,7 +10,8 @@ signature: a pigeonhole join on (band, block, signature) loses no pair. Bands ar
 
 Any global order is right; frequent shingles are put last, which keeps passages that thousands of
 documents share out of the join. Signatures travel packed: a task sends each bucket one binary row
-per million signatures, and the count of buckets grows with the corpus, so a bucket stays small.
+per million signatures, and the count of buckets grows with the corpus, so a bucket stays small;
+of a signature that a task meets often it sends a few entries only.
 
 Candidates are then compared by parity bit sketches of two bits or more per shingle (their
 Hamming distance bounds the symmetric difference from below), and what passes is verified on the
@@ -31,6 +32,7 @@ others only if all ids there are null.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +54,10 @@ BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
 PAIRS_A_TASK = 4000
 #: Sums of set sizes below 2**FINE use a block for each shingle.
 FINE = 8
-#: Bits of the filter by which tasks skip texts that no pair needs.
-BLOOM_BITS = 1 << 23
+#: Entries of one signature in a task from which on it sends only the leaders among them.
+LONG = 64
+#: Bits for each key of the filter by which tasks skip texts that no pair needs, and its most bytes.
+FILTER_BITS, FILTER_BYTES = 16, 64 << 20
 
 
 class Sets:
@@ -191,8 +195,37 @@ def signatures(s: Sets, use: np.ndarray, frequent: np.ndarray, percent: int) ->
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def leaders(sig: np.ndarray, key: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Entries in order of signature, size class and key, each once; whether each leads its class; and (leader, key) pairs.
+
+    The leader of a class of a run is its smallest key: the same few texts lead most runs of a group
+    of copies, so pairs recur. Leaders of neighbouring classes are paired too.
+    """
+    band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+    order = np.lexsort((key, band, sig))
+    sig, key, n, band = sig[order], key[order], n[order], band[order]
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    sig, key, n, band = sig[fresh], key[fresh], n[fresh], band[fresh]
+    begin = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    head = begin.copy()
+    head[1:] |= band[1:] != band[:-1]
+    at = np.arange(len(sig))
+    lead = np.maximum.accumulate(np.where(head, at, 0)) if len(sig) else at
+    prior = np.where(head & ~begin, lead[np.maximum(at - 1, 0)], at)
+    a = np.where(head, prior, lead)
+    fits = (a != at) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+    pairs = np.unique(np.column_stack([key[a[fits]], key[fits]]), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+    return sig, key, n, begin, head, pairs
+
+
 def packed_signatures(docs: DataFrame, seed: int, frequent, percent: int, buckets: int) -> DataFrame:
-    """(bucket, data): for each task and bucket, packed signatures, keys and set sizes."""
+    """(bucket, data, pairs, members): for each task and bucket, packed signatures, keys and set sizes.
+
+    Of a signature that a task has met LONG times or more, the bucket gets the leaders only, marked
+    as such; the pairs with them, and the other members, are known here already and go to
+    any bucket, which passes them on. So no bucket gets all of a large group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, count = set(), [], 0
@@ -201,17 +234,38 @@ def packed_signatures(docs: DataFrame, seed: int, frequent, percent: int, bucket
         def send():
             sig, key, n = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            sig, key, n, bucket = sig[order], key[order], n[order], bucket[order]
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            sig = sig >> np.uint64(16)  # so much of it travels
+            order = np.argsort(sig, kind="stable")
+            sig, key, n = sig[order], key[order], n[order].astype(np.int32)
+            edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+            long = np.repeat(np.diff(edge) >= LONG, np.diff(edge))
+            yield rows_of(sig[~long], key[~long], n[~long], 1)
+            if long.any():
+                sig, key, n, _, head, pairs = leaders(sig[long], key[long], n[long], percent)
+                yield rows_of(sig[head], key[head], n[head], -1)
+                yield from spread(pairs, sig[~head], key[~head], n[~head])
+
+        def rows_of(sig, key, n, sign):
+            """Packed entries, in order of signature, a row for each bucket; a negative count marks leaders of long runs."""
+            bucket = ((sig >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(sig) else np.zeros(1, np.int64)
             rows = []
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 ids, which = np.unique(key[a:z], return_index=True)
                 local = np.searchsorted(ids, key[a:z]).astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
-                short = (sig[a:z] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append(np.int64(len(ids)).tobytes() + ids.tobytes() + n[a:z][which].astype(np.int32).tobytes() + short.tobytes() + local.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(rows, pa.binary())], names=["bucket", "data"])
+                short = sig[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append(np.int64(sign * len(ids)).tobytes() + ids.tobytes() + n[a:z][which].astype(np.int32).tobytes() + short.tobytes() + local.tobytes())
+            none = pa.nulls(len(rows), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(rows, pa.binary()), none, none], names=names)
+
+        def spread(pairs, s, k, m):
+            """Known pairs and members in parts of a few thousand, each to a bucket of its own choice."""
+            step = 1 << 13
+            for at in range(0, max(len(pairs), len(s)), step):
+                p = pairs[at : at + step].tobytes()
+                x = s[at : at + step].astype("<u8").tobytes() + k[at : at + step].tobytes() + m[at : at + step].tobytes()
+                place = int(mixed(np.array([zlib.crc32(p + x)], np.uint64))[0] % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([None], pa.binary()), pa.array([p], pa.binary()), pa.array([x], pa.binary())], names=names)
 
         for b in blocks(batches, "text"):
             s = Sets(b.column(0), seed)
@@ -225,75 +279,77 @@ def packed_signatures(docs: DataFrame, seed: int, frequent, percent: int, bucket
         if held:
             yield from send()
 
-    return docs.select("text").mapInArrow(run, "bucket int, data binary")
+    names = ["bucket", "data", "pairs", "members"]
+    return docs.select("text").mapInArrow(run, "bucket int, data binary, pairs binary, members binary")
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures (their upper 48 bits), keys and set sizes of one packed row."""
+    """Signatures (their upper 48 bits), keys and set sizes (negative for leaders of long runs) of one packed row."""
     m = int(np.frombuffer(data, np.int64, 1)[0])
+    sign, m = np.int32(1 if m > 0 else -1), abs(m)
     ids, n, at = np.frombuffer(data, np.int64, m, 8), np.frombuffer(data, np.int32, m, 8 + 8 * m), 8 + 12 * m
     kind = np.uint16 if m < 1 << 16 else np.uint32
     count = (len(data) - at) // (6 + np.dtype(kind).itemsize)
     wide = np.zeros((count, 8), np.uint8)
     wide[:, :6] = np.frombuffer(data, np.uint8, 6 * count, at).reshape(-1, 6)
     local = np.frombuffer(data, kind, count, at + 6 * count)
-    return wide.view("<u8").ravel(), ids[local], n[local]
+    return wide.view("<u8").ravel(), ids[local], sign * n[local]
 
 
 def matches(packed: DataFrame, percent: int) -> DataFrame:
     """Entries that share a signature: (leader, key) pairs, sig null; and members (sig, key, n) of larger runs."""
     schema = pa.schema([("sig", pa.int64()), ("leader", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
-    def run(table: pa.Table) -> pa.Table:
-        sig, key, n = (np.concatenate(c) for c in zip(*(unpacked(x.as_py()) for x in table.column("data")), strict=True))
-        ordered = np.sort(sig)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        some = np.isin(sig, twice, kind="sort") if len(twice) else np.zeros(len(sig), bool)
-        sig, key, n = sig[some], key[some], n[some]
-        # a run's leader in a size class is its smallest key: the same few texts lead most runs of a
-        # group of copies, so pairs recur; leaders of neighbouring classes are paired too
-        band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
-        order = np.lexsort((key, band, sig))
-        sig, key, n, band = sig[order], key[order], n[order], band[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, key, n, band = sig[fresh], key[fresh], n[fresh], band[fresh]
-        begin = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-        run_no = np.cumsum(begin) - 1
-        length = np.bincount(run_no)[run_no] if len(sig) else np.zeros(0, np.int64)
-        head = begin.copy()
-        head[1:] |= band[1:] != band[:-1]
-        at = np.arange(len(sig))
-        lead = np.maximum.accumulate(np.where(head, at, 0)) if len(sig) else at
-        prior = np.where(head & ~begin, lead[np.maximum(at - 1, 0)], at)
-        a = np.where(head, prior, lead)
-        fits = (a != at) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
-        pairs = np.unique(np.column_stack([key[a[fits]], key[fits]]), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
-        many = length > 2
-        none = pa.nulls(len(pairs), pa.int64()), pa.nulls(int(many.sum()), pa.int64())
-        return pa.concat_tables([
+    def given(pairs: np.ndarray, sig: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[pa.Table]:
+        none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(sig), pa.int64())
+        return [
             pa.Table.from_arrays([none[0], pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())], schema=schema),
-            pa.Table.from_arrays([pa.array(sig[many].astype(np.int64)), none[1], pa.array(key[many]), pa.array(n[many].astype(np.int32))], schema=schema),
-        ])
+            pa.Table.from_arrays([pa.array(sig.astype(np.int64)), none[1], pa.array(key), pa.array(n.astype(np.int32))], schema=schema),
+        ]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for p, x in zip(table.column("pairs").drop_null(), table.column("members").drop_null(), strict=True):
+            x = x.as_py()
+            m = len(x) // 20
+            out += given(np.frombuffer(p.as_py(), np.int64).reshape(-1, 2), np.frombuffer(x, np.uint64, m), np.frombuffer(x, np.int64, m, 8 * m), np.frombuffer(x, np.int32, m, 16 * m))
+        sent = [unpacked(x.as_py()) for x in table.column("data").drop_null()]
+        if sent:
+            sig, key, n = (np.concatenate(c) for c in zip(*sent, strict=True))
+            ordered = np.sort(sig)
+            twice = np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], sig[n < 0]])
+            some = np.isin(sig, twice, kind="sort") if len(twice) else np.zeros(len(sig), bool)
+            sig, key, n = sig[some], key[some], n[some]
+            long = np.unique(sig[n < 0])
+            sig, key, n, begin, _, pairs = leaders(sig, key, np.abs(n), percent)
+            length = np.bincount(np.cumsum(begin) - 1)[np.cumsum(begin) - 1] if len(sig) else np.zeros(0, np.int64)
+            many = (length > 2) | np.isin(sig, long, kind="sort")
+            out += given(pairs, sig[many], key[many], n[many])
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return packed.groupBy("bucket").applyInArrow(run, "sig long, leader long, key long, n int")
 
 
-def bloom(ids: DataFrame) -> bytes:
-    """A filter of BLOOM_BITS bits with the bit of every key set; its size does not depend on the input."""
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A filter with the bit of every key set, as 64-bit words; its size follows the keys, up to FILTER_BYTES.
+
+    Beyond that it lets more keys by than it must, which costs time but loses none.
+    """
+    count = ids.count()
+    bits = min(8 * FILTER_BYTES, 1 << max(12, (FILTER_BITS * count - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(BLOOM_BITS // 64, np.uint64)
         for b in batches:
-            spot = mixed(b.column(0).to_numpy().view(np.uint64)) % np.uint64(BLOOM_BITS)
-            np.bitwise_or.at(words, spot >> np.uint64(6), np.uint64(1) << (spot & np.uint64(63)))
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "word"])
+            spot = mixed(b.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)
+            at, local = np.unique(spot >> np.uint64(6), return_inverse=True)
+            words = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(words, local, np.uint64(1) << (spot & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(words.view(np.int64))], names=["at", "word"])
 
-    got = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
-    words = np.zeros(BLOOM_BITS // 64, np.int64)
-    words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64)
-    return words.tobytes()
+    got = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+    return words
 
 
 def needed_sets(docs: DataFrame, seed: int, ids: DataFrame) -> DataFrame:
@@ -314,8 +370,8 @@ def needed_sets(docs: DataFrame, seed: int, ids: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n int, sketch binary, members binary")
 
 
-def _in_bloom(bits: bytes, key: np.ndarray) -> np.ndarray:
-    words, spot = np.frombuffer(bits, np.uint64), mixed(key.view(np.uint64)) % np.uint64(BLOOM_BITS)
+def _in_bloom(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = mixed(key.view(np.uint64)) & np.uint64(64 * len(words) - 1)
     return (words[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -369,7 +425,7 @@ def sure(percent: int):
     def test(m: int, n: int, x: bytes, y: bytes) -> float | None:
         u, v = (np.zeros((len(z) // 6, 8), np.uint8) for z in (x, y))
         u[:, 2:], v[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6), np.frombuffer(y, np.uint8).reshape(-1, 6)
-        both = len(np.intersect1d(u.view("<u8").ravel(), v.view("<u8").ravel(), assume_unique=True))
+        both = len(np.intersect1d(u.view("<u8").ravel(), v.view("<u8").ravel()))
         return 1.0 if 100 * both >= percent * (m + n - both) else None
 
     return test
@@ -409,12 +465,18 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one run, but different labels, that pass the size and sketch tests.
 
-    runs: sig, key, n, label. A run's members are compared in numpy, a part with a part, and only
-    what passes is given out; parts of long runs go to different groups, so no task gets it all.
+    runs: sig, key, n, label. Members of a run's largest component are compared with those outside
+    of it only. Members are compared in numpy, a part with a part, and only what passes is given
+    out; parts of long runs go to different groups, so no task gets it all. The largest component
+    has the first parts; they meet the others, and these one another.
     """
-    counted = runs.join(runs.groupBy("sig").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sig")
-    own = counted.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "n", "label")
+    parts = lambda n: F.ceil(n / PART).cast("int")
+    sizes = runs.groupBy("sig", "label").agg(F.count("*").alias("members")).groupBy("sig").agg(F.max(F.struct("members", "label")).alias("main"), F.sum("members").alias("all"))
+    counted = runs.join(sizes.select("sig", F.col("main.label").alias("main"), parts(F.col("main.members")).alias("inner"), parts(F.col("all") - F.col("main.members")).alias("outer")), "sig")
+    inside = F.col("label") == F.col("main")
+    spot = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    own = counted.withColumn("part", F.when(inside, spot(F.col("inner"))).otherwise(F.col("inner") + spot(F.col("outer"))))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1))).select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "n", "label")
     rows = dealt.join(sketches, "key").select("sig", "lo", "hi", "part", "key", "n", "label", "sketch")
 
     def compared(key, n, label, part, sketch, apart: bool) -> np.ndarray:
@@ -529,6 +591,23 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
             labels = components(links)
     discard(entries, first, sets, passed, chosen, tried, links)
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    smallest = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
-    out = placed.join(smallest, "label", "left")
-    return out.select(F.col("id").alias(ident), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    groups = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("smallest"), F.count("*").alias("size")).filter("size > 1")
+    return named(placed, stored(groups, "groups"), found.count(), ident)
+
+
+#: One group in so many rows is large enough to be looked up from a broadcast table, which has fewer rows than this.
+LARGE = 1000
+
+
+def named(placed: DataFrame, groups: DataFrame, rows: int, ident: str) -> DataFrame:
+    """The rows of placed (id, key, n, label) with the smallest id of their group; those without a group with their own.
+
+    Groups of more than a LARGE-th of all rows, of which there are fewer than LARGE, are broadcast;
+    their rows take part in the join with the other groups under their own keys, where they meet none.
+    """
+    large = F.col("size") > rows / LARGE
+    first = placed.join(F.broadcast(groups.filter(large).select("label", F.col("smallest").alias("large_id"), F.lit(True).alias("large"))), "label", "left")
+    place = F.when(F.col("large").isNull(), F.col("label")).otherwise(F.col("key"))
+    out = first.withColumn("place", place).join(groups.filter(~large).select(F.col("label").alias("place"), "smallest", F.lit(True).alias("small")), "place", "left")
+    component = F.when(F.col("large"), F.col("large_id")).when(F.col("small"), F.col("smallest")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(ident), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, component).otherwise(F.col("id")).alias("component_id"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import jaccard as J
 from recollect.llm.components import components
@@ -64,6 +65,36 @@ def test_groups_near_the_threshold(spark):
     assert result(J.linked(table(spark, rows).repartition(3))) == brute(enumerate(docs))
 
 
+@pytest.mark.parametrize(("long", "part"), [(4, 8), (64, 1024)])
+def test_long_runs(spark, monkeypatch, long, part):
+    """A large group in several tasks, texts near it and texts that share passages with it."""
+    monkeypatch.setattr(J, "LONG", long)
+    monkeypatch.setattr(J, "PART", part)
+    docs = variants(1, 150, 80, 6) + variants(2, 40, 80, 14) + [t + " " + " ".join(f"z{k}{j}" for j in range(30)) for k, t in enumerate(variants(1, 20, 80, 3))]
+    rows = [(i, t, "en", "s") for i, t in enumerate(docs)]
+    random.Random(2).shuffle(rows)
+    assert result(J.linked(table(spark, rows).repartition(4))) == brute([(i, t) for i, t, *_ in rows])
+
+
+def test_a_large_group_of_near_copies(spark):
+    """50,000 texts that differ in one word, 40 that differ in more, and a few alone."""
+    base = [f"w{k}" for k in range(12)]
+    near = spark.range(50_000).selectExpr("id as doc_id", f"concat('{' '.join(base)} x', id, ' {' '.join(f'u{k}' for k in range(60))}') as text")
+    apart = spark.range(50_000, 50_040).selectExpr("id as doc_id", f"concat('{' '.join(base[:7])} y', id, ' {' '.join(f'u{k}' for k in range(40))}') as text")
+    other = spark.range(60_000, 60_010).selectExpr("id as doc_id", "concat('a text with few words number ', id) as text")
+    got = J.linked(near.unionAll(apart).unionAll(other).repartition(8)).groupBy("component_id").count().collect()
+    assert {r.component_id: r["count"] for r in got if r["count"] > 1} == {0: 50_000, 50_000: 40} and len(got) == 12
+
+
+def test_large_groups_are_named_without_their_key(spark, monkeypatch):
+    monkeypatch.setattr(J, "LARGE", 3)
+    rows = [(i, k, 0, 5, label) for i, (k, label) in enumerate([(9, 9), (1, 9), (2, 9), (3, 3), (4, 3), (5, 5), (6, 6)])] + [(None, 7, 0, 5, 7), (8, 8, 0, 0, 8)]
+    placed = spark.createDataFrame(rows, "id long, key long, check long, n int, label long")
+    groups = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("smallest"), F.count("*").alias("size")).filter("size > 1")
+    got = {r.doc_id: r.component_id for r in J.named(placed, groups, 8, "doc_id").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6, None: None, 8: 8}
+
+
 def test_edges(spark):
     got = J.linked(clashing(spark)).collect()
     by = defaultdict(set)
