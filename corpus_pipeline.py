@@ -33,19 +33,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of the smallest id, of each group of linked documents; of repeated rows one.
 
     The ids to drop are written first: few of them are broadcast, by the size of their files, so the
-    texts stay where they are; many are joined by sort and merge. Rows without an id stay.
+    texts stay where they are; many are joined by sort and merge. Where ids are null or repeated,
+    rows are told apart by a number beside the id, and null ids come first.
     """
     links = stored(jaccard.linked(docs), "linked")
-    dropped = stored(links.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = links.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    if not links.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        dropped = stored(links.filter(F.col("component_id") != F.col("doc_id")).select("doc_id"), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"doc_{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id())
+    numbered = stored(plain.withColumn("place", F.struct(f"doc_{names.index('doc_id')}", "row")), "numbered")
+    links = stored(jaccard.linked(numbered, "place", f"doc_{names.index('text')}"), "linked")
+    dropped = stored(links.filter(F.col("component_id") != F.col("place")).select(F.col("place.row").alias("row")), "dropped")
+    kept = numbered.join(dropped, "row", "left_anti")
+    return kept.select(*[F.col(f"doc_{i}").alias(n) for i, n in enumerate(names)])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one (or place) has."""
+    """All documents, without the passages that an earlier one (or place) has; n_chars follows, if there is one."""
     cut = substring.without_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
