@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASHES = 128
-#: A prime above 2**31, modulus of the MinHash permutations (fixed value).
-PRIME = (1 << 61) - 1
+TERM = re.compile("[a-z0-9_]+")
+#: Texts fingerprinted together; hashes of terms that a task remembers.
+PRINT_ROWS, KNOWN_TERMS = 500, 500_000
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -17,22 +25,42 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def simhash(docs: DataFrame, ident: str = "id", text: str = "content") -> DataFrame:
-    """(id, simhash): 64 bits, each the sign of a sum over the text's term counts.
+    """(id, simhash): 64 bits, each the sign of a sum over the text's term counts; no terms give 0.
 
-    Terms are hashed by the first 64 bits of MD5, so any engine can repeat it. One aggregation by
-    id and term, then one by id with 64 conditional sums, both combined map-side.
+    Terms are hashed by the first 64 bits of MD5, so any engine can repeat it. A narrow map over
+    Arrow blocks: nothing is shuffled, and a task hashes each term once as a rule.
     """
-    found = docs.select(ident, F.explode(F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"), lambda t: t != "")).alias("term"))
-    counted = found.groupBy(ident, "term").agg(F.count("*").alias("tf"))
-    halves = [F.conv(F.substring(F.md5("term"), 1 + 8 * k, 8), 16, 10).cast("long").alias(f"h{k}") for k in range(2)]
-    hashed = counted.select(ident, "tf", *halves)
-    bits = [F.sum(F.when(F.col(f"h{b // 32}").bitwiseAND(F.lit(1 << b % 32)) != 0, F.col("tf")).otherwise(-F.col("tf"))).alias(f"b{b}") for b in range(64)]
-    summed = hashed.groupBy(ident).agg(*bits)
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        weight = (1 << b) - (1 << 64 if b == 63 else 0)
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(weight)).otherwise(F.lit(0)).cast("long"))
-    return docs.select(ident).join(summed.select(ident, value.alias("simhash")), ident, "left").select(ident, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    fields = [T.StructField(ident, docs.schema[ident].dataType), T.StructField("simhash", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, PRINT_ROWS):
+                b = batch.slice(at, PRINT_ROWS)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_simhashes(b.column(1).to_pylist(), known))], names=[ident, "simhash"])
+                if len(known) > KNOWN_TERMS:
+                    known.clear()
+
+    return docs.select(docs[ident], docs[text]).mapInArrow(run, T.StructType(fields))
+
+
+def _simhashes(texts: list[str | None], known: dict[str, int]) -> np.ndarray:
+    found = [Counter(TERM.findall((t or "").lower())) for t in texts]
+    terms = list(set().union(*found))
+    for t in terms:
+        if t not in known:
+            d = md5(t.encode(), usedforsecurity=False).digest()
+            known[t] = int.from_bytes(d[:4], "big") | int.from_bytes(d[4:8], "big") << 32  # bits 0 to 31 from the first four bytes
+    place = {t: k for k, t in enumerate(terms)}
+    hashes = np.array([known[t] for t in terms], np.uint64)
+    signs = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) * 2 - 1
+    out = np.zeros(len(texts), np.uint64)
+    for k, counts in enumerate(found):
+        if counts:
+            tf = np.fromiter(counts.values(), np.int64, len(counts))
+            total = tf @ signs[np.fromiter((place[t] for t in counts), np.int64, len(counts))]
+            out[k] = np.packbits((total > 0).astype(np.uint8), bitorder="little").view("<u8")[0]
+    return out.view(np.int64)
 
 
 def literal_term_hash(term: Column) -> Column:
@@ -96,6 +124,17 @@ def signature_similarity(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when(F.size(x) != F.size(y), 0.0).otherwise(same / F.size(x))
 
 
+def minhash_sql(name: str = "sig") -> str:
+    """Common table expressions that end in `name` (id, minhash): the same signatures in SQL, from documents."""
+    a, b = _permutations()
+    mins = ", ".join(f"min((({int(x)}::UBIGINT * h) + {int(y)}) & 4294967295)" for x, y in zip(a, b, strict=True))
+    return f"""code AS (SELECT doc_id AS id, list_transform(string_split('  ' || lower(text) || '  ', ''), lambda c: CAST(unicode(c) AS UBIGINT)) AS c FROM documents WHERE regexp_matches(text, '\\S')),
+ gram AS (SELECT DISTINCT id, xor(xor(x << 42, y << 21), z) AS g FROM (SELECT id, unnest(c[1:len(c) - 2]) AS x, unnest(c[2:len(c) - 1]) AS y, unnest(c[3:len(c)]) AS z FROM code)),
+ hash AS (SELECT id, CAST(((CAST(g AS HUGEINT) * {0x9E3779B97F4A7C15}::HUGEINT) % 18446744073709551616::HUGEINT) // 4294967296 AS UBIGINT) AS h FROM gram),
+ least128 AS (SELECT id, [{mins}] AS minhash FROM hash GROUP BY id),
+ {name} AS (SELECT d.doc_id AS id, coalesce(minhash, list_transform(range(0, {HASHES}), lambda x: CAST(0 AS UBIGINT))) AS minhash FROM documents d LEFT JOIN least128 m ON m.id = d.doc_id)"""
+
+
 def leading_gram(text: Column) -> Column:
     """What the literal MinHash of the model comes to: the smallest 3-gram of the padded text."""
     c = F.split(F.concat(F.lit("  "), F.lower(text), F.lit("  ")), "")

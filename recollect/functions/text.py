@@ -46,19 +46,32 @@ def word_set(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(x), BLANK), lambda t: F.length(t) > 2))
 
 
-def contains_terms(x: Column, words: list[str], prefixes: tuple[str, ...] = ()) -> Column:
-    """All words occur as terms, and some term begins with each prefix."""
+def contains_terms(x: Column, words: list[str], prefixes: tuple[str, ...] = (), any_of: tuple[str, ...] = ()) -> Column:
+    """All words occur as terms, some term begins with each prefix, and one of any_of occurs if there are any."""
     found = terms(x)
     begins = lambda p: F.exists(found, lambda t: t.startswith(p))
     tests = [F.array_contains(found, w) for w in words] + [begins(p) for p in prefixes]
+    tests += [F.arrays_overlap(found, F.array(*map(F.lit, any_of)))] if any_of else []
     out = F.lit(True)
     for t in tests:
         out = out & t
     return out
 
 
+def holds(x: Column, part: str) -> Column:
+    """Whether the text contains the part, case aside; % and _ stand for themselves."""
+    plain = part.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return x.ilike(f"%{plain}%")
+
+
+def tags_text(tags: Column) -> Column:
+    """Tags as the JSON array that tags_from_text reads."""
+    return F.to_json(F.coalesce(tags, F.array().cast("array<string>")))
+
+
 def has_private_tags(x: Column) -> Column:
-    return x.rlike("(?is)<(private|secret)>.*?</\\1>")
+    """Whether a private part is marked; null has none."""
+    return F.coalesce(x.rlike("(?is)<(private|secret)>.*?</\\1>"), F.lit(False))
 
 
 def strip_private_tags(x: Column) -> Column:
@@ -68,7 +81,8 @@ def strip_private_tags(x: Column) -> Column:
 
 
 def has_secret(x: Column) -> Column:
-    return x.rlike("|".join(f"(?:{p})" for p, _ in SECRETS.values()))
+    """Whether any pattern of a secret occurs; null has none."""
+    return F.coalesce(x.rlike("|".join(f"(?:{p})" for p, _ in SECRETS.values())), F.lit(False))
 
 
 def secret_kinds(x: Column) -> Column:
@@ -108,9 +122,10 @@ def denied(path: Column, patterns: list[str]) -> Column:
 
 
 def storable(x: Column, path: Column, patterns: list[str], mode: str = "moderate") -> Column:
+    """Whether a text may be stored: nothing private, no secret, no denied path; null texts and paths hold nothing that forbids it."""
     if mode == "off":
         return F.lit(True)
-    return ~(has_private_tags(x) | has_secret(x) | denied(path, patterns))
+    return ~(has_private_tags(x) | has_secret(x) | F.coalesce(denied(path, patterns), F.lit(False)))
 
 
 def tags_from_text(x: Column) -> Column:

@@ -13,11 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring as X
-from recollect.functions.hashing import HASHES, hamming, minhash, simhash
-from recollect.sources.storage import fresh
-
-#: Widths of the five slices of a 64-bit fingerprint: within 4 bits, two agree on one slice.
-SLICES = (13, 13, 13, 13, 12)
+from recollect.functions.hashing import HASHES, hamming, minhash, signature_similarity, simhash
+from recollect.sources.storage import kept as stored
+
+#: Widths of the six slices of a 64-bit fingerprint: within 4 bits, at least two agree.
+SLICES = (11, 11, 11, 11, 10, 10)
+#: Signatures that share a rare element are compared: so many of the most frequent elements are known as such, from
+#: about so many signatures. They only set an order, so that a bound on both costs time at worst, never a pair.
+FREQUENT, SAMPLED = 1 << 16, 1 << 18
 #: Most signatures of a bucket on one side of a comparison (about); rows and columns compared at a time.
 PART, TILE = 8192, (256, 4096)
 
@@ -30,22 +33,29 @@ def _distinct_values(prints: DataFrame, column: str) -> DataFrame:
 def hamming_pairs(prints: DataFrame, most: int = 4, column: str = "simhash") -> DataFrame:
     """(id_a, id_b, distance) of distinct fingerprints within so many bits, each by its smallest id.
 
-    Exact: by the pigeonhole principle a pair within 4 bits agrees on at least one of five slices.
-    A pair is kept at its first common slice only, which spares a distinct. Blank texts (0) are left
-    out, and equal fingerprints are one row (see hamming_groups for their members).
+    Exact: by the pigeonhole principle a pair within 4 bits agrees on at least two of six slices. So
+    fingerprints meet under 21 or 22 bits, in a join whose skewed keys AQE splits; a pair is kept at
+    its first two common slices only, which spares a distinct. Blank texts (0) are left out, and
+    equal fingerprints are one row (see print_groups for their members).
     """
-    if most >= len(SLICES):
-        raise ValueError(f"{len(SLICES)} slices find at most {len(SLICES) - 1} bits")
+    if most > len(SLICES) - 2:
+        raise ValueError(f"two of {len(SLICES)} slices find at most {len(SLICES) - 2} bits")
     values = _distinct_values(prints.filter(F.col(column) != 0), column)
     shift, parts = 0, []
     for width in SLICES:
         parts.append(F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit((1 << width) - 1)))
         shift += width
-    keyed = values.withColumn("parts", F.array(*parts)).select("id", column, "parts", F.posexplode("parts").alias("slice", "value"))
-    a, b = (keyed.select("slice", "value", F.col("id").alias(f"id_{k}"), F.col(column).alias(f"h_{k}"), F.col("parts").alias(f"p_{k}")) for k in "ab")
-    first = F.array_position(F.zip_with("p_a", "p_b", lambda x, y: x == y), F.lit(True)) == F.col("slice") + 1
-    joined = a.join(b, ["slice", "value"]).filter((F.col("id_a") < F.col("id_b")) & first)
-    return joined.select("id_a", "id_b", hamming(F.col("h_a"), F.col("h_b")).alias("distance")).filter(F.col("distance") <= most)
+    pairs = [(i, j) for i in range(len(SLICES)) for j in range(i + 1, len(SLICES))]
+    keys = F.array(*[F.shiftleft(parts[i], 32).bitwiseOR(parts[j]) for i, j in pairs])
+    keyed = values.withColumn("parts", F.array(*parts)).select("id", column, "parts", F.posexplode(keys).alias("slices", "value"))
+    a, b = (keyed.select("slices", "value", F.col("id").alias(f"id_{k}"), F.col(column).alias(f"h_{k}"), F.col("parts").alias(f"p_{k}")) for k in "ab")
+    near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= most
+    joined = a.join(b, ["slices", "value"]).filter((F.col("id_a") < F.col("id_b")) & near)
+    same = F.zip_with("p_a", "p_b", lambda x, y: x == y)
+    one = F.array_position(same, F.lit(True))
+    two = one + F.array_position(F.slice(same, one.cast("int") + 1, F.lit(len(SLICES))), F.lit(True))
+    first = F.array_position(F.array(*[F.lit(10 * (i + 1) + j + 1) for i, j in pairs]), (10 * one + two).cast("int")) == F.col("slices") + 1
+    return joined.filter(first).select("id_a", "id_b", hamming(F.col("h_a"), F.col("h_b")).alias("distance"))
 
 
 def _close(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,22 +80,67 @@ def _close(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndar
                 yield r[ok], c[ok], same[ok]
 
 
-def minhash_pairs(signatures: DataFrame, least: float = 0.7, bands: int = 32) -> DataFrame:
-    """(id_a, id_b, similarity) of distinct signatures by banded blocking, verified on the signatures.
+def _elements(sets: np.ndarray) -> np.ndarray:
+    """Each value of each signature with its place, as one number."""
+    return sets.astype(np.uint64) | (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))
+
+
+def _frequent(values: DataFrame) -> np.ndarray:
+    """The most frequent elements of a sample of signatures, rarest first; at most FREQUENT of them."""
+    n = values.count()
+    some = values if n <= SAMPLED else values.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLED / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, n = np.unique(_elements(_matrix(b.column(0))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["e", "n"])
+
+    counts = some.select("minhash").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).filter("n > 1")
+    return counts.orderBy(F.desc("n"), "e").limit(FREQUENT).toArrow().column("e").to_numpy().view(np.uint64)[::-1]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.uint32).reshape(len(column), HASHES)
+
+
+def _order(elements: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Numbers that put elements in one global order: those not known as frequent first."""
+    if not len(known):
+        return elements
+    spot = np.minimum(np.searchsorted(known, elements), len(known) - 1)
+    return np.where(known[spot] == elements, (np.uint64(1) << np.uint64(63)) | rank[spot], elements)
 
-    All signatures that share a band are compared, in parts of PART rows of a bucket, each pair of
-    parts by itself; a pair is kept at its first common band only. With 32 bands of 4 rows a pair at
-    0.7 is missed with a probability of 1.5e-4. Equal signatures are one row, by their smallest id
-    (see print_groups for their members); values have 32 bits, as minhash gives them.
+
+def minhash_pairs(signatures: DataFrame, least: float = 0.7) -> DataFrame:
+    """(id_a, id_b, similarity) of distinct signatures that agree on that share of places; exact.
+
+    Two signatures that agree on n of HASHES places share one of the first HASHES - n + 1 elements
+    (place and value) of each, in any global order; frequent ones come last in it, so few others
+    meet. All signatures that share such an element are compared, in parts of PART rows of a bucket,
+    each pair of parts by itself; a pair is kept at its first common element only. Equal signatures
+    are one row, by their smallest id (see print_groups for their members); values have 32 bits, as
+    minhash gives them.
     """
-    rows = HASHES // bands
-    values = signatures.groupBy("minhash").agg(F.min("id").alias("id"))
-    keys = [F.xxhash64(F.slice("minhash", 1 + rows * k, rows)) for k in range(bands)]
-    slim = values.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
-    shared = slim.groupBy("band", "key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = slim.join(shared, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    need = int(np.ceil(least * HASHES - 1e-9))
+    values = stored(signatures.groupBy("minhash").agg(F.min("id").alias("id")), "signatures")
+    frequent = _frequent(values)
+    by = np.argsort(frequent)
+    known, rank = values.sparkSession.sparkContext.broadcast(frequent[by]), values.sparkSession.sparkContext.broadcast(by.astype(np.uint64))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                order = _order(_elements(_matrix(b.column(1))), known.value, rank.value)
+                place = np.argpartition(order, HASHES - need, axis=1)[:, : HASHES - need + 1]
+                first = np.take_along_axis(_elements(_matrix(b.column(1))), place, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), place.shape[1])), pa.array(place.ravel().astype(np.int32)), pa.array(first.ravel().view(np.int64))], names=["id", "band", "key"])
+
+    slim = values.select("id", "minhash").mapInArrow(chosen, "id long, band int, key long")
+    shared = slim.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = slim.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    run = F.xxhash64("band", "key", F.least("part", "other"), F.greatest("part", "other")).alias("run")
+    run = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("run")
     dealt = placed.select("id", "band", "part", F.col("part").eqNullSafe(F.col("other")).alias("alone"), run).join(values, "id").repartition("run").sortWithinPartitions("run", "part")
 
     def pairs(run: list[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +148,16 @@ def minhash_pairs(signatures: DataFrame, least: float = 0.7, bands: int = 32) ->
         if t.num_rows < 2:
             return
         ids, band, part, alone = (t.column(c).to_numpy() for c in ("id", "band", "part", "alone"))
-        sets = pc.list_flatten(t.column("minhash")).to_numpy().astype(np.uint32).reshape(len(ids), HASHES)
+        sets = _matrix(t.column("minhash").combine_chunks())
+        order = _order(_elements(sets), known.value, rank.value)
         within, cut = bool(alone.all()), int(np.searchsorted(part, part[0], "right"))
         for i in range(0, len(ids) if within else cut, TILE[0]):
             head = np.arange(i, min(i + TILE[0], len(ids) if within else cut))
             rest = np.arange(i if within else cut, len(ids))
             for r, c, same in _close(sets[head], sets[rest], least):
                 r, c = head[r], rest[c]
-                lead = same.reshape(len(r), bands, rows).all(axis=2)
-                keep = lead[np.arange(len(r)), band[r]] & (lead.argmax(axis=1) == band[r]) & ((r < c) | (not within))
+                first = np.where(same, order[r], np.uint64((1 << 64) - 1)).argmin(axis=1)
+                keep = (first == band[r]) & ((r < c) | (not within))
                 r, c, same = ids[r[keep]], ids[c[keep]], same[keep].sum(axis=1) / HASHES
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c)), pa.array(same)], names=["id_a", "id_b", "similarity"])
@@ -128,13 +184,6 @@ def print_groups(prints: DataFrame, column: str) -> DataFrame:
     return prints.join(prints.groupBy(column).agg(F.min("id").alias("first_id")), column).select("id", "first_id")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def every_pair(pairs: DataFrame, prints: DataFrame, column: str) -> DataFrame:
     """(id_a, id_b): pairs of fingerprints, by their smallest ids, as pairs of all ids that have them."""
     groups = print_groups(prints, column)
@@ -150,33 +199,101 @@ def text_classes(memories: DataFrame) -> DataFrame:
     return print_groups(memories.select("id", F.coalesce("content", F.lit("")).alias("content")), "content").withColumnRenamed("first_id", "class_id")
 
 
+def mergeable(memories: DataFrame, project: str | None = None, kind: str | None = None) -> DataFrame:
+    """Memories that detection looks at, of one project or type if given."""
+    m = memories.filter("is_mergeable and not is_merged and is_active")
+    if project is not None:
+        m = m.filter(F.col("project_id") == project)
+    return m if kind is None else m.filter(F.col("type") == kind)
+
+
+def fingerprints(memories: DataFrame) -> DataFrame:
+    """(id, simhash, minhash) of each memory."""
+    return simhash(memories.select("id", "content")).join(memories.select("id", minhash(F.col("content")).alias("minhash")), "id")
+
+
+def simhash_candidates(prints: DataFrame, target: int, most: int = 4) -> DataFrame:
+    """(id, distance): others within so many bits of one target; a scan, as its fingerprint is a literal."""
+    own = prints.filter(F.col("id") == target).select("simhash").first()
+    if own is None:
+        return prints.select("id", F.lit(0).alias("distance")).filter(F.lit(False))
+    distance = hamming(F.col("simhash"), F.lit(own[0]))
+    return prints.filter(F.col("id") != target).select("id", distance.alias("distance")).filter(F.col("distance") <= most)
+
+
+def minhash_candidates(prints: DataFrame, target: int, least: float = 0.7) -> DataFrame:
+    """(id, similarity): others whose signature agrees with one target's in that share of places."""
+    own = prints.filter(F.col("id") == target).select("minhash").first()
+    if own is None:
+        return prints.select("id", F.lit(0.0).alias("similarity")).filter(F.lit(False))
+    alike = signature_similarity(F.col("minhash"), F.array(*[F.lit(int(x)).cast("long") for x in own[0]]))
+    return prints.filter(F.col("id") != target).select("id", alike.alias("similarity")).filter(F.col("similarity") >= least)
+
+
 def candidates(memories: DataFrame, most: int = 4, least: float = 0.7) -> DataFrame:
-    """(id_a, id_b, matched) of distinct texts within so many bits or of so much MinHash similarity.
+    """(id_a, id_b, matched, score) of distinct texts within so many bits or of so much MinHash similarity.
 
-    matched is both, simhash or minhash. Texts that differ pair even if their fingerprints are
-    equal; copies of a text are one class (see text_classes), here by its smallest id.
+    matched is both, simhash or minhash; score is the larger of the two similarities. Texts that
+    differ pair even if their fingerprints are equal; copies of a text are one class (see
+    text_classes), here by its smallest id.
     """
     heads = memories.join(text_classes(memories).filter("id = class_id").select("id"), "id", "left_semi")
-    both = simhash(heads.select("id", "content")).join(heads.select("id", minhash(F.col("content")).alias("minhash")), "id")
-    found = stored(both, "prints")  # read by many branches, each of which would plan it anew
+    found = stored(fingerprints(heads), "prints")  # read by many branches, each of which would plan it anew
     prints, signatures = found.select("id", "simhash").filter("simhash <> 0"), found.select("id", "minhash")
     near = every_pair(hamming_pairs(prints, most), prints, "simhash").withColumn("kind", F.lit("simhash"))
     alike = every_pair(minhash_pairs(signatures, least), signatures, "minhash").withColumn("kind", F.lit("minhash"))
     kinds = near.unionByName(alike).groupBy("id_a", "id_b").agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
-    return kinds.select("id_a", "id_b", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("both").alias("matched"))
+    matched = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("both").alias("matched")
+    a, b = (found.select(F.col("id").alias(f"id_{k}"), F.col("simhash").alias(f"s_{k}"), F.col("minhash").alias(f"m_{k}")) for k in "ab")
+    score = F.greatest(1 - hamming(F.col("s_a"), F.col("s_b")) / 64, signature_similarity(F.col("m_a"), F.col("m_b")))
+    return kinds.select("id_a", "id_b", matched).join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "matched", score.alias("score"))
 
 
-def described(pairs: DataFrame, memories: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs with cosine, confidence level and reason; those without both vectors drop out."""
-    info = memories.select("id", "type", "tags", F.length("content").alias("len")).join(vectors.select("id", "v"), "id")
+def stage_one(memories: DataFrame, most: int = 4, least: float = 0.7) -> DataFrame:
+    """candidates(), and each class of copies as pairs of its smallest id with its other members (both, 1)."""
+    copies = text_classes(memories).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"), F.lit("both").alias("matched"), F.lit(1.0).alias("score"))
+    return candidates(memories, most, least).unionByName(copies)
+
+
+def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """pairs with `similarity`, the cosine of sparse unit vectors (id, bucket, weight), to nine places; 0 without common buckets."""
+    a, b = (weights.select(F.col("id").alias(f"id_{k}"), "bucket", F.col("weight").alias(f"w_{k}")) for k in "ab")
+    dots = pairs.select("id_a", "id_b").join(a, "id_a").join(b, ["id_b", "bucket"]).groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
+    return pairs.join(dots, ["id_a", "id_b"], "left").withColumn("similarity", F.round(F.coalesce("dot", F.lit(0.0)), 9)).drop("dot")
+
+
+def detected(memories: DataFrame, weights: DataFrame, threshold: float = 0.85, per_node: int = 10, limit: int = 50, stage1_only: bool = False) -> DataFrame:
+    """(id_a, id_b, similarity, method, level, reason): likely duplicates among mergeable memories, best first chosen.
+
+    Stage 1 finds pairs by fingerprints; stage 2 keeps those of a cosine of `threshold` or more and
+    chooses greedily, each memory in at most per_node pairs, `limit` in all. stage1_only gives all
+    pairs of the first stage with its score.
+    """
+    pairs = stored(stage_one(memories), "stage1")
+    if stage1_only:
+        method = F.when(F.col("matched") == "both", "simhash").otherwise(F.col("matched"))
+        return pairs.select("id_a", "id_b", F.col("score").alias("similarity"), method.alias("method"), F.lit("low").alias("level"), F.lit("Stage 1 candidate (embedding analysis skipped)").alias("reason"))
+    ranked = stored(cosines(pairs.select("id_a", "id_b"), weights).filter(F.col("similarity") >= threshold), "ranked")
+    return explained(greedy_pairs(ranked, per_node, limit), memories).select("id_a", "id_b", "similarity", F.lit("embedding").alias("method"), "level", "reason")
+
+
+def explained(pairs: DataFrame, memories: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b, similarity) with what confidence and reason go by: types, tag overlap, length ratio."""
+    info = memories.select("id", "type", "tags", F.length("content").alias("len"))
     a, b = (info.select(*[F.col(c).alias(f"{c}_{k}") for c in info.columns]) for k in "ab")
-    both = pairs.select("id_a", "id_b").join(a, "id_a").join(b, "id_b")
-    overlap, ratio = X.tag_overlap(F.col("tags_a"), F.col("tags_b")), X.length_ratio(F.col("len_a"), F.col("len_b"))
-    scored = both.withColumns({"similarity": X.cosine(F.col("v_a"), F.col("v_b")), "overlap": overlap, "ratio": ratio})
+    both = pairs.select("id_a", "id_b", "similarity").join(a, "id_a").join(b, "id_b")
+    scored = both.withColumns({"overlap": X.tag_overlap(F.col("tags_a"), F.col("tags_b")), "ratio": X.length_ratio(F.col("len_a"), F.col("len_b"))})
     level = X.confidence_level(F.col("similarity"), F.col("type_a") == F.col("type_b"), F.col("overlap"))
     return scored.withColumn("level", level).withColumn("reason", X.merge_reason(F.col("similarity"), F.col("type_a"), F.col("type_b"), F.col("overlap"), F.col("ratio"), F.col("level")))
 
 
+def described(pairs: DataFrame, memories: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs with the cosine of stored vectors (id, v), confidence level and reason; those without both vectors drop out."""
+    a, b = (vectors.select(F.col("id").alias(f"id_{k}"), F.col("v").alias(f"v_{k}")) for k in "ab")
+    both = pairs.select("id_a", "id_b").join(a, "id_a").join(b, "id_b")
+    return explained(both.withColumn("similarity", X.cosine(F.col("v_a"), F.col("v_b"))), memories)
+
+
 def greedy_pairs(pairs: DataFrame, per_node: int = 10, most: int = 50) -> DataFrame:
     """Best pairs first (similarity, ids), each node in at most per_node of them, at most `most` in all.
 

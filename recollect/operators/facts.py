@@ -1,10 +1,16 @@
-"""Versioned facts: validity, chains of versions, updates."""
+"""Versioned facts: storing, validity, chains of versions, updates, lookups over time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollect.sources.storage import kept
+
+#: Columns of a fact, in order.
+FIELDS = ["id", "subject", "value", "confidence", "valid_from", "valid_to", "superseded_by", "version"]
+
 
 def valid_at(t: Column) -> Column:
     """Valid at t; both ends belong to the interval."""
@@ -15,28 +21,98 @@ def facts_at(facts: DataFrame, t: Column, min_confidence: int = 0) -> DataFrame:
     return facts.filter(valid_at(t) & (F.col("confidence") >= min_confidence))
 
 
-def chains(facts: DataFrame, longest: int = 64) -> DataFrame:
-    """(id, head, version): the first version of each fact's chain and its place there.
+def is_valid(facts: DataFrame, ident: int, t: Column) -> bool:
+    """Whether the fact of that id exists and is valid at t."""
+    return bool(facts.filter((F.col("id") == ident) & valid_at(t)).limit(1).count())
+
+
+def facts_asof(facts: DataFrame, points: DataFrame) -> DataFrame:
+    """points (subject, at, ...) with the id and value of the fact of their subject valid then, or null.
+
+    Versions of a subject don't overlap, so the one that began last is the one, if it has not ended.
+    Both sides are sorted together by subject and time: one shuffle, no range join.
+    """
+    extra = [c for c in points.columns if c not in ("subject", "at")]
+    f = facts.select("subject", F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.struct("id", "value", "valid_to", "version").alias("fact"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra])
+    p = points.select("subject", "at", F.lit(1).alias("side"), F.lit(None).cast(f.schema["fact"].dataType).alias("fact"), *extra)
+    w = W.partitionBy("subject").orderBy("at", "side", F.col("fact.version")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = f.unionByName(p).withColumn("last", F.last("fact", ignorenulls=True).over(w)).filter("side = 1")
+    now = F.col("last.valid_to").isNull() | (F.col("last.valid_to") >= F.col("at"))
+    return last.select("subject", "at", *extra, F.when(now, F.col("last.id")).alias("fact_id"), F.when(now, F.col("last.value")).alias("value"))
+
+
+def chains(facts: DataFrame) -> DataFrame:
+    """(id, head, version): the first version of each fact's chain and its place there, however long it is.
 
-    Pointers to the predecessor are doubled, so a chain of n versions takes log2(n) joins on id.
+    Pointers to the predecessor are doubled, so a chain of n versions takes log2(n) rounds. A row is
+    done once its pointer has reached a first version; only open rows go into the next round, and
+    each round's rows are written to the shared folder. A cycle of pointers is an error.
     """
     before = facts.filter(F.col("superseded_by").isNotNull()).select(F.col("superseded_by").alias("id"), F.col("id").alias("head"))
-    now = facts.select("id").join(before, "id", "left").select("id", F.coalesce("head", "id").alias("head"), F.when(F.col("head").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    reach = 1
-    while reach < longest:
-        far = now.select(F.col("id").alias("head"), F.col("head").alias("further"), F.col("steps").alias("more"))
-        now = now.join(far, "head").select("id", F.col("further").alias("head"), (F.col("steps") + F.col("more")).alias("steps"))
-        reach *= 2
-    return now.select("id", "head", (F.col("steps") + 1).alias("version"))
+    now = kept(facts.select("id").join(before, "id", "left").select("id", F.coalesce("head", "id").alias("head"), F.when(F.col("head").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("head").isNull().alias("done")), "chain")
+    total, rounds, ready = now.count(), 0, [now.filter("done")]
+    open_ = now.filter(~F.col("done"))
+    left = open_.count()
+    while left:
+        if 1 << rounds > total:
+            raise ValueError("facts supersede one another in a circle")
+        far = now.select(F.col("id").alias("head"), F.col("head").alias("further"), F.col("steps").alias("more"), F.col("done").alias("ended"))
+        step = kept(open_.join(far, "head").select("id", F.col("further").alias("head"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ended").alias("done")), "chain")
+        ready.append(step.filter("done"))
+        now = step.unionByName(ready_union(ready[:-1]))
+        open_, rounds = step.filter(~F.col("done")), rounds + 1
+        left = open_.count()
+    return ready_union(ready).select("id", "head", (F.col("steps") + 1).alias("version"))
+
+
+def ready_union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def history(facts: DataFrame, ident: int) -> DataFrame:
+    """The fact of that id and the versions that follow it, in order."""
+    placed = chains(facts.select("id", "superseded_by"))
+    own = placed.filter(F.col("id") == ident).select("head", F.col("version").alias("from_version"))
+    return placed.join(F.broadcast(own), "head").filter(F.col("version") >= F.col("from_version")).select("id", "version").orderBy("version")
+
+
+def fact_id(subject: Column, version: Column) -> Column:
+    """Id of a version: a 64-bit hash of the subject and the version's number, so that no two of a subject meet."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", subject.cast("string"), version.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def stored_facts(facts: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """facts and first versions of new ones (subject, value[, confidence]); subjects that have an open version are left as they are."""
+    known = facts.filter("valid_to is null").select("subject")
+    confidence = F.col("confidence") if "confidence" in new.columns else F.lit(100)
+    first = new.join(known, "subject", "left_anti").withColumn("given", confidence)
+    after = first.join(facts.groupBy("subject").agg(F.max("version").alias("past")), "subject", "left")
+    version = (F.coalesce("past", F.lit(0)) + 1).cast("int")
+    rows = after.select(
+        fact_id(F.col("subject"), version).alias("id"), "subject", F.col("value").cast(facts.schema["value"].dataType).alias("value"), F.col("given").cast("int").alias("confidence"),
+        now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(None).cast("long").alias("superseded_by"), version.alias("version"),
+    )
+    return facts.select(FIELDS).unionByName(rows)
 
 
 def updated(facts: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """facts after changes (subject, value): open versions are closed now, new ones follow them."""
+    """facts after changes (subject, value): open versions are closed now, new ones follow them and inherit their confidence."""
+    following = fact_id(F.col("subject"), F.col("version") + 1)
     latest = facts.filter("valid_to is null")
     new = latest.join(changes.select("subject", F.col("value").alias("new_value")), "subject").select(
-        (-F.col("id")).alias("id"), "subject", F.col("new_value").alias("value"), "confidence", now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"),
+        following.alias("id"), "subject", F.col("new_value").alias("value"), "confidence", now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"),
         F.lit(None).cast("long").alias("superseded_by"), (F.col("version") + 1).cast("int").alias("version"),
     )
     hit = F.col("valid_to").isNull() & F.col("changed").isNotNull()
-    closed = facts.join(changes.select("subject", F.lit(True).alias("changed")), "subject", "left").withColumns({"superseded_by": F.when(hit, -F.col("id")).otherwise(F.col("superseded_by")), "valid_to": F.when(hit, now).otherwise(F.col("valid_to"))})
+    closed = facts.join(changes.select("subject", F.lit(True).alias("changed")), "subject", "left").withColumns({"superseded_by": F.when(hit, following).otherwise(F.col("superseded_by")), "valid_to": F.when(hit, now).otherwise(F.col("valid_to"))})
     return closed.select(*new.columns).unionByName(new)
+
+
+def invalidated(facts: DataFrame, subjects: DataFrame, now: Column) -> DataFrame:
+    """facts with the open versions of these subjects ended now, without successors."""
+    hit = F.col("valid_to").isNull() & F.col("gone").isNotNull()
+    marked = facts.join(subjects.select("subject", F.lit(True).alias("gone")).distinct(), "subject", "left")
+    return marked.withColumn("valid_to", F.when(hit, now).otherwise(F.col("valid_to"))).select(*facts.columns)

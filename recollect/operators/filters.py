@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
@@ -63,6 +63,39 @@ def asserted(df: DataFrame, name: str, criteria: Criteria, expected: int, now: C
         raise AssertionError(f"{name}: expected {expected or 'none'}, found {found}")
 
 
+def require(df: DataFrame, name: str, criteria: Criteria, now: Column, least: int = 1) -> DataFrame:
+    """The matching rows, if there are at least so many; else AssertionError."""
+    asserted(df, name, criteria, least, now)
+    return matching(df, criteria, now)
+
+
+def assert_present(df: DataFrame, name: str, criteria: Criteria, now: Column) -> None:
+    asserted(df, name, criteria, 1, now)
+
+
+def assert_absent(df: DataFrame, name: str, criteria: Criteria, now: Column) -> None:
+    asserted(df, name, criteria, 0, now)
+
+
+def confident(df: DataFrame, criteria: Criteria, now: Column, least: int = 80) -> DataFrame:
+    """Matching rows of at least that confidence."""
+    return matching(df, replace(criteria, min_confidence=least), now)
+
+
+def recent(df: DataFrame, criteria: Criteria, now: Column, days: float = 7) -> DataFrame:
+    """Matching rows of the last days."""
+    return matching(df, replace(criteria, max_age=days), now)
+
+
+def of_path(df: DataFrame, projects: DataFrame, path: str) -> DataFrame:
+    """Rows of the project with that path; none if there is no such project."""
+    return df.join(F.broadcast(project_by_path(projects, path).select("project_id")), "project_id", "left_semi")  # one row at most
+
+
+def project_by_path(projects: DataFrame, path: str) -> DataFrame:
+    return projects.filter(F.col("path") == path).limit(1)
+
+
 def readable(df: DataFrame, principals: Sequence[str], scope: str = "read_scope") -> DataFrame:
     """Rows whose scope names one of the principals, or everyone."""
     return df.filter(F.arrays_overlap(scope, F.array(*[F.lit(p) for p in [*principals, "*"]])))

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from recollect.operators.search import top
 
 
-def coactivated(baskets: DataFrame, basket: str, item: str, weight: int = 1) -> DataFrame:
+def coactivated(baskets: DataFrame, basket: str, item: str, weight: int = 1, around: int | None = None) -> DataFrame:
     """Directed edges between different items of a basket, both ways, with weight and count.
 
-    A basket is what was active together (a handful of items), and an equi-join on its key.
+    A basket is what was active together (a handful of items), and an equi-join on its key, whose
+    skewed keys AQE splits. With `around`, only edges from that item: only baskets that hold it take
+    part, and of these only the pairs with it.
     """
     items = baskets.select(basket, item).distinct()
-    pairs = items.withColumnRenamed(item, "source").join(items.withColumnRenamed(item, "target"), basket).filter("source <> target")
+    source = items if around is None else items.filter(F.col(item) == around)
+    pairs = source.withColumnRenamed(item, "source").join(items.withColumnRenamed(item, "target"), basket).filter("source <> target")
     return pairs.groupBy("source", "target").agg((F.count("*") * weight).alias("weight"), F.count("*").alias("coactivations"))
 
 
@@ -28,6 +31,11 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("mean_weight"), F.max("weight").alias("most_weight"))
 
 
+def stats_by_kind(edges: DataFrame) -> DataFrame:
+    """(kind, n): edges of each type."""
+    return edges.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def related(edges: DataFrame, node: int, k: int) -> DataFrame:
     """The k neighbours of a node, either way, by weight."""
     ends = edges.filter((F.col("source") == node) | (F.col("target") == node)).select(F.when(F.col("source") == node, F.col("target")).otherwise(F.col("source")).alias("id"), "weight")

@@ -36,6 +36,18 @@ def retained(df: DataFrame, now: Column, days: int, at: str = "created_at") -> D
     return df.filter(age_days(F.col(at), now) <= days)
 
 
-def flagged(memories: DataFrame, ids: list[int], flag: str, value: bool = True) -> DataFrame:
-    """Set a flag (protected, pinned) on the given ids."""
-    return memories.withColumn(flag, F.when(F.col("id").isin(ids), value).otherwise(F.col(flag)))
+def unexpired(df: DataFrame, now: Column, at: str = "expires_at") -> DataFrame:
+    """Rows without an expiry time, or one that has not passed."""
+    return df.filter(F.col(at).isNull() | (F.col(at) > now))
+
+
+def flagged(memories: DataFrame, ids: DataFrame, flag: str, value: bool = True, reason: str | None = None, now: Column | None = None) -> DataFrame:
+    """Set a flag (protected, pinned) on the ids of a frame; a reason replaces the metadata, with the time if given."""
+    marked = memories.join(ids.select("id", F.lit(True).alias("hit")).distinct(), "id", "left")
+    hit = F.col("hit").isNotNull()
+    out = marked.withColumn(flag, F.when(hit, value).otherwise(F.col(flag)))
+    if reason is not None:
+        entries = [F.lit(f"{flag.removeprefix('is_')}_reason"), F.lit(reason)] + ([F.lit(f"{flag.removeprefix('is_')}_at"), now.cast("string")] if now is not None else [])
+        old = F.col("metadata") if "metadata" in memories.columns else F.lit(None).cast("map<string,string>")
+        out = out.withColumn("metadata", F.when(hit, F.create_map(*entries)).otherwise(old))
+    return out.select(*memories.columns, *([] if reason is None or "metadata" in memories.columns else ["metadata"]))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import or_default, tokens_by_length
+from recollect.sources.storage import kept
 
 LATEST = ("created_at", "id")
 
@@ -71,41 +74,101 @@ def merge_contexts(rows: DataFrame) -> DataFrame:
 STRATEGIES = {"fact": merge_facts, "preference": merge_preferences, "decision": merge_decisions, "observation": merge_observations, "context": merge_contexts}
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """Each group by its type's strategy; groups of mixed types or of one source are left out."""
-    able = rows.filter((F.col("type") == F.col("other_type")) & (F.col("n") >= 2))
+def strategy(kind: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge memories of a type by a function of one's own, from grouped() rows to content, summary, tags and warnings."""
+    STRATEGIES[kind] = merge
+
+
+def merged(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Each group by its type's strategy; groups of mixed types or of fewer sources than `least` are left out."""
+    able = rows.filter((F.col("type") == F.col("other_type")) & (F.col("n") >= least))
     out = None
-    for kind, strategy in STRATEGIES.items():
-        part = strategy(able.filter(F.col("type") == kind))
+    for kind, merge in STRATEGIES.items():
+        part = merge(able.filter(F.col("type") == kind))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def safety(sources: DataFrame, key: str = "merge_id", similarity: Column | None = None, least: float = 0.7) -> DataFrame:
-    """(key, passed, blockers, warnings): checks in a fixed order, from one aggregation."""
-    kinds = F.array_sort(F.collect_set("type"))
-    checks = sources.groupBy(key).agg(
-        F.count_if(~F.col("is_mergeable")).alias("fixed"), kinds.alias("kinds"), F.count_if("is_merged").alias("done"), F.min(F.lit(1.0) if similarity is None else similarity).alias("similarity"),
-        F.count_distinct("user_id").alias("users"), F.count_if("is_private").alias("private"), F.count("*").alias("n"), F.count_if("has_secrets").alias("secret"), F.count_if(~F.col("is_active")).alias("inactive"),
-    )
-    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    c = F.col
-    blockers = F.array(
-        F.when(c("fixed") > 0, text(c("fixed"), " memories are immutable")), F.when(F.size("kinds") > 1, text("Cannot merge different types: ", F.array_join("kinds", ", "))),
-        F.when(c("done") > 0, text(c("done"), " memories are already merged")), F.when(c("similarity") < least, text("Similarity is below ", str(least))), F.when(c("inactive") > 0, text(c("inactive"), " memories are inactive")),
-    )
-    warnings = F.array(
-        F.when(c("users") > 1, text("Merging memories from ", c("users"), " different users")), F.when((c("private") > 0) & (c("private") < c("n")), F.lit("Mixing private and public memories")),
-        F.when(c("secret") > 0, text(c("secret"), " memories hold secrets")),
+def previewed(proposals: DataFrame, memories: DataFrame) -> DataFrame:
+    """Proposals (id, sources, similarity) merged anew from the sources that still exist, with what that saves."""
+    found = proposals.select(F.col("id").alias("merge_id"), F.explode("sources").alias("id")).join(memories, "id")
+    rows = saved_tokens(merged(grouped(found), least=1))
+    percent = F.when(F.col("source_tokens") > 0, F.round(100 * F.col("tokens_saved") / F.col("source_tokens"))).otherwise(0).cast("long")
+    return rows.join(proposals.select(F.col("id").alias("merge_id"), "similarity", "status"), "merge_id").withColumn("saved_percent", percent)
+
+
+def proposed(pairs: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
+    """Pending proposals for detected pairs that pass the safety checks: merged text, tokens saved, warnings.
+
+    pairs: id_a, id_b, similarity, level, reason. A proposal's id is a hash of its sources' ids, so
+    that the same pair is proposed under the same id again.
+    """
+    ident = F.conv(F.substring(F.md5(F.concat_ws(",", F.col("id_a").cast("string"), F.col("id_b").cast("string"))), 1, 15), 16, 10).cast("long")
+    numbered = pairs.withColumn("merge_id", ident)
+    sources = numbered.select("merge_id", "similarity", F.explode(F.array("id_a", "id_b")).alias("id")).join(memories, "id")
+    checked = safety(sources, similarity=F.col("similarity")).filter("passed").select("merge_id", F.col("warnings").alias("notes"))
+    rows = saved_tokens(merged(grouped(sources))).join(checked, "merge_id")
+    owner = sources.groupBy("merge_id").agg(F.min_by("project_id", "id").alias("project_id"), F.min_by("user_id", "id").alias("user_id"))
+    return rows.join(numbered.select("merge_id", F.array("id_a", "id_b").alias("sources"), "similarity", "level", "reason"), "merge_id").join(owner, "merge_id").select(
+        F.col("merge_id").alias("id"), "project_id", "user_id", "sources", "type", "content", "summary", "tags", "similarity", "level", "reason", F.concat("warnings", "notes").alias("warnings"),
+        "tokens_saved", F.lit("pending").alias("status"), now.alias("created_at"),
     )
-    some = lambda x: F.filter(x, lambda e: e.isNotNull())
-    out = checks.select(key, some(blockers).alias("blockers"), some(warnings).alias("warnings"))
+
+
+def listed(proposals: DataFrame, project: str | None = None, status: str | None = None, limit: int = 20) -> DataFrame:
+    """Proposals by the given filters (all hold), newest first."""
+    p = proposals if project is None else proposals.filter(F.col("project_id") == project)
+    p = p if status is None else p.filter(F.col("status") == status)
+    return p.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+#: Figures of a group of sources that checks go by.
+MEASURES: dict[str, Callable[[], Column]] = {
+    "fixed": lambda: F.count_if(~F.col("is_mergeable")), "kinds": lambda: F.array_sort(F.collect_set("type")), "done": lambda: F.count_if("is_merged"), "users": lambda: F.count_distinct("user_id"),
+    "private": lambda: F.count_if("is_private"), "n": lambda: F.count("*"), "secret": lambda: F.count_if("has_secrets"), "inactive": lambda: F.count_if(~F.col("is_active")),
+}
+#: Checks in order: name, what it says in words, whether it blocks, and its message (null: nothing to say), from MEASURES, similarity and least.
+CHECKS: list[tuple[str, str, bool, Callable[[], Column]]] = [
+    ("immutable", "No source may be immutable", True, lambda: F.when(F.col("fixed") > 0, _text(F.col("fixed"), " memories are immutable"))),
+    ("type", "All sources have one type", True, lambda: F.when(F.size("kinds") > 1, _text("Cannot merge different types: ", F.array_join("kinds", ", ")))),
+    ("merged", "No source may be merged already", True, lambda: F.when(F.col("done") > 0, _text(F.col("done"), " memories are already merged"))),
+    ("similarity", "Sources must be similar enough", True, lambda: F.when(F.col("similarity") < F.col("least"), _text("Similarity is below ", F.col("least").cast("string")))),
+    ("active", "All sources are active", True, lambda: F.when(F.col("inactive") > 0, _text(F.col("inactive"), " memories are inactive"))),
+    ("user", "Sources of several users are worth a look", False, lambda: F.when(F.col("users") > 1, _text("Merging memories from ", F.col("users"), " different users"))),
+    ("privacy", "Private and public sources are worth a look", False, lambda: F.when((F.col("private") > 0) & (F.col("private") < F.col("n")), F.lit("Mixing private and public memories"))),
+    ("secrets", "Secrets are worth a look", False, lambda: F.when(F.col("secret") > 0, _text(F.col("secret"), " memories hold secrets"))),
+]
+
+
+def safety(sources: DataFrame, key: str = "merge_id", similarity: Column | None = None, least: float = 0.7) -> DataFrame:
+    """(key, passed, blockers, warnings): CHECKS in their order, from one aggregation."""
+    measures = sources.groupBy(key).agg(*[m().alias(name) for name, m in MEASURES.items()], F.min(F.lit(1.0) if similarity is None else similarity).alias("similarity"))
+    measures = measures.withColumn("least", F.lit(least))
+    some = lambda blocks: F.filter(F.array(*[m() for _, _, b, m in CHECKS if b == blocks]), lambda e: e.isNotNull())
+    out = measures.select(key, some(True).alias("blockers"), some(False).alias("warnings"))
     return out.select(key, (F.size("blockers") == 0).alias("passed"), "blockers", "warnings")
 
 
-def memory_tokens(content: Column, summary: Column, tags: Column, overhead: int = 25) -> Column:
+def safety_text(checked: DataFrame) -> DataFrame:
+    """safety() rows with a text for people: what blocks, what warns, or that all is well."""
+    part = lambda label, x: F.when(F.size(x) > 0, F.concat(F.lit(label), F.array_join(F.transform(x, lambda e: F.concat(F.lit("- "), e)), "\n")))
+    return checked.withColumn("text", F.coalesce(F.nullif(F.concat_ws("\n", part("Blocked:\n", "blockers"), part("Warnings:\n", "warnings")), F.lit("")), F.lit("All checks passed")))
+
+
+def described_checks() -> list[tuple[str, str, bool]]:
+    """(name, what it asks for, whether it blocks) of each check, in order."""
+    return [(name, words, blocks) for name, words, blocks, _ in CHECKS]
+
+
+def memory_tokens(content: Column, summary: Column, tags: Column, metadata: Column | None = None, overhead: int = 25) -> Column:
+    """Tokens of content, summary, tags and the JSON of metadata (a struct or map; none for null), and an overhead."""
     empty = F.lit("")
-    return tokens_by_length(F.coalesce(content, empty)) + tokens_by_length(F.coalesce(summary, empty)) + tokens_by_length(F.array_join(tags, " ")) + overhead
+    parts = tokens_by_length(F.coalesce(content, empty)) + tokens_by_length(F.coalesce(summary, empty)) + tokens_by_length(F.array_join(tags, " ")) + overhead
+    return parts if metadata is None else parts + tokens_by_length(F.coalesce(F.to_json(metadata), empty))
 
 
 def saved_tokens(rows: DataFrame) -> DataFrame:
@@ -115,17 +178,41 @@ def saved_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"source_tokens": source, "merged_tokens": target}).withColumn("tokens_saved", F.greatest(F.lit(0).cast("long"), F.col("source_tokens") - F.col("merged_tokens")))
 
 
-def approved(memories: DataFrame, proposals: DataFrame, merges: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(memories, proposals, history) after approving all pending proposals whose sources all exist.
+def claimed(ready: DataFrame) -> DataFrame:
+    """Of proposals (merge_id, sources) those that are approved if they are taken in order of id: no source is used twice.
+
+    Each round approves all that are the first for each of their sources, and drops what shares a
+    source with one of them; so a round settles all but chains of overlapping proposals.
+    """
+    left, done = kept(ready, "proposals"), []
+    while left.limit(1).count():
+        wanted = left.select("merge_id", F.explode("sources").alias("id"))
+        first = wanted.groupBy("id").agg(F.min("merge_id").alias("first"))
+        lost = wanted.join(first, "id").filter(F.col("merge_id") != F.col("first")).select("merge_id").distinct()
+        won = kept(left.join(lost, "merge_id", "left_anti"), "approved")
+        done.append(won)
+        used = won.select(F.explode("sources").alias("id")).distinct()
+        gone = wanted.join(used, "id", "left_semi").select("merge_id").distinct()
+        left = kept(left.join(gone, "merge_id", "left_anti"), "proposals")
+    out = left
+    for won in done:
+        out = out.unionByName(won)
+    return out
+
+
+def approved(memories: DataFrame, proposals: DataFrame, merges: DataFrame, now: Column, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memories, proposals, history) after approving pending proposals (or those of `ids`) whose sources all exist.
 
     Pure: new frames, the old ones stay. Sources become inactive and merged; each merge adds a
-    canonical memory with a negative id.
+    canonical memory with a negative id. Of proposals that share a source the one of the smallest
+    id is approved; the others stay pending.
     """
     pending = proposals.filter("status = 'pending'")
+    pending = pending if ids is None else pending.join(ids.select("id"), "id", "left_semi")
     wanted = pending.select(F.col("id").alias("merge_id"), F.explode("sources").alias("id"))
     found = wanted.join(memories, "id").groupBy("merge_id").agg(F.count("*").alias("n"))
     ready = pending.join(found, pending["id"] == found["merge_id"]).filter(F.col("n") == F.size("sources")).select("merge_id", "sources")
-    ready = ready.join(merges, "merge_id", "left_semi")
+    ready = claimed(ready.join(merges, "merge_id", "left_semi"))
     target = ready.select(F.explode("sources").alias("id"), (-1 - F.col("merge_id")).alias("into"))
     marked = memories.join(target, "id", "left")
     hit = F.col("into").isNotNull()
@@ -156,3 +243,10 @@ def reversed_merges(memories: DataFrame, history: DataFrame) -> tuple[DataFrame,
     source, head = F.col("source").isNotNull(), F.col("head").isNotNull()
     back = {"is_merged": F.when(source, False).otherwise(F.col("is_merged")), "is_active": F.when(source, True).when(head, False).otherwise(F.col("is_active")), "is_canonical": F.when(head, False).otherwise(F.col("is_canonical")), "merged_into": F.when(~source, F.col("merged_into"))}
     return m.withColumns(back).select(*memories.columns), history.withColumn("is_reversed", F.lit(True))
+
+
+def refreshed(cache: DataFrame, memories: DataFrame) -> DataFrame:
+    """A cache (id, content_hash) brought up to date with memories (id, content): orphans go, missing and stale entries are made anew."""
+    now = memories.select("id", F.md5(F.coalesce("content", F.lit(""))).alias("now"))
+    joined = now.join(cache, "id", "left")
+    return joined.select("id", F.col("now").alias("content_hash"), F.col("now").eqNullSafe(F.col("content_hash")).alias("was_fresh"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +14,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.scoring import cosine, l2
-from recollect.functions.text import contains_terms
+from recollect.functions.text import contains_terms, holds
+from recollect.operators.filters import clamped
 
 #: Vectors, and queries, that one group of a scan with many queries compares (about).
 VECTORS, QUERIES = 8192, 4096
 
 
-def keyword(df: DataFrame, pattern: str | None = None, tags: Sequence[str] = (), words: Sequence[str] = (), prefixes: Sequence[str] = ()) -> DataFrame:
-    """Rows whose content has the pattern (case aside), any of the tags, all words and prefixes."""
+def keyword(df: DataFrame, pattern: str | None = None, tags: Sequence[str] = (), words: Sequence[str] = (), prefixes: Sequence[str] = (), any_of: Sequence[str] = (), tags_like: Sequence[str] = ()) -> DataFrame:
+    """Rows whose content has the pattern (case aside), any of the tags, all words and prefixes, one of any_of,
+    and a tag that contains one of tags_like."""
     if pattern is not None:
-        df = df.filter(F.col("content").ilike(f"%{pattern}%"))
+        df = df.filter(holds(F.col("content"), pattern))
     if tags:
         df = df.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
-    if words or prefixes:
-        df = df.filter(contains_terms(F.col("content"), list(words), tuple(prefixes)))
+    if words or prefixes or any_of:
+        df = df.filter(contains_terms(F.col("content"), list(words), tuple(prefixes), tuple(any_of)))
+    if tags_like:
+        df = df.filter(F.exists("tags", lambda t: reduce(or_, [holds(t, x) for x in tags_like])))
     return df
 
 
+def clamped_top(df: DataFrame, k: int | None, default: int, low: int, high: int, *order: Column) -> DataFrame:
+    """top() with the limit of a caller, or the default, cut to [low, high]."""
+    return top(df, clamped(k, default, low, high), *order)
+
+
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows in the order: each task keeps k, one merges them."""
     return df.orderBy(*order).limit(k)
@@ -92,7 +103,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
 
 def conversations_with(conversations: DataFrame, messages: DataFrame, pattern: str, role: str | None = None) -> DataFrame:
     """Conversations that hold a matching message: a semi-join, never a row twice."""
-    found = messages.filter(F.col("content").ilike(f"%{pattern}%"))
+    found = messages.filter(holds(F.col("content"), pattern))
     if role is not None:
         found = found.filter(F.col("role") == role)
     return conversations.join(found.select("conv_id"), "conv_id", "left_semi")
@@ -116,13 +127,25 @@ def bundle(blocks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def budgeted(ranked: DataFrame, items: int, tokens: int, group: str = "project_id", cost: str = "tokens", candidates: int = 10) -> DataFrame:
+def budgeted(ranked: DataFrame, items: int, tokens: int, group: str = "project_id", cost: str = "tokens", candidates: int = 10, ident: str = "id") -> DataFrame:
     """Greedy choice in order of rank under limits of items and tokens; what does not fit is passed over.
 
     Each group's first `candidates` rows (a parameter of the feature) are folded in one expression.
     """
     cut = ranked.filter(F.col("rank") <= candidates)
-    listed = cut.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", "id", F.col(cost).alias("cost")))).alias("rows"))
+    listed = cut.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", F.col(ident).cast("long").alias("id"), F.col(cost).alias("cost")))).alias("rows"))
     state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
     fold = F.aggregate("rows", state, lambda s, r: F.when((F.size(s["ids"]) < items) & (s["used"] + r["cost"] <= tokens), F.struct((s["used"] + r["cost"]).alias("used"), F.concat(s["ids"], F.array(r["id"])).alias("ids"))).otherwise(s))
     return listed.select(group, fold.alias("s")).select(group, F.col("s.used").alias("used_tokens"), F.posexplode_outer("s.ids").alias("position", "id")).filter("id is not null")
+
+
+def selected(memories: DataFrame, conversations: DataFrame, items: int = 15, tokens: int = 3000, most_memories: int = 10, most_conversations: int = 5) -> DataFrame:
+    """What is put into a session's context, by project: the best memories, then conversations, as far as the budget goes.
+
+    Both: project_id, id, rank, tokens. What does not fit is passed over.
+    """
+    both = memories.filter(F.col("rank") <= most_memories).select("project_id", "id", "rank", "tokens", F.lit("memory").alias("kind"))
+    talks = conversations.filter(F.col("rank") <= most_conversations).select("project_id", "id", (F.col("rank") + most_memories).alias("rank"), "tokens", F.lit("conversation").alias("kind"))
+    every = both.unionByName(talks)
+    chosen = budgeted(every, items, tokens, candidates=most_memories + most_conversations, ident="rank").withColumnRenamed("id", "rank")
+    return chosen.join(every, ["project_id", "rank"]).select("project_id", "position", "kind", "id", "used_tokens")

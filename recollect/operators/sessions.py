@@ -76,6 +76,26 @@ def line_diff(before: Column, after: Column) -> Column:
     return F.struct(some(only(new, old)).alias("added"), some(only(old, new)).alias("removed"))
 
 
+def snapshot(memories: DataFrame, kind: str, now: Column, before: DataFrame | None = None) -> DataFrame:
+    """Snapshots (memory_id, snapshot_type, content, metadata, created_at, diff) of memories.
+
+    metadata has the type, tags, relevance, confidence, sector and visibility. One of kind `after`
+    holds the difference from the snapshot in `before` of the same memory.
+    """
+    fields = [c for c in ("type", "tags", "relevance", "confidence", "sector", "visibility") if c in memories.columns]
+    rows = memories.select(F.col("id").alias("memory_id"), F.lit(kind).alias("snapshot_type"), "content", F.to_json(F.struct(*fields)).alias("metadata"), now.alias("created_at"))
+    none = F.lit(None).cast("struct<added:array<string>,removed:array<string>>").alias("diff")
+    if kind != "after" or before is None:
+        return rows.select("*", none)
+    old = before.select("memory_id", F.col("content").alias("old"))
+    return rows.join(old, "memory_id", "left").withColumn("diff", F.when(F.col("old").isNotNull(), line_diff(F.col("old"), F.col("content")))).drop("old")
+
+
+def newest(df: DataFrame, limit: int, ident: str, at: str = "created_at") -> DataFrame:
+    """Snapshots (50 as a rule) or summaries (10), newest first."""
+    return df.orderBy(F.desc(at), F.desc(ident)).limit(limit)
+
+
 def snapshot_stats(snapshots: DataFrame, types: list[str]) -> DataFrame:
     return snapshots.agg(F.count("*").alias("total"), *[F.count_if(F.col("snapshot_type") == t).alias(f"n_{t}") for t in types], F.min("created_at").cast("string").alias("oldest"), F.max("created_at").cast("string").alias("newest"))
 

@@ -14,25 +14,36 @@ def count_by(df: DataFrame, column: str, values: list[str], name: str = "n") ->
     return df.agg(F.array(*counts).alias("rows")).select(F.inline("rows"))
 
 
-def detection_stats(memories: DataFrame) -> DataFrame:
+def _detection() -> list[Column]:
     c = F.count_if
-    return memories.agg(
-        F.count("*").alias("total"), c(F.col("is_mergeable") & ~F.col("is_merged") & F.col("is_active")).alias("mergeable"), c("is_merged").alias("merged"), c("is_canonical").alias("canonical"),
-    )
+    return [F.count("*").alias("total"), c(F.col("is_mergeable") & ~F.col("is_merged") & F.col("is_active")).alias("mergeable"), c("is_merged").alias("merged"), c("is_canonical").alias("canonical")]
+
+
+def detection_stats(memories: DataFrame) -> DataFrame:
+    return memories.agg(*_detection())
+
+
+def detection_by_type(memories: DataFrame) -> DataFrame:
+    """The same numbers for each type that occurs."""
+    return memories.groupBy("type").agg(*_detection())
 
 
-def merge_stats(memories: DataFrame, proposals: DataFrame, statuses: list[str]) -> DataFrame:
-    """One row: memory counts, proposals by status, and the mean size of a merge (1 without any)."""
-    m = detection_stats(memories)
-    p = proposals.agg(*[F.count_if(F.col("status") == s).alias(f"proposals_{s}") for s in statuses])
-    both = m.withColumn("one", F.lit(1)).join(p.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+def merge_stats(memories: DataFrame, proposals: DataFrame, statuses: list[str], history: DataFrame | None = None) -> DataFrame:
+    """One row: memory counts, proposals by status, merges undone (of a history), and the mean size of a merge (1 without any)."""
+    one = lambda df: df.withColumn("one", F.lit(1))
+    both = one(detection_stats(memories)).join(one(proposals.agg(*[F.count_if(F.col("status") == s).alias(f"proposals_{s}") for s in statuses])), "one")  # one row each
+    if history is not None:
+        both = both.join(one(history.agg(F.count_if("is_reversed").alias("reversed"))), "one")
     size = F.when(F.col("canonical") > 0, F.round((F.col("merged") + F.col("canonical")) / F.col("canonical"))).otherwise(1)
-    return both.withColumn("mean_merge_size", size.cast("long"))
+    return both.drop("one").withColumn("mean_merge_size", size.cast("long"))
 
 
 def token_stats(df: DataFrame, tokens: Column) -> DataFrame:
-    return df.select(tokens.alias("t")).agg(
-        F.sum("t").alias("total"), F.min("t").alias("least"), F.max("t").alias("most"), F.round(F.avg("t")).cast("long").alias("mean"), F.round(F.percentile("t", F.lit(0.5))).cast("long").alias("median"),
+    """Sum, extremes, mean and exact median; the median is taken from the counts of distinct values, which lengths bound."""
+    counts = df.select(tokens.alias("t")).filter("t is not null").groupBy("t").agg(F.count("*").alias("n"))
+    return counts.agg(
+        F.sum(F.col("t") * F.col("n")).alias("total"), F.min("t").alias("least"), F.max("t").alias("most"), F.round(F.sum(F.col("t") * F.col("n")) / F.sum("n")).cast("long").alias("mean"),
+        F.round(F.percentile("t", F.lit(0.5), F.col("n"))).cast("long").alias("median"),
     )
 
 

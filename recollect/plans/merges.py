@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.functions import embedding as E
 from recollect.functions import hashing as H
 from recollect.functions import scoring as C
 from recollect.functions.text import text_length, tokens_by_length, word_set
@@ -53,16 +54,32 @@ def minhash_compat_groups(spark, d):
     return grams.join(grams.groupBy("gram").agg(F.min("id").alias("first_id")), "gram").select("id", "first_id")
 
 
-@query("minhash_lsh_pairs")
+_SIG = H.minhash_sql()
+_NEED = -(-7 * H.HASHES // 10)
+_EQUAL = "len(list_filter(list_zip(a.minhash, b.minhash), lambda x: x[1] = x[2]))"
+
+
+@query("minhash_lsh_pairs", f"""WITH {_SIG}, v AS (SELECT minhash, min(id) AS id FROM sig GROUP BY 1)
+ SELECT a.id AS id_a, b.id AS id_b, {_EQUAL} / {H.HASHES}.0 AS similarity FROM v a JOIN v b ON a.id < b.id WHERE {_EQUAL} >= {_NEED}""")
 def minhash_lsh_pairs(spark, d):
     return D.minhash_pairs(_content(spark, d).select("id", H.minhash(F.col("content")).alias("minhash")))
 
 
-@query("minhash_groups")
+@query("minhash_groups", f"WITH {_SIG} SELECT id, min(id) OVER (PARTITION BY minhash) AS first_id FROM sig")
 def minhash_groups(spark, d):
     return D.print_groups(_content(spark, d).select("id", H.minhash(F.col("content")).alias("minhash")), "minhash")
 
 
+@query("simhash_candidates", f"WITH {_SIMHASH} SELECT b.id, CAST(bit_count(xor(a.simhash, b.simhash)) AS INT) AS distance FROM sim a JOIN sim b ON b.id <> a.id WHERE a.id = 7 AND bit_count(xor(a.simhash, b.simhash)) <= 8")
+def simhash_candidates(spark, d):
+    return D.simhash_candidates(H.simhash(_content(spark, d)), 7, 8)
+
+
+@query("minhash_candidates", f"WITH {_SIG} SELECT b.id, {_EQUAL} / {H.HASHES}.0 AS similarity FROM sig a JOIN sig b ON b.id <> a.id WHERE a.id = 7 AND {_EQUAL} / {H.HASHES}.0 >= 0.4")
+def minhash_candidates(spark, d):
+    return D.minhash_candidates(_content(spark, d).select("id", H.minhash(F.col("content")).alias("minhash")), 7, 0.4)
+
+
 @query("hash_cache", "SELECT doc_id AS id, md5(text) AS content_hash, length(text) AS n FROM documents")
 def hash_cache(spark, d):
     return _content(spark, d).select("id", F.md5("content").alias("content_hash"), text_length(F.col("content")).alias("n"))
@@ -81,19 +98,27 @@ def orphan_cache(spark, d):
     return cache.join(M.table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id")), "id", "left_anti")
 
 
-@query("tf_embedding", """WITH w AS (SELECT doc_id AS id, list_slice(list_filter(regexp_split_to_array(lower(text), '[\\s\\x{00a0}\\x{feff}\\p{Z}]+'), lambda x: length(x) > 2), 1, 100) AS words FROM documents),
- b AS (SELECT id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 1536 AS bucket, count(*) AS tf FROM (SELECT id, unnest(words) AS t FROM w) GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(tf * tf)) AS norm FROM b GROUP BY 1)
- SELECT b.id, b.bucket, round(tf / norm, 6) AS weight FROM b JOIN n ON n.id = b.id""")
+_TF = """tw AS (SELECT doc_id AS id, list_slice(list_filter(regexp_split_to_array(lower(text), '[\\s\\x{00a0}\\x{feff}\\p{Z}]+'), lambda x: length(x) > 2), 1, 100) AS words FROM documents),
+ tb AS (SELECT id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 1536 AS bucket, count(*) AS tf FROM (SELECT id, unnest(words) AS t FROM tw) GROUP BY 1, 2), tn AS (SELECT id, sqrt(sum(tf * tf)) AS norm FROM tb GROUP BY 1),
+ tfw AS (SELECT tb.id, tb.bucket, tf / norm AS weight FROM tb JOIN tn ON tn.id = tb.id)"""
+
+
+@query("tf_embedding", f"WITH {_TF} SELECT id, bucket, round(weight, 6) AS weight FROM tfw")
 def tf_embedding(spark, d):
-    from pyspark.sql import Window as W
+    return E.embedded(_content(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+@query("tf_dense", f"WITH {_TF} SELECT id, CAST(1536 AS INT) AS size, round(sum(weight), 6) AS total, round(sum(weight * bucket), 4) AS moment FROM tfw GROUP BY id")
+def tf_dense(spark, d):
+    v = E.dense(E.embedded(_content(spark, d)))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    moment = F.aggregate(F.transform("v", lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
+    return v.select("id", F.size("v").alias("size"), F.round(total, 6).alias("total"), F.round(moment, 4).alias("moment"))
 
-    from recollect.functions.text import BLANK
 
-    words = F.slice(F.filter(F.split(F.lower("content"), BLANK), lambda t: F.length(t) > 2), 1, 100)
-    bucket = F.pmod(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long"), F.lit(1536))
-    counted = _content(spark, d).select("id", F.explode(words).alias("t")).groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("tf"))
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy("id")))
-    return counted.select("id", "bucket", F.round(F.col("tf") / norm, 6).alias("weight"))
+@query("stub_embedding", "SELECT doc_id AS id, CAST(0 AS BIGINT) AS bucket, 0.0 AS weight FROM documents WHERE false")
+def stub_embedding(spark, d):
+    return E.embedded(_content(spark, d), "stub")
 
 
 _VECS = "e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -121,13 +146,6 @@ def merge_reason(spark, d):
     return _described(spark, d).select("id_a", "id_b", "reason")
 
 
-@query("greedy_topk")
-def greedy_topk(spark, d):
-    """The detected pairs (copies by their class's smallest id) of a cosine of 0.85 or more, ranked."""
-    pairs = D.stored(_detected(spark, d).select("id_a", "id_b", "similarity").filter("similarity >= 0.85"), "ranked")
-    return D.greedy_pairs(pairs, 10, 50).withColumn("similarity", F.round("similarity", 6))
-
-
 @query("jaccard_clusters")
 def jaccard_clusters(spark, d):
     return D.seed_clusters(M.memories(spark, d).select("project_id", "id", "content"))
@@ -224,7 +242,19 @@ def safety_checks(spark, d):
 
 @query("list_proposals", f"WITH {M.PROPOSALS_SQL} SELECT id, similarity, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM prop WHERE status = 'pending' ORDER BY created_at DESC, id DESC LIMIT 20")
 def list_proposals(spark, d):
-    return top(M.proposals(spark, d).filter("status = 'pending'"), 20, F.desc("created_at"), F.desc("id")).select("id", "similarity", M.shown("created_at").alias("created"))
+    return G.listed(M.proposals(spark, d), status="pending").select("id", "similarity", M.shown("created_at").alias("created"))
+
+
+def _owned(spark, d):
+    """Proposals with the project of their first source."""
+    owner = M.memories(spark, d).select(F.col("id").alias("first"), "project_id")
+    return M.proposals(spark, d).withColumn("first", F.col("sources")[0]).join(owner, "first").drop("first")
+
+
+@query("list_project_proposals", f"""WITH {M.MEMORIES_SQL}, {M.PROPOSALS_SQL} SELECT p.id, strftime(p.created_at, '%Y-%m-%d %H:%M:%S') AS created FROM prop p JOIN mem m ON m.id = p.sources[1]
+ WHERE m.project_id = 'src2' AND status = 'rejected' ORDER BY p.created_at DESC, p.id DESC LIMIT 7""")
+def list_project_proposals(spark, d):
+    return G.listed(_owned(spark, d), "src2", "rejected", 7).select("id", M.shown("created_at").alias("created"))
 
 
 @query("expired_proposals", f"WITH {M.PROPOSALS_SQL} SELECT id FROM prop WHERE status = 'pending' AND date_diff('second', created_at, TIMESTAMP '{M.NOW}') / 86400.0 > 7")
@@ -269,10 +299,44 @@ def reverse_merge(spark, d):
     return G.reversed_merges(memories, history)[0].select("id", "is_merged", "is_active", "is_canonical")
 
 
-@query("preview_merge")
+_TAGS_OF = "(SELECT list(t ORDER BY f) FROM (SELECT t, min(pos) AS f FROM (SELECT unnest(flat) AS t, generate_subscripts(flat, 1) AS pos) GROUP BY t))"
+#: Merges of groups g (merge_id, cs, flat, last_tags, n, kind, source_tokens) in SQL.
+_MERGED = f"""mc AS (SELECT *, CASE kind WHEN 'fact' THEN array_to_string(list_sort(list_distinct({_SENTENCES})), '. ') || '.' WHEN 'observation' THEN 'Observations (' || n || ' total):' || chr(10) || array_to_string(list_transform(cs, lambda c: '- ' || c), chr(10))
+ WHEN 'context' THEN array_to_string(list_transform(list_sort(list_distinct(cs)), lambda c: '- ' || c), chr(10)) ELSE cs[-1] END AS content,
+ CASE kind WHEN 'fact' THEN 'Merged ' || n || ' facts' WHEN 'observation' THEN n || ' observations over time period' WHEN 'context' THEN len(list_distinct(cs)) || ' context items (' || n || ' total)' WHEN 'preference' THEN 'Prefers: ' || cs[-1] || ' (evolved from ' || n || ' preferences)'
+ ELSE 'Decided: ' || cs[-1] || ' (' || n || ' decisions)' END AS summary, CASE WHEN kind IN ('preference', 'decision') THEN last_tags ELSE {_TAGS_OF} END AS merged_tags FROM g),
+ mt AS (SELECT *, CAST(ceil(length(content) / 4.0) + ceil(length(summary) / 4.0) + ceil(length(array_to_string(merged_tags, ' ')) / 4.0) AS BIGINT) + 25 AS merged_tokens FROM mc),
+ ms AS (SELECT *, CAST(greatest(0, source_tokens - merged_tokens) AS BIGINT) AS tokens_saved FROM mt)"""
+_GROUP = "list(m.content ORDER BY m.created_at, m.id) AS cs, flatten(list(m.tags ORDER BY m.created_at, m.id)) AS flat, arg_max(m.tags, m.id) AS last_tags, count(*) AS n, min(m.type) AS kind, CAST(sum(CAST(ceil(length(m.content) / 4.0) AS BIGINT) + CAST(ceil(length(array_to_string(m.tags, ' ')) / 4.0) AS BIGINT) + 25) AS BIGINT) AS source_tokens"
+
+
+@query("preview_merge", f"""WITH {M.MEMORIES_SQL}, pa AS (SELECT id // 10 * 5 + id % 5 AS pid, list(id ORDER BY id) AS sources FROM mem GROUP BY 1 HAVING count(*) = 2), k AS (SELECT pid, unnest(sources) AS source FROM pa),
+ g AS (SELECT pid AS merge_id, {_GROUP} FROM k JOIN mem m ON m.id = k.source WHERE m.id % 20 <> 15 GROUP BY pid), {_MERGED}
+ SELECT merge_id, kind AS type, (['pending','approved','rejected','expired'])[CAST(merge_id % 4 AS INT) + 1] AS status, md5(content) AS digest, tokens_saved, CAST(CASE WHEN source_tokens > 0 THEN round(100.0 * tokens_saved / source_tokens) ELSE 0 END AS BIGINT) AS saved_percent FROM ms""")
 def preview_merge(spark, d):
-    _, p, merges = _approval(spark, d)
-    return merges.join(p.select(F.col("id").alias("merge_id"), "status"), "merge_id").select("merge_id", "type", "status", F.md5("content").alias("digest"))
+    """Some sources are missing: their proposals are merged from what is left."""
+    m, p, _ = _approval(spark, d)
+    rows = G.previewed(p.withColumn("similarity", F.lit(0.9)), m.filter("id % 20 <> 15"))
+    return rows.select("merge_id", "type", "status", F.md5("content").alias("digest"), "tokens_saved", "saved_percent")
+
+
+def _overlapping(spark, d):
+    """Pending proposals that share sources: documents i and i + 5, in chains of seven."""
+    m = M.memories(spark, d)
+    twin = m.select((F.col("id") - 5).alias("id"), F.col("id").alias("other"))
+    p = m.select("id").join(twin, "id").filter("id div 5 % 8 <> 0").select("id", F.array("id", "other").alias("sources"), F.lit("pending").alias("status"))
+    sources = p.select(F.col("id").alias("merge_id"), F.explode("sources").alias("id")).join(m, "id")
+    return m, p, G.merged(G.grouped(sources)).select("merge_id", "content", "type", "tags")
+
+
+@query("approve_overlapping", f"""WITH RECURSIVE {M.MEMORIES_SQL}, pr AS (SELECT a.id, a.id AS x, b.id AS y FROM mem a JOIN mem b ON b.id = a.id + 5 WHERE a.id // 5 % 8 <> 0), rk AS (SELECT *, id % 5 AS lane, row_number() OVER (PARTITION BY id % 5 ORDER BY id) AS k FROM pr),
+ st AS (SELECT lane, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS won FROM (SELECT DISTINCT lane FROM rk) UNION ALL
+ SELECT r.lane, r.k, CASE WHEN s.used >= r.x THEN s.used ELSE r.y END, CASE WHEN s.used >= r.x THEN NULL ELSE r.id END FROM st s JOIN rk r ON r.lane = s.lane AND r.k = s.k + 1),
+ w AS (SELECT r.id, r.x, r.y FROM st JOIN rk r ON r.id = st.won), h AS (SELECT x AS id, -1 - id AS into_id FROM w UNION ALL SELECT y, -1 - id FROM w)
+ SELECT m.id, h.into_id AS merged_into FROM mem m LEFT JOIN h ON h.id = m.id UNION ALL SELECT -1 - id, NULL FROM w""")
+def approve_overlapping(spark, d):
+    """A source goes into one merge only: that of the smallest proposal which still can have it."""
+    return G.approved(*_overlapping(spark, d), M.at(M.NOW))[0].select("id", "merged_into")
 
 
 @query("merges_by_type", f"WITH {_APPROVAL} SELECT m.type, count(*) AS n FROM hit h JOIN mem m ON m.id = h.id GROUP BY 1")
@@ -282,37 +346,89 @@ def merges_by_type(spark, d):
 
 
 def _mergeable(spark, d):
-    """Memories that detection looks at: mergeable ones that have a vector."""
-    m = M.memories(spark, d).filter("is_mergeable and not is_merged and is_active")
-    return m.join(M.embeddings(spark, d).select("id"), "id", "left_semi")
-
-
-@query("duplicate_candidates")
+    return D.stored(D.mergeable(M.memories(spark, d)), "mergeable")
+
+
+_HEADS = f"""{M.MEMORIES_SQL}, mm AS (SELECT * FROM mem WHERE is_mergeable AND NOT is_merged AND is_active), cls AS (SELECT id, min(id) OVER (PARTITION BY content) AS class_id FROM mm),
+ {_SIMHASH}, {_SIG}, fp AS (SELECT s.id, s.simhash, g.minhash FROM sim s JOIN sig g ON g.id = s.id JOIN cls c ON c.id = s.id AND c.class_id = c.id),
+ pp AS (SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.simhash = 0 OR b.simhash = 0 THEN 64 ELSE bit_count(xor(a.simhash, b.simhash)) END AS distance, bit_count(xor(a.simhash, b.simhash)) AS plain, {_EQUAL} AS equal FROM fp a JOIN fp b ON a.id < b.id),
+ cand AS (SELECT id_a, id_b, CASE WHEN distance <= 4 AND equal >= {_NEED} THEN 'both' WHEN distance <= 4 THEN 'simhash' ELSE 'minhash' END AS matched, greatest(1 - plain / 64.0, equal / {H.HASHES}.0) AS score FROM pp WHERE distance <= 4 OR equal >= {_NEED}),
+ stage1 AS (SELECT * FROM cand UNION ALL SELECT class_id, id, 'both', 1.0 FROM cls WHERE id <> class_id)"""
+_RANKED = f"""{_HEADS}, {_TF}, dots AS (SELECT s.id_a, s.id_b, sum(x.weight * y.weight) AS dot FROM stage1 s JOIN tfw x ON x.id = s.id_a JOIN tfw y ON y.id = s.id_b AND y.bucket = x.bucket GROUP BY 1, 2),
+ close AS (SELECT id_a, id_b, round(dot, 9) AS similarity FROM dots WHERE round(dot, 9) >= 0.85), ranked AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id_a, id_b) AS k FROM close),
+ pick AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a BIGINT, b BIGINT, s DOUBLE)[]) AS chosen UNION ALL SELECT r.k, CASE WHEN len(list_filter(chosen, lambda x: x.a = r.id_a OR x.b = r.id_a)) < 10 AND len(list_filter(chosen, lambda x: x.a = r.id_b OR x.b = r.id_b)) < 10
+ THEN list_append(chosen, {{'a': r.id_a, 'b': r.id_b, 's': r.similarity}}) ELSE chosen END FROM pick p JOIN ranked r ON r.k = p.k + 1 WHERE len(chosen) < 50),
+ got AS (SELECT x.a AS id_a, x.b AS id_b, x.s AS similarity FROM (SELECT unnest(chosen) AS x FROM (SELECT chosen FROM pick ORDER BY k DESC LIMIT 1))),
+ gi AS (SELECT id_a, id_b, similarity, a.type AS type_a, b.type AS type_b, a.tags AS ta, b.tags AS tb, length(a.content) AS la, length(b.content) AS lb FROM got JOIN mem a ON a.id = id_a JOIN mem b ON b.id = id_b),
+ gf AS (SELECT *, len(list_intersect(ta, tb)) / CAST(len(list_distinct(list_concat(ta, tb))) AS DOUBLE) AS overlap, CASE WHEN greatest(la, lb) = 0 THEN 1.0 ELSE least(la, lb) / CAST(greatest(la, lb) AS DOUBLE) END AS ratio FROM gi),
+ lv AS (SELECT *, CASE WHEN similarity >= 0.9 THEN CASE WHEN type_a = type_b OR overlap > 0.3 THEN 'high' ELSE 'medium' END WHEN similarity >= 0.8 THEN 'medium' ELSE 'low' END AS level FROM gf)"""
+_REASON = """concat_ws(' • ', printf('Semantic similarity: %.1f%%', similarity * 100), CASE WHEN type_a = type_b THEN 'Same type (' || type_a || ')' ELSE 'Different types (' || type_a || ' vs ' || type_b || ')' END,
+ CASE WHEN overlap > 0 THEN printf('%d%% tag overlap', CAST(round(overlap * 100) AS BIGINT)) END, printf('Content length difference: %d%%', CAST(round((1 - ratio) * 100) AS BIGINT)), 'Confidence: ' || level)"""
+
+
+@query("duplicate_candidates", f"WITH {_HEADS} SELECT id_a, id_b, matched, round(score, 6) AS score FROM cand")
 def duplicate_candidates(spark, d):
-    return D.candidates(D.stored(_mergeable(spark, d), "mergeable"))
+    return D.candidates(_mergeable(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("duplicate_classes")
+@query("duplicate_classes", f"WITH {M.MEMORIES_SQL} SELECT id, min(id) OVER (PARTITION BY content) AS class_id FROM mem WHERE is_mergeable AND NOT is_merged AND is_active")
 def duplicate_classes(spark, d):
-    return D.text_classes(_mergeable(spark, d))
+    return D.text_classes(D.mergeable(M.memories(spark, d)))
 
 
-def _detected(spark, d):
-    """Mergeable memories, near-duplicate fingerprints, cosine, level and reason.
+@query("detect_stage1", f"WITH {_HEADS} SELECT id_a, id_b, CASE matched WHEN 'both' THEN 'simhash' ELSE matched END AS method, round(score, 6) AS similarity FROM stage1")
+def detect_stage1(spark, d):
+    """All pairs of the first stage: class heads with one another, and each class's head with its copies."""
+    m = _mergeable(spark, d)
+    return D.detected(m, E.embedded(m), stage1_only=True).select("id_a", "id_b", "method", F.round("similarity", 6).alias("similarity"))
 
-    Each class of copies is listed as pairs of its smallest id with its other members; pairs of
-    different texts are those of the classes' smallest ids (duplicate_candidates).
-    """
-    m = D.stored(_mergeable(spark, d), "mergeable")
-    copies = D.text_classes(m).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
-    pairs = D.candidates(m).select("id_a", "id_b").unionByName(copies)
-    return D.described(pairs, m, M.embeddings(spark, d))
+
+def _detected(spark, d):
+    m = _mergeable(spark, d)
+    return m, D.detected(m, E.embedded(m.select("id", "content")))
 
 
-@query("detect_duplicates", None)
+@query("detect_duplicates", f"WITH RECURSIVE {_RANKED} SELECT id_a, id_b, round(similarity, 6) AS similarity, level, {_REASON} AS reason FROM lv")
 def detect_duplicates(spark, d):
-    """The flagship, see _detected."""
-    return _detected(spark, d).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "level", "reason")
+    """The flagship: likely duplicates among mergeable memories, by both stages, greedily chosen."""
+    return _detected(spark, d)[1].select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "level", "reason")
+
+
+@query("greedy_topk", f"WITH RECURSIVE {_RANKED} SELECT id_a, id_b, round(similarity, 6) AS similarity FROM got")
+def greedy_topk(spark, d):
+    """The ranking alone, on the pairs of a cosine of 0.85 or more."""
+    m = _mergeable(spark, d)
+    pairs = D.cosines(D.stage_one(m).select("id_a", "id_b"), E.embedded(m.select("id", "content"))).filter("similarity >= 0.85")
+    return D.greedy_pairs(D.stored(pairs, "ranked"), 10, 50).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("detect_proposals", f"""WITH RECURSIVE {_RANKED}, pk AS (SELECT *, CAST('0x' || substr(md5(id_a || ',' || id_b), 1, 15) AS BIGINT) AS pid FROM lv WHERE type_a = type_b), k AS (SELECT pid, unnest([id_a, id_b]) AS source FROM pk),
+ g AS (SELECT pid AS merge_id, {_GROUP} FROM k JOIN mem m ON m.id = k.source GROUP BY pid), {_MERGED},
+ wn AS (SELECT pid, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE is_private) AS private, count(*) FILTER (WHERE has_secrets) AS secret, min_by(project_id, m.id) AS project_id FROM k JOIN mem m ON m.id = k.source GROUP BY pid)
+ SELECT p.pid AS id, project_id, id_a, id_b, kind AS type, round(similarity, 6) AS similarity, level, tokens_saved, md5(content) AS digest, 'pending' AS status,
+ concat_ws('; ', CASE WHEN users > 1 THEN 'Merging memories from ' || users || ' different users' END, CASE WHEN private = 1 THEN 'Mixing private and public memories' END, CASE WHEN secret > 0 THEN secret || ' memories hold secrets' END) AS notes
+ FROM pk p JOIN ms ON ms.merge_id = p.pid JOIN wn ON wn.pid = p.pid""")
+def detect_proposals(spark, d):
+    """Detection as the tool runs it: pairs that pass the safety checks, merged, as pending proposals."""
+    m, pairs = _detected(spark, d)
+    p = G.proposed(D.stored(pairs, "detected"), m, M.at(M.NOW))
+    notes = F.array_join(F.filter("warnings", lambda w: w.rlike("users$|^Mixing|secrets$")), "; ")
+    return p.select("id", "project_id", F.col("sources")[0].alias("id_a"), F.col("sources")[1].alias("id_b"), "type", F.round("similarity", 6).alias("similarity"), "level", "tokens_saved", F.md5("content").alias("digest"), "status", notes.alias("notes"))
+
+
+@query("safety_text", f"""{_CHECKS} SELECT merge_id, CASE WHEN len(blockers) + len(warnings) = 0 THEN 'All checks passed' ELSE concat_ws(chr(10), CASE WHEN len(blockers) > 0 THEN 'Blocked:' || chr(10) || array_to_string(list_transform(blockers, lambda x: '- ' || x), chr(10)) END,
+ CASE WHEN len(warnings) > 0 THEN 'Warnings:' || chr(10) || array_to_string(list_transform(warnings, lambda x: '- ' || x), chr(10)) END) END AS text FROM b""")
+def safety_text(spark, d):
+    p = M.proposals(spark, d).select(F.col("id").alias("merge_id"), "similarity", F.explode("sources").alias("id"))
+    return G.safety_text(G.safety(p.join(M.memories(spark, d), "id"), similarity=F.col("similarity"))).select("merge_id", "text")
+
+
+@query("hash_cache_upsert", """SELECT doc_id AS id, md5(text) AS content_hash, NOT (doc_id % 10 = 7 OR doc_id % 9 = 0) AS was_fresh FROM documents""")
+def hash_cache_upsert(spark, d):
+    """The cache brought up to date: entries that are missing or stale are made anew, the others stay."""
+    memories = _content(spark, d)
+    old = memories.filter("id % 10 <> 7").select("id", F.md5(F.when(F.col("id") % 9 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))).alias("content_hash"))
+    return G.refreshed(old, memories)
 
 
 @query("word_sets", "SELECT doc_id AS id, CAST(len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\x{00a0}\\x{feff}\\p{Z}]+'), lambda x: length(x) > 2))) AS INT) AS n FROM documents")

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from recollect.functions.scoring import age_days, age_decayed, read_scope
 from recollect.functions.text import tokens_by_words
 from recollect.operators import search as S
-from recollect.operators.filters import Criteria, assertion, ensured, matching, readable
+from recollect.operators.filters import Criteria, assertion, confident, ensured, matching, of_path, project_by_path, readable, recent
 from recollect.plans.registry import query
 from recollect.sources import model as M
 
 
-
 def newest() -> tuple[Column, Column]:
     return F.desc("created_at"), F.desc("id")
 
@@ -189,7 +188,83 @@ def ensure_projects(spark, d):
     return ensured(known, M.table(spark, d, "documents").select(F.concat(F.lit("/work/"), "source").alias("path")))
 
 
-@query("context_budget")
+_TOKENS = "CAST(ceil(len(regexp_split_to_array({0}, '[\\s\\x{{00a0}}\\x{{feff}}\\p{{Z}}]+')) * 1.3) AS BIGINT)"
+
+
+def _budget_sql(ranked: str, items: int, tokens: int, most: int) -> str:
+    """The greedy choice as recursion along the ranks r of `ranked` (project_id, kind, id, rank, tokens)."""
+    return f"""{ranked}, st AS (SELECT project_id, 0 AS r, CAST(0 AS BIGINT) AS used, 0 AS n, CAST([] AS BIGINT[]) AS ranks FROM (SELECT DISTINCT project_id FROM rk) UNION ALL
+ SELECT s.project_id, s.r + 1, CASE WHEN k.rank IS NOT NULL AND s.n < {items} AND s.used + k.tokens <= {tokens} THEN s.used + k.tokens ELSE s.used END, CASE WHEN k.rank IS NOT NULL AND s.n < {items} AND s.used + k.tokens <= {tokens} THEN s.n + 1 ELSE s.n END,
+ CASE WHEN k.rank IS NOT NULL AND s.n < {items} AND s.used + k.tokens <= {tokens} THEN list_append(s.ranks, k.rank) ELSE s.ranks END FROM st s LEFT JOIN rk k ON k.project_id = s.project_id AND k.rank = s.r + 1 WHERE s.r < {most}),
+ ch AS (SELECT project_id, used, unnest(ranks) AS rank, generate_subscripts(ranks, 1) - 1 AS position FROM st WHERE r = {most})"""
+
+
+_BUDGET = f"""WITH RECURSIVE {M.MEMORIES_SQL}, rk AS (SELECT project_id, id, {_TOKENS.format('content')} AS tokens, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM mem WHERE is_active QUALIFY rank <= 10)"""
+
+
+@query("context_budget", f"{_budget_sql(_BUDGET, 5, 3000, 10)} SELECT ch.project_id, used AS used_tokens, CAST(position AS INT) AS position, rk.id FROM ch JOIN rk ON rk.project_id = ch.project_id AND rk.rank = ch.rank")
 def context_budget(spark, d):
     m = M.memories(spark, d).filter("is_active").select("project_id", "id", tokens_by_words(F.col("content")).cast("long").alias("tokens"), "created_at")
     return S.budgeted(S.top_per(m, "project_id", 10, *newest()), 5, 3000)
+
+
+_SELECTION = f"""WITH RECURSIVE {M.MEMORIES_SQL}, {M.MESSAGES_SQL}, a AS (SELECT project_id, 'memory' AS kind, id, {_TOKENS.format('content')} AS tokens, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM mem WHERE is_active QUALIFY rank <= 10),
+ cv AS (SELECT 'src' || (conv_id % 8) AS project_id, conv_id AS id, min(created_at) AS began, CAST(sum({_TOKENS.format('content')}) AS BIGINT) AS tokens FROM msg GROUP BY conv_id),
+ c AS (SELECT project_id, 'conversation' AS kind, id, tokens, 10 + row_number() OVER (PARTITION BY project_id ORDER BY began DESC, id DESC) AS rank FROM cv QUALIFY rank <= 15), rk AS (SELECT * FROM a UNION ALL SELECT * FROM c)"""
+
+
+@query("context_selection", f"{_budget_sql(_SELECTION, 15, 3000, 15)} SELECT ch.project_id, CAST(position AS INT) AS position, kind, id, used AS used_tokens FROM ch JOIN rk ON rk.project_id = ch.project_id AND rk.rank = ch.rank")
+def context_selection(spark, d):
+    m = M.memories(spark, d).filter("is_active").select("project_id", "id", tokens_by_words(F.col("content")).cast("long").alias("tokens"), "created_at")
+    c = M.messages(spark, d).groupBy(F.col("conv_id").alias("id")).agg(F.min("created_at").alias("created_at"), F.sum(tokens_by_words(F.col("content"))).cast("long").alias("tokens"))
+    c = c.withColumn("project_id", F.concat(F.lit("src"), F.pmod("id", F.lit(8))))
+    return S.selected(S.top_per(m, "project_id", 10, *newest()), S.top_per(c, "project_id", 5, *newest()))
+
+
+@query("search_terms_or", f"""WITH {M.MEMORIES_SQL}, t AS (SELECT *, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM mem) SELECT id FROM t WHERE list_has_any(terms, ['license', 'thing', 'worthless'])""")
+def search_terms_or(spark, d):
+    return S.keyword(M.memories(spark, d), any_of=["license", "thing", "worthless"]).select("id")
+
+
+@query("search_tags_like", f"""WITH {M.MEMORIES_SQL} SELECT id FROM mem WHERE len(list_filter(tags, lambda t: t ILIKE '%rc1%' OR t ILIKE '%D%')) > 0""")
+def search_tags_like(spark, d):
+    return S.keyword(M.memories(spark, d), tags_like=["RC1", "d"]).select("id")
+
+
+@query("search_literal", f"""WITH {M.MEMORIES_SQL} SELECT id FROM mem WHERE contains(lower(content), '100%') OR contains(lower(content), '%%%') OR contains(content, '_')""")
+def search_literal(spark, d):
+    """% and _ of a pattern stand for themselves."""
+    m = M.memories(spark, d)
+    return S.keyword(m, "100%").select("id").union(S.keyword(m, "%%%").select("id")).union(S.keyword(m, "_").select("id")).distinct()
+
+
+@query("search_clamped", f"""WITH {M.MEMORIES_SQL} SELECT id FROM mem WHERE is_active ORDER BY created_at DESC, id DESC LIMIT 100""")
+def search_clamped(spark, d):
+    """A limit of 5000 is cut to the most that a search gives."""
+    return S.clamped_top(M.memories(spark, d).filter("is_active"), 5000, 10, 1, 100, *newest()).select("id")
+
+
+def _projects(spark, d):
+    return M.table(spark, d, "documents").select(F.col("source").alias("project_id")).distinct().withColumn("path", F.concat(F.lit("/work/"), "project_id"))
+
+
+@query("project_of_path", f"""WITH {M.MEMORIES_SQL} SELECT id, project_id FROM mem WHERE project_id = 'src2'""")
+def project_of_path(spark, d):
+    return of_path(M.memories(spark, d), _projects(spark, d), "/work/src2").select("id", "project_id")
+
+
+@query("project_unknown", "SELECT doc_id AS id FROM documents WHERE false")
+def project_unknown(spark, d):
+    """A path without a project filters everything out."""
+    return of_path(M.memories(spark, d), _projects(spark, d), "/work/none").select("id")
+
+
+@query("project_by_path", "SELECT DISTINCT source AS project_id, '/work/' || source AS path FROM documents WHERE source = 'src1'")
+def project_lookup(spark, d):
+    return project_by_path(_projects(spark, d), "/work/src1")
+
+
+@query("confident_recent", f"""WITH {M.MEMORIES_SQL} SELECT id, 'confident' AS what FROM mem WHERE type = 'fact' AND confidence >= 80 UNION ALL SELECT id, 'recent' FROM mem WHERE date_diff('second', created_at, TIMESTAMP '{M.NOW}') / 86400.0 <= 7""")
+def confident_recent(spark, d):
+    m, now = M.memories(spark, d), M.at(M.NOW)
+    return confident(m, Criteria(type="fact"), now).select("id", F.lit("confident").alias("what")).unionByName(recent(m, Criteria(), now).select("id", F.lit("recent").alias("what")))

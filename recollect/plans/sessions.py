@@ -90,6 +90,30 @@ def snapshot_stats(spark, d):
     return S.snapshot_stats(_snapshots(spark, d), ["before", "after", "periodic"])
 
 
+@query("snapshots_newest", f"WITH {_SNAP} SELECT id, snapshot_type FROM snap ORDER BY created_at DESC, id DESC LIMIT 50")
+def snapshots_newest(spark, d):
+    return S.newest(_snapshots(spark, d), 50, "id").select("id", "snapshot_type")
+
+
+@query("summaries_newest", f"WITH {M.MESSAGES_SQL} SELECT conv_id FROM msg GROUP BY conv_id ORDER BY max(created_at) DESC, conv_id DESC LIMIT 10")
+def summaries_newest(spark, d):
+    m = M.messages(spark, d)
+    made = S.final(m).join(m.groupBy("conv_id").agg(F.max("created_at").alias("created_at")), "conv_id")
+    return S.newest(made, 10, "conv_id").select("conv_id")
+
+
+@query("snapshot_create", f"""WITH {M.MEMORIES_SQL}, s AS (SELECT id, string_split(content, chr(10)) AS o, string_split(replace(content, 'a', 'b') || chr(10) || 'end', chr(10)) AS n, type, sector FROM mem)
+ SELECT id AS memory_id, type, sector, md5(array_to_string(list_filter(n, lambda x: NOT list_contains(o, x)), chr(10))) AS added, CAST(len(list_filter(o, lambda x: NOT list_contains(n, x))) AS INT) AS n_removed FROM s""")
+def snapshot_create(spark, d):
+    """Snapshots before and after a change of every memory; the later ones hold the difference."""
+    m = M.memories(spark, d)
+    before = S.snapshot(m, "before", M.at(M.EPOCH))
+    changed = m.withColumn("content", F.concat(F.replace("content", F.lit("a"), F.lit("b")), F.lit("\nend")))
+    after = S.snapshot(changed, "after", M.at(M.NOW), before)
+    part = lambda name: F.get_json_object("metadata", f"$.{name}").alias(name)
+    return after.select("memory_id", part("type"), part("sector"), F.md5(F.array_join(F.coalesce("diff.added", F.array().cast("array<string>")), "\n")).alias("added"), F.coalesce(F.size("diff.removed"), F.lit(0)).alias("n_removed"))
+
+
 @query("every_tenth", "SELECT id, project_id FROM (SELECT event_id AS id, user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k % 10 = 0")
 def every_tenth(spark, d):
     return S.every_nth(M.observations(spark, d), 10).select("id", "project_id")
@@ -143,6 +167,18 @@ def storable_only(spark, d):
     return _paths(spark, d).filter(X.storable(F.col("content"), F.col("path"), _PATHS)).select("id")
 
 
+@query("storable_nulls", f"WITH {_DOCS} SELECT id FROM p WHERE id % 4 = 0 OR NOT ({_PRIVATE} OR regexp_matches(content, '{_ANY}') OR {_DENIED})")
+def storable_nulls(spark, d):
+    """A null text holds nothing that forbids storing it, nor does a null path."""
+    gone = lambda c: F.when(F.col("id") % 4 != 0, F.col(c))
+    return _paths(spark, d).filter(X.storable(gone("content"), gone("path"), _PATHS)).select("id")
+
+
+@query("tag_round_trip", "SELECT doc_id AS id, lang || '|' || source AS tags FROM documents")
+def tag_round_trip(spark, d):
+    return M.memories(spark, d).select("id", F.array_join(X.tags_from_text(X.tags_text(F.col("tags"))), "|").alias("tags"))
+
+
 @query("tag_parsing", """SELECT doc_id AS id, lang || '|' || source AS tags FROM documents""")
 def tag_parsing(spark, d):
     raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array("lang", F.lit(" "), "source"))).otherwise(F.concat("lang", F.lit(" ,, "), "source"))

@@ -31,11 +31,15 @@ def detection_stats(spark, d):
     return A.detection_stats(M.memories(spark, d))
 
 
+_REVERSED = "h AS (SELECT count(*) AS reversed FROM prop WHERE status = 'approved' AND id % 3 = 0)"
+
+
 @query("merge_stats", f"""WITH {M.MEMORIES_SQL}, {M.PROPOSALS_SQL}, a AS (SELECT count(*) AS total, count(*) FILTER (WHERE is_mergeable AND NOT is_merged AND is_active) AS mergeable, count(*) FILTER (WHERE is_merged) AS merged, count(*) FILTER (WHERE is_canonical) AS canonical FROM mem),
- b AS (SELECT {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS proposals_{s}" for s in M.STATUSES)} FROM prop)
- SELECT *, CAST(CASE WHEN canonical > 0 THEN round((merged + canonical) / canonical) ELSE 1 END AS BIGINT) AS mean_merge_size FROM a, b""")
+ b AS (SELECT {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS proposals_{s}" for s in M.STATUSES)} FROM prop), {_REVERSED}
+ SELECT *, CAST(CASE WHEN canonical > 0 THEN round((merged + canonical) / canonical) ELSE 1 END AS BIGINT) AS mean_merge_size FROM a, b, h""")
 def merge_stats(spark, d):
-    return A.merge_stats(M.memories(spark, d), M.proposals(spark, d), M.STATUSES)
+    p = M.proposals(spark, d)
+    return A.merge_stats(M.memories(spark, d), p, M.STATUSES, p.filter("status = 'approved'").select((F.col("id") % 3 == 0).alias("is_reversed")))
 
 
 @query("proposal_status", f"""WITH {M.PROPOSALS_SQL} SELECT s.status, count(p.id) AS n FROM (SELECT unnest({M.STATUSES}) AS status) s LEFT JOIN prop p ON p.status = s.status GROUP BY 1""")
@@ -123,10 +127,29 @@ def retention_prune(spark, d):
 
 @query("pin_and_protect", f"""WITH {M.MEMORIES_SQL} SELECT id, is_pinned OR id IN (1, 2, 3) AS is_pinned, is_protected OR id IN (3, 4) AS is_protected FROM mem WHERE is_pinned OR is_protected OR id IN (1, 2, 3, 4)""")
 def pin_and_protect(spark, d):
-    m = L.flagged(L.flagged(M.memories(spark, d), [1, 2, 3], "is_pinned"), [3, 4], "is_protected")
+    ids = lambda *x: M.table(spark, d, "documents").select(F.col("doc_id").alias("id")).filter(F.col("id").isin(*x))
+    m = L.flagged(L.flagged(M.memories(spark, d), ids(1, 2, 3), "is_pinned"), ids(3, 4), "is_protected")
     return m.filter("is_pinned or is_protected").select("id", "is_pinned", "is_protected")
 
 
+@query("protect_reason", f"WITH {M.MEMORIES_SQL} SELECT id, 'audit' AS reason, '{M.NOW}' AS at FROM mem WHERE type = 'decision' AND confidence > 90")
+def protect_reason(spark, d):
+    m = M.memories(spark, d)
+    done = L.flagged(m, m.filter("type = 'decision' and confidence > 90").select("id"), "is_protected", reason="audit", now=NOW(M.NOW))
+    return done.filter("metadata is not null").select("id", F.col("metadata")["protected_reason"].alias("reason"), F.col("metadata")["protected_at"].alias("at"))
+
+
+@query("memory_expiry", f"WITH {M.MEMORIES_SQL} SELECT id FROM mem WHERE id % 3 = 0 OR created_at + to_days(20) > TIMESTAMP '{M.NOW}'")
+def memory_expiry(spark, d):
+    m = M.memories(spark, d).withColumn("expires_at", F.when(F.col("id") % 3 != 0, F.timestamp_add("DAY", F.lit(20), F.col("created_at"))))
+    return L.unexpired(m, NOW(M.NOW)).select("id")
+
+
+@query("detection_by_type", f"""WITH {M.MEMORIES_SQL} SELECT type, count(*) AS total, count(*) FILTER (WHERE is_mergeable AND NOT is_merged AND is_active) AS mergeable, count(*) FILTER (WHERE is_merged) AS merged, count(*) FILTER (WHERE is_canonical) AS canonical FROM mem GROUP BY 1""")
+def detection_by_type(spark, d):
+    return A.detection_by_type(M.memories(spark, d))
+
+
 @query("confidence_decay", f"""WITH {M.MEMORIES_SQL} SELECT id, CAST(greatest(0, floor(confidence * exp(-0.01 * {AGE}))) AS INT) AS confidence FROM mem WHERE type = 'fact'""")
 def confidence_decay(spark, d):
     return M.memories(spark, d).filter("type = 'fact'").select("id", confidence_decayed(F.col("confidence"), age_days(F.col("created_at"), NOW(M.NOW))).alias("confidence"))
@@ -153,9 +176,47 @@ def fact_chain(spark, d):
     return X.chains(M.facts(spark, d).select("id", "superseded_by"))
 
 
+_FACT_ID = "CAST('0x' || substr(md5(subject || ':' || (version + 1)), 1, 15) AS BIGINT)"
+
+
+@query("fact_history", f"""WITH {M.FACTS_SQL}, o AS (SELECT subject, version FROM fact WHERE id = (SELECT min(id) FROM fact WHERE version = 2)) SELECT f.id, f.version FROM fact f JOIN o ON o.subject = f.subject AND f.version >= o.version""")
+def fact_history(spark, d):
+    facts = M.facts(spark, d)
+    first = facts.filter("version = 2").agg(F.min("id")).first()[0]
+    return X.history(facts, first)
+
+
+@query("fact_asof", f"""WITH {M.FACTS_SQL}, pt AS (SELECT c_custkey AS subject, c_custkey AS id, TIMESTAMP '1993-01-01' + to_days(CAST(c_custkey * 7 % 2500 AS INT)) AS at FROM customer),
+ r AS (SELECT pt.id, f.id AS fact_id, f.value, row_number() OVER (PARTITION BY pt.id ORDER BY f.valid_from DESC, f.version DESC) AS k FROM pt LEFT JOIN fact f ON f.subject = pt.subject AND f.valid_from <= pt.at AND (f.valid_to IS NULL OR f.valid_to >= pt.at))
+ SELECT id, fact_id, value FROM r WHERE k = 1""")
+def fact_asof(spark, d):
+    c = M.table(spark, d, "customer")
+    points = c.select(F.col("c_custkey").alias("subject"), F.timestamp_add("DAY", F.pmod(F.col("c_custkey") * 7, F.lit(2500)).cast("int"), NOW("1993-01-01 00:00:00")).alias("at"), F.col("c_custkey").alias("id"))
+    return X.facts_asof(M.facts(spark, d), points).select("id", "fact_id", "value")
+
+
+@query("fact_store", f"""WITH {M.FACTS_SQL}, n AS (SELECT c_custkey AS subject, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT subject FROM fact WHERE valid_to IS NULL))
+ SELECT id, subject, value, CAST(version AS INT) AS version, confidence FROM fact UNION ALL SELECT CAST('0x' || substr(md5(subject || ':1'), 1, 15) AS BIGINT), subject, value, 1, 90 FROM n""")
+def fact_store(spark, d):
+    new = M.table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("value"), F.lit(90).alias("confidence"))
+    return X.stored_facts(M.facts(spark, d), new, NOW(FACT_NOW)).select("id", "subject", "value", "version", "confidence")
+
+
+@query("fact_invalidate", f"""WITH {M.FACTS_SQL} SELECT id, CASE WHEN valid_to IS NULL AND subject % 2 = 0 THEN '1998-01-01' ELSE strftime(valid_to, '%Y-%m-%d') END AS ended FROM fact""")
+def fact_invalidate(spark, d):
+    subjects = M.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("subject"))
+    return X.invalidated(M.facts(spark, d), subjects, NOW(FACT_NOW)).select("id", F.substring(F.col("valid_to").cast("string"), 1, 10).alias("ended"))
+
+
+@query("fact_valid", f"""WITH {M.FACTS_SQL} SELECT i AS id, EXISTS (SELECT 1 FROM fact WHERE id = i AND valid_from <= TIMESTAMP '{FACT_NOW}' AND (valid_to IS NULL OR valid_to >= TIMESTAMP '{FACT_NOW}')) AS valid FROM (SELECT unnest([1, 2, 3, 5, 7]) AS i)""")
+def fact_valid(spark, d):
+    facts = M.facts(spark, d)
+    return spark.createDataFrame([(i, X.is_valid(facts, i, NOW(FACT_NOW))) for i in (1, 2, 3, 5, 7)], "id int, valid boolean")
+
+
 @query("fact_update", f"""WITH {M.FACTS_SQL}, c AS (SELECT c_custkey AS subject, c_acctbal AS value FROM customer WHERE c_mktsegment = 'BUILDING'), l AS (SELECT f.*, c.value AS new FROM fact f JOIN c ON c.subject = f.subject WHERE f.valid_to IS NULL)
  SELECT id, subject, value, CAST(version AS INT) AS version, superseded_by, strftime(valid_to, '%Y-%m-%d') AS ended FROM fact WHERE NOT (valid_to IS NULL AND subject IN (SELECT subject FROM c))
- UNION ALL SELECT id, subject, value, CAST(version AS INT), -id, '1998-01-01' FROM l UNION ALL SELECT -id, subject, new, CAST(version + 1 AS INT), NULL, NULL FROM l""")
+ UNION ALL SELECT id, subject, value, CAST(version AS INT), {_FACT_ID}, '1998-01-01' FROM l UNION ALL SELECT {_FACT_ID}, subject, new, CAST(version + 1 AS INT), NULL, NULL FROM l""")
 def fact_update(spark, d):
     changes = M.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("value"))
     return X.updated(M.facts(spark, d), changes, NOW(FACT_NOW)).select("id", "subject", "value", "version", "superseded_by", F.substring(F.col("valid_to").cast("string"), 1, 10).alias("ended"))
@@ -180,7 +241,7 @@ def assoc_stats(spark, d):
 
 @query("related_topk", f"WITH {_EDGES} SELECT target AS id, weight FROM edge WHERE source = 42 ORDER BY weight DESC, target LIMIT 10")
 def related_topk(spark, d):
-    return G.related(_edges(spark, d), 42, 10)
+    return G.related(G.coactivated(M.table(spark, d, "lineitem"), "l_orderkey", "l_partkey", around=42), 42, 10)
 
 
 @query("prune_weak", f"WITH {_EDGES} SELECT source, target, weight FROM edge WHERE weight > 1")
@@ -194,3 +255,8 @@ def assoc_upsert(spark, d):
     old = _edges(spark, d).withColumn("kind", F.lit("co_occurred"))
     new = M.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).agg(F.count("*").alias("weight"), F.count("*").alias("coactivations")).withColumn("kind", F.lit("supplied"))
     return G.associated(old, new)
+
+
+@query("assoc_by_kind", f"""WITH {_EDGES}, u AS (SELECT source, target, 'co_occurred' AS kind, 0 AS o FROM edge UNION ALL SELECT DISTINCT l_partkey, l_suppkey, 'supplied', 1 FROM lineitem) SELECT kind, count(*) AS n FROM (SELECT source, target, min_by(kind, o) AS kind FROM u GROUP BY 1, 2) GROUP BY 1""")
+def assoc_by_kind(spark, d):
+    return G.stats_by_kind(assoc_upsert(spark, d))

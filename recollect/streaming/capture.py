@@ -1,20 +1,22 @@
-"""Streams of observations: capture, co-activation of what is recent, windowed counts.
+"""Streams of observations: capture, co-activation of what is recent, windowed counts, triggers and timers.
 
-capture is stateless and the same function serves batches and streams. Recent co-activation keeps
-the last observations of each project as state. Windowed counts use a watermark, so their state
-is bounded by its delay.
+capture is stateless and the same function serves batches and streams. Recent co-activation and
+the trigger of summaries keep a few numbers of each project as state. Windowed counts use a
+watermark, so their state is bounded by its delay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recollect.functions.text import has_private_tags, has_secret
+from recollect.functions.text import has_private_tags, has_secret, strip_private_tags
 from recollect.sources.storage import fresh
 
 
@@ -25,16 +27,42 @@ def captured(observations: DataFrame) -> DataFrame:
     return kept.filter((F.col("type") != "error") & ~has_private_tags(F.col("summary")) & ~has_secret(F.col("summary")))
 
 
+def captured_hooks(hooks: DataFrame) -> DataFrame:
+    """Observations from the events of a session: prompts, uses of tools, changes of files, errors.
+
+    hooks: id, kind (prompt, tool, file, error), project, name (of the tool, file or context), text
+    (the prompt, kind of change or message), args, result, created_at. Private parts of prompts are
+    replaced; what still holds something private is not captured.
+    """
+    kind, cut = F.col("kind"), lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+    prompt = cut(strip_private_tags(F.col("text")), 500)
+    by = lambda prompts, tools, files, errors: F.when(kind == "prompt", prompts).when(kind == "tool", tools).when(kind == "file", files).when(kind == "error", errors)
+    tags = lambda *x: F.array(*[F.lit(t) if isinstance(t, str) else t for t in ("auto-captured", *x)])
+    name, text = F.col("name"), F.col("text")
+    made = hooks.select(
+        "id", F.col("project").alias("project_id"), by(F.lit("insight"), F.lit("tool_use"), F.lit("file_change"), F.lit("error")).alias("type"),
+        by(F.lit("user_submitted_prompt"), name, text, F.lit("error_occurred")).alias("action"), by(F.col("project"), F.col("project"), name, name).alias("target"),
+        by(prompt, F.concat(F.lit("Tool "), name, F.lit(" executed with args: "), F.coalesce(cut(F.col("args"), 200), F.lit("none"))), F.concat(F.lit("File "), text, F.lit(": "), name), F.concat(F.lit("Error in "), name, F.lit(": "), text)).alias("summary"),
+        F.when(kind == "tool", F.coalesce(cut(F.col("result"), 200), F.lit("no result"))).alias("result"), by(tags("user-prompt"), tags("tool-use", name), tags("file-change", text), tags("error")).alias("tags"), "created_at",
+    )
+    return made.filter(F.col("type").isNotNull() & ~has_private_tags(F.col("summary")) & ~has_secret(F.col("summary")))
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> list[int]:
+    """Ids of all rows of a group in this batch of the stream, in order of time; Arrow may have cut them into several frames."""
+    whole = pd.concat(list(frames))
+    return whole.sort_values(["created_at", "id"])["id"].tolist()
+
+
 def _recent_pairs(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, last: int) -> Iterator[pd.DataFrame]:
     recent = list(state.get[0]) if state.exists else []
     pairs: dict[tuple[int, int], int] = {}
-    for frame in frames:
-        for i in frame.sort_values(["created_at", "id"])["id"].tolist():
-            for other in recent:
-                if other != i:
-                    for pair in ((i, other), (other, i)):
-                        pairs[pair] = pairs.get(pair, 0) + 1
-            recent = [*recent, i][-(last - 1) :]
+    for i in _in_order(frames):
+        for other in recent:
+            if other != i:
+                for pair in ((i, other), (other, i)):
+                    pairs[pair] = pairs.get(pair, 0) + 1
+        recent = [*recent, i][-(last - 1) :] if last > 1 else []
     state.update((recent,))
     if pairs:
         yield pd.DataFrame([(key[0], a, b, n) for (a, b), n in pairs.items()], columns=["project_id", "source", "target", "weight"])
@@ -49,6 +77,52 @@ def coactivation_stream(observations: DataFrame, last: int = 5) -> DataFrame:
     return observations.select("project_id", "id", "created_at").groupBy("project_id").applyInPandasWithState(step, "project_id long, source long, target long, weight long", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _nth(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, n: int) -> Iterator[pd.DataFrame]:
+    seen, due = state.get[0] if state.exists else 0, []
+    for i in _in_order(frames):
+        seen += 1
+        if seen % n == 0:
+            due.append((key[0], i, seen))
+    state.update((seen,))
+    if due:
+        yield pd.DataFrame(due, columns=["project_id", "id", "count"])
+
+
+def every_nth_stream(observations: DataFrame, n: int = 10) -> DataFrame:
+    """(project_id, id, count): each n-th observation of a project as it arrives, which makes a summary due."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _nth(key, frames, state, n)
+
+    return observations.select("project_id", "id", "created_at").groupBy("project_id").applyInPandasWithState(step, "project_id long, id long, count long", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def timer(spark: SparkSession, every: str, job: Callable[[], None], name: str) -> StreamingQuery:
+    """Run job at once and then every so often, never twice at a time; a failure is logged and the next run takes place.
+
+    The clock is a stream without data, so the timer lives and stops with the session's streams.
+    """
+
+    def run(*_) -> None:
+        try:
+            job()
+        except Exception:  # one failed run must not end the timer
+            logging.getLogger(__name__).exception("timer %s", name)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.queryName(name).foreachBatch(run).option("checkpointLocation", fresh(spark, f"timer-{name}")).trigger(processingTime=every).start()
+
+
+def publish(messages: DataFrame, topic: str) -> None:
+    """Append messages to a topic, a folder of JSON lines."""
+    messages.write.mode("append").json(topic)
+
+
+def subscribe(spark: SparkSession, topic: str, schema: str) -> DataFrame:
+    """A topic's messages as a stream, those published before included."""
+    return spark.readStream.schema(schema).json(topic)
+
+
 def windowed_counts(observations: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Count and sum of values per window and type; late rows within the delay are counted."""
     timed = observations.withColumn("at", F.col("created_at").cast("timestamp"))
