@@ -239,7 +239,7 @@ class Engine:
             raise Invalid(f"sources of proposal {proposal_id} are missing or merged already")
         _, _, history = merging.approved(memories, proposals, merges, self.now(), ids)
         history = detect.stored(history, "history")
-        self._change("memories", lambda m: merging.approved(m.drop("merged_into"), proposals, merges, self.now(), ids)[0].withColumn("source", F.when(F.col("id") == -1 - F.lit(proposal_id), "merge").otherwise(F.col("source"))))
+        self._change("memories", lambda m: merging.approved(m, proposals, merges, self.now(), ids)[0].withColumn("source", F.when(F.col("id") == -1 - F.lit(proposal_id), "merge").otherwise(F.col("source"))))
         self._change("proposals", lambda p: p.withColumns({"status": F.when(F.col("id") == proposal_id, "approved").otherwise(F.col("status")), "note": F.when(F.col("id") == proposal_id, F.lit(notes)).otherwise(F.col("note"))}))
         self.tables.append("merge_history", history)
         return {"proposal_id": proposal_id, "status": "approved", "id": -1 - proposal_id}

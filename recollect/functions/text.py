@@ -97,6 +97,16 @@ def secret_count(x: Column) -> Column:
     return out
 
 
+def secret_counts(x: Column) -> Column:
+    """How often each kind of secret occurs, in the table's order; null has none."""
+    return F.array(*[F.coalesce(F.regexp_count(x, F.lit(p)), F.lit(0)) for p, _ in SECRETS.values()])
+
+
+def counted_kinds(counts: Column) -> Column:
+    """Kinds that secret_counts() found."""
+    return F.filter(F.array(*[F.when(counts[i] > 0, F.lit(k)) for i, k in enumerate(SECRETS)]), lambda k: k.isNotNull())
+
+
 def sanitized(x: Column, mode: str = "moderate") -> Column:
     """Private tags replaced, and secrets too unless mode is off."""
     x = strip_private_tags(x)

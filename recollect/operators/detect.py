@@ -287,6 +287,14 @@ def explained(pairs: DataFrame, memories: DataFrame) -> DataFrame:
     return scored.withColumn("level", level).withColumn("reason", X.merge_reason(F.col("similarity"), F.col("type_a"), F.col("type_b"), F.col("overlap"), F.col("ratio"), F.col("level")))
 
 
+def analysed(memories: DataFrame, weights: DataFrame, a: int, b: int) -> DataFrame:
+    """One pair with its cosine, factors, level and reason; no row if a memory or its vector is missing."""
+    both = memories.filter(F.col("id").isin(a, b))
+    known = weights.filter(F.col("id").isin(a, b))
+    pair = both.select("id").join(known.select("id").distinct(), "id").agg(F.min("id").alias("id_a"), F.max("id").alias("id_b")).filter("id_a < id_b")
+    return explained(cosines(pair, known), both)
+
+
 def described(pairs: DataFrame, memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs with the cosine of stored vectors (id, v), confidence level and reason; those without both vectors drop out."""
     a, b = (vectors.select(F.col("id").alias(f"id_{k}"), F.col("v").alias(f"v_{k}")) for k in "ab")

@@ -216,7 +216,9 @@ def approved(memories: DataFrame, proposals: DataFrame, merges: DataFrame, now:
     target = ready.select(F.explode("sources").alias("id"), (-1 - F.col("merge_id")).alias("into"))
     marked = memories.join(target, "id", "left")
     hit = F.col("into").isNotNull()
-    old = marked.select(*[F.when(hit, F.lit(v)).otherwise(F.col(c)).alias(c) if (v := {"is_merged": True, "is_active": False}.get(c)) is not None else F.col(c) for c in memories.columns], F.col("into").alias("merged_into"))
+    into = F.coalesce("into", "merged_into") if "merged_into" in memories.columns else F.col("into")
+    flags = {"is_merged": F.when(hit, True).otherwise(F.col("is_merged")), "is_active": F.when(hit, False).otherwise(F.col("is_active")), "merged_into": into}
+    old = marked.withColumns(flags).select(*memories.columns, *([] if "merged_into" in memories.columns else ["merged_into"]))
     facts = memories.join(target, "id").groupBy("into").agg(F.min("project_id").alias("project_id"), F.round(F.avg(or_default(F.col("relevance"), 50))).cast("int").alias("relevance"), F.bool_or("has_secrets").alias("has_secrets"), F.bool_or("is_private").alias("is_private"), F.min("user_id").alias("user_id"))
     new = merges.join(ready.select("merge_id", (-1 - F.col("merge_id")).alias("into")), "merge_id").join(facts, "into").select(
         F.col("into").alias("id"), "content", "type", "tags", "project_id", "user_id", now.alias("created_at"), "relevance", F.lit(85).alias("confidence"), "is_private", "has_secrets",
@@ -237,10 +239,10 @@ def rejected(proposals: DataFrame, ids: DataFrame, note: str = "Rejected by revi
 def reversed_merges(memories: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(memories, history) after undoing all merges not undone yet: flags only, contents stay."""
     undo = history.filter(~F.col("is_reversed"))
-    sources = undo.select(F.explode("sources").alias("id"), F.lit(True).alias("source"))
-    heads = undo.select(F.col("canonical_id").alias("id"), F.lit(True).alias("head"))
+    sources = undo.select(F.explode("sources").alias("id"), F.lit(True).alias("was_source")).distinct()
+    heads = undo.select(F.col("canonical_id").alias("id"), F.lit(True).alias("was_head"))
     m = memories.join(sources, "id", "left").join(heads, "id", "left")
-    source, head = F.col("source").isNotNull(), F.col("head").isNotNull()
+    source, head = F.col("was_source").isNotNull(), F.col("was_head").isNotNull()
     back = {"is_merged": F.when(source, False).otherwise(F.col("is_merged")), "is_active": F.when(source, True).when(head, False).otherwise(F.col("is_active")), "is_canonical": F.when(head, False).otherwise(F.col("is_canonical")), "merged_into": F.when(~source, F.col("merged_into"))}
     return m.withColumns(back).select(*memories.columns), history.withColumn("is_reversed", F.lit(True))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.scoring import cosine, l2
-from recollect.functions.text import contains_terms, holds
+from recollect.functions.text import contains_terms, holds, terms
 from recollect.operators.filters import clamped
 
 #: Vectors, and queries, that one group of a scan with many queries compares (about).
@@ -35,6 +35,19 @@ def keyword(df: DataFrame, pattern: str | None = None, tags: Sequence[str] = (),
     return df
 
 
+def term_index(memories: DataFrame) -> DataFrame:
+    """(term, id): each term of each memory once; kept as a table clustered by term, searches read a few files of it."""
+    return memories.select(F.explode(F.array_distinct(terms(F.col("content")))).alias("term"), "id")
+
+
+def indexed(index: DataFrame, words: Sequence[str] = (), any_of: Sequence[str] = ()) -> DataFrame:
+    """Ids of memories that hold all words and one of any_of: the terms' rows only, pushed down to the index."""
+    wanted = sorted({*words, *any_of})
+    found = index.filter(F.col("term").isin(wanted)).groupBy("id").agg(F.count_if(F.col("term").isin(list(words))).alias("all_of"), F.count_if(F.col("term").isin(list(any_of))).alias("some_of"))
+    enough = F.col("all_of") == len(set(words))
+    return found.filter(enough & (F.col("some_of") > 0) if any_of else enough).select("id")
+
+
 def clamped_top(df: DataFrame, k: int | None, default: int, low: int, high: int, *order: Column) -> DataFrame:
     """top() with the limit of a caller, or the default, cut to [low, high]."""
     return top(df, clamped(k, default, low, high), *order)

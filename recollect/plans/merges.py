@@ -252,9 +252,9 @@ def _owned(spark, d):
 
 
 @query("list_project_proposals", f"""WITH {M.MEMORIES_SQL}, {M.PROPOSALS_SQL} SELECT p.id, strftime(p.created_at, '%Y-%m-%d %H:%M:%S') AS created FROM prop p JOIN mem m ON m.id = p.sources[1]
- WHERE m.project_id = 'src2' AND status = 'rejected' ORDER BY p.created_at DESC, p.id DESC LIMIT 7""")
+ WHERE m.project_id = 'src8' AND status = 'pending' ORDER BY p.created_at DESC, p.id DESC LIMIT 7""")
 def list_project_proposals(spark, d):
-    return G.listed(_owned(spark, d), "src2", "rejected", 7).select("id", M.shown("created_at").alias("created"))
+    return G.listed(_owned(spark, d), "src8", "pending", 7).select("id", M.shown("created_at").alias("created"))
 
 
 @query("expired_proposals", f"WITH {M.PROPOSALS_SQL} SELECT id FROM prop WHERE status = 'pending' AND date_diff('second', created_at, TIMESTAMP '{M.NOW}') / 86400.0 > 7")
@@ -416,6 +416,15 @@ def detect_proposals(spark, d):
     return p.select("id", "project_id", F.col("sources")[0].alias("id_a"), F.col("sources")[1].alias("id_b"), "type", F.round("similarity", 6).alias("similarity"), "level", "tokens_saved", F.md5("content").alias("digest"), "status", notes.alias("notes"))
 
 
+@query("analyse_pair", f"""WITH {M.MEMORIES_SQL}, {_TF}, gi AS (SELECT a.id AS id_a, b.id AS id_b, coalesce((SELECT round(sum(x.weight * y.weight), 9) FROM tfw x JOIN tfw y ON y.bucket = x.bucket AND y.id = b.id WHERE x.id = a.id), 0.0) AS similarity, a.type AS type_a, b.type AS type_b, a.tags AS ta, b.tags AS tb,
+ length(a.content) AS la, length(b.content) AS lb FROM mem a JOIN mem b ON a.id = 3 AND b.id = 8), gf AS (SELECT *, len(list_intersect(ta, tb)) / CAST(len(list_distinct(list_concat(ta, tb))) AS DOUBLE) AS overlap, CASE WHEN greatest(la, lb) = 0 THEN 1.0 ELSE least(la, lb) / CAST(greatest(la, lb) AS DOUBLE) END AS ratio FROM gi),
+ lv AS (SELECT *, CASE WHEN similarity >= 0.9 THEN CASE WHEN type_a = type_b OR overlap > 0.3 THEN 'high' ELSE 'medium' END WHEN similarity >= 0.8 THEN 'medium' ELSE 'low' END AS level FROM gf) SELECT id_a, id_b, round(similarity, 6) AS similarity, round(overlap, 6) AS overlap, round(ratio, 6) AS ratio, level, {_REASON} AS reason FROM lv""")
+def analyse_pair(spark, d):
+    m = M.memories(spark, d)
+    rows = D.analysed(m, E.embedded(m.filter("id in (3, 8)").select("id", "content")), 3, 8)
+    return rows.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), F.round("overlap", 6).alias("overlap"), F.round("ratio", 6).alias("ratio"), "level", "reason")
+
+
 @query("safety_text", f"""{_CHECKS} SELECT merge_id, CASE WHEN len(blockers) + len(warnings) = 0 THEN 'All checks passed' ELSE concat_ws(chr(10), CASE WHEN len(blockers) > 0 THEN 'Blocked:' || chr(10) || array_to_string(list_transform(blockers, lambda x: '- ' || x), chr(10)) END,
  CASE WHEN len(warnings) > 0 THEN 'Warnings:' || chr(10) || array_to_string(list_transform(warnings, lambda x: '- ' || x), chr(10)) END) END AS text FROM b""")
 def safety_text(spark, d):

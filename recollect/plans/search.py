@@ -226,6 +226,11 @@ def search_terms_or(spark, d):
     return S.keyword(M.memories(spark, d), any_of=["license", "thing", "worthless"]).select("id")
 
 
+@query("search_index", f"""WITH {M.MEMORIES_SQL}, t AS (SELECT *, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM mem) SELECT id FROM t WHERE list_contains(terms, 'the') AND list_contains(terms, 'of') AND list_has_any(terms, ['and', 'in'])""")
+def search_index(spark, d):
+    return S.indexed(S.term_index(M.memories(spark, d)), ["the", "of"], ["and", "in"])
+
+
 @query("search_tags_like", f"""WITH {M.MEMORIES_SQL} SELECT id FROM mem WHERE len(list_filter(tags, lambda t: t ILIKE '%rc1%' OR t ILIKE '%D%')) > 0""")
 def search_tags_like(spark, d):
     return S.keyword(M.memories(spark, d), tags_like=["RC1", "d"]).select("id")

@@ -141,8 +141,13 @@ _PRIVATE = "regexp_matches(content, '(?is)<private>.*?</private>|<secret>.*?</se
  SELECT id, is_private, has_secrets, CAST({' + '.join(f"len(regexp_extract_all(content, '{p}'))" for p, _ in X.SECRETS.values())} AS INT) AS n_secrets,
  concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{k}' END" for k, (p, _) in X.SECRETS.items())}) AS kinds, NOT (is_private OR has_secrets OR {_DENIED}) AS should_store FROM c""")
 def privacy_report(spark, d):
+    """Each pattern is searched once; what follows from the counts is taken from them."""
     c = F.col("content")
-    return _paths(spark, d).select("id", X.has_private_tags(c).alias("is_private"), X.has_secret(c).alias("has_secrets"), X.secret_count(c).cast("int").alias("n_secrets"), F.array_join(X.secret_kinds(c), ",").alias("kinds"), X.storable(c, F.col("path"), _PATHS).alias("should_store"))
+    found = _paths(spark, d).select("id", X.has_private_tags(c).alias("is_private"), X.secret_counts(c).alias("counts"), X.denied(F.col("path"), _PATHS).alias("denied"))
+    total = F.aggregate("counts", F.lit(0), lambda s, n: s + n)
+    some = found.select("id", "is_private", "denied", "counts", total.cast("int").alias("n_secrets"))
+    has = F.col("n_secrets") > 0
+    return some.select("id", "is_private", has.alias("has_secrets"), "n_secrets", F.array_join(X.counted_kinds(F.col("counts")), ",").alias("kinds"), (~(F.col("is_private") | has | F.col("denied"))).alias("should_store"))
 
 
 def _sanitize_sql() -> str:

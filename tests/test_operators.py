@@ -93,9 +93,26 @@ def test_valid_interval_is_closed(spark):
     assert [V.facts_at(df, M.at(f"{d} 00:00:00")).count() for d in ("2024-01-10", "2024-01-20", "2024-01-09", "2024-01-21")] == [1, 1, 0, 0]
 
 
-def test_chains_of_fifty(spark):
-    df = spark.range(50).select("id", F.when(F.col("id") < 49, F.col("id") + 1).alias("superseded_by"))
-    assert {(r.id, r.head, r.version) for r in V.chains(df).collect()} == {(i, 0, i + 1) for i in range(50)}
+@pytest.mark.parametrize("n", [1, 50, 100, 129])
+def test_chains_of_any_length(spark, n):
+    df = spark.range(n).select("id", F.when(F.col("id") < n - 1, F.col("id") + 1).alias("superseded_by"))
+    assert {(r.id, r.head, r.version) for r in V.chains(df).collect()} == {(i, 0, i + 1) for i in range(n)}
+
+
+def test_circles_are_an_error(spark):
+    with pytest.raises(ValueError, match="circle"):
+        V.chains(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "id long, superseded_by long"))
+
+
+def test_two_updates_have_two_ids(spark):
+    facts = spark.sql("select 5L id, 1L subject, 2.0D value, 90 confidence, timestamp_ntz'2024-01-01' valid_from, cast(null as timestamp_ntz) valid_to, cast(null as long) superseded_by, 1 version")
+    for k in range(3):
+        facts = V.updated(facts, spark.sql(f"select 1L subject, {k}.0D value"), M.at(f"2024-02-0{k + 1} 00:00:00"))
+    rows = sorted(facts.collect(), key=lambda r: r.version)
+    assert len({r.id for r in rows}) == 4 and [r.superseded_by for r in rows] == [*(r.id for r in rows[1:]), None] and [r.version for r in rows] == [1, 2, 3, 4]
+    assert {(r.id, r.version) for r in V.chains(facts).collect()} == {(r.id, r.version) for r in rows}
+    assert not V.is_valid(facts, 5, M.at("2024-03-01 00:00:00")) and V.is_valid(facts, rows[-1].id, M.at("2024-03-01 00:00:00"))
+    assert V.invalidated(facts, spark.sql("select 1L subject"), M.at("2024-04-01 00:00:00")).filter("valid_to is null").count() == 0
 
 
 def test_criteria_and_assertions(spark, sf):
@@ -190,14 +207,42 @@ def test_candidates_equal_brute_force(spark):
     assert {(x.id, x.class_id) for x in D.text_classes(df).collect()} == {(i, texts.index(t)) for i, t in enumerate(texts)}
 
 
-def test_copies_alone_are_detected(spark, sf, monkeypatch):
-    from recollect.plans import merges
+def mergeable(spark, sf, texts):
+    """Mergeable memories of one type and project with these texts."""
+    rows = M.memories(spark, sf).limit(1).collect()[0].asDict()
+    made = [rows | {"id": i, "content": t, "type": "fact", "project_id": "p", "is_mergeable": True, "is_merged": False, "is_active": True} for i, t in enumerate(texts)]
+    return spark.createDataFrame(made, M.memories(spark, sf).schema)
+
+
+def test_copies_alone_are_detected(spark, sf):
+    from recollect.functions.embedding import embedded
+
+    m = mergeable(spark, sf, ["one text, five times over"] * 5)
+    got = D.detected(m, embedded(m)).collect()
+    assert sorted((x.id_a, x.id_b, x.similarity, x.level) for x in got) == [(0, i, 1.0, "high") for i in range(1, 5)]
+    assert D.detected(m, embedded(m, "stub")).count() == 0 and D.detected(m.limit(1), embedded(m)).count() == 0
+    assert {x.method for x in D.detected(m, embedded(m), stage1_only=True).collect()} == {"simhash"}
 
-    m = merges._mergeable(spark, sf).limit(5).withColumn("content", F.lit("one text, five times"))
-    rows = spark.createDataFrame(m.collect(), m.schema)
-    monkeypatch.setattr(merges, "_mergeable", lambda *_: rows)
-    ids = sorted(x.id for x in rows.collect())
-    assert sorted((x.id_a, x.id_b) for x in merges.detect_duplicates(spark, sf).collect()) == [(ids[0], i) for i in ids[1:]]
+
+def test_three_versions_and_a_stranger(spark, sf):
+    from recollect.functions.embedding import embedded
+
+    texts = ["The user prefers dark mode for the editor and for the terminal", "The user prefers dark mode for the editor and for the terminals", "The user prefers dark mode for the editor and for the terminal!", "Deployments run every night at three from the main branch"]
+    m = mergeable(spark, sf, texts)
+    got = D.detected(m, embedded(m), threshold=0.8).collect()
+    assert {(x.id_a, x.id_b) for x in got} == {(0, 1), (0, 2), (1, 2)}
+    made = G.proposed(spark.createDataFrame(got, "id_a long, id_b long, similarity double, method string, level string, reason string"), m, M.at(M.NOW)).collect()
+    assert len(made) == 3 and {r.status for r in made} == {"pending"} and len({r.id for r in made}) == 3 and all(r.tokens_saved >= 0 for r in made)
+
+
+def test_other_providers(spark):
+    from recollect.functions import embedding as E
+
+    E.register("length", E.hooked(lambda texts: [[len(t), 1.0] for t in texts]))
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, content string")
+    assert {(r.id, r.bucket): round(r.weight, 4) for r in E.embedded(df, "length").collect()} == {(1, 0): 0.9487, (1, 1): 0.3162, (2, 1): 1.0}
+    with pytest.raises(ValueError):
+        E.embedded(df, "none")
 
 
 def test_nearest_each_equals_brute_force(spark, monkeypatch):
@@ -250,6 +295,50 @@ def test_greedy_passes_hubs(spark):
         assert [(x.id_a, x.id_b) for x in got] == want and len(want) == most
 
 
+def test_overlapping_proposals_take_a_source_once(spark, sf):
+    m = mergeable(spark, sf, ["a", "b", "c", "d", "e"])
+    p = spark.createDataFrame([(7, [1, 2], "pending"), (3, [0, 1], "pending"), (9, [2, 3], "pending"), (11, [3, 4], "pending"), (1, [4, 99], "pending")], "id long, sources array<long>, status string")
+    merges = G.merged(G.grouped(p.select(F.col("id").alias("merge_id"), F.explode("sources").alias("id")).join(m, "id"))).select("merge_id", "content", "type", "tags")
+    after, status, history = G.approved(m, p, merges, M.at(M.NOW))
+    rows = after.filter("id >= 0").collect()
+    assert {r.id: r.merged_into for r in rows} == {0: -4, 1: -4, 2: -10, 3: -10, 4: None} and len(rows) == 5
+    assert {r.id: r.status for r in status.collect()} == {3: "approved", 9: "approved", 7: "pending", 11: "pending", 1: "pending"} and history.count() == 2
+
+
+def test_checks_are_described(spark, sf):
+    assert [n for n, _, blocks in G.described_checks() if blocks] == ["immutable", "type", "merged", "similarity", "active"]
+    G.strategy("fact", G.merge_facts)
+    assert list(G.STRATEGIES) == ["fact", "preference", "decision", "observation", "context"]
+
+
+def test_memory_tokens_count_metadata(spark):
+    content, none, tags = F.lit("x" * 8), F.lit(None).cast("string"), F.array(F.lit("ab"))
+    got = one(spark, G.memory_tokens(content, none, tags), G.memory_tokens(content, none, tags, F.create_map(F.lit("k"), F.lit("v"))), G.memory_tokens(content, none, tags, F.lit(None).cast("map<string,string>")))
+    assert list(got) == [28, 28 + 3, 28]
+
+
+def test_null_texts_may_be_stored(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "<private>x</private>", "p"), (3, "ok", "a/.env"), (4, "ok", None)], "id int, t string, p string")
+    assert [r.id for r in df.filter(X.storable(F.col("t"), F.col("p"), ["*.env"])).collect()] == [1, 4]
+
+
+def test_patterns_are_literal(spark):
+    df = spark.createDataFrame([("100% sure",), ("100 sure",), ("a_b",), ("aXb",), ("c:\\d",)], "t string")
+    found = lambda p: [r.t for r in df.filter(X.holds(F.col("t"), p)).collect()]
+    assert found("100%") == ["100% sure"] and found("A_B") == ["a_b"] and found("c:\\d") == ["c:\\d"]
+
+
+def test_requirements(spark, sf):
+    from recollect.operators import filters as Q
+
+    m, now = M.memories(spark, sf), M.at(M.NOW)
+    assert Q.require(m, "facts", Criteria(type="fact"), now).count() == m.filter("type = 'fact'").count()
+    Q.assert_present(m, "facts", Criteria(type="fact"), now)
+    Q.assert_absent(m, "none", Criteria(type="none"), now)
+    with pytest.raises(AssertionError):
+        Q.assert_absent(m, "facts", Criteria(type="fact"), now)
+
+
 def test_approve_then_reverse_restores_flags(spark, sf):
     from recollect.plans.merges import _approval
 
