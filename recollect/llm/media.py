@@ -284,9 +284,12 @@ def described(media: DataFrame) -> DataFrame:
     return media.select("member", "media").mapInArrow(run, f"member string, {RESULT}")
 
 
-def media_features(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write all texts as media into the shared folder, read the archives back, and describe each."""
-    path = scratch(docs.sparkSession, "media")
+def media_features(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Write all texts as media under path, read the archives back, and describe each.
+
+    The result reads the archives lazily; a caller who names the path removes them by files.delete.
+    """
+    path = path or scratch(docs.sparkSession, "media")
     write_media(docs, path, ident, text)
     back = described(read_media(docs.sparkSession, path))
     return back.select(_ident(F.col("member")).try_cast(docs.schema[ident].dataType).alias(ident), *T._parse_datatype_string(RESULT).names)

@@ -383,14 +383,15 @@ def read_warc(spark, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def archived_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """Write the pages as WARC into the shared folder, read the archives back, and report each record.
+def archived_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0, path: str | None = None) -> DataFrame:
+    """Write the pages as WARC under path, read the archives back, and report each record.
 
+    The result reads the archives lazily; a caller who names the path removes them by files.delete.
     The digest of a response is computed from the payload read back; one that differs from its
     header fails the job.
     """
     spark = pages.sparkSession
-    path = scratch(spark, "warc")
+    path = path or scratch(spark, "warc")
     source = pages.select(pages[page_id].alias("id"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).cast("binary").alias("payload"))
     write_warc(source, path, min_revisit_bytes=min_revisit_bytes)
     kind = dict(source.dtypes)["id"]
