@@ -323,7 +323,9 @@ def matches(packed: DataFrame, percent: int) -> DataFrame:
             long = np.unique(sig[n < 0])
             sig, key, n, begin, _, pairs = leaders(sig, key, np.abs(n), percent)
             length = np.bincount(np.cumsum(begin) - 1)[np.cumsum(begin) - 1] if len(sig) else np.zeros(0, np.int64)
-            many = (length > 2) | np.isin(sig, long, kind="sort")
+            many = length > 2
+            if len(long):
+                many |= np.isin(sig, long, kind="sort")
             out += given(pairs, sig[many], key[many], n[many])
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -419,13 +421,19 @@ def _compared(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
     return sized(joined, pairs.count(), PAIRS_A_TASK).mapInArrow(run, "a long, b long, far double")
 
 
+def _hashes(packed: bytes) -> np.ndarray:
+    """A set's hashes (48 bits of each) in order, each once."""
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    out = wide.view("<u8").ravel()
+    return out if (out[1:] != out[:-1]).all() else np.unique(out)
+
+
 def sure(percent: int):
-    """The exact test, on sets of hashes (48 bits of each)."""
+    """The exact test, on sets of hashes."""
 
     def test(m: int, n: int, x: bytes, y: bytes) -> float | None:
-        u, v = (np.zeros((len(z) // 6, 8), np.uint8) for z in (x, y))
-        u[:, 2:], v[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6), np.frombuffer(y, np.uint8).reshape(-1, 6)
-        both = len(np.intersect1d(u.view("<u8").ravel(), v.view("<u8").ravel()))
+        both = len(np.intersect1d(_hashes(x), _hashes(y), assume_unique=True))
         return 1.0 if 100 * both >= percent * (m + n - both) else None
 
     return test
@@ -451,48 +459,75 @@ PART = 1024
 HUB_ROUNDS = 1
 
 
-def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+#: A key that holds more than one in so many rows is joined by broadcast; there are fewer such keys than this.
+LARGE = 1000
+
+
+def by_size(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table (one row a key, `size` tells its rows): keys of more than a LARGE-th of `total` rows by broadcast.
+
+    There are fewer than LARGE of those, whatever the input, and no task gets all rows of one.
+    """
+    large = F.broadcast(table.filter(F.col("size") > total / LARGE))
+    rest = rows.join(large.select(key), key, "left_anti").join(table.filter(F.col("size") <= total / LARGE), key)
+    return rows.join(large, key).unionByName(rest)
+
+
+def hub_pairs(rows: DataFrame, percent: int, total: int, used: list[DataFrame]) -> DataFrame:
     """Pairs of each member and its run's hub, where sizes allow a link and labels differ.
 
     rows: sig, key, n, label and the size of the run. The hub has the most company in all its runs.
+    used gets the frames to delete once the pairs are no longer needed.
     """
     company = rows.groupBy("key").agg(F.sum("size").alias("company"))
-    hubs = rows.join(company, "key").groupBy("sig").agg(F.max(F.struct("company", "key", "n", "label")).alias("hub"))
-    met = rows.join(hubs, "sig").filter((F.col("label") != F.col("hub.label")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    hubs = rows.join(company, "key").groupBy("sig").agg(F.max(F.struct("company", "key", "n", "label")).alias("hub"), F.first("size").alias("size"))
+    used.append(stored(hubs, "hubs"))
+    met = by_size(rows.drop("size"), used[-1], "sig", total).filter((F.col("label") != F.col("hub.label")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
     return met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
-def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def across(runs: DataFrame, sketches: DataFrame, percent: int, total: int, used: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of one run, but different labels, that pass the size and sketch tests.
 
     runs: sig, key, n, label. Members of a run's largest component are compared with those outside
-    of it only. Members are compared in numpy, a part with a part, and only what passes is given
-    out; parts of long runs go to different groups, so no task gets it all. The largest component
-    has the first parts; they meet the others, and these one another.
+    of it only, in numpy, and only what passes is given out. Runs of more than PART members are
+    dealt out in parts, so no task gets it all: the largest component has the first parts; they meet
+    the others, and these one another.
     """
     parts = lambda n: F.ceil(n / PART).cast("int")
-    sizes = runs.groupBy("sig", "label").agg(F.count("*").alias("members")).groupBy("sig").agg(F.max(F.struct("members", "label")).alias("main"), F.sum("members").alias("all"))
-    counted = runs.join(sizes.select("sig", F.col("main.label").alias("main"), parts(F.col("main.members")).alias("inner"), parts(F.col("all") - F.col("main.members")).alias("outer")), "sig")
+    sizes = runs.groupBy("sig", "label").agg(F.count("*").alias("members")).groupBy("sig").agg(F.max(F.struct("members", "label")).alias("main"), F.sum("members").alias("size"))
+    sizes = sizes.select("sig", F.col("main.label").alias("main"), parts(F.col("main.members")).alias("inner"), parts(F.col("size") - F.col("main.members")).alias("outer"), "size")
+    used.append(stored(sizes, "sizes"))
+    counted = by_size(runs, used[-1], "sig", total)
     inside = F.col("label") == F.col("main")
     spot = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    own = counted.withColumn("part", F.when(inside, spot(F.col("inner"))).otherwise(F.col("inner") + spot(F.col("outer"))))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1))).select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "n", "label")
+    short = F.col("size") <= PART
+    own = counted.withColumn("part", F.when(short, 0).when(inside, spot(F.col("inner"))).otherwise(F.col("inner") + spot(F.col("outer"))))
+    others = F.when(short, F.array(F.lit(0))).otherwise(F.sequence(F.when(inside, F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1))
+    dealt = own.withColumn("other", F.explode(others)).select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "key", "n", "label")
     rows = dealt.join(sketches, "key").select("sig", "lo", "hi", "part", "key", "n", "label", "sketch")
 
     def compared(key, n, label, part, sketch, apart: bool) -> np.ndarray:
+        """Pairs of a group that pass; members outside of its most frequent label are taken one by one, against all others."""
         order = np.argsort(n, kind="stable")
         key, n, label, part = key[order], n[order], label[order], part[order]
+        _, number, count = np.unique(label, return_inverse=True, return_counts=True)
+        inner = number == count.argmax()
+        if inner.all():
+            return np.zeros((0, 2), np.int64)
         sketch = [np.frombuffer(sketch[i], np.uint64) for i in order]
         width = np.array([len(x) for x in sketch])  # grows with n, so equal widths stand together
         edge = np.flatnonzero(np.concatenate([[True], width[1:] != width[:-1], [True]]))
         tables = [(a, z, np.vstack(sketch[a:z])) for a, z in zip(edge[:-1], edge[1:], strict=True)]
         upto, out = np.searchsorted(n, n * 100 // percent, "right"), []
-        for i in range(len(key)):
-            for a, z, table in tables:
-                a, z, begin = max(a, i + 1), min(z, upto[i]), a
+        since = np.searchsorted(n, -(-n * percent // 100))
+        for i in np.flatnonzero(~inner):
+            for begin, z, table in tables:
+                a, z = max(begin, since[i]), min(z, upto[i])
                 if a >= z:
                     continue
-                use = label[a:z] != label[i]
+                use = number[a:z] != number[i]
+                use &= inner[a:z] | (np.arange(a, z) > i)
                 if apart:
                     use &= part[a:z] != part[i]
                 at = a + np.flatnonzero(use)
@@ -501,6 +536,8 @@ def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 x, y = sketch[i], table[at - begin]
                 while y.shape[1] > len(x):  # fold the longer sketches onto the shorter
                     y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                while len(x) > y.shape[1]:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 near = at[np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most_differing(n[i] + n[at], percent)]
                 if len(near):
                     out.append(np.column_stack([np.minimum(key[i], key[near]), np.maximum(key[i], key[near])]))
@@ -537,7 +574,7 @@ def across(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from done(True)
 
-    dealt_out = sized(rows.repartition("sig", "lo", "hi"), runs.count(), 8 * PAIRS_A_TASK)
+    dealt_out = sized(rows.repartition("sig", "lo", "hi"), total, 8 * PAIRS_A_TASK)
     return dealt_out.sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -575,16 +612,17 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
     more = tag(tag(passed, "a"), "b").filter("la <> lb").select("a", "b")
     tried = chosen
     for last in [False] * HUB_ROUNDS + [True]:
-        tagged = tag(members, "key").withColumnRenamed("lkey", "label")
-        open_runs = tagged.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open"), F.count("*").alias("size")).filter("open").select("sig", "size")
-        open_rows = stored(tagged.join(open_runs, "sig"), "open")
+        tagged = stored(tag(members, "key").withColumnRenamed("lkey", "label"), "tagged")
+        open_runs = stored(tagged.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open"), F.count("*").alias("size")).filter("open").select("sig", "size"), "runs")
+        open_rows = stored(by_size(tagged, open_runs, "sig", tagged.count()), "open")
+        total, used = open_rows.count(), [open_rows, tagged, open_runs]
         if last:
-            more = across(open_rows.drop("size"), sketches.drop("n"), percent).join(passed, ["a", "b"], "left_anti")
+            more = across(open_rows.drop("size"), sketches.drop("n"), percent, total, used).join(passed, ["a", "b"], "left_anti")
         else:
-            hubs = stored(hub_pairs(open_rows, percent), "hubs")
+            hubs = stored(hub_pairs(open_rows, percent, total, used), "hubs")
             more = more.union(_compared(hubs, sketches, "sketch", likely(percent)).select("a", "b")).distinct()
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
-        discard(open_rows)
+        discard(*used)
         if more.limit(1).count():
             tried = tried.union(more)
             links = links.union(verified(more))
@@ -595,10 +633,6 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
     return named(placed, stored(groups, "groups"), found.count(), ident)
 
 
-#: One group in so many rows is large enough to be looked up from a broadcast table, which has fewer rows than this.
-LARGE = 1000
-
-
 def named(placed: DataFrame, groups: DataFrame, rows: int, ident: str) -> DataFrame:
     """The rows of placed (id, key, n, label) with the smallest id of their group; those without a group with their own.
 
