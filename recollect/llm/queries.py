@@ -77,6 +77,25 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir))
 
 
+def op11_capped_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.mixing import taken_words
+
+    return taken_words(_documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.divergence import audit
+
+    return audit(_documents(spark, sf_dir))
+
+
+def op13_welford_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitening's rows, one per component, beside how far its own covariance is from the identity."""
+    from recollect.llm.whitening import components_long
+
+    return components_long(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_edit_aware_counts": op7_edit_aware_counts,
     "op8_lattice_likelihood": op8_lattice_likelihood,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op11_capped_mixture": op11_capped_mixture,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_welford_whitening": op13_welford_whitening,
 }
 
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -136,4 +158,15 @@ SQL: dict[str, str] = {
  l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
  r AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, e.y FROM r JOIN e ON e.x = r.j)
  SELECT n.doc_id, n.n AS n_shingles, min(r.j) AS component_id FROM n JOIN r ON r.i = n.doc_id GROUP BY 1, 2""",
+    "op11_capped_mixture": """WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(concat_ws('|', '11', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(source, ''), coalesce(text, ''))), 1, 15) AS BIGINT) AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+ w AS (SELECT source, source_size, CAST([5, 2, 1][CAST((place - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap FROM s),
+ v AS (SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+ t AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM v),
+ p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+ r AS (SELECT d.*, source_size, target, whole, CAST(floor(target + 0.5) AS BIGINT) - whole * source_size AS goal, sum(size) OVER (PARTITION BY d.source ORDER BY key) AS upto, sum(size) OVER (PARTITION BY d.source, key) AS together FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+ c AS (SELECT source, max(goal) AS goal, max(goal) - coalesce(max(upto) FILTER (WHERE upto <= goal), 0) AS rest FROM r WHERE goal > 0 GROUP BY source),
+ e AS (SELECT source, key FROM (SELECT r.source, r.key, together, rest, row_number() OVER (PARTITION BY r.source ORDER BY abs(size - rest), r.key) AS k FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source WHERE upto > c.goal AND size > 0 AND size < 2 * rest) WHERE k = 1 AND abs(together - rest) < rest GROUP BY source, key)
+ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN goal > 0 AND upto <= goal OR e.key IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source AND r.key = e.key""",
 }
