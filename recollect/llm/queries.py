@@ -169,4 +169,13 @@ SQL: dict[str, str] = {
  c AS (SELECT source, max(goal) AS goal, max(goal) - coalesce(max(upto) FILTER (WHERE upto <= goal), 0) AS rest FROM r WHERE goal > 0 GROUP BY source),
  e AS (SELECT source, key FROM (SELECT r.source, r.key, together, rest, row_number() OVER (PARTITION BY r.source ORDER BY abs(size - rest), r.key) AS k FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source WHERE upto > c.goal AND size > 0 AND size < 2 * rest) WHERE k = 1 AND abs(together - rest) < rest GROUP BY source, key)
  SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN goal > 0 AND upto <= goal OR e.key IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source AND r.key = e.key""",
+    "op12_source_divergence": """WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ t AS (SELECT lang, source, r, unnest(w) AS term FROM d), k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30), g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL), v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+ m AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.c AS lc, v FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ p AS (SELECT lang, source, term, c, 1 + CAST(1000000000 AS HUGEINT) * (c + 5) // (sum(c) OVER w + 5 * v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (lc + 5) // (sum(lc) OVER w + 5 * v) AS q FROM m WINDOW w AS (PARTITION BY lang, source)),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM u) WHERE part = 'pair' OR rank <= 50""",
 }
