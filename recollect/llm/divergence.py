@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,7 +169,7 @@ def _sliced(key, entries: pa.Table, groups: pa.Table) -> pa.Table:
     names, total = groups["source"].combine_chunks(), groups["total"].to_numpy()
     lang, width_of_lang = key[0].as_py(), groups["terms"][0].as_py()
     terms = entries["term"].combine_chunks().dictionary_encode()
-    row = pa.compute.index_in(entries["source"].combine_chunks(), names).to_numpy(zero_copy_only=False)
+    row = pc.index_in(entries["source"].combine_chunks(), names).to_numpy(zero_copy_only=False)
     order = np.argsort(row, kind="stable")
     row, column = row[order].astype(np.int64), terms.indices.to_numpy()[order]
     count = entries["occurrences"].to_numpy()[order]
@@ -184,7 +185,7 @@ def _sliced(key, entries: pa.Table, groups: pa.Table) -> pa.Table:
         a, b = np.nonzero(~np.eye(len(names), dtype=bool))
         add("pair", names.take(pa.array(a)), names.take(pa.array(b)), sums[a, b])
         above = share - shares(entries["lang_occurrences"].to_numpy()[order], np.full(len(row), total.sum()), width_of_lang)
-        words = pa.compute.rank(terms.dictionary.cast(pa.binary()), "ascending", tiebreaker="dense").to_numpy()[column] if len(row) else column
+        words = pc.rank(terms.dictionary.cast(pa.binary()), "ascending", tiebreaker="dense").to_numpy()[column] if len(row) else column
         best = np.lexsort((words, -above, row))
         place = np.arange(len(best)) - ptr[row[best]]
         best = best[(place < TOP) & (above[best] > 0)]
