@@ -331,39 +331,3 @@ def greedy_pairs(pairs: DataFrame, per_node: int = 10, most: int = 50) -> DataFr
         yield choose(whole.sort_values(["similarity", "id_a", "id_b"], ascending=[False, True, True]))
 
     return best.select("id_a", "id_b", "similarity").coalesce(1).mapInPandas(run, "id_a long, id_b long, similarity double")
-
-
-def seed_clusters(memories: DataFrame, least: float = 0.8, group: str = "project_id", block: int = 2000) -> DataFrame:
-    """(project_id, seed, id): memories joined to the first seed whose word set is like theirs.
-
-    A greedy pass in order of id within a project. A set of n words that is like another by more
-    than `least` shares one of its first n - floor(n * least) words in a common order, so seeds are
-    found through an index of prefixes instead of comparing all. Texts with the same set are one row
-    before the pass, and the pass holds word hashes only.
-    """
-    from recollect.functions.text import word_set
-
-    sets = memories.select(group, "id", F.array_sort(F.transform(word_set(F.col("content")), lambda w: F.xxhash64(w))).alias("words"))
-    distinct = sets.groupBy(group, "words").agg(F.min("id").alias("id"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[tuple[int, frozenset]] = []
-        index: dict[int, list[int]] = {}
-        out = []
-        for i, words in frame.sort_values("id")[["id", "words"]].itertuples(index=False):
-            own = frozenset(words.tolist())
-            prefix = sorted(own)[: len(own) - int(least * len(own)) + 1]
-            met = sorted({k for w in prefix for k in index.get(w, ())})
-            home = next((seeds[k][0] for k in met if (both := len(own & seeds[k][1])) / max(1, len(own) + len(seeds[k][1]) - both) > least), None)
-            if home is None:
-                home = i
-                for w in prefix:
-                    index.setdefault(w, []).append(len(seeds))
-                seeds.append((i, own))
-            out.append((frame[group].iloc[0], home, i))
-        return pd.DataFrame(out, columns=[group, "seed", "head"])
-
-    kind = memories.schema[group].dataType.simpleString()
-    heads = distinct.groupBy(group).applyInPandas(run, f"{group} {kind}, seed long, head long")
-    members = sets.join(distinct.withColumnRenamed("id", "head"), [group, "words"]).select(group, "head", "id")
-    return members.join(heads, [group, "head"]).select(group, "seed", "id")

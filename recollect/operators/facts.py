@@ -27,18 +27,55 @@ def is_valid(facts: DataFrame, ident: int, t: Column) -> bool:
 
 
 def facts_asof(facts: DataFrame, points: DataFrame) -> DataFrame:
-    """points (subject, at, ...) with the id and value of the fact of their subject valid then, or null.
+    """points (subject, at, ...) with the id and value of the fact of their subject valid then, or null, as fact_id and value.
 
-    Versions of a subject don't overlap, so the one that began last is the one, if it has not ended.
-    Both sides are sorted together by subject and time: one shuffle, no range join.
+    For versions of a subject that don't overlap: the one that began last is the one, if it has not
+    ended. Both sides are sorted together by subject and time: one shuffle, no range join. A column
+    of points that is called fact_id or value gets the suffix _in. See facts_each for overlaps.
     """
     extra = [c for c in points.columns if c not in ("subject", "at")]
-    f = facts.select("subject", F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.struct("id", "value", "valid_to", "version").alias("fact"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra])
-    p = points.select("subject", "at", F.lit(1).alias("side"), F.lit(None).cast(f.schema["fact"].dataType).alias("fact"), *extra)
+    f = facts.select("subject", F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.struct("id", "value", "valid_to", "version").alias("fact"), F.lit(None).cast(points.select(F.struct(F.lit(1).alias("none"), *extra)).schema[0].dataType).alias("point"))
+    p = points.select("subject", "at", F.lit(1).alias("side"), F.lit(None).cast(f.schema["fact"].dataType).alias("fact"), F.struct(F.lit(1).alias("none"), *extra).alias("point"))
     w = W.partitionBy("subject").orderBy("at", "side", F.col("fact.version")).rowsBetween(W.unboundedPreceding, W.currentRow)
     last = f.unionByName(p).withColumn("last", F.last("fact", ignorenulls=True).over(w)).filter("side = 1")
     now = F.col("last.valid_to").isNull() | (F.col("last.valid_to") >= F.col("at"))
-    return last.select("subject", "at", *extra, F.when(now, F.col("last.id")).alias("fact_id"), F.when(now, F.col("last.value")).alias("value"))
+    named = [F.col("point")[c].alias(f"{c}_in" if c in ("fact_id", "value") else c) for c in extra]
+    return last.select("subject", "at", *named, F.when(now, F.col("last.id")).alias("fact_id"), F.when(now, F.col("last.value")).alias("value"))
+
+
+#: Level of the time bins of facts that begin and end at once; each level's bins are twice as long as those below, and none is above the last.
+LEVELS = 62
+
+
+def _second(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def facts_each(facts: DataFrame, points: DataFrame) -> DataFrame:
+    """(point_id, fact_id, rank): all facts of a point's subject that are valid at its time, the most confident first (ties by id).
+
+    facts: id, subject, confidence, valid_from, valid_to, which may overlap, both ends included, null
+    for no end. points: id, subject, at. A point without a fact gives no row; neither does a null
+    subject or time, or a fact that ends before it begins.
+
+    A stabbing join: a fact is filed in the time bins it touches, of a length that is not below its own, so
+    it is in two at most; a point looks into its one bin of each length that its facts have. So every
+    pair meets once, a subject of any number of facts and points is spread over its bins, and on
+    average what meets is at most some times what is valid. Facts without end last to the last point.
+    """
+    end = points.agg(F.max(_second(F.col("at"))).alias("end")).first()[0]
+    if end is None:
+        end = 0
+    spans = facts.select("subject", F.col("id").alias("fact_id"), "confidence", _second(F.col("valid_from")).alias("a"), F.coalesce(_second(F.col("valid_to")), F.lit(end)).alias("z"))
+    spans = spans.filter("subject is not null and a <= z").withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("z") - F.col("a") + 1)))).cast("int"))
+    bins = F.sequence(F.expr("shiftright(a, level)"), F.expr("shiftright(z, level)"))
+    filed = spans.withColumn("bin", F.explode(bins))
+    levels = [r.level for r in spans.select("level").distinct().collect()]  # 63 at most
+    asked = points.filter(F.col("subject").isNotNull() & F.col("at").isNotNull()).select("subject", F.col("id").alias("point_id"), _second(F.col("at")).alias("at"))
+    looking = asked.withColumn("level", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]).cast("array<int>"))).withColumn("bin", F.expr("shiftright(at, level)"))
+    met = looking.join(filed, ["subject", "level", "bin"]).filter("a <= at and at <= z")
+    best = W.partitionBy("point_id").orderBy(F.desc("confidence"), "fact_id")
+    return met.select("point_id", "fact_id", F.row_number().over(best).alias("rank"))
 
 
 def chains(facts: DataFrame) -> DataFrame:
@@ -84,31 +121,51 @@ def fact_id(subject: Column, version: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", subject.cast("string"), version.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row a subject: that of the greatest value where there are several."""
+    rest = [c for c in rows.columns if c not in ("subject", "value")]
+    return rows.filter("subject is not null").groupBy("subject").agg(F.max(F.struct("value", *rest)).alias("most")).select("subject", "most.*")
+
+
 def stored_facts(facts: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """facts and first versions of new ones (subject, value[, confidence]); subjects that have an open version are left as they are."""
-    known = facts.filter("valid_to is null").select("subject")
-    confidence = F.col("confidence") if "confidence" in new.columns else F.lit(100)
-    first = new.join(known, "subject", "left_anti").withColumn("given", confidence)
-    after = first.join(facts.groupBy("subject").agg(F.max("version").alias("past")), "subject", "left")
-    version = (F.coalesce("past", F.lit(0)) + 1).cast("int")
-    rows = after.select(
-        fact_id(F.col("subject"), version).alias("id"), "subject", F.col("value").cast(facts.schema["value"].dataType).alias("value"), F.col("given").cast("int").alias("confidence"),
-        now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(None).cast("long").alias("superseded_by"), version.alias("version"),
-    )
-    return facts.select(FIELDS).unionByName(rows)
+    """facts and first versions of new ones (subject, value[, confidence, tags ...]); subjects that have an open version are left as they are.
+
+    A subject that occurs several times in new gets one fact, of the greatest value; a null subject
+    none. Columns of facts beyond FIELDS are taken from new, or null.
+    """
+    known = facts.filter("valid_to is null").select("subject").distinct()
+    first = _one_each(new).join(known, "subject", "left_anti")
+    after = first.join(facts.groupBy("subject").agg(F.max("version").alias("past_version")), "subject", "left")
+    version = (F.coalesce("past_version", F.lit(0)) + 1).cast("int")
+    made = {
+        "id": fact_id(F.col("subject"), version), "subject": F.col("subject"), "value": F.col("value"), "confidence": F.col("confidence") if "confidence" in new.columns else F.lit(100),
+        "valid_from": now, "valid_to": F.lit(None), "superseded_by": F.lit(None), "version": version,
+    }
+    columns = [*FIELDS, *[c for c in facts.columns if c not in FIELDS]]
+    rows = after.select(*[made.get(c, F.col(c) if c in new.columns else F.lit(None)).cast(facts.schema[c].dataType).alias(c) for c in columns])
+    return facts.select(columns).unionByName(rows)
 
 
 def updated(facts: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """facts after changes (subject, value): open versions are closed now, new ones follow them and inherit their confidence."""
+    """facts after changes (subject, value[, confidence, tags ...]): open versions are closed now, new ones follow them.
+
+    A new version inherits what its change doesn't say (or says as null): confidence, tags and every other column of
+    facts. A subject that occurs several times in changes is changed once, to the greatest value;
+    of several open versions of a subject the last is followed, and all are closed.
+    """
+    rest = [c for c in facts.columns if c not in FIELDS]
+    said = [c for c in ("confidence", *rest) if c in changes.columns]
+    wanted = _one_each(changes.select("subject", "value", *said)).select("subject", F.col("value").alias("new_value"), *[F.col(c).alias(f"new_{i}") for i, c in enumerate(said)])
+    latest = facts.filter("valid_to is null").groupBy("subject").agg(F.max(F.struct("version", "id")).alias("last")).select("subject", F.col("last.id").alias("id"))
+    latest = facts.join(latest, ["subject", "id"]).dropDuplicates(["subject", "id"])
     following = fact_id(F.col("subject"), F.col("version") + 1)
-    latest = facts.filter("valid_to is null")
-    new = latest.join(changes.select("subject", F.col("value").alias("new_value")), "subject").select(
-        following.alias("id"), "subject", F.col("new_value").alias("value"), "confidence", now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"),
-        F.lit(None).cast("long").alias("superseded_by"), (F.col("version") + 1).cast("int").alias("version"),
-    )
-    hit = F.col("valid_to").isNull() & F.col("changed").isNotNull()
-    closed = facts.join(changes.select("subject", F.lit(True).alias("changed")), "subject", "left").withColumns({"superseded_by": F.when(hit, following).otherwise(F.col("superseded_by")), "valid_to": F.when(hit, now).otherwise(F.col("valid_to"))})
-    return closed.select(*new.columns).unionByName(new)
+    made = {"id": following, "value": F.col("new_value"), "valid_from": now, "valid_to": F.lit(None), "superseded_by": F.lit(None), "version": F.col("version") + 1}
+    made |= {c: F.coalesce(F.col(f"new_{i}"), F.col(c)) for i, c in enumerate(said)}
+    new = latest.join(wanted, "subject").select(*[made.get(c, F.col(c)).cast(facts.schema[c].dataType).alias(c) for c in (*FIELDS, *rest)])
+    heads = new.select("subject", F.col("id").alias("next_id"))
+    hit = F.col("valid_to").isNull() & F.col("next_id").isNotNull()
+    ended = {"superseded_by": F.when(hit, F.col("next_id")).otherwise(F.col("superseded_by")), "valid_to": F.when(hit, now).otherwise(F.col("valid_to"))}
+    return facts.join(heads, "subject", "left").withColumns(ended).select(*new.columns).unionByName(new)
 
 
 def invalidated(facts: DataFrame, subjects: DataFrame, now: Column) -> DataFrame:

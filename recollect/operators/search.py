@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.functions.scoring import cosine, l2
 from recollect.functions.text import contains_terms, holds, terms
@@ -19,6 +20,8 @@ from recollect.operators.filters import clamped
 
 #: Vectors, and queries, that one group of a scan with many queries compares (about).
 VECTORS, QUERIES = 8192, 4096
+#: Entries of a vector from this size on count as not finite.
+MOST = 1e140
 
 
 def keyword(df: DataFrame, pattern: str | None = None, tags: Sequence[str] = (), words: Sequence[str] = (), prefixes: Sequence[str] = (), any_of: Sequence[str] = (), tags_like: Sequence[str] = ()) -> DataFrame:
@@ -70,47 +73,61 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "l
     return top(vectors.withColumn("score", score), k, F.asc("score") if metric == "l2" else F.desc("score"), F.asc("id"))
 
 
+def usable(vectors: DataFrame, column: str = "v") -> DataFrame:
+    """Rows whose vector has entries, and none that is null, not finite or of a size whose square overflows."""
+    fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < MOST))
+    return vectors.filter(F.col(column).isNotNull() & (F.size(column) > 0) & fine)
+
+
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(query_id, id, score, rank): the k rows of vectors (id, v) nearest to each of queries (id, v); exact.
 
     Blocks of queries meet blocks of vectors; each pair of blocks keeps k rows a query. Products
     choose the candidates with a margin, then their scores are taken one by one, so equal vectors
-    score alike and go by id. Null vectors are left out.
+    score alike and go by id. Ids may be of any type that has an order. A vector that is null, empty
+    or holds an entry that is null or not finite is left out, on either side, and vectors meet those
+    of their own length only. A query without any gets no row.
     """
-    vectors, queries = (df.select("id", "v").filter("v is not null") for df in (vectors, queries))
+    vectors, queries = (usable(df.select("id", F.col("v").cast("array<double>").alias("v"))) for df in (vectors, queries))
     n, m = -(-vectors.count() // VECTORS) or 1, -(-queries.count() // QUERIES) or 1
     own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = vectors.withColumn("block", own(n)).withColumn("deal", every(m)).groupBy("block", "deal")
-    right = queries.withColumn("deal", own(m)).withColumn("block", every(n)).groupBy("block", "deal")
+    length = F.size("v").alias("length")
+    left = vectors.select("id", "v", length, own(n).alias("block"), every(m).alias("deal")).groupBy("block", "deal", "length")
+    right = queries.select("id", "v", length, own(m).alias("deal"), every(n).alias("block")).groupBy("block", "deal", "length")
     sign = 1 if metric == "l2" else -1
 
     def scan(one: pa.Table, two: pa.Table) -> pa.Table:
+        ids, names = one.column("id").combine_chunks(), two.column("id").combine_chunks()
         out = []
         if one.num_rows and two.num_rows:
-            (ids, v), (names, q) = ((t.column("id").combine_chunks().to_numpy(), pc.list_flatten(t.column("v")).to_numpy().reshape(t.num_rows, -1)) for t in (one, two))
+            v, q = (pc.list_flatten(t.column("v")).to_numpy().reshape(t.num_rows, -1) for t in (one, two))
+            place = pc.rank(ids, tiebreaker="dense").to_numpy()
             size, length = (np.einsum("ij,ij->i", x, x) for x in (v, q))
             for i in range(0, len(q), 256):
                 product = q[i : i + 256] @ v.T
-                if metric == "l2":
-                    rough, margin = size - 2 * product, 1e-9 * (1 + size.max() + length.max())
+                if metric == "l2":  # the error of a product grows with its own two vectors
+                    rough = size - 2 * product
+                    margin = 1e-9 * (1 + size + length[i : i + 256, None])
                 else:
-                    rough, margin = -product / np.maximum(np.sqrt(size) * np.sqrt(length[i : i + 256])[:, None], 1e-300), 1e-9
-                least = np.partition(rough, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+                    rough, margin = -product / np.maximum(np.sqrt(size) * np.sqrt(length[i : i + 256])[:, None], 1e-300), np.broadcast_to(1e-9, product.shape)
+                kth = min(k, len(v)) - 1
+                least = np.partition(rough + margin, kth, axis=1)[:, kth]
                 for r, limit in enumerate(least.tolist()):
-                    at = np.flatnonzero(rough[r] <= limit + margin)
+                    at = np.flatnonzero(rough[r] - margin[r] <= limit)
                     w, x = v[at], q[i + r]
                     if metric == "l2":
                         score = np.sqrt(((w - x) ** 2).sum(axis=1))
                     else:
                         norms = np.sqrt((w * w).sum(axis=1)) * np.sqrt((x * x).sum())
                         score = np.divide((w * x).sum(axis=1), norms, out=np.zeros(len(at)), where=norms > 0)
-                    best = np.lexsort((ids[at], sign * score))[:k]
-                    out.append((np.full(len(best), names[i + r]), ids[at][best], score[best]))
+                    best = np.lexsort((place[at], sign * score))[:k]
+                    out.append((np.full(len(best), i + r), at[best], score[best]))
         a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": a, "id": b, "score": c})
+        return pa.table({"query_id": names.take(pa.array(a)), "id": ids.take(pa.array(b)), "score": c})
 
-    found = left.cogroup(right).applyInArrow(scan, "query_id long, id long, score double")
+    kind, asked = (df.schema["id"].dataType for df in (vectors, queries))
+    found = left.cogroup(right).applyInArrow(scan, T.StructType([T.StructField("query_id", asked), T.StructField("id", kind), T.StructField("score", T.DoubleType())]))
     return top_per(found, "query_id", k, F.asc("score") if metric == "l2" else F.desc("score"), F.asc("id"))
 
 

@@ -8,6 +8,7 @@ from recollect.functions import embedding as E
 from recollect.functions import hashing as H
 from recollect.functions import scoring as C
 from recollect.functions.text import text_length, tokens_by_length, word_set
+from recollect.operators import clusters as C
 from recollect.operators import detect as D
 from recollect.operators import merging as G
 from recollect.operators.search import top
@@ -146,19 +147,38 @@ def merge_reason(spark, d):
     return _described(spark, d).select("id_a", "id_b", "reason")
 
 
-@query("jaccard_clusters")
+#: Word sets, the pairs of a project that are alike, and the pass in order of id: each row is a seed unless an earlier seed is like it.
+_SEEDS = f"""{M.MEMORIES_SQL}, ws AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS k, list_distinct(list_filter(regexp_split_to_array(lower(content), '[\\s\\x{{00a0}}\\x{{feff}}\\p{{Z}}]+'), lambda w: length(w) > 2)) AS w FROM mem),
+ tok AS (SELECT project_id, k, len(w) AS n, unnest(w) AS t FROM ws), alike AS (SELECT project_id, j, k FROM (SELECT a.project_id, a.k AS j, b.k AS k, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM tok a JOIN tok b ON a.project_id = b.project_id AND a.t = b.t AND a.k < b.k GROUP BY 1, 2, 3) WHERE c > 0.8 * (na + nb - c)),
+ near AS (SELECT ws.project_id, ws.k, ws.id, list(j) FILTER (WHERE j IS NOT NULL) AS js FROM ws LEFT JOIN alike ON alike.project_id = ws.project_id AND alike.k = ws.k GROUP BY 1, 2, 3),
+ pass AS (SELECT DISTINCT project_id, 0 AS k, CAST([] AS BIGINT[]) AS seeds FROM near UNION ALL SELECT pass.project_id, near.k, CASE WHEN coalesce(list_has_any(seeds, js), false) THEN seeds ELSE list_append(seeds, near.k) END FROM pass JOIN near ON near.project_id = pass.project_id AND near.k = pass.k + 1),
+ last AS (SELECT project_id, arg_max(seeds, k) AS seeds FROM pass GROUP BY 1),
+ home AS (SELECT near.project_id, near.id, coalesce(list_min(list_intersect(js, seeds)), near.k) AS s FROM near JOIN last USING (project_id)),
+ cluster AS (SELECT home.project_id, near.id AS seed, home.id FROM home JOIN near ON near.project_id = home.project_id AND near.k = home.s)"""
+
+
+@query("jaccard_clusters", f"WITH RECURSIVE {_SEEDS} SELECT * FROM cluster")
 def jaccard_clusters(spark, d):
-    return D.seed_clusters(M.memories(spark, d).select("project_id", "id", "content"))
+    return C.seed_clusters(M.memories(spark, d).select("project_id", "id", "content"))
 
 
-@query("token_recovery")
+@query("token_recovery", f"""WITH RECURSIVE {_SEEDS}, cost AS (SELECT cluster.*, (length(content) + length(regexp_replace(content, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) + 3) // 4 AS t FROM cluster JOIN mem ON mem.id = cluster.id),
+ c AS (SELECT project_id, seed, sum(t) AS total, max(t) FILTER (WHERE id = seed) AS kept, count(*) AS n FROM cost GROUP BY 1, 2)
+ SELECT project_id, CAST(sum(total - kept) AS BIGINT) AS recovered, count(*) FILTER (WHERE n > 1) AS clusters FROM c GROUP BY 1""")
 def token_recovery(spark, d):
     m = M.memories(spark, d).select("project_id", "id", "content")
     tokens = m.select("id", tokens_by_length(F.col("content")).alias("t"))
-    clusters = D.seed_clusters(m).join(tokens, "id").groupBy("project_id", "seed").agg(F.sum("t").alias("total"), F.max(F.when(F.col("id") == F.col("seed"), F.col("t"))).alias("kept"), F.count("*").alias("n"))
+    clusters = C.seed_clusters(m).join(tokens, "id").groupBy("project_id", "seed").agg(F.sum("t").alias("total"), F.max(F.when(F.col("id") == F.col("seed"), F.col("t"))).alias("kept"), F.count("*").alias("n"))
     return clusters.groupBy("project_id").agg(F.sum(F.col("total") - F.col("kept")).alias("recovered"), F.count_if(F.col("n") > 1).alias("clusters"))
 
 
+@query("jaccard_clusters_whole", f"WITH RECURSIVE {_SEEDS.replace('d.source AS project_id', 'd.lang AS project_id')} SELECT * FROM cluster")
+def jaccard_clusters_whole(spark, d):
+    """All memories of a language as one project: large groups, of very different sizes."""
+    m = M.memories(spark, d)
+    return C.seed_clusters(m.select(F.element_at("tags", 1).alias("project_id"), "id", "content"))
+
+
 _SRC = f"{M.MEMORIES_SQL}, src AS (SELECT id // 15 * 5 + id % 5 AS merge_id, * FROM mem)"
 
 

@@ -71,6 +71,20 @@ def vector_each_cosine(spark, d):
     return _nearest_each(spark, d, 10, "cosine").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def _planted(spark, d):
+    """The vectors under text ids, some with a NaN, a null, an infinite entry, or of half the length."""
+    v = F.when(F.col("id") % 7 == 3, F.transform("v", lambda x, i: F.when(i == 1, float("nan")).otherwise(x))).when(F.col("id") % 7 == 4, F.transform("v", lambda x, i: F.when(i != 2, x))).when(F.col("id") % 11 == 5, F.transform("v", lambda x, i: F.when(i == 0, float("inf")).otherwise(x))).when(F.col("id") % 5 == 0, F.slice("v", 1, 32)).otherwise(F.col("v"))
+    return M.embeddings(spark, d).select(F.concat(F.lit("v"), F.col("id")).alias("id"), v.alias("v"), (F.col("id") % 50 == 0).alias("asks"))
+
+
+@query("vector_each_nan", """WITH e AS (SELECT vec_id AS n, 'v' || vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN CAST(embedding AS DOUBLE[])[1:32] ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings WHERE vec_id % 7 NOT IN (3, 4) AND vec_id % 11 <> 5),
+ q AS (SELECT id AS query_id, v AS q FROM e WHERE n % 50 = 0), p AS (SELECT query_id, id, list_distance(v, q) AS s FROM q JOIN e ON len(v) = len(q))
+ SELECT query_id, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, id) AS r FROM p) WHERE r <= 10""")
+def vector_each_nan(spark, d):
+    v = _planted(spark, d)
+    return S.nearest_each(v, v.filter("asks"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("recent_by_project", f"""WITH {M.MEMORIES_SQL} SELECT project_id, id, rank FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM mem) WHERE rank <= 3""")
 def recent_by_project(spark, d):
     return S.top_per(M.memories(spark, d).select("project_id", "id", "created_at"), "project_id", 3, *newest()).select("project_id", "id", F.col("rank").cast("long").alias("rank"))

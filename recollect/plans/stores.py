@@ -222,6 +222,30 @@ def fact_update(spark, d):
     return X.updated(M.facts(spark, d), changes, NOW(FACT_NOW)).select("id", "subject", "value", "version", "superseded_by", F.substring(F.col("valid_to").cast("string"), 1, 10).alias("ended"))
 
 
+@query("fact_update_repeated", f"""WITH {M.FACTS_SQL}, c AS (SELECT o_custkey AS subject, max(o_totalprice) AS value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), l AS (SELECT f.*, c.value AS new FROM fact f JOIN c ON c.subject = f.subject WHERE f.valid_to IS NULL)
+ SELECT id, subject, value, CAST(version AS INT) AS version, superseded_by, strftime(valid_to, '%Y-%m-%d') AS ended, list_value('subject ' || subject, 'v' || version) AS tags FROM fact WHERE NOT (valid_to IS NULL AND subject IN (SELECT subject FROM c))
+ UNION ALL SELECT id, subject, value, CAST(version AS INT), {_FACT_ID}, '1998-01-01', list_value('subject ' || subject, 'v' || version) FROM l
+ UNION ALL SELECT {_FACT_ID}, subject, new, CAST(version + 1 AS INT), NULL, NULL, list_value('subject ' || subject, 'v' || version) FROM l""")
+def fact_update_repeated(spark, d):
+    """Every third order as a change: most subjects occur several times; tags are inherited."""
+    f = M.facts(spark, d).withColumn("tags", F.array(F.concat(F.lit("subject "), "subject"), F.concat(F.lit("v"), "version")))
+    changes = M.table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("subject"), F.col("o_totalprice").alias("value"))
+    return X.updated(f, changes, NOW(FACT_NOW)).select("id", "subject", "value", "version", "superseded_by", F.substring(F.col("valid_to").cast("string"), 1, 10).alias("ended"), "tags")
+
+
+@query("facts_valid_each", """WITH f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS subject, 100 - o_orderkey % 41 AS confidence, o_orderdate AS a, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 45 AS INT)) END AS z FROM orders),
+ p AS (SELECT id AS point_id, subject, a + to_days(7) AS t FROM f), m AS (SELECT point_id, f.id, row_number() OVER (PARTITION BY point_id ORDER BY confidence DESC, f.id) AS k FROM p JOIN f ON f.subject = p.subject AND f.a <= t AND (z IS NULL OR t <= z))
+ SELECT point_id, count(*) AS n_valid, max(id) FILTER (WHERE k = 1) AS best, max(id) FILTER (WHERE k = 2) AS second FROM m GROUP BY 1""")
+def facts_valid_each(spark, d):
+    """Orders as facts that overlap, a third of them of one subject, asked for a week after each order."""
+    o, key = M.table(spark, d, "orders"), F.col("o_orderkey")
+    since = F.col("o_orderdate").cast("timestamp_ntz")
+    f = o.select(key.alias("id"), F.when(key % 3 == 0, 0).otherwise(F.col("o_custkey")).alias("subject"), (100 - key % 41).alias("confidence"), since.alias("valid_from"), F.when(key % 50 != 0, F.timestamp_add("DAY", (key % 45).cast("int"), since)).alias("valid_to"))
+    points = f.select("id", "subject", F.timestamp_add("DAY", F.lit(7), F.col("valid_from")).alias("at"))
+    best = lambda k: F.max(F.when(F.col("rank") == k, F.col("fact_id")))
+    return X.facts_each(f, points).groupBy("point_id").agg(F.count("*").alias("n_valid"), best(1).alias("best"), best(2).alias("second"))
+
+
 _EDGES = "edge AS (SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS weight, count(*) AS coactivations FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"
 
 

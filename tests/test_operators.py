@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from recollect.functions import hashing as H
 from recollect.functions import scoring as C
 from recollect.functions import text as X
+from recollect.operators import clusters as K
 from recollect.operators import detect as D
 from recollect.operators import facts as V
 from recollect.operators import merging as G
+from recollect.operators import search as R
 from recollect.operators import sessions as S
 from recollect.operators.filters import Criteria, asserted, clamped, ensured, matching
 from recollect.operators.search import budgeted
@@ -271,7 +273,7 @@ def test_clusters(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [("p", 1, words), ("p", 2, words + " lambda"), ("p", 3, "none of these"), ("q", 4, words), ("p", 5, words), ("p", 6, "")]
     df = spark.createDataFrame(rows, "project_id string, id long, content string")
-    assert {(r.seed, r.id) for r in D.seed_clusters(df).collect()} == {(1, 1), (1, 2), (1, 5), (3, 3), (4, 4), (6, 6)}
+    assert {(r.seed, r.id) for r in K.seed_clusters(df).collect()} == {(1, 1), (1, 2), (1, 5), (3, 3), (4, 4), (6, 6)}
 
 
 def test_greedy_respects_ends(spark):
@@ -387,3 +389,106 @@ def test_store(spark, sf):
     m = M.memories(spark, sf)
     assert B.healthy(m) and not B.healthy(m.filter(F.raise_error(F.lit("x")).isNull()))
     assert B.immutable_changes(m, m).count() == 0 and B.immutable_changes(m, m.filter("not is_protected")).count() == m.filter("is_protected").count()
+
+
+def near(spark, vectors, queries, k, metric="l2"):
+    ids = "string" if vectors and isinstance(vectors[0][0], str) else "long"
+    v, q = (spark.createDataFrame(x, f"id {ids}, v array<double>") for x in (vectors, queries))
+    return sorted((r.query_id, r["rank"], r.id) for r in R.nearest_each(v, q, k, metric).collect())
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("text", [False, True])
+def test_odd_vectors_spoil_no_search(spark, metric, text):
+    name = (lambda i: f"v{i:03}") if text else int
+    nan, inf = float("nan"), float("inf")
+    good = [(name(i), [float(i), 1.0, float(i % 3)]) for i in range(1, 20)]
+    odd = [(name(50), [nan, 1.0, 2.0]), (name(51), [None, 1.0, 2.0]), (name(52), [inf, 1.0, 2.0]), (name(53), None), (name(54), []), (name(55), [1e200, 1.0, 1.0]), (name(56), [1.0, 1.0])]
+    asked = [(name(i), v) for i, v in ((100, [3.0, 1.0, 0.0]), (101, [7.0, 1.0, 1.0]))]
+    got = near(spark, good + odd, asked + [(name(102), [nan, 1.0, 1.0]), (name(103), [1.0, 2.0])], 3, metric)
+    assert got == sorted(near(spark, good, asked, 3, metric) + [(name(103), 1, name(56))]) and len(got) == 7
+    assert near(spark, good, [], 3, metric) == [] == near(spark, [], asked if not text else [], 3, metric)
+
+
+def test_large_vectors_keep_the_margin(spark):
+    vectors = [(i, [1e8 + i, 0.0]) for i in range(9)] + [(99, [1e12, 1.0])]
+    assert near(spark, vectors, [(0, [1e8, 0.0])], 3) == [(0, 1, 0), (0, 2, 1), (0, 3, 2)]
+
+
+FACT = "id long, subject string, value double, confidence int, valid_from timestamp_ntz, valid_to timestamp_ntz, superseded_by long, version int, tags array<string>"
+
+
+def test_repeated_subjects_change_once(spark):
+    t = dt.datetime(2024, 1, 1)
+    facts = spark.createDataFrame([(1, "a", 1.0, 70, t, None, None, 1, ["x"]), (2, "b", 2.0, 80, t, None, None, 1, None)], FACT)
+    now = F.lit("2024-02-01").cast("timestamp_ntz")
+    changes = spark.createDataFrame([("a", 5.0), ("a", 6.0), ("a", 6.0), (None, 1.0), ("c", 1.0)], "subject string, value double")
+    got = {(r.subject, r.version): r for r in V.updated(facts, changes, now).collect()}
+    assert set(got) == {("a", 1), ("a", 2), ("b", 1)} and V.updated(facts, changes, now).count() == 3
+    new = got["a", 2]
+    assert (new.value, new.tags, new.confidence) == (6.0, ["x"], 70) and got["a", 1].superseded_by == new.id and got["b", 1].valid_to is None
+    said = V.updated(facts, changes.selectExpr("*", "array('y') as tags", "null as confidence"), now).filter("subject = 'a' and version = 2").first()
+    assert (said.tags, said.confidence) == (["y"], 70)
+    stored = V.stored_facts(facts, changes, now).filter("subject = 'c'").collect()
+    assert len(stored) == 1 and V.stored_facts(facts, changes.union(changes), now).count() == 3
+    assert V.updated(facts.limit(0), changes, now).count() == 0 and V.stored_facts(facts.limit(0), changes, now).count() == 2
+
+
+def test_points_may_have_clashing_columns(spark):
+    t = dt.datetime(2024, 1, 1)
+    facts = spark.createDataFrame([(1, "a", 1.0, 70, t, None, None, 1, None)], FACT)
+    points = spark.createDataFrame([("a", t, 9, 8, 7, 6)], "subject string, at timestamp_ntz, value int, side int, fact int, last int")
+    r = V.facts_asof(facts, points).first()
+    assert (r.value_in, r.side, r.fact, r.last, r.fact_id, r.value) == (9, 8, 7, 6, 1, 1.0)
+
+
+def test_overlapping_facts_by_brute_force(spark):
+    import random
+
+    rng, day = random.Random(5), dt.datetime(1969, 12, 25)
+    facts = [(i, rng.choice(["hot", "hot", "a", None]), 0.0, rng.randrange(3), day + dt.timedelta(hours=rng.randrange(400)), None, None, 1, None) for i in range(300)]
+    facts = [(*f[:5], None if f[0] % 9 == 0 else f[4] + dt.timedelta(seconds=rng.choice([-5, 0, 1, 3600, 10**5, 10**8])), *f[6:]) for f in facts]
+    points = [(i, rng.choice(["hot", "a", "none", None]), rng.choice([f[4] for f in facts]) + dt.timedelta(hours=rng.randrange(2)) if i % 40 else None) for i in range(200)]
+    got = {}
+    for r in V.facts_each(spark.createDataFrame(facts, FACT), spark.createDataFrame(points, "id long, subject string, at timestamp_ntz")).orderBy("point_id", "rank").collect():
+        got.setdefault(r.point_id, []).append(r.fact_id)
+    want = {}
+    for i, s, at in points:
+        valid = sorted((-f[3], f[0]) for f in facts if s is not None and at and f[1] == s and f[4] <= at and (f[5] is None or at <= f[5]))
+        if valid:
+            want[i] = [f for _, f in valid]
+    assert got == want and len(want) > 50
+    empty = spark.createDataFrame([], "id long, subject string, at timestamp_ntz")
+    assert V.facts_each(spark.createDataFrame(facts, FACT), empty).count() == 0 == V.facts_each(spark.createDataFrame([], FACT), spark.createDataFrame(points, empty.schema)).count()
+
+
+def passed(rows, least):
+    """(group, seed, id) by the pass in order of id."""
+    out, seeds = set(), {}
+    for g, i, text in sorted(rows, key=lambda r: r[1]):
+        own = {w for w in (text or "").split() if len(w) > 2}
+        home = next((s for s, w in seeds.get(g, []) if own and len(own & w) > least * len(own | w)), None)
+        if home is None:
+            seeds.setdefault(g, []).append((i, own))
+        out.add((g, i if home is None else home, i))
+    return out
+
+
+@pytest.mark.parametrize("local,part,wide", [(10**6, 2048, 64), (0, 2048, 64), (0, 7, 3), (25, 16, 2)])
+def test_clusters_by_rounds(spark, monkeypatch, local, part, wide):
+    import random
+
+    rng = random.Random(part)
+    for name, value in (("LOCAL", local), ("PART", part), ("WIDE", wide), ("COMMON", 1000 if wide < 64 else 1 << 22)):
+        monkeypatch.setattr(K, name, value)
+    base = [[f"word{rng.randrange(60)}" for _ in range(14)] for _ in range(6)]
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, " ".join(w for w in rng.choice(base) if rng.random() < 0.93) + rng.choice(["", " extra", f" own{i}"])) for i in range(250)]
+    rows += [("hot", 1000, None), ("hot", 1001, ""), ("hot", 1002, "a b"), ("solo", 1003, "one two three")]
+    chain = [f"link{k}" for k in range(60)]
+    rows += [("chain", 2000 + k, " ".join(chain[k : k + 19])) for k in range(40)]  # each is like the next only
+    got = {tuple(r) for r in K.seed_clusters(spark.createDataFrame(rows, "project_id string, id long, content string"), 0.8).select("project_id", "seed", "id").collect()}
+    assert got == passed(rows, 0.8)
+
+
+def test_clusters_of_an_empty_table(spark):
+    assert K.seed_clusters(spark.createDataFrame([], "project_id string, id long, content string")).count() == 0
