@@ -90,6 +90,20 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 31, HASHES).astype(np.uint64), rng.integers(0, 1 << 31, HASHES).astype(np.uint64)
 
 
+def _signature(t: str | None, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    t = (t or "").lower()
+    if not t.strip():
+        return np.zeros(HASHES, np.int64)
+    c = np.frombuffer(f"  {t}  ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = np.unique((c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:])
+    h = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    best = np.full(HASHES, np.uint64(1 << 32))
+    for k in range(0, len(h), 4096):
+        x = h[k : k + 4096]
+        best = np.minimum(best, ((a[:, None] * x + b[:, None]) & np.uint64(0xFFFFFFFF)).min(axis=1))
+    return best.astype(np.int64)
+
+
 def minhash(text: Column) -> Column:
     """128 minima over the text's 3-grams (two blanks at both ends); blank texts give zeros.
 
@@ -99,25 +113,31 @@ def minhash(text: Column) -> Column:
 
     @F.pandas_udf("array<long>")
     def signature(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            t = (t or "").lower()
-            if not t.strip():
-                out.append(np.zeros(HASHES, np.int64))
-                continue
-            c = np.frombuffer(f"  {t}  ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-            grams = np.unique((c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:])
-            h = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-            best = np.full(HASHES, np.uint64(1 << 32))
-            for k in range(0, len(h), 4096):
-                x = h[k : k + 4096]
-                best = np.minimum(best, ((a[:, None] * x + b[:, None]) & np.uint64(0xFFFFFFFF)).min(axis=1))
-            out.append(best.astype(np.int64))
-        return pd.Series(out)
+        return pd.Series([_signature(t, a, b) for t in texts])
 
     return signature(text)
 
 
+def prints(docs: DataFrame, ident: str = "id", text: str = "content") -> DataFrame:
+    """(id, simhash, minhash): both fingerprints from one reading of the texts."""
+    fields = [T.StructField(ident, docs.schema[ident].dataType), T.StructField("simhash", T.LongType()), T.StructField("minhash", T.ArrayType(T.LongType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        a, b = _permutations()
+        for batch in batches:
+            for at in range(0, batch.num_rows, PRINT_ROWS):
+                some = batch.slice(at, PRINT_ROWS)
+                texts = some.column(1).to_pylist()
+                signatures = np.concatenate([_signature(t, a, b) for t in texts])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * HASHES, pa.int32()), pa.array(signatures))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(_simhashes(texts, known)), lists], names=[ident, "simhash", "minhash"])
+                if len(known) > KNOWN_TERMS:
+                    known.clear()
+
+    return docs.select(docs[ident], docs[text]).mapInArrow(run, T.StructType(fields))
+
+
 def signature_similarity(x: Column, y: Column) -> Column:
     """Share of equal positions; 1 for two empty ones, 0 for different lengths."""
     same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)

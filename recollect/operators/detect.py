@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollect.functions import hashing
 from recollect.functions import scoring as X
-from recollect.functions.hashing import HASHES, hamming, minhash, signature_similarity, simhash
+from recollect.functions.embedding import packed
+from recollect.functions.hashing import HASHES, hamming, signature_similarity
 from recollect.sources.storage import kept as stored
 
 #: Widths of the six slices of a 64-bit fingerprint: within 4 bits, at least two agree.
@@ -30,6 +32,16 @@ def _distinct_values(prints: DataFrame, column: str) -> DataFrame:
     return prints.groupBy(column).agg(F.min("id").alias("id"))
 
 
+def slice_keys(column: str) -> tuple[list, list[tuple[int, int]], Column]:
+    """The six slices of a fingerprint, the fifteen pairs of them, and the array of both slices' bits for each pair."""
+    shift, parts = 0, []
+    for width in SLICES:
+        parts.append(F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit((1 << width) - 1)))
+        shift += width
+    pairs = [(i, j) for i in range(len(SLICES)) for j in range(i + 1, len(SLICES))]
+    return parts, pairs, F.array(*[F.shiftleft(parts[i], 32).bitwiseOR(parts[j]) for i, j in pairs])
+
+
 def hamming_pairs(prints: DataFrame, most: int = 4, column: str = "simhash") -> DataFrame:
     """(id_a, id_b, distance) of distinct fingerprints within so many bits, each by its smallest id.
 
@@ -41,12 +53,7 @@ def hamming_pairs(prints: DataFrame, most: int = 4, column: str = "simhash") ->
     if most > len(SLICES) - 2:
         raise ValueError(f"two of {len(SLICES)} slices find at most {len(SLICES) - 2} bits")
     values = _distinct_values(prints.filter(F.col(column) != 0), column)
-    shift, parts = 0, []
-    for width in SLICES:
-        parts.append(F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit((1 << width) - 1)))
-        shift += width
-    pairs = [(i, j) for i in range(len(SLICES)) for j in range(i + 1, len(SLICES))]
-    keys = F.array(*[F.shiftleft(parts[i], 32).bitwiseOR(parts[j]) for i, j in pairs])
+    parts, pairs, keys = slice_keys(column)
     keyed = values.withColumn("parts", F.array(*parts)).select("id", column, "parts", F.posexplode(keys).alias("slices", "value"))
     a, b = (keyed.select("slices", "value", F.col("id").alias(f"id_{k}"), F.col(column).alias(f"h_{k}"), F.col("parts").alias(f"p_{k}")) for k in "ab")
     near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= most
@@ -111,6 +118,32 @@ def _order(elements: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndar
     return np.where(known[spot] == elements, (np.uint64(1) << np.uint64(63)) | rank[spot], elements)
 
 
+def dealt(slim: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (id, ...) by the runs to compare them in: all that share a key of slim (id, band, key), in parts of PART rows, each pair of parts a run."""
+    shared = slim.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = slim.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    run = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("run")
+    return placed.select("id", "band", "part", F.col("part").eqNullSafe(F.col("other")).alias("alone"), run).join(rows, "id").repartition("run").sortWithinPartitions("run", "part")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs of two rows or more."""
+    held, last = [], None
+    for b in batches:
+        key = b.column(b.schema.get_field_index("run")).to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if held and key[a] != last:
+                if sum(map(len, held)) > 1:
+                    yield pa.concat_tables(held).combine_chunks()
+                held = []
+            last = key[a]
+            held.append(pa.Table.from_batches([b.slice(a, z - a)]))
+    if sum(map(len, held)) > 1:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def minhash_pairs(signatures: DataFrame, least: float = 0.7) -> DataFrame:
     """(id_a, id_b, similarity) of distinct signatures that agree on that share of places; exact.
 
@@ -121,62 +154,58 @@ def minhash_pairs(signatures: DataFrame, least: float = 0.7) -> DataFrame:
     are one row, by their smallest id (see print_groups for their members); values have 32 bits, as
     minhash gives them.
     """
-    need = int(np.ceil(least * HASHES - 1e-9))
     values = stored(signatures.groupBy("minhash").agg(F.min("id").alias("id")), "signatures")
+    slim, order = element_keys(values, least)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches):
+            ids = run.column("id").to_numpy()
+            for r, c, same in alike(run, order, least):
+                r, c = ids[r], ids[c]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c)), pa.array(same / HASHES)], names=["id_a", "id_b", "similarity"])
+
+    return dealt(slim, values).mapInArrow(compared, "id_a long, id_b long, similarity double")
+
+
+def element_keys(values: DataFrame, least: float) -> tuple[DataFrame, Callable[[np.ndarray], np.ndarray]]:
+    """(id, band, key): the first elements of each signature (id, minhash), of which two that agree on that share of places have one in common; and the order of elements."""
+    need = int(np.ceil(least * HASHES - 1e-9))
     frequent = _frequent(values)
     by = np.argsort(frequent)
     known, rank = values.sparkSession.sparkContext.broadcast(frequent[by]), values.sparkSession.sparkContext.broadcast(by.astype(np.uint64))
+    order = lambda elements: _order(elements, known.value, rank.value)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                order = _order(_elements(_matrix(b.column(1))), known.value, rank.value)
-                place = np.argpartition(order, HASHES - need, axis=1)[:, : HASHES - need + 1]
-                first = np.take_along_axis(_elements(_matrix(b.column(1))), place, axis=1)
+                elements = _elements(_matrix(b.column(1)))
+                place = np.argpartition(order(elements), HASHES - need, axis=1)[:, : HASHES - need + 1]
+                first = np.take_along_axis(elements, place, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), place.shape[1])), pa.array(place.ravel().astype(np.int32)), pa.array(first.ravel().view(np.int64))], names=["id", "band", "key"])
 
-    slim = values.select("id", "minhash").mapInArrow(chosen, "id long, band int, key long")
-    shared = slim.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = slim.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    run = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("run")
-    dealt = placed.select("id", "band", "part", F.col("part").eqNullSafe(F.col("other")).alias("alone"), run).join(values, "id").repartition("run").sortWithinPartitions("run", "part")
-
-    def pairs(run: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        t = pa.concat_tables(run).combine_chunks()
-        if t.num_rows < 2:
-            return
-        ids, band, part, alone = (t.column(c).to_numpy() for c in ("id", "band", "part", "alone"))
-        sets = _matrix(t.column("minhash").combine_chunks())
-        order = _order(_elements(sets), known.value, rank.value)
-        within, cut = bool(alone.all()), int(np.searchsorted(part, part[0], "right"))
-        for i in range(0, len(ids) if within else cut, TILE[0]):
-            head = np.arange(i, min(i + TILE[0], len(ids) if within else cut))
-            rest = np.arange(i if within else cut, len(ids))
-            for r, c, same in _close(sets[head], sets[rest], least):
-                r, c = head[r], rest[c]
-                first = np.where(same, order[r], np.uint64((1 << 64) - 1)).argmin(axis=1)
-                keep = (first == band[r]) & ((r < c) | (not within))
-                r, c, same = ids[r[keep]], ids[c[keep]], same[keep].sum(axis=1) / HASHES
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c)), pa.array(same)], names=["id_a", "id_b", "similarity"])
+    return values.select("id", "minhash").mapInArrow(chosen, "id long, band int, key long"), order
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for b in batches:
-            key = b.column(b.schema.get_field_index("run")).to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
-            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if held and key[a] != last:
-                    yield from pairs(held)
-                    held = []
-                last = key[a]
-                held.append(pa.Table.from_batches([b.slice(a, z - a)]))
-        if held:
-            yield from pairs(held)
 
-    return dealt.mapInArrow(compared, "id_a long, id_b long, similarity double")
+def alike(run: pa.Table, order: Callable[[np.ndarray], np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a run whose signatures agree on that share of places, pair by pair at their first common element, and on how many."""
+    band, part, alone = (run.column(c).to_numpy() for c in ("band", "part", "alone"))
+    sets = _matrix(run.column("minhash").combine_chunks())
+    rank = order(_elements(sets))
+    for head, rest, within in _halves(part, alone):
+        for r, c, same in _close(sets[head], sets[rest], least):
+            r, c = head[r], rest[c]
+            first = np.where(same, rank[r], np.uint64((1 << 64) - 1)).argmin(axis=1)
+            keep = (first == band[r]) & ((r < c) | (not within))
+            if keep.any():
+                yield r[keep], c[keep], same[keep].sum(axis=1)
+
+
+def _halves(part: np.ndarray, alone: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows of a run to compare with others of it: all with those after them, or those of one part with those of the other."""
+    within, cut = bool(alone.all()), int(np.searchsorted(part, part[0], "right"))
+    for i in range(0, len(part) if within else cut, TILE[0]):
+        yield np.arange(i, min(i + TILE[0], len(part) if within else cut)), np.arange(i if within else cut, len(part)), within
 
 
 def print_groups(prints: DataFrame, column: str) -> DataFrame:
@@ -195,8 +224,11 @@ def every_pair(pairs: DataFrame, prints: DataFrame, column: str) -> DataFrame:
 
 
 def text_classes(memories: DataFrame) -> DataFrame:
-    """(id, class_id): each memory with the smallest id that has its text, letter for letter."""
-    return print_groups(memories.select("id", F.coalesce("content", F.lit("")).alias("content")), "content").withColumnRenamed("first_id", "class_id")
+    """(id, class_id): each memory with the smallest id that has its text, letter for letter (by SHA-256 and length); null is the empty text."""
+    text = F.coalesce("content", F.lit(""))
+    hashed = memories.select("id", F.sha2(text, 256).alias("digest"), F.length(text).alias("n"))
+    first = hashed.groupBy("digest", "n").agg(F.min("id").alias("class_id"))
+    return hashed.join(first, ["digest", "n"]).select("id", "class_id")
 
 
 def mergeable(memories: DataFrame, project: str | None = None, kind: str | None = None) -> DataFrame:
@@ -209,7 +241,7 @@ def mergeable(memories: DataFrame, project: str | None = None, kind: str | None
 
 def fingerprints(memories: DataFrame) -> DataFrame:
     """(id, simhash, minhash) of each memory."""
-    return simhash(memories.select("id", "content")).join(memories.select("id", minhash(F.col("content")).alias("minhash")), "id")
+    return hashing.prints(memories.select("id", "content"))
 
 
 def simhash_candidates(prints: DataFrame, target: int, most: int = 4) -> DataFrame:
@@ -230,6 +262,11 @@ def minhash_candidates(prints: DataFrame, target: int, least: float = 0.7) -> Da
     return prints.filter(F.col("id") != target).select("id", alike.alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def heads(memories: DataFrame) -> DataFrame:
+    """Of each class of copies the memory of the smallest id."""
+    return memories.join(text_classes(memories).filter("id = class_id").select("id"), "id", "left_semi")
+
+
 def candidates(memories: DataFrame, most: int = 4, least: float = 0.7) -> DataFrame:
     """(id_a, id_b, matched, score) of distinct texts within so many bits or of so much MinHash similarity.
 
@@ -237,10 +274,9 @@ def candidates(memories: DataFrame, most: int = 4, least: float = 0.7) -> DataFr
     differ pair even if their fingerprints are equal; copies of a text are one class (see
     text_classes), here by its smallest id.
     """
-    heads = memories.join(text_classes(memories).filter("id = class_id").select("id"), "id", "left_semi")
-    found = stored(fingerprints(heads), "prints")  # read by many branches, each of which would plan it anew
-    prints, signatures = found.select("id", "simhash").filter("simhash <> 0"), found.select("id", "minhash")
-    near = every_pair(hamming_pairs(prints, most), prints, "simhash").withColumn("kind", F.lit("simhash"))
+    found = stored(fingerprints(heads(memories)), "prints")  # read by many branches, each of which would plan it anew
+    simhashes, signatures = found.select("id", "simhash").filter("simhash <> 0"), found.select("id", "minhash")
+    near = every_pair(hamming_pairs(simhashes, most), simhashes, "simhash").withColumn("kind", F.lit("simhash"))
     alike = every_pair(minhash_pairs(signatures, least), signatures, "minhash").withColumn("kind", F.lit("minhash"))
     kinds = near.unionByName(alike).groupBy("id_a", "id_b").agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
     matched = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("both").alias("matched")
@@ -256,24 +292,33 @@ def stage_one(memories: DataFrame, most: int = 4, least: float = 0.7) -> DataFra
 
 
 def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """pairs with `similarity`, the cosine of sparse unit vectors (id, bucket, weight), to nine places; 0 without common buckets."""
-    a, b = (weights.select(F.col("id").alias(f"id_{k}"), "bucket", F.col("weight").alias(f"w_{k}")) for k in "ab")
-    dots = pairs.select("id_a", "id_b").join(a, "id_a").join(b, ["id_b", "bucket"]).groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
-    return pairs.join(dots, ["id_a", "id_b"], "left").withColumn("similarity", F.round(F.coalesce("dot", F.lit(0.0)), 9)).drop("dot")
+    """pairs with `similarity`, the cosine of sparse unit vectors (id, bucket, weight), to nine places; 0 without common buckets.
+
+    Vectors travel as one row an id; a pair's product is taken where both have arrived.
+    """
+    vectors = packed(weights)
+    a, b = (vectors.select(F.col("id").alias(f"id_{k}"), F.map_from_arrays("buckets", "weights").alias(f"v_{k}")) for k in "ab")
+    product = F.aggregate(F.map_entries("v_a"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("v_b", e["key"]), F.lit(0.0)))
+    both = pairs.join(a, "id_a", "left").join(b, "id_b", "left")
+    return both.withColumn("similarity", F.round(F.coalesce(product, F.lit(0.0)), 9)).select(*pairs.columns, "similarity")
 
 
 def detected(memories: DataFrame, weights: DataFrame, threshold: float = 0.85, per_node: int = 10, limit: int = 50, stage1_only: bool = False) -> DataFrame:
     """(id_a, id_b, similarity, method, level, reason): likely duplicates among mergeable memories, best first chosen.
 
     Stage 1 finds pairs by fingerprints; stage 2 keeps those of a cosine of `threshold` or more and
-    chooses greedily, each memory in at most per_node pairs, `limit` in all. stage1_only gives all
-    pairs of the first stage with its score.
+    chooses greedily, each memory in at most per_node pairs, `limit` in all. Both are done where
+    fingerprints are compared, and only pairs that the choice can take go further (see
+    tiles.best_pairs), so the tables in between grow with the memories, not with their pairs.
+    stage1_only gives all pairs of the first stage with its score.
     """
-    pairs = stored(stage_one(memories), "stage1")
+    from recollect.operators import tiles
+
     if stage1_only:
+        pairs = stored(stage_one(memories), "stage1")
         method = F.when(F.col("matched") == "both", "simhash").otherwise(F.col("matched"))
         return pairs.select("id_a", "id_b", F.col("score").alias("similarity"), method.alias("method"), F.lit("low").alias("level"), F.lit("Stage 1 candidate (embedding analysis skipped)").alias("reason"))
-    ranked = stored(cosines(pairs.select("id_a", "id_b"), weights).filter(F.col("similarity") >= threshold), "ranked")
+    ranked = stored(tiles.best_pairs(memories, weights, threshold, per_node + 2 * limit // per_node), "ranked")
     return explained(greedy_pairs(ranked, per_node, limit), memories).select("id_a", "id_b", "similarity", F.lit("embedding").alias("method"), "level", "reason")
 
 

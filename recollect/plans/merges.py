@@ -8,9 +8,10 @@ from recollect.functions import embedding as E
 from recollect.functions import hashing as H
 from recollect.functions import scoring as C
 from recollect.functions.text import text_length, tokens_by_length, word_set
-from recollect.operators import clusters as C
+from recollect.operators import clusters as K
 from recollect.operators import detect as D
 from recollect.operators import merging as G
+from recollect.operators import tiles as T
 from recollect.operators.search import top
 from recollect.plans.registry import query
 from recollect.sources import model as M
@@ -159,7 +160,7 @@ _SEEDS = f"""{M.MEMORIES_SQL}, ws AS (SELECT project_id, id, row_number() OVER (
 
 @query("jaccard_clusters", f"WITH RECURSIVE {_SEEDS} SELECT * FROM cluster")
 def jaccard_clusters(spark, d):
-    return C.seed_clusters(M.memories(spark, d).select("project_id", "id", "content"))
+    return K.seed_clusters(M.memories(spark, d).select("project_id", "id", "content"))
 
 
 @query("token_recovery", f"""WITH RECURSIVE {_SEEDS}, cost AS (SELECT cluster.*, (length(content) + length(regexp_replace(content, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) + 3) // 4 AS t FROM cluster JOIN mem ON mem.id = cluster.id),
@@ -168,7 +169,7 @@ def jaccard_clusters(spark, d):
 def token_recovery(spark, d):
     m = M.memories(spark, d).select("project_id", "id", "content")
     tokens = m.select("id", tokens_by_length(F.col("content")).alias("t"))
-    clusters = C.seed_clusters(m).join(tokens, "id").groupBy("project_id", "seed").agg(F.sum("t").alias("total"), F.max(F.when(F.col("id") == F.col("seed"), F.col("t"))).alias("kept"), F.count("*").alias("n"))
+    clusters = K.seed_clusters(m).join(tokens, "id").groupBy("project_id", "seed").agg(F.sum("t").alias("total"), F.max(F.when(F.col("id") == F.col("seed"), F.col("t"))).alias("kept"), F.count("*").alias("n"))
     return clusters.groupBy("project_id").agg(F.sum(F.col("total") - F.col("kept")).alias("recovered"), F.count_if(F.col("n") > 1).alias("clusters"))
 
 
@@ -176,7 +177,7 @@ def token_recovery(spark, d):
 def jaccard_clusters_whole(spark, d):
     """All memories of a language as one project: large groups, of very different sizes."""
     m = M.memories(spark, d)
-    return C.seed_clusters(m.select(F.element_at("tags", 1).alias("project_id"), "id", "content"))
+    return K.seed_clusters(m.select(F.element_at("tags", 1).alias("project_id"), "id", "content"))
 
 
 _SRC = f"{M.MEMORIES_SQL}, src AS (SELECT id // 15 * 5 + id % 5 AS merge_id, * FROM mem)"
@@ -396,6 +397,13 @@ def duplicate_classes(spark, d):
     return D.text_classes(D.mergeable(M.memories(spark, d)))
 
 
+@query("duplicate_links", f"""WITH RECURSIVE {_HEADS}, ln AS (SELECT id_a AS x, id_b AS y FROM cand UNION ALL SELECT id_b, id_a FROM cand), deg AS (SELECT x, count(*) AS n FROM ln GROUP BY 1), go AS (SELECT x AS i, x AS j FROM ln UNION SELECT go.i, ln.y FROM go JOIN ln ON ln.x = go.j), far AS (SELECT i, min(j) AS m FROM go GROUP BY 1)
+ SELECT c.id, coalesce(m, c.class_id) AS component_id, coalesce(n, 0) AS n_links, count(*) OVER (PARTITION BY c.class_id) - 1 AS n_copies FROM cls c LEFT JOIN deg ON deg.x = c.class_id LEFT JOIN far ON far.i = c.class_id""")
+def duplicate_links(spark, d):
+    """Stage 1 as one row a memory: its group and the number of its links, however many pairs these are."""
+    return T.links(_mergeable(spark, d))
+
+
 @query("detect_stage1", f"WITH {_HEADS} SELECT id_a, id_b, CASE matched WHEN 'both' THEN 'simhash' ELSE matched END AS method, round(score, 6) AS similarity FROM stage1")
 def detect_stage1(spark, d):
     """All pairs of the first stage: class heads with one another, and each class's head with its copies."""

@@ -492,3 +492,53 @@ def test_clusters_by_rounds(spark, monkeypatch, local, part, wide):
 
 def test_clusters_of_an_empty_table(spark):
     assert K.seed_clusters(spark.createDataFrame([], "project_id string, id long, content string")).count() == 0
+
+
+def test_components_of_chains_stars_and_pairs(spark):
+    from recollect.operators.components import components
+
+    links = [(i, i + 1) for i in range(100, 300)] + [(5, k) for k in range(400, 450)] + [(7, 6), (6, 7), (9, 9)] + [(k, 1000 - k) for k in range(501, 520)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {i: 100 for i in range(100, 301)} | {k: 5 for k in range(400, 450)} | {5: 5, 6: 6, 7: 6} | {i: min(k, 1000 - k) for k in range(501, 520) for i in (k, 1000 - k)}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("part,gathered", [(8192, 1 << 20), (5, 50)])
+def test_links_and_best_pairs_equal_all_pairs(spark, monkeypatch, part, gathered):
+    import random
+
+    from recollect.functions.embedding import embedded
+    from recollect.operators import tiles as T
+
+    monkeypatch.setattr(D, "PART", part)
+    monkeypatch.setattr(T, "GATHERED", gathered)
+    rng = random.Random(part)
+    words = [f"term{k}" for k in range(300)]
+    base = [rng.choices(words, k=40) for _ in range(5)]
+    texts = []
+    for k in range(120):  # near copies, which differ in a word or two, or in marks only
+        t = list(base[k % 5])
+        for _ in range(k % 3):
+            t[rng.randrange(40)] = rng.choice(words)
+        texts.append(" ".join(t) + "." * (k % 4))
+    texts += [texts[3], texts[3], None, "", "  ", "one", "one two"]
+    m = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")
+    weights = embedded(m)
+    pairs = D.stage_one(m)
+    full = sorted((r.id_a, r.id_b) for r in D.candidates(m).collect())
+    degree, group = {}, {r.id: r.class_id for r in D.text_classes(m).collect()}
+    edges = spark.createDataFrame(full, "a long, b long")
+    for a, b in full:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    from recollect.operators.components import components
+
+    reach = {r.id: r.component for r in components(edges).collect()}
+    got = {r.id: (r.component_id, r.n_links, r.n_copies) for r in T.links(m).collect()}
+    assert got == {i: (reach.get(c, c), degree.get(c, 0), sum(v == c for v in group.values()) - 1) for i, c in group.items()} and len(full) > 500
+    best = T.best_pairs(m, weights, 0.6, 6)
+    ranked = D.cosines(pairs.select("id_a", "id_b"), weights).filter("similarity >= 0.6")
+    want = sorted(tuple(r) for r in D.greedy_pairs(ranked, 2, 4).collect())
+    assert sorted(tuple(r) for r in D.greedy_pairs(best, 2, 4).collect()) == want and len(want) == 4
+    rows = best.count()
+    assert rows < ranked.count() and rows == best.select("id_a", "id_b").distinct().count()
