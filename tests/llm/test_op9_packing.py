@@ -74,11 +74,29 @@ def brute(lengths, window):
 
 def test_best_fit_decreasing():
     rng = np.random.default_rng(3)
-    for window in (8, 50, 2048):
-        lengths = np.sort(rng.integers(1, window + 1, 300))[::-1]
-        at, offset, count = P.best_fit_decreasing(lengths, window)
-        where, n = brute(lengths.tolist(), window)
-        assert count == n and (window - offset).tolist() == where
+    for window, n in ((8, 300), (50, 300), (2048, 300), (2048, 4000), (7, 1)):
+        lengths = np.sort(rng.integers(1, window + 1, n))[::-1]
+        kinds, counts = np.unique(lengths, return_counts=True)
+        slots, windows = P.best_fit_decreasing(dict(zip(kinds.tolist(), counts.tolist(), strict=True)), window)
+        where, want = brute(lengths.tolist(), window)
+        number = np.concatenate([np.arange(c) for c in counts[::-1]])
+        at, offset = P.places(slots, lengths, number)
+        assert windows == want and sorted(zip(lengths, window - offset, strict=True)) == sorted(zip(lengths, where, strict=True))
+        for w in range(windows):  # gapless from 0
+            mine = sorted(zip(offset[at == w].tolist(), lengths[at == w].tolist(), strict=True))
+            assert [o for o, _ in mine] == np.cumsum([0, *(x for _, x in mine)])[:-1].tolist() and sum(x for _, x in mine) <= window
+
+
+def test_large_counts_cost_no_more():
+    slots, windows = P.best_fit_decreasing({n: 10**9 for n in range(1, 2048)}, 2048)
+    assert len(slots) < 20_000 and windows * 2048 < 1.0001 * 10**9 * sum(range(1, 2048))
+
+
+@pytest.mark.parametrize("parts", [1, 64])
+def test_partitions_do_not_change_the_padding(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(parts)
+    got = P.packed(docs).selectExpr("sum(length) as tokens", "count(distinct sequence_id) as n", "max(sequence_id) as last").first()
+    assert got.tokens >= 0.99 * 2048 * got.n and got.last == got.n - 1
 
 
 def test_repeated_rows_and_empty(spark):
