@@ -131,6 +131,16 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
     return top_per(found, "query_id", k, F.asc("score") if metric == "l2" else F.desc("score"), F.asc("id"))
 
 
+def by_meaning(memories: DataFrame, buckets: Sequence[int], weights: Sequence[float]) -> DataFrame:
+    """memories (with sparse unit vectors: buckets, weights) and `similarity`, their cosine with the vector of a query; 0 without a vector.
+
+    The query is a literal, so a filter on the text stays below it, and only rows that pass are compared.
+    """
+    asked = F.map_from_arrays(F.array(*[F.lit(int(b)) for b in buckets]).cast("array<int>"), F.array(*[F.lit(float(w)) for w in weights]).cast("array<double>"))
+    parts = F.zip_with("buckets", "weights", lambda b, w: w * F.coalesce(F.try_element_at(asked, b), F.lit(0.0)))
+    return memories.withColumn("similarity", F.round(F.coalesce(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)), 9))
+
+
 def conversations_with(conversations: DataFrame, messages: DataFrame, pattern: str, role: str | None = None) -> DataFrame:
     """Conversations that hold a matching message: a semi-join, never a row twice."""
     found = messages.filter(holds(F.col("content"), pattern))

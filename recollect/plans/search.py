@@ -85,6 +85,16 @@ def vector_each_nan(spark, d):
     return S.nearest_each(v, v.filter("asks"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("filtered_vector_each", f"""WITH {M.MEMORIES_SQL}, e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), ok AS (SELECT id, v FROM e JOIN mem USING (id) WHERE content ILIKE '%tion%' AND list_has_any(tags, ['en', 'src0'])),
+ q AS (SELECT id AS query_id, v AS q FROM e WHERE id % 50 = 0), p AS (SELECT query_id, id, list_cosine_similarity(v, q) AS s FROM q, ok) SELECT query_id, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS r FROM p) WHERE r <= 10""")
+def filtered_vector_each(spark, d):
+    """Recall as a user asks for it: a filter on text and tags, then the order by vector, for every 50th vector as the query."""
+    hits = S.keyword(M.memories(spark, d), "tion", tags=("en", "src0")).select("id")
+    vectors = M.embeddings(spark, d).select("id", "v")
+    found = S.nearest_each(vectors.join(hits, "id", "left_semi"), vectors.filter("id % 50 = 0"), 10, "cosine")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("recent_by_project", f"""WITH {M.MEMORIES_SQL} SELECT project_id, id, rank FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rank FROM mem) WHERE rank <= 3""")
 def recent_by_project(spark, d):
     return S.top_per(M.memories(spark, d).select("project_id", "id", "created_at"), "project_id", 3, *newest()).select("project_id", "id", F.col("rank").cast("long").alias("rank"))

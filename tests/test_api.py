@@ -78,3 +78,36 @@ def test_readers_see_what_they_may(engine, spark):
     mine = engine.remember("for the agent only", agent="a")["id"]
     late = engine.remember("gone by now", agent="a", expires_at=NOW - dt.timedelta(days=1))["id"]
     assert other.recall(mine)["found"] and not other.recall(engine.ids[2])["found"] and not engine.recall(late)["found"]
+
+
+def test_memories_keep_their_vectors(engine):
+    rows = {r.id: r for r in engine.tables.read("memories").filter("buckets is not null").collect()}
+    assert set(engine.ids) <= set(rows) and abs(sum(w * w for w in rows[engine.ids[0]].weights) - 1) < 1e-9
+    near = engine.search(meaning="deployments at night", project="/work/app")["data"]
+    assert near[0]["id"] == engine.ids[2] and near[0]["similarity"] > 0.4 and "weights" not in near[0]
+    both = engine.search("dark mode", meaning="deployments at night", project="/work/app")["data"]
+    assert both and engine.ids[2] not in {r["id"] for r in both} and not engine.search()["ok"]
+    assert engine.search("night", meaning="", project="/work/app")["data"][0]["similarity"] == 0
+
+
+def test_racing_approvals_have_one_winner(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/race", now=lambda: NOW)
+    a, b, c = (e.remember(f"Night deployments are fine, they say {x}.", type="fact", user=1)["id"] for x in "abc")
+    for k, pair in ((1, (a, b)), (2, (b, c))):
+        e.tables.append("proposals", spark.sql(f"select {k}L id, array({pair[0]}L, {pair[1]}L) sources, 'fact' type, 'pending' status, timestamp_ntz'2024-01-01' created_at"))
+    inner = Engine._decided
+
+    def meanwhile(self, t, proposal_id, status, note):  # the other approval goes through while this one is at work
+        inner(self, t, proposal_id, status, note)
+        if proposal_id == 1:
+            monkeypatch.setattr(Engine, "_decided", inner)
+            assert Engine(spark, e.tables.base, now=lambda: NOW).merge_decide("approve", 2)["ok"]
+
+    monkeypatch.setattr(Engine, "_decided", meanwhile)
+    lost = e.merge_decide("approve", 1)
+    assert not lost["ok"] and "merged already" in lost["message"]
+    rows = {r.id: r for r in e.tables.read("memories").collect()}
+    assert set(rows) == {a, b, c, -3} and rows[b].merged_into == rows[c].merged_into == -3 and rows[a].is_active
+    assert [r.merge_id for r in e.tables.read("merge_history").collect()] == [2]
+    assert {r.id: r.status for r in e.tables.read("proposals").collect()} == {1: "pending", 2: "approved"}
+    assert e.pin_memory(a)["files"] == 1

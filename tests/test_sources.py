@@ -26,6 +26,93 @@ def test_tables_keep_versions(spark, tmp_path):
         t.replace("a", t.read("a"), at)
 
 
+def test_transactions_are_whole(spark, tmp_path):
+    t = S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long, t string", "b": "id long"}, {"a": "id"})
+    t.set_up()
+    one = t.begin()
+    one.append("a", spark.range(3))
+    one.append("b", spark.range(5))
+    assert t.read("a").count() == t.read("b").count() == 0  # files without an entry, as after a crash
+    one.commit()
+    assert t.read("a").count() == 3 and t.read("b").count() == 5
+    left, right = t.begin(), t.begin()
+    assert left.read("a").count() == right.read("a").count() == 3
+    left.append("b", spark.range(1))
+    right.append("a", spark.range(3, 4))
+    right.commit()
+    with pytest.raises(S.Conflict):
+        left.commit()
+    assert t.read("b").count() == 5
+    blind = t.begin()  # it has read nothing, so others don't matter
+    blind.append("a", spark.range(9, 10))
+    t.append("a", spark.range(8, 9))
+    blind.commit()
+    assert sorted(r.id for r in t.read("a").collect()) == [0, 1, 2, 3, 8, 9]
+
+
+def test_half_written_entries_hurt_nobody(spark, tmp_path):
+    t = S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long"}, {})
+    t.set_up()
+    t.append("a", spark.range(2))
+    (tmp_path / "db/_log/.0123").write_text("")  # of a writer that died
+    (tmp_path / "db/a/part-dead").mkdir()
+    assert t.read("a").count() == 2 and t.append("a", spark.range(1)) == 2 and t.read("a").count() == 3
+    with pytest.raises(OSError):
+        S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long"}, {}, claim=lambda a, b: (_ for _ in ()).throw(OSError("disk full"))).append("a", spark.range(1))
+    lost = S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long"}, {})
+    tries = []
+
+    def late(temporary, name):  # another writer takes the number twice
+        tries.append(name)
+        if len(tries) < 3:
+            t.append("a", spark.range(1))
+        return lost._claim(temporary, name)
+
+    lost.claim = late
+    assert lost.append("a", spark.range(10, 11)) == 5 and len(tries) == 3 and t.read("a").count() == 6
+
+
+def test_updates_touch_the_files_that_hold_the_keys(spark, tmp_path):
+    t = S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long, t string"}, {"a": "id"})
+    t.set_up()
+    t.append("a", spark.range(1_000_000).repartitionByRange(20, "id").withColumn("t", F.lit("old")))
+    before = t.state(t.version())["a"]
+    one, two = t.begin(), t.begin()
+    for x, k in ((one, 777_777), (two, 3)):
+        assert x.update("a", [k], lambda rows, k=k: rows.withColumn("t", F.when(F.col("id") == k, "new").otherwise(F.col("t")))) == 1
+    one.commit()
+    two.commit()  # other keys, other files: no conflict
+    after = t.state(t.version())["a"]
+    assert len(before) == 20 and len(set(before) & set(after)) == 18 and t.read("a").count() == 1_000_000
+    assert sorted(r.id for r in t.read("a").filter("t = 'new'").collect()) == [3, 777_777]
+    same, other = t.begin(), t.begin()
+    for x in (same, other):
+        x.update("a", [5], lambda rows: rows)
+    same.commit()
+    with pytest.raises(S.Conflict):
+        other.commit()
+
+
+def test_many_appends_stay_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "STATE_EVERY", 4)
+    monkeypatch.setattr(S, "SMALL_FILES", 6)
+    t = S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long"}, {"a": "id"})
+    t.set_up()
+    for k in range(20):
+        t.append("a", spark.range(k, k + 1, 1, 1))
+        t.tidy("a")
+        assert len(t.state(t.version())["a"]) <= 7
+    old = t.version()
+    t.compact("a")
+    assert sorted(r.id for r in t.read("a").collect()) == list(range(20)) and len(t.state(t.version())["a"]) == 1
+    assert t.read("a", old).count() == 20
+    assert t.vacuum(keep=0, seconds=3600) == 0  # too young
+    assert t.vacuum(keep=0, seconds=-1) >= 20
+    fresh = S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long"}, {"a": "id"})
+    assert fresh.read("a").count() == 20 and len(list((tmp_path / "db/a").glob("*/*.parquet"))) == 1
+    assert fresh.append("a", spark.range(1)) and fresh.read("a").count() == 21
+
+
 def test_cache_forgets(spark):
     now = [0.0]
     c = S.Cache(10, lambda: now[0])
