@@ -33,3 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             discard(both)
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after links (a, b) between labels, or nodes that have none: only the links are followed, not what made the labels."""
+    above = components(links)
+    raised = labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label", "left").select("node", F.coalesce("higher", "label").alias("label"))
+    return stored(raised.unionByName(above.join(labels, "node", "left_anti")), "labels")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.common import blocks, discard, sized, stored, utf8
-from recollect.llm.components import components
+from recollect.llm.components import components, joined
 from recollect.llm.words import Words, mixed, rolled, windows, words_of
 
 SHINGLE, PERCENT = 5, 75
@@ -416,9 +416,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
                 mask = far.is_valid()
                 yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask), far.filter(mask)], names=["a", "b", "far"])
 
-    side = lambda k: sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(what).alias(f"v{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb")
-    return sized(joined, pairs.count(), PAIRS_A_TASK).mapInArrow(run, "a long, b long, far double")
+    total = pairs.count()
+    joined = pairs.select("a", "b")
+    for k, other in (("a", "b"), ("b", "a")):
+        joined = spread(joined, sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(what).alias(f"v{k}")), pairs, k, other, total)
+    return sized(joined.select("a", "b", "na", "nb", "va", "vb"), total, PAIRS_A_TASK).mapInArrow(run, "a long, b long, far double")
 
 
 def _hashes(packed: bytes) -> np.ndarray:
@@ -473,6 +475,19 @@ def by_size(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFram
     return rows.join(large, key).unionByName(rest)
 
 
+def spread(rows: DataFrame, table: DataFrame, pairs: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """rows joined with table (one row a key): a key that is in more than a LARGE-th of `total` pairs is dealt out by its partners.
+
+    There are fewer than LARGE such keys, and their table rows are repeated fewer than 2 * LARGE times in all.
+    """
+    most = max(1, total // LARGE)
+    heavy = F.broadcast(pairs.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("deals")).filter("deals > 1"))
+    deals = F.coalesce("deals", F.lit(1))
+    left = rows.join(heavy, key, "left").withColumn("deal", F.pmod(F.xxhash64(other), deals).cast("int")).drop("deals")
+    right = table.join(heavy, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    return left.join(right, [key, "deal"]).drop("deal")
+
+
 def hub_pairs(rows: DataFrame, percent: int, total: int, used: list[DataFrame]) -> DataFrame:
     """Pairs of each member and its run's hub, where sizes allow a link and labels differ.
 
@@ -625,8 +640,9 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent:
         discard(*used)
         if more.limit(1).count():
             tried = tried.union(more)
-            links = links.union(verified(more))
-            labels = components(links)
+            fresh = verified(more)
+            labels = joined(labels, stored(tag(tag(fresh, "a"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "contracted"))
+            discard(fresh)
     discard(entries, first, sets, passed, chosen, tried, links)
     placed = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     groups = placed.filter("n > 0").groupBy("label").agg(F.min("id").alias("smallest"), F.count("*").alias("size")).filter("size > 1")
