@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import or_default, tokens_by_length
+from recollect.operators.components import components
 from recollect.sources.storage import kept
 
 LATEST = ("created_at", "id")
 
 
-def _rows(*fields: str) -> Column:
+def _rows(*fields: str | Column) -> Column:
     """Sources in order of time (ties by id)."""
     return F.sort_array(F.collect_list(F.struct(*LATEST, *fields)))
 
 
 def grouped(sources: DataFrame, key: str = "merge_id") -> DataFrame:
-    """One row per merge: its sources in order, their type and their tags in order of first use."""
-    rows = sources.groupBy(key).agg(_rows("content", "tags", "type", "confidence").alias("rows"), F.min("type").alias("type"), F.max("type").alias("other_type"), F.count("*").alias("n"))
+    """One row per merge: its sources in order, their type and their tags in order of first use.
+
+    A summary and metadata (a map or struct, as its JSON), where sources have them, are kept for token accounting.
+    """
+    empty = F.lit(None).cast("string")
+    summary = (F.col("summary") if "summary" in sources.columns else empty).alias("summary")
+    metadata = (F.to_json("metadata") if "metadata" in sources.columns else empty).alias("metadata")
+    rows = sources.groupBy(key).agg(_rows("content", "tags", "type", "confidence", summary, metadata).alias("rows"), F.min("type").alias("type"), F.max("type").alias("other_type"), F.count("*").alias("n"))
     return rows.withColumn("all_tags", F.array_distinct(F.flatten(F.transform("rows", lambda r: r["tags"]))))
 
 
@@ -173,19 +181,49 @@ def memory_tokens(content: Column, summary: Column, tags: Column, metadata: Colu
 
 def saved_tokens(rows: DataFrame) -> DataFrame:
     """Tokens of the sources and of the merge, and the difference, at least 0."""
-    source = F.aggregate("rows", F.lit(0).cast("long"), lambda s, r: s + memory_tokens(r["content"], F.lit(None).cast("string"), r["tags"]))
+    source = F.aggregate("rows", F.lit(0).cast("long"), lambda s, r: s + memory_tokens(r["content"], r["summary"], r["tags"]) + tokens_by_length(F.coalesce(r["metadata"], F.lit(""))))
     target = memory_tokens(F.col("content"), F.col("summary"), F.col("tags"))
     return rows.withColumns({"source_tokens": source, "merged_tokens": target}).withColumn("tokens_saved", F.greatest(F.lit(0).cast("long"), F.col("source_tokens") - F.col("merged_tokens")))
 
 
+#: Rounds before conflicts are settled by components; proposals of a component that one task takes.
+ROUNDS, SETTLED = 2, 200_000
+
+
+def _in_turn(rows: DataFrame) -> DataFrame:
+    """Of proposals (component, merge_id, sources) those that win in order of id, a task a component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        used: set = set()
+        won = []
+        for i, sources in sorted(zip(table.column("merge_id").to_pylist(), table.column("sources").to_pylist(), strict=True)):
+            if used.isdisjoint(sources):
+                used.update(sources)
+                won.append(i)
+        return pa.table({"merge_id": pa.array(won, table.schema.field("merge_id").type)})
+
+    return rows.groupBy("component").applyInArrow(run, rows.select("merge_id").schema)
+
+
 def claimed(ready: DataFrame) -> DataFrame:
     """Of proposals (merge_id, sources) those that are approved if they are taken in order of id: no source is used twice.
 
-    Each round approves all that are the first for each of their sources, and drops what shares a
-    source with one of them; so a round settles all but chains of overlapping proposals.
+    A round approves all that are the first for each of their sources, and drops what shares a
+    source with one of them. What a few rounds leave are chains of proposals that overlap: their
+    components are settled at once, each in a task that goes through its ids in order; only
+    components of more than SETTLED proposals go on in rounds. merge_id is a long, unique.
     """
-    left, done = kept(ready, "proposals"), []
+    left, done, rounds = kept(ready, "proposals"), [], 0
     while left.limit(1).count():
+        if rounds >= ROUNDS:
+            wanted = left.select("merge_id", F.explode("sources").alias("id"))
+            first = wanted.groupBy("id").agg(F.min("merge_id").alias("first"))
+            group = components(wanted.join(first, "id").select(F.col("merge_id").alias("a"), F.col("first").alias("b")))
+            placed = kept(left.join(group.withColumnRenamed("id", "merge_id"), "merge_id", "left").withColumn("component", F.coalesce("component", "merge_id")), "placed")
+            small = placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= SETTLED).select("component")
+            own = placed.join(small, "component", "left_semi")
+            done.append(kept(left.join(_in_turn(own), "merge_id", "left_semi"), "approved"))
+            left = kept(placed.join(small, "component", "left_anti").drop("component"), "proposals")
         wanted = left.select("merge_id", F.explode("sources").alias("id"))
         first = wanted.groupBy("id").agg(F.min("merge_id").alias("first"))
         lost = wanted.join(first, "id").filter(F.col("merge_id") != F.col("first")).select("merge_id").distinct()
@@ -193,7 +231,7 @@ def claimed(ready: DataFrame) -> DataFrame:
         done.append(won)
         used = won.select(F.explode("sources").alias("id")).distinct()
         gone = wanted.join(used, "id", "left_semi").select("merge_id").distinct()
-        left = kept(left.join(gone, "merge_id", "left_anti"), "proposals")
+        left, rounds = kept(left.join(gone, "merge_id", "left_anti"), "proposals"), rounds + 1
     out = left
     for won in done:
         out = out.unionByName(won)

@@ -239,6 +239,18 @@ def tokens_saved(spark, d):
     return G.saved_tokens(rows).select("merge_id", "source_tokens", "merged_tokens", "tokens_saved")
 
 
+@query("tokens_saved_whole", f"""WITH {_SRC}, x AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'about ' || project_id END AS note, CASE WHEN id % 3 <> 0 THEN '{{"lang":"' || tags[1] || '","user":"' || user_id || '"}}' END AS meta FROM src),
+ t AS (SELECT merge_id, sum(CAST(ceil(length(content) / 4.0) + ceil(coalesce(length(note), 0) / 4.0) + ceil(length(array_to_string(tags, ' ')) / 4.0) + ceil(coalesce(length(meta), 0) / 4.0) AS BIGINT) + 25) AS source_tokens, arg_max(content, id) AS c, arg_max(tags, id) AS t, count(*) AS n FROM x WHERE type = 'decision' GROUP BY 1 HAVING count(*) >= 2),
+ m AS (SELECT merge_id, source_tokens, CAST(ceil(length(c) / 4.0) + ceil(length('Decided: ' || c || ' (' || n || ' decisions)') / 4.0) + ceil(length(array_to_string(t, ' ')) / 4.0) AS BIGINT) + 25 AS merged_tokens FROM t)
+ SELECT merge_id, CAST(source_tokens AS BIGINT) AS source_tokens, merged_tokens, CAST(greatest(0, source_tokens - merged_tokens) AS BIGINT) AS tokens_saved FROM m""")
+def tokens_saved_whole(spark, d):
+    """Savings where sources have summaries and metadata."""
+    note = F.when(F.col("id") % 2 == 0, F.concat(F.lit("about "), "project_id"))
+    meta = F.when(F.col("id") % 3 != 0, F.create_map(F.lit("lang"), F.col("tags")[0], F.lit("user"), F.col("user_id").cast("string")))
+    rows = G.merged(G.grouped(_sources(spark, d).filter("type = 'decision'").withColumns({"summary": note, "metadata": meta})))
+    return G.saved_tokens(rows).select("merge_id", "source_tokens", "merged_tokens", "tokens_saved")
+
+
 @query("token_report", f"""WITH {M.MEMORIES_SQL}, t AS (SELECT project_id, CAST(sum(ceil(length(content) / 4.0)) AS BIGINT) AS n FROM mem GROUP BY 1)
  SELECT project_id, CASE WHEN n < 1000 THEN n || ' tokens (' || (q // 1000) || '.' || lpad(CAST(q % 1000 AS VARCHAR), 3, '0') || '% of context)' ELSE (k // 10) || '.' || (k % 10) || 'k tokens (' || (r // 10) || '.' || (r % 10) || '% of typical recall window)' END AS report FROM (SELECT *, (n * 1000 * 2 + 1280) // 2560 AS q, (n + 50) // 100 AS k, (n * 20 + 320) // 640 AS r FROM t)""")
 def token_report(spark, d):

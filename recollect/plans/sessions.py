@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from recollect.functions import secrets as Y
 from recollect.functions import text as X
 from recollect.operators import sessions as S
 from recollect.plans.registry import query
@@ -162,6 +165,38 @@ def sanitize(spark, d):
     return _paths(spark, d).select("id", F.md5(X.sanitized(F.col("content"))).alias("digest"))
 
 
+def _spans_sql() -> str:
+    """Spans of each pattern from the parts between its matches; overlaps go by who begins first, then by length and table."""
+    every = " UNION ALL ".join(
+        f"""SELECT id, '{k}' AS type, {i} AS place, unnest(list_transform(range(1, len(m) + 1), lambda j: {{'s': CAST(list_sum(list_transform(parts[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS BIGINT), 'n': CAST(length(m[j]) AS BIGINT)}})) AS v
+ FROM (SELECT id, regexp_extract_all(content, '{p}') AS m, regexp_split_to_array(content, '{p}') AS parts FROM p)"""
+        for i, (k, (p, _)) in enumerate(X.SECRETS.items())
+    )
+    return f"""every AS ({every}), ranked AS (SELECT id, type, v.s AS s, v.s + v.n AS e, row_number() OVER (PARTITION BY id ORDER BY v.s, v.n DESC, place) AS k FROM every),
+ walk AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM (SELECT DISTINCT id FROM ranked)
+ UNION ALL SELECT r.id, r.k, CASE WHEN r.s >= w.last THEN r.e ELSE w.last END, CASE WHEN r.s >= w.last THEN r.type END, r.s, r.e FROM walk w JOIN ranked r ON r.id = w.id AND r.k = w.k + 1),
+ span AS (SELECT id, type, s, e FROM walk WHERE type IS NOT NULL)"""
+
+
+@query("secret_spans", f'WITH RECURSIVE {_DOCS}, {_spans_sql()} SELECT id, type, s AS start, e AS "end" FROM span')
+def secret_spans(spark, d):
+    return Y.secret_spans(_paths(spark, d).select("id", "content"))
+
+
+_STRIPPED = "regexp_replace(regexp_replace(content, '(?is)<private>.*?</private>', '[PRIVATE]', 'g'), '(?is)<secret>.*?</secret>', '[SECRET]', 'g')"
+_SECOND = [(re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", p), new) for p, new in Y.SECOND_PASS]
+
+
+@query("redact", f"""WITH RECURSIVE raw AS (SELECT doc_id AS id, {_BODY} AS content FROM documents), p AS (SELECT id, {_STRIPPED} || ' api_key=K1 Bearer abc.def token: xyz,' AS content FROM raw), {_spans_sql()},
+ cut AS (SELECT id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM span GROUP BY 1),
+ done AS (SELECT p.id, CASE WHEN ss IS NULL THEN content ELSE array_to_string(list_transform(range(1, len(ss) + 2), lambda j: CASE WHEN j > len(ss) THEN substr(content, es[j - 1] + 1) ELSE substr(content, CAST(CASE WHEN j = 1 THEN 1 ELSE es[j - 1] + 1 END AS BIGINT), ss[j] - CASE WHEN j = 1 THEN 0 ELSE es[j - 1] END) END), '{Y.REDACTED}') END AS t FROM p LEFT JOIN cut ON cut.id = p.id)
+ SELECT id, md5(regexp_replace(regexp_replace(t, '{_SECOND[0][0]}', '{_SECOND[0][1]}', 'g'), '{_SECOND[1][0]}', '{_SECOND[1][1]}', 'g')) AS digest FROM done""")
+def redact(spark, d):
+    """What is stored of each text: private parts, secrets by their places, names of keys and assignments of tokens replaced."""
+    texts = _paths(spark, d).select("id", F.concat(X.strip_private_tags(F.col("content")), F.lit(" api_key=K1 Bearer abc.def token: xyz,")).alias("content"))
+    return texts.select("id", F.md5(Y.redacted(F.col("content"))).alias("digest"))
+
+
 @query("deny_list", f"WITH {_DOCS} SELECT id FROM p WHERE {_DENIED}")
 def deny_list(spark, d):
     return _paths(spark, d).filter(X.denied(F.col("path"), _PATHS)).select("id")
