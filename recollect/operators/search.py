@@ -88,7 +88,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
     or holds an entry that is null or not finite is left out, on either side, and vectors meet those
     of their own length only. A query without any gets no row.
     """
-    vectors, queries = (usable(df.select("id", F.col("v").cast("array<double>").alias("v"))) for df in (vectors, queries))
+    vectors, queries = (usable(df.select(F.col("id").alias("id"), F.col("v").cast("array<double>").alias("v"))) for df in (vectors, queries))
     n, m = -(-vectors.count() // VECTORS) or 1, -(-queries.count() // QUERIES) or 1
     own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))

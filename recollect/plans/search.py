@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from recollect.functions.scoring import age_days, age_decayed, read_scope
 from recollect.functions.text import tokens_by_words
+from recollect.operators import positions as P
 from recollect.operators import search as S
 from recollect.operators.filters import Criteria, assertion, confident, ensured, matching, of_path, project_by_path, readable, recent
 from recollect.plans.registry import query
 from recollect.sources import model as M
+from recollect.sources.storage import fresh
 
 
 def newest() -> tuple[Column, Column]:
@@ -85,6 +87,38 @@ def vector_each_nan(spark, d):
     return S.nearest_each(v, v.filter("asks"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+_TERMS = "t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)"
+
+
+def _index(spark, d):
+    """An index of all memories, written in two batches and put together."""
+    m = M.memories(spark, d).select("id", "content")
+    index = P.Index(spark, fresh(spark, "index"))
+    for part in (0, 1):
+        index.add(m.filter(F.col("id") % 2 == part))
+    index.compact()
+    return index, m
+
+
+@query("search_phrase", f"""WITH {_TERMS}, q AS (SELECT id AS query_id, array_to_string(w[3:5], ' ') AS phrase FROM t WHERE id % 50 = 0 AND len(w) >= 5), s AS (SELECT id, ' ' || array_to_string(w, '  ') || ' ' AS s FROM t)
+ SELECT query_id, id FROM q JOIN s ON contains(s, ' ' || replace(phrase, ' ', '  ') || ' ')""")
+def search_phrase(spark, d):
+    """Three words of every 50th memory as a phrase, searched in all memories through the kept index."""
+    index, m = _index(spark, d)
+    queries = m.filter("id % 50 = 0").select(F.col("id").alias("query_id"), P.phrase_words(F.col("content"), 3, 3).alias("words")).filter("size(words) = 3")
+    return P.phrases_each(index.whole(), queries).select("query_id", "id")
+
+
+@query("search_near", f"""WITH {_TERMS}, q AS (SELECT id AS query_id, w[3] AS a, w[8] AS b FROM t WHERE id % 50 = 0 AND len(w) >= 8), p AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM t)
+ SELECT DISTINCT query_id, x.id FROM q JOIN p x ON x.term = a JOIN p y ON y.term = b AND y.id = x.id AND abs(x.k - y.k) <= 5 AND (a <> b OR x.k <> y.k)""")
+def search_near(spark, d):
+    """The third and the eighth word of every 50th memory, with at most four terms between them, searched in all memories."""
+    index, m = _index(spark, d)
+    word = lambda k: P.phrase_words(F.col("content"), k, 1)
+    queries = m.filter("id % 50 = 0").select(F.col("id").alias("query_id"), word(3).alias("a"), word(8).alias("b")).filter("size(b) = 1").selectExpr("query_id", "a[0] as a", "b[0] as b")
+    return P.near_each(index.whole(), queries, 4)
+
+
 @query("filtered_vector_each", f"""WITH {M.MEMORIES_SQL}, e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), ok AS (SELECT id, v FROM e JOIN mem USING (id) WHERE content ILIKE '%tion%' AND list_has_any(tags, ['en', 'src0'])),
  q AS (SELECT id AS query_id, v AS q FROM e WHERE id % 50 = 0), p AS (SELECT query_id, id, list_cosine_similarity(v, q) AS s FROM q, ok) SELECT query_id, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS r FROM p) WHERE r <= 10""")
 def filtered_vector_each(spark, d):

@@ -575,3 +575,36 @@ def test_secrets_and_their_places(spark):
     assert out[:4] == ["nothing", None, "", "a [REDACTED] b [REDACTED]"] and out[6] == "[REDACTED] [REDACTED]"
     assert out[7] == "my_Api-Key=1, Bearer  abc token=zzz, jwt: q".replace("my_Api-Key", "[API_KEY]").replace("Bearer  abc", "[API_KEY]").replace("token=zzz", "[TOKEN]").replace("jwt: q", "[TOKEN]")
     assert one(spark, Y.redacted(F.lit(f"<private>z</private> {key}"), "off"))[0] == f"[PRIVATE] {key}"
+
+
+def test_phrases_and_near_words(spark, tmp_path):
+    from recollect.operators import positions as P
+
+    texts = {1: "The quick brown fox. The quick brown dog!", 2: "brown quick the", 3: None, 4: "", 5: "quick quick brown", 6: "the x1 y z w v u brown", 7: "fox"}
+    df = spark.createDataFrame(list(texts.items()), "id long, content string")
+    index = P.Index(spark, f"file://{tmp_path}/index")
+    index.add(df.filter("id < 3"))
+    index.add(df.filter("id >= 3"))
+    got = lambda x: {tuple(r) for r in x.collect()}
+    for _ in range(2):
+        assert got(index.phrase("the QUICK brown")) == {(1, 2)} and got(index.phrase("quick brown")) == {(1, 2), (5, 1)} and got(index.phrase("fox")) == {(1, 1), (7, 1)}
+        assert got(index.phrase("no such words")) == set() == got(index.phrase("...")) == got(index.phrase("brown fox the fox"))
+        assert got(index.near("brown", "the", 1)) == {(1,), (2,)} and got(index.near("the", "brown", 6)) == {(1,), (2,), (6,)} and got(index.near("quick", "quick", 0)) == {(5,)}
+        assert index.compact() in (0, 2)
+    files = lambda: index.tables.state(index.tables.version())["postings"]
+    assert len(files()) == 1
+    places = {(r.term, r.id): r.places for r in P.placed(index.whole()).collect()}
+    assert places["quick", 1] == [1, 5] and places["quick", 5] == [0, 1] and places["brown", 6] == [7]
+    index.removed(df.filter("id = 1").select("id"))
+    assert got(index.phrase("quick brown")) == {(5, 1)}
+
+
+def test_searches_open_the_files_of_their_terms(spark, tmp_path, monkeypatch):
+    from recollect.operators import positions as P
+
+    monkeypatch.setattr(P, "POSTINGS", 50)
+    index = P.Index(spark, f"file://{tmp_path}/index")
+    index.add(spark.range(40).select("id", F.concat_ws(" ", F.lit("common"), F.concat(F.lit("w"), "id"), F.concat(F.lit("v"), "id")).alias("content")))
+    every = index.tables.state(index.tables.version())["postings"]
+    assert len(every) > 1 and len(index.of(["w3"]).inputFiles()) < len(every)
+    assert {tuple(r) for r in index.phrase("common w3 v3").collect()} == {(3, 1)}
