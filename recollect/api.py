@@ -19,6 +19,7 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from recollect.functions.embedding import embedded, packed
 from recollect.functions.scoring import read_scope
@@ -26,6 +27,7 @@ from recollect.functions.text import has_secret
 from recollect.operators import detect, filters, graph, lifecycle, merging, search, sessions, stats, store
 from recollect.sources.model import STATUSES
 from recollect.sources.tables import Conflict, Tables, Transaction
+from recollect.streaming.capture import timer
 
 #: Limits of callers: default, least, most (fixed values).
 MEMORIES, CONVERSATIONS, RECENT = (10, 1, 100), (5, 1, 50), (3, 1, 50)
@@ -338,3 +340,36 @@ class Engine:
         new = detect.stored(graph.coactivated(basket, "basket", "id").withColumn("kind", F.lit(kind)), "edges")
         self.tables.transact(lambda t: t.update("associations", [int(i) for i in ids], lambda e: graph.associated(e, new)))
         return {"edges": new.count()}
+
+    @tool
+    def prune(self, least: int = 5) -> dict:
+        """Drop associations of a weight up to `least`."""
+
+        def work(t: Transaction) -> int:
+            edges = t.read("associations")
+            strong = graph.pruned(edges, least)
+            weak = edges.count() - strong.count()
+            if weak:
+                t.replace("associations", strong)
+            return weak
+
+        return {"pruned": self.tables.transact(work)}
+
+    @tool
+    def tidy(self) -> dict:
+        """Put small files of all tables together and delete what recent versions don't need."""
+        return {"compacted": {n: self.tables.compact(n) for n in self.tables.schemas}, "deleted": self.tables.vacuum()}
+
+    def worker(self, lifecycle: str = "1 hour", prune: str = "1 day", tidy: str = "6 hours") -> list[StreamingQuery]:
+        """The jobs of a store that run by the clock, each a timer that outlives a failed run: decay and eviction, weak associations, files. Stop them as any streaming query."""
+        jobs = {"lifecycle": (lifecycle, self.lifecycle), "prune": (prune, self.prune), "tidy": (tidy, self.tidy)}
+
+        def checked(job: Callable[[], dict]) -> Callable[[], None]:
+            def run() -> None:
+                done = job()
+                if not done["ok"]:
+                    raise RuntimeError(done["message"])
+
+            return run
+
+        return [timer(self.spark, every, checked(job), f"worker-{name}-{uuid.uuid4().hex[:6]}") for name, (every, job) in jobs.items()]

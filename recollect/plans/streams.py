@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from recollect.plans.registry import query
 from recollect.sources import model as M
+from recollect.sources.storage import fresh
+from recollect.sources.tables import Tables
 from recollect.streaming import capture as S
 
 _NUMBERED = "o AS (SELECT event_id AS id, user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
@@ -60,3 +62,30 @@ def _hooks(events):
  CASE WHEN kind = 'tool' THEN coalesce(result, 'no result') END AS result FROM s WHERE NOT regexp_matches(summary, 'AKIA[0-9A-Z]{{16}}') AND NOT regexp_matches(summary, '(?is)<private>.*?</private>')""")
 def stream_capture_kinds(spark, d):
     return S.drained(S.captured_hooks(_hooks(S.event_stream(spark, d))).select("id", "type", "action", "summary", "result"), "hooks")
+
+
+@query("stream_sessions", """WITH e AS (SELECT user_id AS project_id, epoch_ms(ts) AS ms FROM events), f AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 600000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY project_id ORDER BY ms)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM f), g AS (SELECT project_id, min(ms) AS a, max(ms) AS z, count(*) AS n FROM s GROUP BY project_id, k)
+ SELECT project_id, epoch_ms(a) AS start, epoch_ms(z) AS "end", n FROM g WHERE z + 600000 < (SELECT max(ms) FROM e) - 3600000""".replace("epoch_ms(a) AS start", "rtrim(rtrim(strftime(make_timestamp(a * 1000), '%Y-%m-%d %H:%M:%S.%g'), '0'), '.') AS start").replace("epoch_ms(z) AS", "rtrim(rtrim(strftime(make_timestamp(z * 1000), '%Y-%m-%d %H:%M:%S.%g'), '0'), '.') AS"))
+def stream_sessions(spark, d):
+    """Stretches of activity of each project that the watermark has passed, from the stream's state and timers."""
+    return S.drained(S.quiet_stream(S.event_stream(spark, d)), "sessions")
+
+
+@query("stream_sink", "SELECT event_id AS id, event_type AS type, 'used ' || event_type || ' on ' || user_id AS summary FROM events WHERE event_type <> 'error' UNION ALL SELECT -1 - user_id, 'insight', count(*) || ' observations' FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def stream_sink(spark, d):
+    """Captured observations into a versioned table, the query run twice as after a restart; a consumer adds a row a project from the changes, and sees each once."""
+    base = fresh(spark, "sink")
+    t = Tables(spark, f"{base}/tables", {"observations": "id long, type string, summary string, project_id long"}, {"observations": "id"})
+    t.set_up()
+    stream = S.captured(S.event_stream(spark, d)).select("id", "type", "summary", "project_id")
+    for run in range(2):  # the second has lost its checkpoint, and reads all anew
+        t.sink(stream, "observations", "capture", f"{base}/state{run}", availableNow=True).awaitTermination()
+
+    def note(tx, rows):
+        counts = rows.filter("id >= 0").groupBy("project_id").agg(F.count("*").alias("n"))
+        tx.append("observations", counts.select((-1 - F.col("project_id")).alias("id"), F.lit("insight").alias("type"), F.concat("n", F.lit(" observations")).alias("summary"), "project_id"))
+
+    for _ in range(3):
+        t.consume("observations", "counter", note)
+    return t.read("observations").select("id", "type", "summary")

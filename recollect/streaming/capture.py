@@ -1,7 +1,8 @@
 """Streams of observations: capture, co-activation of what is recent, windowed counts, triggers and timers.
 
 capture is stateless and the same function serves batches and streams. Recent co-activation and
-the trigger of summaries keep a few numbers of each project as state. Windowed counts use a
+the trigger of summaries keep a few numbers of each project as state; stretches of activity keep
+theirs until the watermark has passed them. Windowed counts use a
 watermark, so their state is bounded by its delay.
 """
 
@@ -139,6 +140,52 @@ def sessions(observations: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return s.select("project_id", F.date_trunc("second", F.col("w.start").cast("timestamp_ntz")).cast("timestamp_ntz").cast("string").alias("start"), "n")
 
 
+def quiet_stream(observations: DataFrame, gap: float = 600.0, delay: str = "1 hour") -> DataFrame:
+    """(project_id, start, end, n): stretches of activity of a project, given out once it has been quiet for `gap` seconds.
+
+    With a gap of two seconds this is the debounce of captured changes, with minutes the end of a
+    session, with days that of an idle project. Times are those of the events: a stretch is given out when the
+    watermark, the latest time less the delay, has passed its end and the gap, and its state goes.
+    Until then late rows join stretches, or join two to one; later ones are dropped. State is a few
+    numbers for each open stretch, and rows are taken as they come, whatever a project has in a batch.
+    """
+    width = int(gap * 1000)
+
+    def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for start, end, n in sorted(spans):
+            if out and start - out[-1][1] <= width:
+                out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2] + n)
+            else:
+                out.append((start, end, n))
+        return out
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        spans = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            for frame in frames:
+                times = frame["ms"].sort_values()
+                cut = (times.diff() > width).cumsum()
+                new = times.groupby(cut).agg(["min", "max", "count"])
+                spans = merged([*spans, *new.itertuples(index=False, name=None)])
+        done = [s for s in spans if s[1] + width < mark]
+        left = [s for s in spans if s[1] + width >= mark]
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            state.setTimeoutTimestamp(max(min(s[1] for s in left) + width, mark + 1))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame([(key[0], *s) for s in done], columns=["project_id", "start", "end", "n"])
+
+    timed = observations.select("project_id", F.col("created_at").cast("timestamp").alias("at")).withWatermark("at", delay)
+    slim = timed.withColumn("ms", F.unix_millis("at"))
+    found = slim.groupBy("project_id").applyInPandasWithState(step, "project_id long, start long, end long, n long", "starts array<long>, ends array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    moment = lambda c: F.timestamp_millis(F.col(c)).cast("timestamp_ntz").cast("string").alias(c)
+    return found.select("project_id", moment("start"), moment("end"), "n")
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives out about the data at hand, as rows of a Parquet folder all executors share.
 

@@ -111,3 +111,18 @@ def test_racing_approvals_have_one_winner(spark, tmp_path, monkeypatch):
     assert [r.merge_id for r in e.tables.read("merge_history").collect()] == [2]
     assert {r.id: r.status for r in e.tables.read("proposals").collect()} == {1: "pending", 2: "approved"}
     assert e.pin_memory(a)["files"] == 1
+
+
+def test_jobs_by_the_clock(engine):
+    import time
+
+    engine.associate(engine.ids[:2])
+    assert engine.prune(0)["pruned"] == 0 and engine.tables.read("associations").count()
+    jobs = engine.worker("1 second", "1 second", "1 second")
+    until = time.time() + 90
+    while time.time() < until and any(not q.lastProgress for q in jobs):
+        time.sleep(0.5)
+    for q in jobs:
+        q.stop()
+    assert engine.recall(engine.ids[0])["found"] and all(q.lastProgress for q in jobs)
+    assert engine.tidy()["ok"] and engine.recall(engine.ids[0])["found"] and engine.prune(100)["pruned"] > 0 and engine.tables.read("associations").count() == 0

@@ -185,3 +185,43 @@ def test_order_holds_across_arrow_batches(spark, sf):
             want |= {(r.event_id, last[r.user_id]), (last[r.user_id], r.event_id)}
         last[r.user_id] = r.event_id
     assert got == want
+
+
+def test_stretches_wait_for_the_watermark(spark, tmp_path):
+    """Late rows join, batches don't matter, and state goes once the watermark has passed."""
+    import datetime as dt
+
+    schema, base = "project_id long, created_at timestamp_ntz", dt.datetime(2024, 1, 1)
+    at = lambda *minutes: [(1, base + dt.timedelta(minutes=m)) for m in minutes]
+    source = f"{tmp_path}/in"
+    q = None
+    for k, rows in enumerate([at(0, 5, 30), at(20), [*at(12), (2, base + dt.timedelta(minutes=31))], at(100), at(400), at(0), at(900)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = C.quiet_stream(spark.readStream.schema(schema).parquet(source), 600.0, "1 hour")
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if k == 2:
+            assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 2
+    got = sorted((r.project_id, r.start[11:16], r.end[11:16], r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, "00:00", "00:30", 5), (1, "01:40", "01:40", 1), (1, "06:40", "06:40", 1), (2, "00:31", "00:31", 1)]
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # that of minute 900
+
+
+def test_a_batch_written_again_adds_nothing(spark, tmp_path):
+    t = S.Tables(spark, f"file://{tmp_path}/db", {"a": "id long, t string", "b": "id long"}, {"a": "id"})
+    t.set_up()
+    C.publish(spark.range(3), f"{tmp_path}/topic")
+    for state in ("one", "two"):
+        t.sink(C.subscribe(spark, f"{tmp_path}/topic", "id long"), "a", "reader", f"{tmp_path}/{state}", availableNow=True).awaitTermination()
+    assert sorted(r.id for r in t.read("a").collect()) == [0, 1, 2]
+    seen = []
+    note = lambda tx, rows: seen.extend((r.id, r.t) for r in rows.collect())
+    t.consume("a", "me", note)
+    t.consume("a", "me", note)
+    assert sorted(seen) == [(0, None), (1, None), (2, None)]
+    t.transact(lambda tx: tx.update("a", [1], lambda rows: rows.withColumn("t", F.when(F.col("id") == 1, "new"))))
+    t.append("a", spark.range(7, 8))
+    t.compact("a")
+    seen.clear()
+    t.consume("a", "me", note)
+    assert sorted(seen) == [(1, "new"), (7, None)]
