@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that numpy code works on at once; a longer single text is a block of its own.
 BLOCK_BYTES = 4 << 20
 
+#: glibc's; other C libraries may have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _own_base: list[str] = []
 
 
@@ -91,8 +95,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Hand memory that Arrow and the allocator hold for later back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, each with at most `limit` bytes of text or else a single row."""
+    """Slices of the batches, each with at most `limit` bytes of text or else a single row; at the end memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,3 +114,4 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             end = max(at + 1, min(end, batch.num_rows))
             yield batch.slice(at, end - at)
             at = end
+    give_back()

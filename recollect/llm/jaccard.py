@@ -50,6 +50,8 @@ SHINGLE, PERCENT = 5, 75
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Signatures in a bucket, about; signatures a task holds before it sends them.
 BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
+#: Bytes of text worked on at once.
+TEXT_BYTES = 1 << 20
 #: Pairs that a task compares, at least.
 PAIRS_A_TASK = 4000
 #: Sums of set sizes below 2**FINE use a block for each shingle.
@@ -128,7 +130,7 @@ def inventory(docs: DataFrame, seed: int) -> DataFrame:
             if h:
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([h]), pa.array([n])], names=schema.names)
 
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", TEXT_BYTES):
             kind, s = b.column(0).type, Sets(b.column(1), seed)
             new = _unseen(s.key, s.size > 0, seen)
             held.append(s.hash[new[s.row]])
@@ -267,7 +269,7 @@ def packed_signatures(docs: DataFrame, seed: int, frequent, percent: int, bucket
                 place = int(mixed(np.array([zlib.crc32(p + x)], np.uint64))[0] % np.uint64(buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([None], pa.binary()), pa.array([p], pa.binary()), pa.array([x], pa.binary())], names=names)
 
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", TEXT_BYTES):
             s = Sets(b.column(0), seed)
             sig, row = signatures(s, _unseen(s.key, s.size > 0, seen), hot, percent)
             if len(sig):
@@ -360,7 +362,7 @@ def needed_sets(docs: DataFrame, seed: int, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", TEXT_BYTES):
             s = Sets(b.column(0), seed)
             rows = np.flatnonzero(_unseen(s.key, _in_bloom(bits.value, s.key) & (s.size > 0), seen))
             members = [np.sort(s.hash[s.first[r] : s.first[r + 1]]) for r in rows]
