@@ -23,6 +23,8 @@ SLICES = (11, 11, 11, 11, 10, 10)
 #: Signatures that share a rare element are compared: so many of the most frequent elements are known as such, from
 #: about so many signatures. They only set an order, so that a bound on both costs time at worst, never a pair.
 FREQUENT, SAMPLED = 1 << 16, 1 << 18
+#: What a pair of stage 1 says of itself (fixed values).
+CANDIDATE_LEVEL, CANDIDATE_REASON = "low", "Stage 1 candidate (embedding analysis skipped)"
 #: Most signatures of a bucket on one side of a comparison (about); rows and columns compared at a time.
 PART, TILE = 8192, (256, 4096)
 
@@ -92,7 +94,7 @@ def _elements(sets: np.ndarray) -> np.ndarray:
     return sets.astype(np.uint64) | (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))
 
 
-def _frequent(values: DataFrame) -> np.ndarray:
+def frequent_elements(values: DataFrame) -> np.ndarray:
     """The most frequent elements of a sample of signatures, rarest first; at most FREQUENT of them."""
     n = values.count()
     some = values if n <= SAMPLED else values.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLED / n))
@@ -128,20 +130,27 @@ def dealt(slim: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole runs of two rows or more."""
+    """Whole runs of two rows or more; rows that are marked as new come first in their part, and a run without any is left out."""
+
+    def ready(held: list[pa.Table]) -> Iterator[pa.Table]:
+        if sum(map(len, held)) > 1:
+            run = pa.concat_tables(held).combine_chunks()
+            if "new" not in run.column_names:
+                yield run
+            elif pc.any(run.column("new")).as_py():
+                yield run.take(pa.array(np.lexsort((~run.column("new").to_numpy(), run.column("part").to_numpy())))).combine_chunks()
+
     held, last = [], None
     for b in batches:
         key = b.column(b.schema.get_field_index("run")).to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
         for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if held and key[a] != last:
-                if sum(map(len, held)) > 1:
-                    yield pa.concat_tables(held).combine_chunks()
+                yield from ready(held)
                 held = []
             last = key[a]
             held.append(pa.Table.from_batches([b.slice(a, z - a)]))
-    if sum(map(len, held)) > 1:
-        yield pa.concat_tables(held).combine_chunks()
+    yield from ready(held)
 
 
 def minhash_pairs(signatures: DataFrame, least: float = 0.7) -> DataFrame:
@@ -167,10 +176,13 @@ def minhash_pairs(signatures: DataFrame, least: float = 0.7) -> DataFrame:
     return dealt(slim, values).mapInArrow(compared, "id_a long, id_b long, similarity double")
 
 
-def element_keys(values: DataFrame, least: float) -> tuple[DataFrame, Callable[[np.ndarray], np.ndarray]]:
-    """(id, band, key): the first elements of each signature (id, minhash), of which two that agree on that share of places have one in common; and the order of elements."""
+def element_keys(values: DataFrame, least: float, frequent: np.ndarray | None = None) -> tuple[DataFrame, Callable[[np.ndarray], np.ndarray]]:
+    """(id, band, key): the first elements of each signature (id, minhash), of which two that agree on that share of places have one in common; and the order of elements.
+
+    frequent: the elements that come last, as frequent_elements() gives them; those of values if not given. Keys meet only under one order.
+    """
     need = int(np.ceil(least * HASHES - 1e-9))
-    frequent = _frequent(values)
+    frequent = frequent_elements(values) if frequent is None else frequent
     by = np.argsort(frequent)
     known, rank = values.sparkSession.sparkContext.broadcast(frequent[by]), values.sparkSession.sparkContext.broadcast(by.astype(np.uint64))
     order = lambda elements: _order(elements, known.value, rank.value)
@@ -192,7 +204,7 @@ def alike(run: pa.Table, order: Callable[[np.ndarray], np.ndarray], least: float
     band, part, alone = (run.column(c).to_numpy() for c in ("band", "part", "alone"))
     sets = _matrix(run.column("minhash").combine_chunks())
     rank = order(_elements(sets))
-    for head, rest, within in _halves(part, alone):
+    for head, rest, within in halves(part, alone, fresh(run)):
         for r, c, same in _close(sets[head], sets[rest], least):
             r, c = head[r], rest[c]
             first = np.where(same, rank[r], np.uint64((1 << 64) - 1)).argmin(axis=1)
@@ -201,11 +213,24 @@ def alike(run: pa.Table, order: Callable[[np.ndarray], np.ndarray], least: float
                 yield r[keep], c[keep], same[keep].sum(axis=1)
 
 
-def _halves(part: np.ndarray, alone: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Rows of a run to compare with others of it: all with those after them, or those of one part with those of the other."""
-    within, cut = bool(alone.all()), int(np.searchsorted(part, part[0], "right"))
-    for i in range(0, len(part) if within else cut, TILE[0]):
-        yield np.arange(i, min(i + TILE[0], len(part) if within else cut)), np.arange(i if within else cut, len(part)), within
+def fresh(run: pa.Table) -> np.ndarray | None:
+    """Which rows of a run are new, where that matters; they come first in each part (see runs)."""
+    return run.column("new").to_numpy() if "new" in run.column_names else None
+
+
+def halves(part: np.ndarray, alone: np.ndarray, new: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows of a run to compare with others of it: all with those after them, or those of one part with those of the other; if some are new, no two others."""
+    within, cut, end = bool(alone.all()), int(np.searchsorted(part, part[0], "right")), len(part)
+    if within:
+        for i in range(0, end if new is None else int(new.sum()), TILE[0]):
+            yield np.arange(i, min(i + TILE[0], end if new is None else int(new.sum()))), np.arange(i, end), True
+        return
+    first = cut if new is None else int(new[:cut].sum())
+    for i in range(0, first, TILE[0]):
+        yield np.arange(i, min(i + TILE[0], first)), np.arange(cut, end), False
+    others = 0 if new is None else int(new[cut:].sum())
+    for i in range(first, cut if others else first, TILE[0]):
+        yield np.arange(i, min(i + TILE[0], cut)), np.arange(cut, cut + others), False
 
 
 def print_groups(prints: DataFrame, column: str) -> DataFrame:
@@ -317,7 +342,7 @@ def detected(memories: DataFrame, weights: DataFrame, threshold: float = 0.85, p
     if stage1_only:
         pairs = stored(stage_one(memories), "stage1")
         method = F.when(F.col("matched") == "both", "simhash").otherwise(F.col("matched"))
-        return pairs.select("id_a", "id_b", F.col("score").alias("similarity"), method.alias("method"), F.lit("low").alias("level"), F.lit("Stage 1 candidate (embedding analysis skipped)").alias("reason"))
+        return pairs.select("id_a", "id_b", F.col("score").alias("similarity"), method.alias("method"), F.lit(CANDIDATE_LEVEL).alias("level"), F.lit(CANDIDATE_REASON).alias("reason"))
     ranked = stored(tiles.best_pairs(memories, weights, threshold, per_node + 2 * limit // per_node), "ranked")
     return explained(greedy_pairs(ranked, per_node, limit), memories).select("id_a", "id_b", "similarity", F.lit("embedding").alias("method"), "level", "reason")
 

@@ -12,9 +12,11 @@ from recollect.operators import clusters as K
 from recollect.operators import detect as D
 from recollect.operators import merging as G
 from recollect.operators import tiles as T
+from recollect.operators.incremental import Duplicates
 from recollect.operators.search import top
 from recollect.plans.registry import query
 from recollect.sources import model as M
+from recollect.sources.storage import fresh
 
 _TERMS = "term AS (SELECT doc_id AS id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS t FROM documents) WHERE t <> '' GROUP BY 1, 2)"
 _HASHED = _TERMS + ", hashed AS (SELECT id, tf, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h0, CAST('0x' || substr(md5(t), 9, 8) AS BIGINT) AS h1 FROM term)"
@@ -409,13 +411,26 @@ def duplicate_classes(spark, d):
     return D.text_classes(D.mergeable(M.memories(spark, d)))
 
 
-@query("duplicate_links", f"""WITH RECURSIVE {_HEADS}, ln AS (SELECT id_a AS x, id_b AS y FROM cand UNION ALL SELECT id_b, id_a FROM cand), deg AS (SELECT x, count(*) AS n FROM ln GROUP BY 1), go AS (SELECT x AS i, x AS j FROM ln UNION SELECT go.i, ln.y FROM go JOIN ln ON ln.x = go.j), far AS (SELECT i, min(j) AS m FROM go GROUP BY 1)
- SELECT c.id, coalesce(m, c.class_id) AS component_id, coalesce(n, 0) AS n_links, count(*) OVER (PARTITION BY c.class_id) - 1 AS n_copies FROM cls c LEFT JOIN deg ON deg.x = c.class_id LEFT JOIN far ON far.i = c.class_id""")
+_LINKS = f"""WITH RECURSIVE {_HEADS}, ln AS (SELECT id_a AS x, id_b AS y FROM cand UNION ALL SELECT id_b, id_a FROM cand), deg AS (SELECT x, count(*) AS n FROM ln GROUP BY 1), go AS (SELECT x AS i, x AS j FROM ln UNION SELECT go.i, ln.y FROM go JOIN ln ON ln.x = go.j), far AS (SELECT i, min(j) AS m FROM go GROUP BY 1)
+ SELECT c.id, coalesce(m, c.class_id) AS component_id, coalesce(n, 0) AS n_links, count(*) OVER (PARTITION BY c.class_id) - 1 AS n_copies FROM cls c LEFT JOIN deg ON deg.x = c.class_id LEFT JOIN far ON far.i = c.class_id"""
+
+
+@query("duplicate_links", _LINKS)
 def duplicate_links(spark, d):
     """Stage 1 as one row a memory: its group and the number of its links, however many pairs these are."""
     return T.links(_mergeable(spark, d))
 
 
+@query("duplicate_links_batches", _LINKS)
+def duplicate_links_batches(spark, d):
+    """The same from three batches, each of which meets what is stored."""
+    store = Duplicates(spark, fresh(spark, "duplicates"))
+    m = _mergeable(spark, d).select("id", "content")
+    for k in range(3):
+        store.add(m.filter(F.col("id") % 3 == k))
+    return store.groups()
+
+
 @query("detect_stage1", f"WITH {_HEADS} SELECT id_a, id_b, CASE matched WHEN 'both' THEN 'simhash' ELSE matched END AS method, round(score, 6) AS similarity FROM stage1")
 def detect_stage1(spark, d):
     """All pairs of the first stage: class heads with one another, and each class's head with its copies."""

@@ -9,6 +9,7 @@ from recollect.functions.scoring import age_days, age_decayed, read_scope
 from recollect.functions.text import tokens_by_words
 from recollect.operators import positions as P
 from recollect.operators import search as S
+from recollect.operators import vectors as V
 from recollect.operators.filters import Criteria, assertion, confident, ensured, matching, of_path, project_by_path, readable, recent
 from recollect.plans.registry import query
 from recollect.sources import model as M
@@ -119,6 +120,15 @@ def search_near(spark, d):
     return P.near_each(index.whole(), queries, 4)
 
 
+@query("vector_index_each")
+def vector_index_each(spark, d):
+    """Ten neighbours of every 50th vector through the index, which files all vectors: approximate, so tests hold its recall against the exact search."""
+    v = M.embeddings(spark, d).select("id", "v")
+    index = V.VectorIndex(spark, fresh(spark, "vectors"))
+    index.make(v)
+    return index.search(v.filter("id % 50 = 0"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("filtered_vector_each", f"""WITH {M.MEMORIES_SQL}, e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), ok AS (SELECT id, v FROM e JOIN mem USING (id) WHERE content ILIKE '%tion%' AND list_has_any(tags, ['en', 'src0'])),
  q AS (SELECT id AS query_id, v AS q FROM e WHERE id % 50 = 0), p AS (SELECT query_id, id, list_cosine_similarity(v, q) AS s FROM q, ok) SELECT query_id, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS r FROM p) WHERE r <= 10""")
 def filtered_vector_each(spark, d):

@@ -35,6 +35,7 @@ def captured_hooks(hooks: DataFrame) -> DataFrame:
     (the prompt, kind of change or message), args, result, created_at. Private parts of prompts are
     replaced; what still holds something private is not captured.
     """
+    # types, actions, tags and wording of captured events (fixed values)
     kind, cut = F.col("kind"), lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
     prompt = cut(strip_private_tags(F.col("text")), 500)
     by = lambda prompts, tools, files, errors: F.when(kind == "prompt", prompts).when(kind == "tool", tools).when(kind == "file", files).when(kind == "error", errors)

@@ -608,3 +608,61 @@ def test_searches_open_the_files_of_their_terms(spark, tmp_path, monkeypatch):
     every = index.tables.state(index.tables.version())["postings"]
     assert len(every) > 1 and len(index.of(["w3"]).inputFiles()) < len(every)
     assert {tuple(r) for r in index.phrase("common w3 v3").collect()} == {(3, 1)}
+
+
+@pytest.mark.parametrize("part,cuts", [(8192, (40, 90)), (4, (1, 2, 120))])
+def test_batches_give_the_groups_of_one_run(spark, tmp_path, monkeypatch, part, cuts):
+    import random
+
+    from recollect.operators import tiles as T
+    from recollect.operators.incremental import Duplicates
+
+    monkeypatch.setattr(D, "PART", part)
+    rng = random.Random(part)
+    words = [f"term{k}" for k in range(200)]
+    base = [rng.choices(words, k=30) for _ in range(6)]
+    texts = [" ".join(w if rng.random() < 0.95 else rng.choice(words) for w in base[k % 6]) + "." * (k % 3) for k in range(110)]
+    texts += [texts[3], texts[50], None, "", "  "]
+    rng.shuffle(texts)
+    m = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    store = Duplicates(spark, f"file://{tmp_path}/store")
+    order = list(range(len(texts)))
+    rng.shuffle(order)  # batches hold ids of all sizes
+    edges = [0, *cuts, len(texts)]
+    for a, z in zip(edges, edges[1:], strict=False):
+        store.add(m.filter(F.col("id").isin(order[a:z])))
+    rows = lambda df: sorted(tuple(r) for r in df.select("id", "component_id", "n_links", "n_copies").collect())
+    assert rows(store.groups()) == rows(T.links(m))
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_recall_of_the_vector_index(spark, tmp_path, folder):
+    from recollect.operators import vectors as I
+
+    v = M.embeddings(spark, f"/root/testdata/{folder}").select("id", "v")
+    index = I.VectorIndex(spark, f"file://{tmp_path}/vectors")
+    index.make(v.filter("id % 3 <> 1"))
+    index.add(v.filter("id % 3 = 1"))
+    queries = v.filter("id % 50 = 0")
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    true, found = pairs(R.nearest_each(v, queries, 10)), pairs(index.search(queries, 10))
+    assert len(true & found) >= 0.9 * len(true) and len(found) == len(true)
+    _, probes = index._centres()
+    assert probes < len(index._centres()[0])
+    among = v.filter("id % 7 = 2").select("id")
+    every = len(index._centres()[0])
+    exact = pairs(R.nearest_each(v.join(among, "id", "left_semi"), queries, 5))
+    assert pairs(index.search(queries, 5, probes=every, among=among)) == exact
+
+
+def test_vector_index_of_odd_rows(spark, tmp_path):
+    from recollect.operators import vectors as I
+
+    rows = [(i, [float(i), 0.0]) for i in range(30)] + [(40, None), (41, [float("nan"), 1.0]), (42, [1.0]), (43, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = I.VectorIndex(spark, f"file://{tmp_path}/vectors")
+    index.make(df.limit(0))
+    assert index.search(df).count() == 0
+    index.add(df)
+    assert [r.id for r in index.search(df.filter("id = 3"), 3, probes=99).orderBy("rank").collect()] == [3, 2, 4] and index.tables.read("vectors").count() == 30
+    assert index.search(df.filter("id > 39")).count() == 0
