@@ -14,14 +14,23 @@ from recollect.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep.
+
+    A null or empty text has no words and goes; repeated rows fare alike; other columns may be null or
+    have any name, they pass through; an empty table stays empty.
+    """
     names = docs.columns
     judged = repetition.quality_rules(docs.toDF(*[f"doc_{i}" for i in range(len(names))]), f"doc_{names.index('text')}", [f"doc_{i}" for i in range(len(names))])
     return judged.filter("kept").select(*[F.col(f"doc_{i}").alias(n) for i, n in enumerate(names)])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality is 1; learnt from the labels of documents that are still here."""
+    """Documents whose predicted quality is 1; learnt from the labels of documents that are still here.
+
+    A null text is scored as an empty one; repeated rows fare alike; a null id is scored, and its label
+    ignored. Without labels all scores are 0.5, without both classes the mean of the labels. Other
+    columns pass through under any name; an empty table stays empty.
+    """
     names = docs.columns
     model = gam.fit(*gam.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     plain = docs.toDF(*[f"doc_{i}" for i in range(len(names))])
@@ -50,7 +59,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one (or place) has; n_chars follows, if there is one."""
+    """All documents, without the passages that an earlier one (or place) has; n_chars follows, if there is one.
+
+    Null and empty texts stay as they are; rows of one id and text count as one document and are cut alike.
+    Other columns pass through under any name; an empty table stays empty.
+    """
     cut = substring.without_repeats(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -58,7 +71,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
+    """Pieces of documents in sequences of at most 2048 tokens, with their ids.
+
+    A null or empty text is one token, the end mark; repeated rows are packed twice; other columns are
+    left behind; an empty table gives no rows.
+    """
     return packing.packed(docs, with_ids=True)
 
 
