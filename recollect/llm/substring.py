@@ -133,6 +133,8 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, kind: i
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows, pa.binary())], names=["bucket", "kind", "data"])
 
 
+#: Bytes of text worked on at once.
+TEXT_BYTES = 1 << 20
 #: First occurrences: digest, document's key, its id, window number. Later ones: key, the first one's id, number.
 _KINDS, _LATER = (np.uint64, np.int64, np.int64, np.int32), (np.int64, np.int64, np.int32)
 
@@ -178,7 +180,7 @@ def marks(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS) -> DataFram
             if later.any():  # known to be repeats already: any bucket will do
                 yield _packed(place(mixed(key[later].view(np.uint64))), [key[later], ident[lead][later], chunk[later]], buckets, 1)
 
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", TEXT_BYTES):
             data, offsets = utf8(b.column(2))
             w = words_of(data, offsets)
             at = chunk_starts(data, offsets, w)
@@ -277,7 +279,7 @@ def without_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     kept_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("owner", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, f"k{position}"):
+        for b in blocks(batches, f"k{position}", TEXT_BYTES):
             data, offsets = utf8(b.column(position))
             w = words_of(data, offsets)
             removed, listed_spans, columns = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], list(b.columns[: len(old)])
