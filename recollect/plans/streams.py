@@ -64,9 +64,12 @@ def stream_capture_kinds(spark, d):
     return S.drained(S.captured_hooks(_hooks(S.event_stream(spark, d))).select("id", "type", "action", "summary", "result"), "hooks")
 
 
-@query("stream_sessions", """WITH e AS (SELECT user_id AS project_id, epoch_ms(ts) AS ms FROM events), f AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 600000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY project_id ORDER BY ms)),
+_MOMENT = "rtrim(rtrim(strftime(make_timestamp({} * 1000), '%Y-%m-%d %H:%M:%S.%g'), '0'), '.')"
+
+
+@query("stream_sessions", f"""WITH e AS (SELECT user_id AS project_id, epoch_us(ts) // 1000 AS ms FROM events), f AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 600000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY project_id ORDER BY ms)),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM f), g AS (SELECT project_id, min(ms) AS a, max(ms) AS z, count(*) AS n FROM s GROUP BY project_id, k)
- SELECT project_id, epoch_ms(a) AS start, epoch_ms(z) AS "end", n FROM g WHERE z + 600000 < (SELECT max(ms) FROM e) - 3600000""".replace("epoch_ms(a) AS start", "rtrim(rtrim(strftime(make_timestamp(a * 1000), '%Y-%m-%d %H:%M:%S.%g'), '0'), '.') AS start").replace("epoch_ms(z) AS", "rtrim(rtrim(strftime(make_timestamp(z * 1000), '%Y-%m-%d %H:%M:%S.%g'), '0'), '.') AS"))
+ SELECT project_id, {_MOMENT.format("a")} AS start, {_MOMENT.format("z")} AS "end", n FROM g WHERE z + 600000 < (SELECT max(ms) FROM e) - 3600000""")
 def stream_sessions(spark, d):
     """Stretches of activity of each project that the watermark has passed, from the stream's state and timers."""
     return S.drained(S.quiet_stream(S.event_stream(spark, d)), "sessions")
