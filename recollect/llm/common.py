@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that numpy code works on at once; a longer single text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: The same where numpy holds many numbers for each byte.
+SMALL_BYTES = 1 << 20
 
 #: glibc's; other C libraries may have none.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import blocks, unclashed, utf8
+from recollect.llm.common import SMALL_BYTES, blocks, unclashed, utf8
 from recollect.llm.repetition import covered_words
 from recollect.llm.words import mixed, per_row, words_of
 
@@ -193,7 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", tex
     schema = "k " + docs.schema[ident].dataType.simpleString() + ", x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "t"):
+        for b in blocks(batches, "t", SMALL_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(features(b.column(1))), pa.list_(pa.float64()))], names=["k", "x"])
 
     texts = docs.select(docs[ident].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen.select("k")), "k", "left_semi")  # at most `most` ids
@@ -209,7 +209,7 @@ def scored(docs: DataFrame, model: Model, ident: list[str], text: str = "text")
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(unclashed(ident, RESULT), ident, strict=True)] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, f"k{at}"):
+        for b in blocks(batches, f"k{at}", SMALL_BYTES):
             yield pa.RecordBatch.from_arrays([*b.columns[: len(ident)], pa.array(model.score(features(b.column(at))))], names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.bytebpe import default_tokenizer, encoder
-from recollect.llm.common import blocks, stored
+from recollect.llm.common import SMALL_BYTES, blocks, stored
 
 WINDOW, END = 2048, 1
 
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, ident: str, text: str, tokenizer: str, window: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, task = np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
-        for b in blocks(batches, "t"):
+        for b in blocks(batches, "t", SMALL_BYTES):
             rows, starts, lengths, sums, tokens, parts = [], [], [], [], [], []
             for k, ids in enumerate(encoder(tokenizer).encode(b.column(1).to_pylist())):
                 ids += stop

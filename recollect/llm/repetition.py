@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recollect.llm.common import blocks, unclashed, utf8
+from recollect.llm.common import SMALL_BYTES, blocks, unclashed, utf8
 from recollect.llm.words import SEPARATOR, Words, mixed, per_row, windows, words_of
 
 #: Characters counted as symbols (fixed value).
@@ -151,7 +151,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     schema = T.StructType([T.StructField(n, docs.schema[k].dataType) for n, k in zip(names, keep, strict=True)] + measures.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, f"k{at}"):
+        for b in blocks(batches, f"k{at}", SMALL_BYTES):
             got = measured(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(got[f]) for f in measures.names)], names=[*names, *measures.names])
 
