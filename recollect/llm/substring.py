@@ -43,7 +43,7 @@ from recollect.llm.words import BYTE_HASH, Words, mixed, words_of
 REACH, GEAR_BYTES = 2, 16
 #: Words of a passage from which on it is removed; most words of a chunk.
 MIN_WORDS, MAX_WORDS = 25, 16
-BUCKET_ROWS, SEND_ROWS = 1 << 18, 1 << 20
+BUCKET_ROWS, SEND_ROWS = 1 << 18, 1 << 18
 #: Most bytes of the filter of marked texts, which is broadcast; bits for each of them.
 FILTER_BYTES, FILTER_BITS = 64 << 20, 16
 _GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
