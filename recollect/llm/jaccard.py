@@ -49,7 +49,7 @@ SHINGLE, PERCENT = 5, 75
 #: A shingle in so many texts of the corpus (as far as tasks notice) comes late in the order of blocks.
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Signatures in a bucket, about; signatures a task holds before it sends them.
-BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 20
+BUCKET_ROWS, SEND_ROWS = 1 << 20, 1 << 18
 #: Bytes of text worked on at once.
 TEXT_BYTES = 1 << 20
 #: Pairs that a task compares, at least.
