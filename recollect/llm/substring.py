@@ -10,10 +10,10 @@ chunk, that hold MIN_WORDS. Where a window ends follows from its own words, so a
 that another text holds has the same windows there, and they cover it if it has MIN_WORDS. Chunks
 that recur one by one, in different places, make no window.
 
-A task sends one occurrence per digest, its first, to the digest's bucket, packed as one binary
+Of SEND_ROWS windows a task sends one per digest, its first, to the digest's bucket, packed as one binary
 row for each bucket; the count of buckets grows with the corpus. It knows already that its other
 occurrences are repeats, and spreads these over all buckets, which just pass them on. So a passage
-that a third of all documents share reaches its bucket once per task. The first occurrence (by id,
+that a third of all documents share reaches its bucket once per SEND_ROWS windows of a task. The first occurrence (by id,
 then place) of a window stays; the others are marked and cut out of the texts. Texts without a
 mark are told by a Bloom filter over the marked ones (sized by their count, FILTER_BYTES at most;
 where that can't hold them, all texts are joined) and don't take part in the join with the marks.
