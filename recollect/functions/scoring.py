@@ -39,7 +39,9 @@ def age_decayed(score: Column, days: Column, half_life: float = 30.0) -> Column:
 
 
 def confidence_decayed(confidence: Column, days: Column, rate: float = 0.01) -> Column:
-    return F.greatest(F.lit(0), F.floor(confidence * F.exp(-rate * days))).cast("int")
+    """Never below 0; of a fact that begins later than now it grows, up to the greatest integer."""
+    power = F.when(-rate * days > 700, 700.0).otherwise(-rate * days)  # beyond that e to it is infinite
+    return F.least(F.lit(2.0**31 - 1), F.greatest(F.lit(0.0), confidence * F.exp(power))).cast("int")
 
 
 def tier(days: Column, coactivation: Column, relevance: Column) -> Column:

@@ -55,6 +55,11 @@ def test_decays(spark):
     assert list(one(spark, C.confidence_decayed(F.lit(80), F.lit(10)), C.age_decayed(F.lit(1.0), F.lit(30)))) == [72, 0.5]
 
 
+def test_facts_of_the_future_stay_within_integers(spark):
+    got = one(spark, *[C.confidence_decayed(F.lit(c), F.lit(d)) for c, d in ((80, -100), (80, -2100), (100, -125000), (0, -125000), (80, 10**7))])
+    assert list(got) == [217, 2147483647, 2147483647, 0, 0]
+
+
 def test_confidence_levels(spark):
     level = lambda s, same, o: C.confidence_level(F.lit(s), F.lit(same), F.lit(o))
     assert list(one(spark, level(0.95, True, 0.0), level(0.95, False, 0.0), level(0.85, True, 1.0), level(0.79, True, 1.0))) == ["high", "medium", "medium", "low"]
