@@ -582,6 +582,33 @@ def test_links_and_best_pairs_equal_all_pairs(spark, monkeypatch, part, gathered
     assert rows < ranked.count() and rows == best.select("id_a", "id_b").distinct().count()
 
 
+@pytest.mark.parametrize("block,tile", [(7, (2, 3)), (40, (128, 2048))])
+def test_rows_meet_once_in_blocks(spark, monkeypatch, block, tile):
+    """Rows travel as often as there are blocks, not once for each of their 39 rarest elements, and linked ones are found once."""
+    import random
+
+    from recollect.operators import tiles as T
+
+    for name, value in (("BLOCK", block), ("SMALL", block), ("TILE", tile)):
+        monkeypatch.setattr(T, name, value)
+    rng = random.Random(block)
+    base = [[rng.getrandbits(32) for _ in range(128)] for _ in range(4)]
+    sets = [[v if rng.random() < 0.9 else rng.getrandbits(32) for v in base[k % 4]] for k in range(60)]
+    bits = [0 if k % 10 == 0 else (1 << 63 | k % 3 << 7 | k % 7) - (1 << 64) for k in range(60)]
+    df = spark.createDataFrame([(i, b, v) for i, (b, v) in enumerate(zip(bits, sets, strict=True))], "id long, simhash long, minhash array<long>")
+    alike = lambda a, b: sum(p == q for p, q in zip(sets[a], sets[b], strict=True)) >= 90
+    close = lambda a, b: bits[a] != 0 != bits[b] and ((bits[a] ^ bits[b]) & (1 << 64) - 1).bit_count() <= 2
+    name = lambda a, b: "both" if alike(a, b) and close(a, b) else "minhash" if alike(a, b) else "simhash" if close(a, b) else None
+    want = sorted((a, b, name(a, b)) for a in range(60) for b in range(a + 1, 60) if name(a, b))
+    assert sorted((r.id_a, r.id_b, r.matched) for r in T.pairs(df, 2, 0.7).collect()) == want and {k for _, _, k in want} == {"both", "minhash", "simhash"}
+    n = {r.id: r.n for r in T.counted_links(T.crossed(df), 2, 0.7).groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    assert n == {i: c for i in range(60) if (c := sum(i in (a, b) for a, b, _ in want))}
+    assert T.crossed(df).count() == 60 * T._blocks(60)
+    old, new = df.filter("id % 3 > 0"), df.filter("id % 3 = 0")
+    n = {r.id: r.n for r in T.counted_links(T.crossed(new, old), 2, 0.7).groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    assert n == {i: c for i in range(60) if (c := sum(i in (a, b) and (a % 3 == 0 or b % 3 == 0) for a, b, _ in want))}
+
+
 @pytest.mark.parametrize("rounds,settled", [(2, 200_000), (0, 200_000), (1, 3)])
 def test_claims_go_by_id_however_they_overlap(spark, monkeypatch, rounds, settled):
     import random
