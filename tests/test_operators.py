@@ -609,6 +609,37 @@ def test_rows_meet_once_in_blocks(spark, monkeypatch, block, tile):
     assert n == {i: c for i in range(60) if (c := sum(i in (a, b) and (a % 3 == 0 or b % 3 == 0) for a, b, _ in want))}
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_literal_simhash_shuffles_nothing(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, None)], "id long, content string")
+    assert "Exchange" not in planned(H.literal_simhash(df)) and {r.id: r.simhash for r in H.literal_simhash(df).collect()}[2] == 0
+
+
+def test_groups_make_fingerprints_once_and_hold_nulls(spark):
+    df = spark.createDataFrame([(3, "ab"), (1, None), (2, None), (4, "ab"), (5, " ")], "id long, content string")
+    groups = D.print_groups(df.select("id", H.leading_gram(F.col("content")).alias("gram")), "gram")
+    assert "EvalPython" not in planned(groups)
+    assert {(r.id, r.first_id) for r in groups.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+
+
+def test_leading_gram_is_the_smallest(spark):
+    texts = ["Zebra", "\U0001f600\ufffd\ue000", "İx", "a", "\x00b"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "id long, t string").orderBy("id").select(H.leading_gram(F.col("t"))).collect()]
+    assert got == [min((f"  {t.lower()}  ")[i : i + 3] for i in range(len(t) + 2)) for t in texts]
+
+
+def test_dense_vectors_need_no_lookup(spark):
+    from recollect.functions import embedding as E
+
+    w = spark.createDataFrame([(1, 0, 0.6), (1, 1535, 0.8), (2, 7, 1.0)], "id long, bucket long, weight double")
+    assert "map_from_entries" not in planned(E.dense(w))
+    got = {r.id: r.v for r in E.dense(w).collect()}
+    assert all(len(v) == 1536 for v in got.values()) and (got[1][0], got[1][1535], got[2][7], sum(got[1]), sum(got[2])) == (0.6, 0.8, 1.0, 1.4, 1.0)
+
+
 @pytest.mark.parametrize("rounds,settled", [(2, 200_000), (0, 200_000), (1, 3)])
 def test_claims_go_by_id_however_they_overlap(spark, monkeypatch, rounds, settled):
     import random
