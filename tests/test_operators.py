@@ -762,3 +762,30 @@ def test_vector_index_of_odd_rows(spark, tmp_path):
     index.add(df)
     assert [r.id for r in index.search(df.filter("id = 3"), 3, probes=99).orderBy("rank").collect()] == [3, 2, 4] and index.tables.read("vectors").count() == 30
     assert index.search(df.filter("id > 39")).count() == 0
+
+
+def test_sketches_miss_no_sets_that_are_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 40)).astype(np.uint64)])) for _ in range(150)]
+    sets.sort(key=len)
+    sketches = np.array([np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.uint64) for s in sets]).T
+    size = np.array([len(s) for s in sets])
+    found = {(i, j) for r, c in K.may_be_alike((size, sketches), None, 0.8) for i, j in zip(r.tolist(), c.tolist(), strict=True)}
+    shared = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    true = {(i, j) for j in range(150) for i in range(j) if (n := shared(i, j)) > 0.8 * (size[i] + size[j] - n)}
+    assert true and true <= found and len(found) < 150 * 149 // 2
+    half = np.arange(150) % 2 == 0
+    met = {(i, j) for r, c in K.may_be_alike((size[half], sketches[:, half]), (size[~half], sketches[:, ~half]), 0.8) for i, j in zip((r * 2).tolist(), (c * 2 + 1).tolist(), strict=True)}
+    assert {p for p in true if (p[0] + p[1]) % 2} <= {(min(p), max(p)) for p in met}
+
+
+def test_near_copies_leave_blocks_as_trees(spark, monkeypatch):
+    """200 near copies of one text: 19,900 pairs, but no more links than a tree has in each block."""
+    monkeypatch.setattr(K, "SKETCHES", 64)
+    df = spark.range(200).selectExpr("'p' as name", "id", "1L as g", "transform(sequence(1, 100), x -> xxhash64(x + if(x = id % 100, id, 0) * 1000)) as words")
+    heads = K._prints(df, 0.8)
+    links = K._links(heads, 0.8)
+    assert links.count() <= 200 * 4 * 3 and {r.component for r in K.components(links).collect()} == {0}
