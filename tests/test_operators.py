@@ -789,3 +789,22 @@ def test_near_copies_leave_blocks_as_trees(spark, monkeypatch):
     heads = K._prints(df, 0.8)
     links = K._links(heads, 0.8)
     assert links.count() <= 200 * 4 * 3 and {r.component for r in K.components(links).collect()} == {0}
+
+
+def test_edges_are_dealt_out_by_the_size_of_the_table(spark, monkeypatch):
+    """No task takes more pairs than ITEMS says, whatever the number of shuffle partitions."""
+    from recollect.operators import graph
+
+    monkeypatch.setattr(graph, "ITEMS", 50)
+    baskets = spark.range(1000).selectExpr("id div 4 as b", "id % 97 as i")
+    edges = graph.coactivated(baskets, "b", "i")
+    assert edges.rdd.getNumPartitions() == 40
+    twice = graph.associated(edges.selectExpr("*", "'a' as kind"), edges.selectExpr("*", "'b' as kind"))
+    got = {(r.source, r.target): (r.weight, r.coactivations, r.kind) for r in twice.collect()}
+    want = {}
+    for k in range(0, 1000, 4):
+        for x in range(k, k + 4):
+            for y in range(k, k + 4):
+                if x % 97 != y % 97:
+                    want[x % 97, y % 97] = want.get((x % 97, y % 97), 0) + 1
+    assert got == {p: (2 * n, 2 * n, "a") for p, n in want.items()} and twice.rdd.getNumPartitions() > 4
