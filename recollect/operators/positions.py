@@ -24,8 +24,8 @@ from recollect.functions.text import terms
 from recollect.sources.storage import kept
 from recollect.sources.tables import Tables
 
-#: Slots of term hashes, and postings of a file (about).
-SLOTS, POSTINGS = 1 << 16, 1 << 20
+#: Slots of term hashes, postings of a file, and of a block of memories (about).
+SLOTS, POSTINGS, HELD = 1 << 16, 1 << 20, 1 << 20
 POSTING = "slot long, term string, id long, n long, deltas array<int>"
 
 
@@ -124,45 +124,138 @@ def _words(spark: SparkSession, text: str) -> list[str]:
     return spark.range(1).select(terms(F.lit(text))).first()[0]
 
 
+def _by_memory(index: DataFrame, words: list[str]) -> DataFrame:
+    """Postings of the words, by memory: rows (block, ids, codes, counts, deltas) of packed numbers; a word's code is its place in the list."""
+    spark = index.sparkSession
+    coded = spark.createDataFrame(pa.table({"term": pa.array(words, pa.string()), "code": pa.array(np.arange(len(words)))}))
+    some = index.join(F.broadcast(coded), "term").select("id", "code", "n", "deltas")
+    blocks = max(1, -(-index.count() // HELD))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, codes, n = (b.column(k).to_numpy() for k in range(3))
+            deltas = pc.list_flatten(b.column(3)).to_numpy().astype(np.int32)
+            block = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % blocks
+            order = np.argsort(block, kind="stable")
+            first = np.cumsum(n) - n
+            own = np.repeat(first[order] - (np.cumsum(n[order]) - n[order]), n[order]) + np.arange(n.sum())
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
+            ends, upto = [*edge[1:].tolist(), len(order)], np.concatenate([[0], np.cumsum(n[order])])
+            ids, codes, n, deltas = ids[order], codes[order].astype(np.int32), n[order].astype(np.int32), deltas[own]
+            cut = lambda x, at: pa.array([x[p:q].tobytes() for p, q in at], pa.binary())
+            rows = list(zip(edge.tolist(), ends, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][edge]), *(cut(x, rows) for x in (ids, codes, n)), cut(deltas, [(upto[p], upto[q]) for p, q in rows])], names=["block", "ids", "codes", "counts", "deltas"])
+
+    return some.mapInArrow(pack, "block long, ids binary, codes binary, counts binary, deltas binary").repartition(blocks, "block").sortWithinPartitions("block")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, places, codes) of the packed words of a block of memories, in order of id and place."""
+    held, now = [], None
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and row[0] != now:
+                yield _unpacked(held)
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield _unpacked(held)
+
+
+def _unpacked(rows: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, codes, n, deltas = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32, np.int32), strict=True))
+    total, first = np.cumsum(deltas.astype(np.int64)), np.cumsum(n.astype(np.int64)) - n
+    places = total - np.repeat(np.where(first > 0, total[np.maximum(first - 1, 0)], 0), n)
+    ids, codes = np.repeat(ids, n), np.repeat(codes, n)
+    order = np.lexsort((places, ids))
+    return ids[order], places[order], codes[order]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each key in wanted (sorted), or -1."""
+    if not len(wanted):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+    return np.where(wanted[at] == keys, at, -1)
+
+
 def phrases_each(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, n): memories that hold each query's `words` one after another, and how often; postings in index.
 
-    The rarest word of a query gives its candidates, memory and place; the others are looked up for
-    these only, by term and memory, so a frequent word is never met with all its postings. A query without words finds nothing.
+    Postings of the words asked for are put together by memory, and each place is looked up among the phrases, so
+    the work grows with the places and the results, not with their product with the queries. The phrases, each once,
+    are known to all tasks. A query without words finds nothing.
     """
-    asked = kept(queries.select("query_id", F.posexplode("words").alias("k", "term")), "asked")
-    some = kept(index.join(asked.select("term").distinct(), "term", "left_semi"), "asked-postings")
-    totals = some.groupBy("term").agg(F.sum("n").alias("total"))
-    weighed = asked.join(totals, "term", "left")
-    best = weighed.groupBy("query_id").agg(F.min(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "k", "term")).alias("best"), F.count("*").alias("size"))
-    rare = best.select("query_id", "size", F.col("best.k").alias("k"), F.col("best.term").alias("term"))
-    at = placed(some)
-    starts = rare.join(at, "term").select("query_id", "size", "id", F.explode(F.transform("places", lambda p: p - F.col("k"))).alias("start"))
-    starts = kept(starts.filter("start >= 0"), "starts")
-    others = starts.join(asked.join(rare.select("query_id", F.col("k").alias("rare")), "query_id").filter("k <> rare").drop("rare"), "query_id")
-    met = others.join(at, ["term", "id"]).filter(F.array_contains("places", (F.col("start") + F.col("k")).cast("int")))
-    held = met.groupBy("query_id", "id", "start", "size").agg(F.count("*").alias("words")).filter(F.col("words") == F.col("size") - 1).select("query_id", "id", "start")
-    single = starts.filter("size = 1").select("query_id", "id", "start")
-    return held.unionByName(single).groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    spark = index.sparkSession
+    asked = kept(queries.select("query_id", "words"), "asked").filter("size(words) > 0")
+    phrases = asked.select("words").distinct().toArrow().column("words").to_pylist()
+    words = sorted({w for p in phrases for w in p})
+    code = {w: k for k, w in enumerate(words)}
+    # level t: beginnings of t + 1 words as (number of the beginning of t words) * len(words) + code, sorted
+    levels, begun = [], [0] * len(phrases)
+    for t in range(max(map(len, phrases), default=0)):
+        keys = [begun[i] * len(words) + code[p[t]] if len(p) > t else -1 for i, p in enumerate(phrases)]
+        levels.append(np.unique([k for k in keys if k >= 0]))
+        begun = [int(np.searchsorted(levels[t], k)) if k >= 0 else begun[i] for i, k in enumerate(keys)]
+    lengths = [len(p) for p in phrases]
+    known = spark.sparkContext.broadcast((levels, len(words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, n_words = known.value
+        for ids, places, codes in _texts(batches):
+            at, number = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+            for t, level in enumerate(levels):
+                ok = at + t < len(ids)
+                at, number = at[ok], number[ok]
+                ok = (ids[at + t] == ids[at]) & (places[at + t] == places[at] + t)
+                at, number = at[ok], number[ok]
+                number = _found(number * n_words + codes[at + t], level)
+                at, number = at[number >= 0], number[number >= 0]
+                order = np.lexsort((ids[at], number))
+                a, b = number[order], ids[at][order]
+                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+                many = np.diff(np.concatenate([new, [len(a)]])) if len(a) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), t + 1, np.int32)), pa.array(a[new]), pa.array(b[new]), pa.array(many.astype(np.int64))], names=["size", "number", "id", "n"])
+
+    found = _by_memory(index, words).mapInArrow(run, "size int, number long, id long, n long")
+    numbered = pa.table({"words": pa.array(phrases, pa.list_(pa.string())), "size": pa.array(lengths, pa.int32()), "number": pa.array(begun, pa.int64())})
+    named = asked.join(F.broadcast(spark.createDataFrame(numbered)), "words").select("query_id", "size", "number")
+    return found.join(F.broadcast(named), ["size", "number"]).select("query_id", "id", "n")
 
 
 def near_each(index: DataFrame, queries: DataFrame, between: int) -> DataFrame:
     """(query_id, id): memories where the words a and b of a query occur with at most so many terms between them, in any order.
 
-    The rarer of the two gives the candidates. A word near itself has to occur twice.
+    As phrases_each: words that are that near are looked up among the pairs asked for. A word near itself has to occur twice.
     """
-    asked = queries.select("query_id", "a", "b")
-    words = asked.select(F.explode(F.array("a", "b")).alias("term")).distinct()
-    some = kept(index.join(words, "term", "left_semi"), "asked-postings")
-    totals = some.groupBy("term").agg(F.sum("n").alias("total"))
-    weigh = lambda k: totals.select(F.col("term").alias(k), F.col("total").alias(f"n_{k}"))
-    both = asked.join(weigh("a"), "a").join(weigh("b"), "b")
-    rare = both.select("query_id", F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("rare"), F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("term"))
-    at = placed(some)
-    first = kept(rare.join(at.select(F.col("term").alias("rare"), "id", F.col("places").alias("here")), "rare"), "near")
-    met = first.join(at, ["term", "id"])
-    close = F.exists("here", lambda x: F.exists("places", lambda y: (F.abs(x - y) <= between + 1) & ((F.col("rare") != F.col("term")) | (x != y))))
-    return met.filter(close).select("query_id", "id")
+    spark = index.sparkSession
+    asked = kept(queries.select("query_id", "a", "b"), "asked").filter("a is not null and b is not null")
+    asked = asked.select("query_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = [(r.a, r.b) for r in asked.select("a", "b").distinct().collect()]
+    words = sorted({w for p in pairs for w in p})
+    code = {w: k for k, w in enumerate(words)}
+    keys = [code[a] * len(words) + code[b] for a, b in pairs]
+    known = spark.sparkContext.broadcast((np.unique(np.array(keys, np.int64)), len(words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, n_words = known.value
+        for ids, places, codes in _texts(batches):
+            codes, hits = codes.astype(np.int64), [np.zeros((0, 2), np.int64)]
+            for d in range(1, between + 2):
+                x, y = codes[:-d], codes[d:]
+                at = _found(np.minimum(x, y) * n_words + np.maximum(x, y), wanted)
+                ok = (at >= 0) & (ids[:-d] == ids[d:]) & (places[d:] - places[:-d] <= between + 1)
+                hits.append(np.unique(np.stack([wanted[at[ok]], ids[:-d][ok]], axis=1), axis=0))
+            every = np.unique(np.concatenate(hits), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["pair", "id"])
+
+    found = _by_memory(index, words).mapInArrow(run, "pair long, id long")
+    numbered = pa.table({"a": pa.array([a for a, _ in pairs], pa.string()), "b": pa.array([b for _, b in pairs], pa.string()), "pair": pa.array(keys, pa.int64())})
+    named = asked.join(F.broadcast(spark.createDataFrame(numbered)), ["a", "b"]).select("query_id", "pair")
+    return found.join(F.broadcast(named), "pair").select("query_id", "id")
 
 
 def phrase_words(content: Column, first: int, n: int) -> Column:

@@ -93,7 +93,7 @@ _TERMS = "t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(tex
 
 def _index(spark, d):
     """An index of all memories, written in two batches and put together."""
-    m = M.memories(spark, d).select("id", "content")
+    m = M.texts(spark, d).select("id", "content")
     index = P.Index(spark, fresh(spark, "index"))
     for part in (0, 1):
         index.add(m.filter(F.col("id") % 2 == part))
