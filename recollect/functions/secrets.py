@@ -2,7 +2,8 @@
 
 The patterns are those of text.SECRETS. A block of texts is searched by all of them at once in Arrow
 to find the few that hold anything; these are scanned pattern by pattern, and of matches that overlap
-the one that begins first stays (of those the longest, then the pattern named first in the table).
+the one that begins first stays (of those the longest, then the pattern named first in the table). What is
+replaced in every text is replaced in Arrow too, whose patterns take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,23 @@ SECOND_PASS = [
 
 _SCAN = [(kind, re.compile(pattern)) for kind, (pattern, _) in SECRETS.items()]
 _ANY = "|".join(f"(?:{pattern})" for pattern, _ in SECRETS.values())
+#: Texts that are searched and replaced at a time.
+ROWS = 256
+
+
+def _folded(words: str) -> str:
+    """words in either case, of ASCII letters only: Arrow's own (?i) also takes U+017F for s and U+212A for k."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _arrow(pattern: str) -> str:
+    """A pattern of SECOND_PASS as Arrow writes it."""
+    pattern = re.sub(r"^\(\?i\)(\([a-z|]+\))", lambda m: _folded(m[1]), pattern)
+    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)
+
+
+_PRIVATE = [(f"(?s)<{_folded(tag)}>.*?</{_folded(tag)}>", f"[{tag.upper()}]") for tag in ("private", "secret")]
+_SECOND = [(_arrow(pattern), new) for pattern, new in SECOND_PASS]
 
 
 def found(text: str) -> list[tuple[str, int, int]]:
@@ -55,24 +73,30 @@ def secret_spans(texts: DataFrame, ident: str = "id", text: str = "content") ->
     return texts.select(texts[ident], texts[text]).mapInArrow(run, T.StructType(fields))
 
 
+def _cut(texts: pa.Array) -> pa.Array:
+    for pattern, new in _PRIVATE:
+        texts = pc.replace_substring_regex(texts, pattern, new)
+    hit = pc.fill_null(pc.match_substring_regex(texts, _ANY), False)
+    if pc.any(hit).as_py():
+        cut = []
+        for t in texts.filter(hit).to_pylist():
+            for _, start, end in reversed(found(t)):
+                t = t[:start] + REDACTED + t[end:]
+            cut.append(t)
+        texts = pc.replace_with_mask(texts, hit, pa.array(cut, texts.type))
+    for pattern, new in _SECOND:
+        texts = pc.replace_substring_regex(texts, pattern, new)
+    return texts
+
+
 def redacted(text: Column, mode: str = "moderate") -> Column:
     """The text as it may be stored: private parts and, unless mode is off, secrets replaced, from the last to the first, then names of keys and assignments of tokens."""
-    plain = strip_private_tags(text)
     if mode == "off":
-        return plain
+        return strip_private_tags(text)
 
-    @F.pandas_udf("string")
-    def cut(texts):
-        def one(t):
-            if t is None:
-                return None
-            for _, start, end in reversed(found(t)):
-                t = t[:start] + REDACTED + t[end:]
-            return t
-
-        return texts.map(one)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        parts = [_cut(texts.slice(k, ROWS)) for k in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(parts) if parts else texts
 
-    out = F.when(plain.rlike(_ANY), cut(plain)).otherwise(plain)
-    for pattern, new in SECOND_PASS:
-        out = F.regexp_replace(out, pattern, F.lit(new))
-    return out
+    return cut(text)

@@ -673,6 +673,22 @@ def test_secrets_and_their_places(spark):
     assert one(spark, Y.redacted(F.lit(f"<private>z</private> {key}"), "off"))[0] == f"[PRIVATE] {key}"
 
 
+def test_redaction_takes_time_in_proportion_to_the_text(spark):
+    """One long word was searched from each of its characters; (?i) is of ASCII letters, tags may stay open, blocks are put together in order."""
+    import time
+
+    from recollect.functions import secrets as Y
+
+    texts = ["a" * 150_000, "<PRIVATE>x\ny</private><Secret>z</sEcret> <private>open", "to\u212aen=1 Token=1", "BEARER\u3000abc, \u00e9apiKey", None]
+    want = ["a" * 150_000, "[PRIVATE][SECRET] <private>open", "to\u212aen=1 [TOKEN]", "[TOKEN], \u00e9[API_KEY]", None]
+    many = [(k, f"{k} x{k}@y.org" if k % 3 else None) for k in range(5, 2000)]
+    df = spark.createDataFrame([*enumerate(texts), *many], "id long, content string").coalesce(1)
+    began = time.time()
+    got = dict(df.select("id", Y.redacted(F.col("content"))).collect())
+    assert time.time() - began < 15
+    assert [got[k] for k in range(5)] == want and all(got[k] == (f"{k} [REDACTED]" if k % 3 else None) for k, _ in many)
+
+
 def test_phrases_and_near_words(spark, tmp_path):
     from recollect.operators import positions as P
 
