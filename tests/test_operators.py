@@ -274,6 +274,24 @@ def test_merge_golden(spark):
     assert [(r.merge_id, r.content, r.tags) for r in got] == [(1, "A is. B is. C is.", ["x", "y"])]
 
 
+def test_merges_read_the_groups_once(spark, monkeypatch):
+    """Each type read all groups again, all of them in one task."""
+    rows = [(k, 2 * k + i, f"{kind} {i}. end", [f"t{i}"], kind) for k, kind in enumerate(G.STRATEGIES) for i in (1, 2)]
+    df = spark.createDataFrame([(m, i, c, t, k, 50, dt.datetime(2024, 1, i)) for m, i, c, t, k in rows], "merge_id long, id long, content string, tags array<string>, type string, confidence int, created_at timestamp_ntz")
+    groups = G.grouped(df)
+    every = G.merged(groups)
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    columns = ["merge_id", "content", "summary", "tags", "warnings"]
+    want = sorted(tuple(r) for kind, merge in G.STRATEGIES.items() for r in merge(groups.filter(F.col("type") == kind)).select(*columns).collect())
+    assert sorted(tuple(r) for r in every.select(*columns).collect()) == want and len(want) == 5
+    monkeypatch.setattr(G, "STRATEGIES", dict(G.STRATEGIES))
+    for kind in list(G.STRATEGIES):  # functions of one's own, at last nothing but these
+        G.strategy(kind, lambda rows: G.merge_contexts(rows).withColumn("content", F.lit("own")))
+        got = {r.type: r.content for r in G.merged(groups).select("type", "content").collect()}
+        assert len(got) == 5 and got[kind] == "own"
+    assert set(got.values()) == {"own"}
+
+
 def test_clusters(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [("p", 1, words), ("p", 2, words + " lambda"), ("p", 3, "none of these"), ("q", 4, words), ("p", 5, words), ("p", 6, "")]
