@@ -20,6 +20,8 @@ from recollect.operators.filters import clamped
 
 #: Vectors, and queries, that one group of a scan with many queries compares (about).
 VECTORS, QUERIES = 8192, 4096
+#: Products that a scan holds at a time.
+PRODUCTS = 1 << 19
 #: Entries of a vector from this size on count as not finite.
 MOST = 1e140
 
@@ -104,13 +106,14 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
             v, q = (pc.list_flatten(t.column("v")).to_numpy().reshape(t.num_rows, -1) for t in (one, two))
             place = pc.rank(ids, tiebreaker="dense").to_numpy()
             size, length = (np.einsum("ij,ij->i", x, x) for x in (v, q))
-            for i in range(0, len(q), 256):
-                product = q[i : i + 256] @ v.T
+            step = max(1, PRODUCTS // len(v))
+            for i in range(0, len(q), step):
+                product = q[i : i + step] @ v.T
                 if metric == "l2":  # the error of a product grows with its own two vectors
                     rough = size - 2 * product
-                    margin = 1e-9 * (1 + size + length[i : i + 256, None])
+                    margin = 1e-9 * (1 + size + length[i : i + step, None])
                 else:
-                    rough, margin = -product / np.maximum(np.sqrt(size) * np.sqrt(length[i : i + 256])[:, None], 1e-300), np.broadcast_to(1e-9, product.shape)
+                    rough, margin = -product / np.maximum(np.sqrt(size) * np.sqrt(length[i : i + step])[:, None], 1e-300), np.broadcast_to(1e-9, product.shape)
                 kth = min(k, len(v)) - 1
                 least = np.partition(rough + margin, kth, axis=1)[:, kth]
                 for r, limit in enumerate(least.tolist()):

@@ -267,6 +267,22 @@ def test_nearest_each_equals_brute_force(spark, monkeypatch):
     assert got == [(q, k + 1, i) for q in range(0, 102, 10) for k, i in enumerate(sorted(range(102), key=lambda i: (far(q, i), i))[:5])]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_scan_holds_few_products(spark, monkeypatch, metric):
+    """However long the blocks, so many products are held at a time; their number changes no result."""
+    import random
+
+    from recollect.operators import search as S
+
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(300)], "id long, v array<double>")
+    got = {}
+    for n in (S.PRODUCTS, 1, 900):
+        monkeypatch.setattr(S, "PRODUCTS", n)
+        got[n] = sorted(tuple(x) for x in S.nearest_each(df, df.filter("id % 3 = 0"), 5, metric).collect())
+    assert got[1] == got[900] == got[1 << 19] and len(got[1]) == 500
+
+
 def test_merge_golden(spark):
     rows = [(1, 1, "A is. B is. ", ["x"], "fact"), (1, 2, "B is. C is. ", ["y", "x"], "fact"), (2, 3, "only", [], "fact"), (3, 4, "a", [], "fact"), (3, 5, "b", [], "decision")]
     df = spark.createDataFrame([(m, i, c, t, k, 50, dt.datetime(2024, 1, i)) for m, i, c, t, k in rows], "merge_id long, id long, content string, tags array<string>, type string, confidence int, created_at timestamp_ntz")
