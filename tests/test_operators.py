@@ -157,6 +157,20 @@ def test_banded_equals_all_pairs(spark):
     assert got == want and want
 
 
+def test_close_fingerprints_meet_without_a_table_of_keys(spark, monkeypatch):
+    from recollect.operators import tiles as T
+
+    for name, value in (("SMALL", 9), ("NARROW", 5), ("AT_ONCE", 15), ("YIELDED", 7)):
+        monkeypatch.setattr(T, name, value)
+    values = [0, 0, 1, 3, 7, 15, 31, 63, -1, -2, 1 << 62, -(1 << 63), 3] + [1 << k for k in range(5, 40)]
+    pairs = D.hamming_pairs(spark.createDataFrame(list(enumerate(values)), "id long, simhash long"), 3)
+    assert "Join" not in planned(pairs)
+    first = {v: values.index(v) for v in values if v}
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = sorted((min(i, j), max(i, j), bits(a, b)) for a, i in first.items() for b, j in first.items() if i < j and bits(a, b) <= 3)
+    assert sorted((r.id_a, r.id_b, r.distance) for r in pairs.collect()) == want
+
+
 def test_minhash_estimates(spark):
     a, b = "the quick brown fox jumps over the lazy dog again and again", "the quick brown fox jumps over the lazy cat again and again"
     df = spark.createDataFrame([(1, a), (2, b), (3, "  "), (4, None)], "id long, content string").select("id", H.minhash(F.col("content")).alias("m"))
