@@ -171,6 +171,49 @@ def test_close_fingerprints_meet_without_a_table_of_keys(spark, monkeypatch):
     assert sorted((r.id_a, r.id_b, r.distance) for r in pairs.collect()) == want
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_choice_among_copies_meets_near_vectors_only(spark, monkeypatch, few):
+    import random
+
+    from recollect.functions.embedding import embedded
+    from recollect.operators import tiles as T
+
+    rng = random.Random(4)
+    words = [f"term{k}" for k in range(300)]
+    base = [" ".join(rng.choices(words, k=40)) for _ in range(6)]
+    texts = base * 3 + [t + "." * k for t in base[:3] for k in range(1, 3)] + [" ".join(sorted(t.split())) for t in base] + [" ".join(rng.choices(words, k=40)) for _ in range(30)] + [None, "", "a b"]
+    rng.shuffle(texts)
+    m = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    weights = embedded(m)
+    ranked = D.cosines(D.stage_one(m).select("id_a", "id_b"), weights).filter("similarity >= 0.6")
+    want = [sorted(tuple(r) for r in D.greedy_pairs(ranked, 2, n).collect()) for n in (4, 40)]
+    monkeypatch.setattr(T, "FEW", few)
+    choice = lambda n: sorted(tuple(r) for r in D.greedy_pairs(T.top_pairs(m, weights, 0.6, 2, n), 2, n).collect())
+    assert choice(40) == want[1]  # more than the copies have
+    copies = {(r.class_id, r.id) for r in D.text_classes(m).collect()}
+    assert any((a, b) not in copies for a, b, _ in want[0])
+    monkeypatch.setattr(T, "crossed", None)  # not all texts meet
+    assert choice(4) == want[0] and len(want[0]) == 4
+
+
+def test_vectors_nearly_equal_share_a_cell(spark):
+    import numpy as np
+
+    from recollect.functions.embedding import packed
+    from recollect.operators import tiles as T
+
+    rng = np.random.default_rng(3)
+    v = rng.random((40, 50))
+    v = np.concatenate([v, v + rng.normal(0, 4e-6, v.shape)])
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    weights = spark.createDataFrame([(i, k, float(x)) for i, row in enumerate(v) for k, x in enumerate(row)], "id long, bucket long, weight double")
+    keys = {}
+    for r in T._cells(packed(weights), 50, 4.5e-5).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    assert all(np.sqrt(((v[i] - v[i + 40]) ** 2).sum()) <= 4.5e-5 and keys[i] & keys[i + 40] for i in range(40))
+    assert sum(bool(keys[i] & keys[j]) for i in range(40) for j in range(i)) < 40
+
+
 def test_minhash_estimates(spark):
     a, b = "the quick brown fox jumps over the lazy dog again and again", "the quick brown fox jumps over the lazy cat again and again"
     df = spark.createDataFrame([(1, a), (2, b), (3, "  "), (4, None)], "id long, content string").select("id", H.minhash(F.col("content")).alias("m"))
