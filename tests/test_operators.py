@@ -700,6 +700,54 @@ def test_rows_meet_once_in_blocks(spark, monkeypatch, block, tile):
     assert n == {i: c for i in range(60) if (c := sum(i in (a, b) and (a % 3 == 0 or b % 3 == 0) for a, b, _ in want))}
 
 
+@pytest.mark.parametrize("tile,slab,sides", [((3, 8), 5, False), ((4, 70), 1000, True), ((64, 256), 50, False), ((64, 256), 1000, True)])
+def test_matches_count_whole_words_first(monkeypatch, tile, slab, sides):
+    """Exact, whatever the shapes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from recollect.operators import tiles as T
+
+    for name, value in (("TILE", tile), ("SLAB", slab), ("YIELDED", 50), ("AT_ONCE", 64)):
+        monkeypatch.setattr(T, name, value)
+    rng = np.random.default_rng(tile[1])
+    n = 300
+    base = rng.integers(0, 1 << 32, (6, 128))
+    sets = np.where(rng.random((n, 128)) < 0.85, base[np.arange(n) % 6], rng.integers(0, 1 << 32, (n, 128))).astype(np.uint32)
+    sets[::25] = rng.integers(0, 1 << 32, (n // 25, 128))
+    bits = np.where(rng.random(n) < 0.1, 0, rng.integers(0, 1 << 62, n) & ~0x3F | rng.integers(0, 64, n))
+    bits[5:60] = bits[5] ^ (1 << rng.integers(0, 9, 55))
+    side = np.sort(rng.integers(0, 2, n)).astype(np.int32) if sides else np.full(n, 2, np.int32)
+    run = pa.table({"signature": pa.array([x.tobytes() for x in sets], pa.binary()), "simhash": bits, "side": side})
+    for most in (2, None):
+        want = {}
+        for a in range(n):
+            for b in range(a + 1, n):
+                same, far = int((sets[a] == sets[b]).sum()), int(bits[a] ^ bits[b]).bit_count() if most is not None else 0
+                if (not sides or side[a] != side[b]) and (same >= 90 or most is not None and far <= most and bits[a] != 0 != bits[b]):
+                    want[a, b] = same, far
+        got = [(*sorted((int(r), int(c))), int(s), int(d)) for x in T.matches(run, most, 0.7) for r, c, s, d in zip(*x, strict=True)]
+        assert sorted(got) == sorted((a, b, s, d) for (a, b), (s, d) in want.items()) and len(want) > 1000
+        assert {tuple(sorted((int(r), int(c)))) for x in T.matches(run, most, 0.7, measured=False) for r, c in zip(x[0], x[1], strict=True)} == set(want)
+
+
+def test_words_of_other_texts_are_passed_over(monkeypatch):
+    """Where a row shares too few values with 64 columns, these are not counted one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from recollect.operators import tiles as T
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 32, (16, 128))
+    sets = np.where(rng.random((1104, 128)) < 0.95, base[np.arange(1104) % 16], rng.integers(0, 1 << 32, (1104, 128))).astype(np.uint32)
+    run = pa.table({"signature": pa.array([x.tobytes() for x in sets], pa.binary()), "side": np.sort(np.arange(1104) >= 80).astype(np.int32)})
+    counted, tally = [], T._tally
+    monkeypatch.setattr(T, "_tally", lambda pick, shape, need: counted.append(shape[0] * shape[1]) or tally(pick, shape, need))
+    assert sum(len(x[0]) for x in T.matches(run, None, 0.7)) == ((sets[:80, None] == sets[None, 80:]).sum(axis=2) >= 90).sum() > 0
+    assert sum(counted) < 80 + 80 * 16 // 2
+
+
 def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
