@@ -11,7 +11,6 @@ one that changes is removed first (removed). Words of a query go through the sam
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,8 +23,8 @@ from recollect.functions.text import terms
 from recollect.sources.storage import kept
 from recollect.sources.tables import Tables
 
-#: Slots of term hashes, postings of a file, and of a block of memories (about).
-SLOTS, POSTINGS, HELD = 1 << 16, 1 << 20, 1 << 20
+#: Slots of term hashes, postings of a file, and of a block of memories (about); words put in order together (about).
+SLOTS, POSTINGS, HELD, WORDS = 1 << 16, 1 << 20, 1 << 20, 1 << 20
 POSTING = "slot long, term string, id long, n long, deltas array<int>"
 
 
@@ -38,22 +37,34 @@ def postings(memories: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, words, lists = [], [], []
-            for i, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                places: dict[str, list[int]] = defaultdict(list)
-                for k, w in enumerate(found):
-                    places[w].append(k)
-                ids += [i] * len(places)
-                words += places
-                lists += [np.diff(p, prepend=0).astype(np.int32) for p in places.values()]
-            n = np.array([len(x) for x in lists], np.int64)
-            deltas = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.int64()), pa.array(n), deltas], names=["term", "id", "n", "deltas"])
+            upto = np.cumsum(pc.list_value_length(b.column(1)).to_numpy().astype(np.int64))
+            first = 0
+            while first < b.num_rows:  # so many words at a time, whole memories
+                end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + WORDS, "right")))
+                yield _grouped(b.slice(first, end - first))
+                first = end
 
     listed = memories.select(F.col("id").cast("long").alias("id"), F.coalesce(terms(F.col("content")), F.array().cast("array<string>")).alias("terms"))
     return listed.mapInArrow(run, "term string, id long, n long, deltas array<int>").select(slot_of(F.col("term")).alias("slot"), "term", "id", "n", "deltas")
 
 
+def _grouped(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of some memories (id, terms): words are numbered and put in order of memory and number."""
+    n = pc.list_value_length(b.column(1)).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(b.column(1)).dictionary_encode()
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    deltas = np.diff(place, prepend=0)
+    deltas[new] = place[new]
+    ends = np.append(new, len(key))
+    words, ids = coded.dictionary.take(coded.indices.take(pa.array(order[new]))), b.column(0).take(pa.array(row[order[new]]))
+    return pa.RecordBatch.from_arrays([words, ids, pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(deltas.astype(np.int32)))], names=["term", "id", "n", "deltas"])
+
+
 def placed(found: DataFrame) -> DataFrame:
     """Postings with `places` instead of their differences."""
 
@@ -94,7 +105,8 @@ class Index:
         self.tables.transact(work)
 
     def compact(self) -> int:
-        return self.tables.compact("postings", POSTINGS)
+        """Put files together that are not half full; what an add of many postings has written stays."""
+        return self.tables.compact("postings", max(1, POSTINGS // 2))
 
     def of(self, words: Iterable[str]) -> DataFrame:
         """Postings of a few terms: the files of their slots, filtered by slot and term in the scan."""
@@ -243,14 +255,15 @@ def near_each(index: DataFrame, queries: DataFrame, between: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, n_words = known.value
         for ids, places, codes in _texts(batches):
-            codes, hits = codes.astype(np.int64), [np.zeros((0, 2), np.int64)]
+            known_ids, rank = np.unique(ids, return_inverse=True)
+            codes, hits = codes.astype(np.int64), [np.zeros(0, np.int64)]
             for d in range(1, between + 2):
                 x, y = codes[:-d], codes[d:]
                 at = _found(np.minimum(x, y) * n_words + np.maximum(x, y), wanted)
                 ok = (at >= 0) & (ids[:-d] == ids[d:]) & (places[d:] - places[:-d] <= between + 1)
-                hits.append(np.unique(np.stack([wanted[at[ok]], ids[:-d][ok]], axis=1), axis=0))
-            every = np.unique(np.concatenate(hits), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["pair", "id"])
+                hits.append(np.unique(at[ok] * len(known_ids) + rank[:-d][ok]))
+            every = np.unique(np.concatenate(hits))
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[every // max(1, len(known_ids))]), pa.array(known_ids[every % max(1, len(known_ids))])], names=["pair", "id"])
 
     found = _by_memory(index, words).mapInArrow(run, "pair long, id long")
     numbered = pa.table({"a": pa.array([a for a, _ in pairs], pa.string()), "b": pa.array([b for _, b in pairs], pa.string()), "pair": pa.array(keys, pa.int64())})

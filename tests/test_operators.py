@@ -850,6 +850,39 @@ def test_phrases_and_near_words(spark, tmp_path):
     assert got(index.phrase("quick brown")) == {(5, 1)}
 
 
+@pytest.mark.parametrize("words", [1 << 20, 7])
+def test_postings_of_many_memories_in_one_block(spark, monkeypatch, words):
+    """Words are put in order in numpy, some memories at a time, and full files are not written again."""
+    import random
+
+    from recollect.operators import positions as P
+
+    monkeypatch.setattr(P, "WORDS", words)
+    rng = random.Random(words)
+    texts = [None, "", "?", "one"] + [" ".join(rng.choices(["a", "bb", "c3", "dd", "e"], k=rng.randrange(12))) for _ in range(30)] + [""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string").coalesce(1)
+    want = {}
+    for i, t in enumerate(texts):
+        for k, w in enumerate((t or "").replace("?", "").split()):
+            want.setdefault((w, i), []).append(k)
+    rows = P.postings(df).collect()
+    assert {(r.term, r.id): (r.n, r.deltas) for r in rows} == {k: (len(p), [p[0]] + [y - x for x, y in zip(p, p[1:], strict=False)]) for k, p in want.items()} and len(rows) == len(want)
+
+
+def test_compaction_leaves_full_files(spark, tmp_path, monkeypatch):
+    from recollect.operators import positions as P
+
+    monkeypatch.setattr(P, "POSTINGS", 60)
+    index = P.Index(spark, f"file://{tmp_path}/index")
+    for part in (0, 1):
+        index.add(spark.range(60).filter(F.col("id") % 2 == part).select("id", F.concat_ws(" ", F.concat(F.lit("w"), "id"), F.concat(F.lit("v"), "id"), F.concat(F.lit("u"), "id")).alias("content")))
+    files = index.tables.state(index.tables.version())["postings"]
+    full = {f for f, v in files.items() if v[0] >= 30}
+    index.compact()
+    assert full and full <= set(index.tables.state(index.tables.version())["postings"])
+    assert {r.id for r in index.phrase("v7 u7").collect()} == {7}
+
+
 def test_searches_open_the_files_of_their_terms(spark, tmp_path, monkeypatch):
     from recollect.operators import positions as P
 
